@@ -1,0 +1,6 @@
+"""Queries over the driver's tables and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
