@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: One turn: START role newline body END newline. Neither part holds a control string or, in a role, a newline.
-TURN = re.compile(r"<\|im_start\|>([^\n]*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 ESCAPED = re.compile(r"<\\(\\*\|im_(?:start|end)\|>)")
 CONTROL = re.compile(r"<(\\*\|im_(?:start|end)\|>)")
 
@@ -38,15 +36,16 @@ def unescape_role(role: str) -> str:
 def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     """The turns of rendered text: role, text, and where the text's escaped form begins and ends.
 
-    Deterministic: each turn begins where the last one ended, and its body ends at the first END.
+    Grammar: turns follow each other, each START role newline body END newline; a role ends at the
+    first newline, a body at the first END, and neither holds START. Anything else is an error.
     """
     turns, at = [], 0
     while at < len(rendered):
-        m = TURN.match(rendered, at)
-        if m is None:
+        line, stop = rendered.find("\n", at), rendered.find(END, at)
+        if not rendered.startswith(START, at) or not at < line < stop or rendered.find(START, at + 1, stop) >= 0 or rendered[stop + len(END) : stop + len(END) + 1] != "\n":
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape_role(m[1]), unescape(m[2]), m.start(2), m.end(2)))
-        at = m.end()
+        turns.append((unescape_role(rendered[at + len(START) : line]), unescape(rendered[line + 1 : stop]), line + 1, stop))
+        at = stop + len(END) + 1
     return turns
 
 
