@@ -144,8 +144,8 @@ def follow_renames(renames: DataFrame) -> DataFrame:
         # a rename that leads back stops before it repeats a path
         stop = F.array_position(F.transform("more", lambda p: F.array_contains(F.slice("way", F.lit(1), F.size("way") - 1), p)), True)
         take = F.when(F.col("more").isNull(), F.array().cast("array<string>")).when(stop > 0, F.filter(F.slice("more", F.lit(1), (stop - 1).cast("int")), lambda p: ~F.array_contains(F.col("way"), p))).otherwise(fresh)
-        moved = joined.select("repo_id", "old_path", F.concat("way", take).alias("way"), (F.size(take) > 0).alias("moved"))
-        links = settle(moved.select("repo_id", "old_path", F.element_at("way", -1).alias("final_path"), "way", "moved"), "renames")
+        moved = joined.select("repo_id", "old_path", F.concat("way", take).alias("longer"), (F.size(take) > 0).alias("moved"))
+        links = settle(moved.select("repo_id", "old_path", F.element_at("longer", -1).alias("final_path"), F.col("longer").alias("way"), "moved"), "renames")
         if not links.where("moved").take(1):
             return links.select("repo_id", "old_path", "final_path")
         links = links.drop("moved")
