@@ -11,13 +11,17 @@ from ..functions import columns as C
 from ..functions import rules
 
 
+def _tagged(tag: str):
+    return lambda spec: F.struct(F.lit(tag).alias("tag"), spec.alias("spec"))
+
+
 def extract_imports(file_text: DataFrame) -> DataFrame:
     """repo_id, path, lang, spec, tag, pos for each specifier of file_text(repo_id, path, text)."""
     rows = file_text.withColumn("lang", C.detect_language("path")).select("repo_id", "path", "lang", "text")
     found = []
     for langs, tag, pattern in rules.IMPORTS:
         hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-        found.append(F.when(F.col("lang").isin(langs.split()), F.transform(hits, lambda s, tag=tag: F.struct(F.lit(tag).alias("tag"), s.alias("spec")))))
+        found.append(F.when(F.col("lang").isin(langs.split()), F.transform(hits, _tagged(tag))))
     blocks = F.regexp_extract_all("text", F.lit(rules.GO_BLOCK), F.lit(1))
     lines = F.flatten(F.transform(blocks, lambda b: F.split(b, "\n")))
     quoted = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r'"([^"]+)"', 1)), lambda s: s != "")
@@ -74,9 +78,11 @@ def php_prefixes(manifests: DataFrame) -> DataFrame:
     composer = manifests.where(F.col("path").rlike(r"(^|/)composer\.json\z") & F.col("parsed").isNotNull())
     both = []
     for section in ("autoload", "autoload-dev"):
-        maps = [F.try_variant_get("parsed", f"$['{section}']['{psr}']", kind) for psr in ("psr-4", "psr-0") for kind in ("map<string,array<string>>", "map<string,string>")]
-        lists = [m if i % 2 == 0 else F.transform_values(m, lambda _, v: F.array(v)) for i, m in enumerate(maps)]
-        both.append(composer.select("repo_id", "path", F.explode(F.coalesce(*lists)).alias("prefix", "dirs")))
+        forms = []
+        for psr in ("psr-4", "psr-0"):
+            many, single = (F.try_variant_get("parsed", f"$['{section}']['{psr}']", f"map<string,{kind}>") for kind in ("array<string>", "string"))
+            forms.append(F.when(many.isNotNull(), F.map_zip_with(many, single, lambda _, dirs, d: F.coalesce(dirs, F.array(d)))))
+        both.append(composer.select("repo_id", "path", F.explode(F.coalesce(*forms)).alias("prefix", "dirs")))
     rows = reduce(DataFrame.unionByName, both).select("repo_id", "path", "prefix", F.explode("dirs").alias("d"))
     place = F.array_join(F.filter(F.array(C.dir_of("path"), F.regexp_replace("d", r"/+\z", "")), lambda x: x != ""), "/")
     return rows.select("repo_id", "prefix", place.alias("dir")).distinct()
