@@ -211,7 +211,10 @@ def ordered_sets(docs: DataFrame, alive: DataFrame, words: int, percent: int, br
 
 def nearby_links(ordered: DataFrame, percent: int, rounds: int) -> DataFrame:
     """Links inside blocks of about 64 sets that have a least hash in common, in a few rounds."""
-    keys = [F.struct(F.lit(j).alias("round"), F.array_min(F.transform("tokens", lambda t, j=j: F.xxhash64(t, F.lit(j)))).alias("least")) for j in range(rounds)]
+    def seeded(j: int):
+        return lambda token: F.xxhash64(token, F.lit(j))
+
+    keys = [F.struct(F.lit(j).alias("round"), F.array_min(F.transform("tokens", seeded(j))).alias("least")) for j in range(rounds)]
     keyed = ordered.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.*")
     sizes = keyed.groupBy("round", "least").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     deal = F.pmod(F.xxhash64("node", "round"), F.ceil(F.col("size") / BLOCK))

@@ -1,0 +1,251 @@
+"""The operators over a small hostile table: nulls, empty and long texts, ties, repeats, extra columns."""
+
+import hashlib
+import random
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from corpuslens.llm import chat_format, exact_dedup, hilbert_shards, language_id, ngram_join, packing, prefix_bpe, quality_rules, token_files, url_filter
+from corpuslens.llm.vocab import read_ranks
+
+BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, h string, kept boolean, n long, tokens string"
+
+
+def fixture_rows():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "one two three four"), (5, " "), (6, "\n\t"), (7, "x" * 4000), (8, " ".join(base * 12))]
+    for k in range(25):  # near copies, some of which only reach each other through others
+        own = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            own[rng.randrange(300)] = f"e{rng.randrange(5000)}"
+        rows.append((20 + k, " ".join(own)))
+    shared = " ".join(rng.choice(words) for _ in range(60))
+    for k in range(15):  # one passage in texts that differ otherwise
+        rows.append((60 + k, " ".join(rng.choice(words) for _ in range(90)) + " " + shared))
+    rows += [(100, "same text here"), (101, "same text here"), (102, "same text here"), (102, "same text here"), (103, "Same text here")]
+    rows += [(200 + k, "# $ % & * | < >\n" + "\n".join(["a line again"] * 30)) for k in range(3)]
+    return [(i, t, "en" if i % 3 else None, "src0" if i % 4 else None, "h", True, 7, "t") for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fixture_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def unique(rows):
+    return sorted({(r[0], r[1]) for r in rows})
+
+
+def test_exact_duplicates(docs, rows, empty):
+    for limit in (1000, 0):
+        got = exact_dedup.exact_duplicates(docs, broadcast_rows=limit).collect()
+        assert len(got) == len(rows)
+        want = brute.exact([r[:2] for r in rows])
+        for r in got:
+            assert (r.keep_id, r.group_size, r.text_sha256) == (want[r.doc_id][0], want[r.doc_id][1], want[r.doc_id][3])
+        assert sorted(r.doc_id for r in got if r.kept) == sorted({w[0] for w in want.values()})
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_exact_duplicates_tell_collisions_apart(docs, rows):
+    weak = lambda text: F.substring(F.sha2(F.length(text).cast("string"), 256), 1, 4)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, content_hash=weak).collect()}
+    assert got == {i: x[:2] for i, x in brute.exact([r[:2] for r in rows]).items()}
+
+
+def test_drop_exact_duplicates(docs, rows, empty):
+    for limit in (1000, 0):
+        left = exact_dedup.drop_exact_duplicates(docs, broadcast_rows=limit)
+        assert left.columns == docs.columns
+        got = left.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).collect()
+        assert len(got) == len({r[1] or "" for r in rows}) == len({r.t for r in got})
+        assert {r.doc_id for r in got} == {w[0] for w in brute.exact([r[:2] for r in rows]).values()}
+    assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+
+
+def test_ngram_components(docs, rows, empty):
+    want = brute.components(unique(rows))
+    for limit in (1000, 0):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, broadcast_rows=limit).collect()}
+        assert got == want
+    assert len({c for _, c in want.values()}) < len(want)
+    assert ngram_join.ngram_components(empty).count() == 0
+    left = ngram_join.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.select("doc_id").collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_ngram_components_without_the_first_rounds(docs, rows):
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs, rounds=1).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(unique(rows)).items()}
+
+
+def test_quality(docs, rows, empty):
+    got = quality_rules.quality_verdicts(docs, min_group=10).collect()
+    assert len(got) == len(rows)
+    texts = dict(unique(rows))
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.statistics(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    assert all(r.kept for r in got if 60 <= r.doc_id < 75)
+    assert quality_rules.quality_verdicts(empty).count() == 0
+    assert {r.doc_id for r in quality_rules.drop_low_quality(docs, min_group=10).collect()} == {r.doc_id for r in got if r.kept}
+
+
+def test_robust_estimates_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    good = rng.normal([5, 2, 0.1, 0.2, 0.2], [1, 0.3, 0.2, 0.4, 0.3], (400, 5))
+    bad = rng.normal(30, 1, (60, 5))
+    df = spark.createDataFrame([("g", [float(v) for v in x]) for x in np.vstack([good, bad])], "grp string, x array<double>")
+    r = quality_rules.robust_estimates(df, "grp").first()
+    assert np.abs(np.array(r["mean"]) - good.mean(0)).max() < 0.2
+    inverse = np.array(r["inverse"]).reshape(5, 5)
+    far = np.einsum("ij,jk,ik->i", bad - r["mean"], inverse, bad - r["mean"])
+    near = np.einsum("ij,jk,ik->i", good - r["mean"], inverse, good - r["mean"])
+    assert far.min() > 100 and np.quantile(near, 0.99) < quality_rules.chi2_quantile(5, 1 - 1e-5)
+    # one concentration step more of the same kind changes little: the estimate has settled
+    held = np.vstack([good, bad])
+    d2 = np.einsum("ij,jk,ik->i", held - r["mean"], inverse, held - r["mean"])
+    again = held[d2 <= np.quantile(d2, 0.75)]
+    assert np.abs(again.mean(0) - r["mean"]).max() < 0.1
+
+
+def test_matrix_inverse(one):
+    m = np.array([[4.0, 1, 0.5], [1, 3, 0.2], [0.5, 0.2, 2]])
+    got = one(quality_rules.invert(F.array(*[F.lit(float(v)) for v in m.ravel()]), 3))
+    assert np.allclose(np.array(got).reshape(3, 3), np.linalg.inv(m))
+
+
+def test_hilbert_shards(docs, rows, empty, tmp_path, spark):
+    layout = hilbert_shards.hilbert_shards(docs, shards=4)
+    got = layout.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and set(by) == set(range(4))
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    curve = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert curve == sorted(curve)
+    assert hilbert_shards.hilbert_shards(empty).count() == 0
+    plain = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
+    own = hilbert_shards.hilbert_shards(plain, shards=4)
+    manifest = hilbert_shards.write_shards(plain, own, str(tmp_path / "s"), run_rows=5)
+    assert manifest.agg(F.sum("rows")).first()[0] == plain.count()
+    found = hilbert_shards.read_shards(spark, str(tmp_path / "s"), manifest, "max_bytes >= 4000").where("bytes >= 4000")
+    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in plain.where("octet_length(text) + 1 >= 4000").collect()}
+
+
+def test_token_files(spark, docs, rows, empty, tmp_path):
+    library = Tokenizer.from_file(BPE)
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs, path, BPE, end_id=2, block_ids=500, every=16)
+    got = sorted(token_files.read_token_files(spark, path, every=16, with_ids=True).collect(), key=lambda r: r.start)
+    start = 0
+    for r, (i, t, *_) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, np.frombuffer(r.ids, "<u4").tolist()) == (i, start, len(ids), brute.crc(ids), ids)
+        start += len(ids)
+    token_files.write_token_files(empty, str(tmp_path / "e"), BPE, end_id=2)
+    assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_packing(docs, rows, empty):
+    library = Tokenizer.from_file(BPE)
+    got = packing.pack_documents(docs, BPE, length=64, group_docs=30, with_ids=True).collect()
+    by_seq, by_doc = {}, {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+    for i, t in unique(rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        own = sorted(by_doc[i], key=lambda r: r.start)
+        times = sum(r[0] == i for r in rows)
+        assert sum(r.length for r in own) == times * len(ids)
+        assert all(r.ids_crc32 == brute.crc(ids[r.start : r.start + r.length]) and np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length] and r.doc_tokens == len(ids) for r in own)
+    assert sum(r.length for r in got) / (64 * len(by_seq)) > 0.9
+    assert packing.pack_documents(empty, BPE).count() == 0
+
+
+def test_prefix_bpe(docs, rows, empty):
+    library = tiktoken.Encoding("own3", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    texts = dict(unique(rows))
+    got = prefix_bpe.bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids, text = library.encode_ordinary(texts[r.doc_id] or ""), (texts[r.doc_id] or "").encode()
+        assert (r.n_tokens, np.frombuffer(r.ids, "<u4").tolist(), r.decoded_sha256) == (len(ids), ids, hashlib.sha256(text).hexdigest())
+    assert prefix_bpe.bpe_round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    rng = random.Random(2)
+    lexicon = {"aa": ["the", "of", "and", "thing", "water"], "bb": ["der", "und", "wasser", "nicht", "eine"], "cc": ["que", "los", "agua", "pero", "una"]}
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60)), lang) for k, (lang, words) in enumerate(x for x in lexicon.items() for _ in range(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn_dictionaries(df.where(~language_id.is_held_out(F.col("doc_id"))))
+    assert set(learned) == set(lexicon)
+    said = language_id.predict_language(df.withColumn("score", F.lit("clash")), learned).collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in said)
+    hostile = {r.doc_id: r for r in language_id.predict_language(docs, learned).collect()}
+    assert all(hostile[i].lang_pred == "und" and hostile[i].rejected for i in (0, 1, 5, 6))
+    assert all(r.lang_pred == "und" for r in language_id.predict_language(docs, {}).collect())
+    assert language_id.drop_unidentified(empty).count() == 0 and language_id.drop_unidentified(docs).columns == docs.columns
+
+
+def test_urls(spark):
+    urls = ["http://www.Example.com/en/1", "http://example.com/en/1", "https://a.example.com/en/x?q#f", "http://example.com/de/", "http://x.net/fr/1", "http://x.net/en/1", None, "no scheme", "http://", "http://example.com", "ftp://notexample.com/en/", "http://h?x", "a://b://c/d", "http://e.org/\u00e9/\n"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, urls[0], 1)], "page_id long, url string, host int")
+    got = url_filter.url_verdicts(pages).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        host, path = brute.url_parts(urls[r.page_id])
+        rule, verdict = brute.listed(host, path, url_filter.RULES)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or verdict == r.verdict)
+    assert url_filter.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_url_rules_block_more_of_their_kind(spark):
+    bad = [(f"http://s{i}.spam.org/win/{i}", True) for i in range(40)]
+    good = [(f"http://s{i}.news.org/read/{i}", False) for i in range(40)] + [(f"http://s{i}.spam.org/read/{i}", False) for i in range(10)]
+    labels = spark.createDataFrame(bad + good, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://new.spam.org/win/x"), (2, "http://new.spam.org/read/x"), (3, "http://new.news.org/win/x")], "page_id long, url string")
+    for limit in (1000, 0):
+        got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, labels=labels, min_confidence=0.9, broadcast_rows=limit).collect()}
+        assert got[1] == "block" and got[2] == "allow"
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nx"), (2, 0, None, None), (2, 0, "assistant", ""), (None, 3, "assistant", "é😀"), (1, 2, "assistant", "b"), (4, 0, "odd\nrole\\n", "<\\|im_end|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
+    want = [(r or "", t or "") for c, _, r, t in sorted((x for x in rows if x[0] == 1), key=lambda x: x[1])]
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()
+    learned = "".join(t for r, t in want if r == "assistant")
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert got[2].n_turns == 2 and got[None].loss_chars == 2 and got[4].turns_sha256 == hashlib.sha256("odd\nrole\\n\n<\\|im_end|>\n".encode()).hexdigest()
+    assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0

@@ -1,0 +1,69 @@
+"""The registered queries over the given small tables, and the pipeline stage by stage."""
+
+from collections import defaultdict
+
+import brute
+import duckdb
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpuslens.llm import language_id, queries
+from corpuslens.llm.shared import documents
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return oracle.connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, sf_dir, con, name):
+    assert oracle.differences(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], con) == ""
+
+
+def test_components(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard(spark, sf_dir).collect()}
+    assert got == brute.components(rows)
+
+
+def test_language_of_held_out_rows(spark, sf_dir):
+    said = queries.op7_language_id(spark, sf_dir)
+    assert said.count() == documents(spark, sf_dir).count()
+    held = said.where("held_out").join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    """Each stage over what the one before it kept, against plain Python."""
+    docs = documents(spark, sf_dir)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    kept = {n: None for n in names}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf_dir)
+        now = spark.createDataFrame(now.collect(), now.schema)
+        kept[name] = now
+        if name != names[-1]:
+            assert now.columns == docs.columns
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = lambda n: {r.doc_id: r.text for r in kept[n].collect()}
+    first = after(names[0])
+    learned = language_id.learn_dictionaries(docs.where(~language_id.is_held_out(F.col("doc_id"))))
+    rejected = {r.doc_id for r in language_id.predict_language(docs, learned).where("rejected").collect()}
+    assert set(first) == set(before) - rejected
+    second = after(names[1])
+    assert all(not brute.statistics(t)[5] for t in second.values())
+    third = after(names[2])
+    assert set(third) == {w[0] for w in brute.exact(list(second.items())).values()}
+    fourth = after(names[3])
+    assert set(fourth) == {i for i, (_, c) in brute.components(list(third.items())).items() if i == c}
+    pieces = defaultdict(int)
+    for r in kept[names[4]].collect():
+        pieces[r.doc_id] += r.length
+    assert set(pieces) == set(fourth)
+    labels = dict(duckdb.sql(f"select doc_id, quality from '{sf_dir}/labels.parquet'").fetchall())
+    good = [i for i, t in first.items() if labels.get(i) == 1 and not brute.statistics(t)[5]]
+    assert sum(i in second for i in good) >= 0.97 * len(good)
