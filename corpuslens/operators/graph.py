@@ -39,6 +39,8 @@ def impact(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> tupl
         depth += 1
         frontier = settle(step.withColumn("hops", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:  # a long search must not carry all its rounds in one plan
+            seen = settle(seen, "seen")
     return seen.where("hops > 0"), False
 
 

@@ -69,19 +69,22 @@ def recall(notes: DataFrame, query: str, limit: int = 8) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc("mtime"), "path").limit(limit).select("vault_id", "path", "score", C.snippet("text", terms).alias("snippet"))
 
 
-def recall_many(notes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    """query_id, path, score, rank for each of queries(query_id, query).
+def recall_many(notes: DataFrame, queries: DataFrame, limit: int = 8, block: int = 256) -> DataFrame:
+    """query_id, path, score, rank for each of queries(query_id, query), a stated set.
 
-    Notes whose text can't hold a term of three letters or more are never scored: trigrams of terms
-    meet trigrams of texts first. A query whose terms are all shorter meets every note.
+    The set's distinct terms go in blocks over the notes: a text is lower-cased once a block, and only
+    terms that occur in it become rows, which then meet the queries that ask for them.
     """
-    q = queries.select("query_id", C.tokenize("query").alias("terms")).where(F.size("terms") > 0)
-    grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-    keys = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).select("query_id", F.when(F.length("term") >= 3, F.substring("term", 1, 3)).alias("gram"))
-    short = keys.where("gram is null").select("query_id").distinct()
-    by_gram = notes.select("path", F.explode(grams(F.lower("text"))).alias("gram")).join(keys.where("gram is not null").distinct(), "gram").select("query_id", "path")
-    pairs = by_gram.unionByName(short.crossJoin(notes.select("path"))).distinct() if short.take(1) else by_gram.distinct()
-    scored = pairs.join(q, "query_id").join(notes.select("path", "text", "mtime"), "path").withColumn("score", C.recall_score("text", F.col("terms"))).where("score > 0")
+    asked = queries.select("query_id", F.explode(C.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = asked.select("term").distinct()
+    blocks = max(1, -(-terms.count() // block))
+    lists = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks))).agg(F.collect_list("term").alias("terms")).select("terms")
+
+    def counted(text: Column) -> Column:
+        return F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), C.term_count(text, t).alias("n"))), lambda x: x["n"] > 0)
+
+    found = notes.select("path", "text", "mtime").join(F.broadcast(lists)).select("path", "mtime", F.explode(C.let(F.lower("text"), counted)).alias("x")).select("path", "mtime", "x.*")
+    scored = found.join(asked, "term").groupBy("query_id", "path", "mtime").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("mtime"), "path")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "path", "score", "rank")
 

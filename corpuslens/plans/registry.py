@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import coverage, enrichment, files, findings, graph, notes, review, secrets
+from ..operators import coverage, enrichment, files, findings, graph, imports, notes, review, secrets, stack
+from ..sources import scans
 from ..streaming import jobs
 from ..tables import shared_dir
 
@@ -562,10 +563,8 @@ def ignore_filter(spark, sf_dir):
 
 @query("with d as (select distinct cast(ts as date) as day from events order by 1 desc limit 7) select cast(ts as date) as day, event_type as kind, count(*) as entries from events where cast(ts as date) in (select day from d) group by 1, 2")
 def memory_recent(spark, sf_dir):
-    from ..sources.scans import recent_memory
-
     memory = table(spark, sf_dir, "events").select(F.lit("events").alias("repo_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("kind"))
-    return recent_memory(memory, 7).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("entries"))
+    return scans.recent_memory(memory, 7).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query("with n as (select cast(max(o_orderdate) as date) - 30 as day from orders) select o_orderkey, cast(o_orderdate as date) < day as overdue from orders, n where cast(o_orderdate as date) <= day + 3 and o_orderstatus = 'O'")
@@ -587,6 +586,84 @@ def stale_notes(spark, sf_dir):
     return notes.stale_notes(rows, now).select("reason", "notes")
 
 
+# corpora built from the tables' columns
+
+
+@query(f"with {SQL_EDGES} select 'm/p' || src || '.py' as src, 'm/p' || dst || '.py' as dst from edges where src in (select p_partkey from part) and dst in (select p_partkey from part)")
+def import_edges(spark, sf_dir):
+    """Each part is a module whose text imports the parts that follow it in an order."""
+    e = part_edges(spark, sf_dir).groupBy(F.col("src").alias("p_partkey")).agg(F.array_join(F.transform(F.collect_set("dst"), lambda d: F.concat(F.lit("import m.p"), d.cast("string"))), "\n").alias("text"))
+    parts = table(spark, sf_dir, "part").select("p_partkey").join(e, "p_partkey", "left")
+    texts = parts.select(F.lit("parts").alias("repo_id"), F.concat(F.lit("m/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    described = scans.describe_files(texts.withColumns({"lines": C.line_count("text"), "bytes": F.octet_length("text")}))
+    return imports.build_edges(imports.resolve_imports(imports.extract_imports(texts), described), described).select("src", "dst")
+
+
+@query("select distinct c_mktsegment as vault_id, 'c' || c_custkey as src, 'o' || o_orderkey as dst from customer join orders on o_custkey = c_custkey")
+def wikilinks(spark, sf_dir):
+    """Each customer is a note that links to its orders."""
+    link = F.concat(F.lit("[[o"), F.col("o_orderkey").cast("string"), F.lit("|an order]]"))
+    said = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.collect_list(link), " ").alias("text"))
+    rows = table(spark, sf_dir, "customer").join(said, "c_custkey")
+    return notes.extract_wikilinks(rows.select(F.col("c_mktsegment").alias("vault_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), "text"))
+
+
+@query("""
+    with cited as (select distinct l_orderkey, l_partkey as k from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 5 <> 0)),
+    moved as (select p_partkey as k, p_partkey + 1 as t from part where p_partkey % 10 = 0 and p_partkey + 1 in (select p_partkey from part))
+    select l_orderkey, 'lib/p' || cited.k || '.py' as cited, case when t is null then 'suspected' else 'provable' end as class, 'lib/p' || t || '.py' as suggestion from cited left join moved using (k)""")
+def citation_drift(spark, sf_dir):
+    """Orders cite parts as files; every fifth part is gone, every tenth renamed to the next."""
+    line = table(spark, sf_dir, "lineitem")
+    file = lambda c: F.concat(F.lit("lib/p"), c.cast("string"), F.lit(".py"))
+    said = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.collect_set("l_partkey"), lambda k: F.concat(F.lit("`"), file(k), F.lit("`"))), " ").alias("text"))
+    docs = said.select(F.lit("orders").alias("repo_id"), F.concat(F.lit("docs/o"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("path"), "text")
+    part, repo = table(spark, sf_dir, "part"), F.lit("orders").alias("repo_id")
+    kept = part.where("p_partkey % 5 != 0").select(repo, file(F.col("p_partkey")).alias("path"))
+    log = part.where("p_partkey % 10 = 0").select(repo, F.col("p_partkey").alias("seq"), file(F.col("p_partkey")).alias("old_path"), file(F.col("p_partkey") + 1).alias("new_path"))
+    drift = review.citation_drift(docs, kept, log)
+    return drift.select(F.regexp_extract("doc", "o([0-9]+)", 1).cast("long").alias("l_orderkey"), "cited", "class", "suggestion")
+
+
+#: What each market segment's made-up manifest depends on.
+SEGMENT_DEPS = {"AUTOMOBILE": "next", "BUILDING": "express", "FURNITURE": "stripe", "HOUSEHOLD": "jest", "MACHINERY": "vue"}
+SQL_SEGMENTS = "case c_mktsegment " + " ".join(f"when '{k}' then '{v}'" for k, v in SEGMENT_DEPS.items()) + " end"
+
+
+def _customer_stacks(spark, sf_dir) -> DataFrame:
+    dep = F.element_at(F.create_map(*[F.lit(x) for kv in SEGMENT_DEPS.items() for x in kv]), F.col("c_mktsegment"))
+    text = F.concat(F.lit('{"dependencies": {"'), dep, F.lit('": "1"}}'))
+    ft = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.lit("package.json").alias("path"), text.alias("text"))
+    return stack.detect_stack(ft.select("repo_id", "path"), scans.read_manifests(ft))
+
+
+@query(f"select c_custkey as repo_id, {SQL_SEGMENTS} as signal_id from customer")
+def stack_detect(spark, sf_dir):
+    return _customer_stacks(spark, sf_dir).select("repo_id", "signal_id")
+
+
+@query(f"""
+    with s as (select c_custkey as repo_id, {SQL_SEGMENTS} as dep, count(o_orderkey) filter (o_orderstatus = 'F') as tests, count(o_orderkey) as files from customer join orders on o_custkey = c_custkey group by 1, 2)
+    select repo_id, 'write-first-test' as skill_id from s where tests = 0 and files > 5 union all select repo_id, 'add-test' from s where dep = 'jest' and tests > 0
+    union all select repo_id, 'verify-webhook' from s where dep = 'stripe' union all select repo_id, 'add-route' from s where dep in ('next', 'express')""")
+def recommend(spark, sf_dir):
+    stats = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("repo_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("tests"), F.count(F.lit(1)).alias("files"))
+    return stack.recommend(_customer_stacks(spark, sf_dir), stats).select("repo_id", "skill_id")
+
+
+@query(f"""
+    with q as (select item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 3) as terms from benchmark),
+    s as (select item_id, doc_id, n_chars, {sql_score("terms", "lower(d.text)")} as score from q, documents d),
+    r as (select *, row_number() over (partition by item_id order by score desc, n_chars desc, doc_id) as rank from s where score > 0)
+    select item_id, doc_id, score, rank from r where rank <= 8""")
+def recall_many(spark, sf_dir):
+    """The first three words of each benchmark passage, searched in all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", F.col("n_chars").alias("mtime"))
+    first = F.array_join(F.slice(C.tokenize("text"), 1, 3), " ")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+    return notes.recall_many(docs, q).select(F.col("query_id").alias("item_id"), F.col("path").alias("doc_id"), "score", F.col("rank").cast("long"))
+
+
 # streams over the events table
 
 
