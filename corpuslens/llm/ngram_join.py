@@ -256,8 +256,10 @@ def crossing_links(ordered: DataFrame, known: DataFrame, percent: int) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
-    """docs, all columns as they were, with the document of least id of each component."""
-    found = written(ngram_components(docs, broadcast_rows=broadcast_rows, **how).where("doc_id is null or doc_id != component_id").select("doc_id", "component_id"), "found")
-    gone = found.where("component_id is not null").select("doc_id").distinct()
-    side = broadcast_if_small(written(gone.select(F.col("doc_id").alias("drop_id")), "near"), broadcast_rows)
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["drop_id"]), "left_anti")
+    """docs, all columns as they were, with the document of least id of each component.
+
+    Ids name documents: rows that share one stay or go together. Rows without an id stay.
+    """
+    gone = ngram_components(docs, broadcast_rows=broadcast_rows, **how).where("doc_id != component_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    side = broadcast_if_small(written(gone, "near"), broadcast_rows)
+    return docs.join(side, docs["doc_id"] == side["drop_id"], "left_anti")
