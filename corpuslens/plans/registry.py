@@ -80,12 +80,12 @@ def hotspots(spark, sf_dir):
 
 
 @query("""
-    select source as repo_id, lang, count(*) as n, sum(count(*)) over same as files, cast(sum(sum(case when text = '' then 0 else 1 + length(text) - length(replace(text, chr(10), '')) end)) over same as bigint) as lines
+    select source as repo_id, lang, count(*) as n, cast(sum(count(*)) over same as bigint) as files, cast(sum(sum(case when text = '' then 0 else 1 + length(text) - length(replace(text, chr(10), '')) end)) over same as bigint) as lines
     from documents group by source, lang window same as (partition by source)""")
 def repo_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), "lang", F.lit("docs").alias("category"), C.line_count("text").cast("long").alias("lines"), F.lit(False).alias("is_test"))
     rows = findings.repo_stats(docs)
-    return rows.select("repo_id", F.explode("languages").alias("lang", "n"), F.col("files").cast("decimal(38,0)"), "lines")
+    return rows.select("repo_id", F.explode("languages").alias("lang", "n"), "files", "lines")
 
 
 @query(f"with {SQL_PARTS} select 'src/' || split_part(path, '/', 2) as area, count(*) as files, min(path) as first_path, max(path) as last_path from part_files group by 1")
@@ -561,10 +561,10 @@ def ignore_filter(spark, sf_dir):
     return files.apply_ignore(_made(spark, sf_dir), patterns).select("s_suppkey", "path")
 
 
-@query("with d as (select distinct cast(ts as date) as day from events order by 1 desc limit 7) select cast(ts as date) as day, event_type as kind, count(*) as entries from events where cast(ts as date) in (select day from d) group by 1, 2")
+@query("with d as (select distinct cast(ts as date) as day from events order by 1 desc limit 7) select strftime(cast(ts as date), '%Y-%m-%d') as day, event_type as kind, count(*) as entries from events where cast(ts as date) in (select day from d) group by 1, 2")
 def memory_recent(spark, sf_dir):
     memory = table(spark, sf_dir, "events").select(F.lit("events").alias("repo_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("kind"))
-    return scans.recent_memory(memory, 7).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("entries"))
+    return scans.recent_memory(memory, 7).groupBy(C.day_stamp("day").alias("day"), "kind").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query("with n as (select cast(max(o_orderdate) as date) - 30 as day from orders) select o_orderkey, cast(o_orderdate as date) < day as overdue from orders, n where cast(o_orderdate as date) <= day + 3 and o_orderstatus = 'O'")
@@ -674,18 +674,18 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
     return rows, f"{shared_dir(spark)}/corpuslens/stream-{uuid.uuid4().hex}"
 
 
-@query("select date_trunc('day', ts) as start, event_type as path, count(*) as touches from events where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events) group by 1, 2")
+@query("select strftime(ts, '%Y-%m-%d') as start, event_type as path, count(*) as touches from events where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events) group by 1, 2")
 def digest_daily(spark, sf_dir):
     rows, at = _stream(spark, sf_dir)
-    return jobs.drain(jobs.stream_digest(rows), f"{at}/out", f"{at}/state").select("start", "path", "touches")
+    return jobs.drain(jobs.stream_digest(rows), f"{at}/out", f"{at}/state").select(C.day_stamp("start").alias("start"), "path", "touches")
 
 
 @query("""
     with d as (select unnest(range(0, 7)) as k), w as (select date_trunc('day', ts) - to_days(cast(k as integer)) as start, event_type as path from events, d)
-    select start, path, count(*) as touches from w where start + interval 8 day <= (select max(ts) from events) group by 1, 2""")
+    select strftime(start, '%Y-%m-%d') as start, path, count(*) as touches from w where w.start + interval 8 day <= (select max(ts) from events) group by 1, 2""")
 def churn_sliding(spark, sf_dir):
     rows, at = _stream(spark, sf_dir)
-    return jobs.drain(jobs.stream_churn(rows), f"{at}/out", f"{at}/state").select("start", "path", "touches")
+    return jobs.drain(jobs.stream_churn(rows), f"{at}/out", f"{at}/state").select(C.day_stamp("start").alias("start"), "path", "touches")
 
 
 @query("select event_id as note_id from events group by 1")
@@ -694,11 +694,11 @@ def dedup_captures(spark, sf_dir):
     return jobs.drain(jobs.stream_dedup(rows, delay="60 days").select("note_id"), f"{at}/out", f"{at}/state")
 
 
-@query("select cast(ts as date) as day, count(*) as events from events where user_id % 5 = 0 group by 1")
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as events from events where user_id % 5 = 0 group by 1")
 def late_rows(spark, sf_dir):
     """Events of every fifth user arrive five days late and land in the side table."""
     rows, at = _stream(spark, sf_dir)
     arrived = rows.withColumn("arrived", F.when(F.col("user_id") % 5 == 0, F.col("ts") + F.expr("interval 5 days")).otherwise(F.col("ts")))
     jobs.stream_late_split(arrived, f"{at}/on_time", f"{at}/late", f"{at}/state").awaitTermination()
     late = spark.read.schema(arrived.schema).option("recursiveFileLookup", True).parquet(f"{at}/late")
-    return late.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+    return late.groupBy(C.day_stamp("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"))
