@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 LETTER = r"\p{L}"
 #: Production parameters: texts sampled for a language, characters taken of each, compression level.
-SAMPLE_TEXTS, SAMPLE_CHARS, LEVEL = 256, 1024, 3
+SAMPLE_TEXTS, SAMPLE_CHARS, LEVEL = 256, 1024, 6
 #: A text whose best size is within this share of the next best is rejected.
 MIN_MARGIN = 0.01
 
@@ -25,7 +25,8 @@ def learn_dictionaries(labelled: DataFrame, *, texts: int = SAMPLE_TEXTS, chars:
 
     The sample is the texts of least hash, thinned by a threshold from each language's count before
     anything is ranked, so that no language's rows meet in one task. Only the passages, at most
-    texts x chars for each language, come to the driver. Equal texts count once.
+    texts x chars for each language, come to the driver. Equal texts count once. Passages are
+    lower-cased. Languages come in the order of how many texts they have.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
@@ -41,20 +42,20 @@ def learn_dictionaries(labelled: DataFrame, *, texts: int = SAMPLE_TEXTS, chars:
     found: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "rank").collect():
         found.setdefault(r["lang"], []).append(r["passage"])
-    return {lang: "\n".join(x).encode() for lang, x in found.items()}
+    return {lang: "\n".join(found[lang]).lower().encode() for lang in sorted(found, key=lambda x: (-counts[x], x))}
 
 
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level: int = LEVEL, min_margin: float = MIN_MARGIN, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score and rejected after its columns; lang, source and doc_id play no part.
 
-    The whole text is compressed with each dictionary; the smallest result names the language (ties:
-    the name that sorts first). score is the share by which the next best is larger, 0 to 1 (1 with
+    The whole text, lower-cased, is compressed with each dictionary; the smallest result names the
+    language (ties, as of a few letters: the first in dictionaries). score is the share by which the next best is larger, 0 to 1 (1 with
     a single language); rejected says that it is under min_margin. A null text, or one without a
     letter, is ``und`` with score 0 and rejected, as is every text if nothing was learned. Columns of
     docs that have these names already are replaced, unless a prefix sets the new ones apart. Rows stay where they are; an empty table gives
     an empty table.
     """
-    names = sorted(dictionaries)
+    names = list(dictionaries)
     added = [prefix + x for x in ("lang_pred", "score", "rejected")]
     kept = [c for c in docs.columns if c not in added]
     held = docs.select(*kept)
@@ -69,7 +70,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
                 if not ok or not names:
                     out.append(("und", 0.0, True))
                     continue
-                data = text.as_buffer()
+                data = text.as_py().lower().encode()
                 sizes = [len(c.compress(data)) for c in by]
                 best, *more = sorted(sizes)
                 score = 1 - best / more[0] if more else 1.0
