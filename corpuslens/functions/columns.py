@@ -126,7 +126,7 @@ def line_count(text: Column | str) -> Column:
 
 def is_path_citation(c: Column | str) -> Column:
     x = col(c)
-    return F.contains(x, F.lit("/")) & ~x.rlike(r"^[/#]") & x.rlike(r"\.[A-Za-z0-9]{1,6}\z") & ~x.startswith(".cortex/") & ~x.rlike(r"(?i)^[a-z]+://")
+    return F.contains(x, F.lit("/")) & ~x.rlike(r"^[/#]") & x.rlike(r"\.[A-Za-z0-9]{1,6}\z") & ~x.startswith(".corpuslens/") & ~x.rlike(r"(?i)^[a-z]+://")
 
 
 def citation_class(doc: Column | str, line: Column | str) -> Column:

@@ -9,7 +9,7 @@ LANGUAGE_BY_EXTENSION = {
     "less": "less", "vue": "vue", "svelte": "svelte", "terraform": "tf hcl", "dockerfile": "dockerfile",
 }
 
-LANGUAGE_BY_NAME = {"dockerfile": "dockerfile", "makefile": "make", ".gitignore": "config", ".cortexignore": "config", ".gitattributes": "config", ".editorconfig": "config", "version": "config"}
+LANGUAGE_BY_NAME = {"dockerfile": "dockerfile", "makefile": "make", ".gitignore": "config", ".corpuslensignore": "config", ".gitattributes": "config", ".editorconfig": "config", "version": "config"}
 
 CATEGORY = {
     "code": "javascript typescript python ruby go rust java kotlin csharp php swift scala elixir c cpp vue svelte",
@@ -36,7 +36,7 @@ CONTEXT_DOC = r"(^|/)(AGENTS|CLAUDE|GEMINI|CONTEXT)\.md\z|^docs/adr/.*\.md\z"
 
 SKIP_DIRS = [
     ".git", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache",
-    ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".gradle", ".idea", ".cortex", ".ua", ".understand-anything",
+    ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".gradle", ".idea", ".corpuslens", ".ua", ".understand-anything",
 ]
 AMBIGUOUS_DIRS = ["bin", "obj"]
 BINARY_EXTENSIONS = [
@@ -67,7 +67,7 @@ PLACEHOLDERS = [
     r"process\.env(?![A-Za-z0-9_])|os\.environ|System\.getenv|ENV\[",
     r"(?i)^(?:changeme|change[-_]?me|xxx+|y{3,}|placeholder|example|dummy|redacted|todo|none|null|undefined|test|fake|sample|your[-_].*|my[-_]secret|\*+|\.{3,})",
 ]
-EXEMPTION = "cortex:allow-secrets"
+EXEMPTION = "corpuslens:allow-secrets"
 
 #: Import forms: languages, tag, pattern whose first group is the specifier.
 JS = "javascript typescript vue svelte"

@@ -115,7 +115,7 @@ def digest_paths(touches: DataFrame) -> DataFrame:
 def missing_context(f: DataFrame) -> DataFrame:
     """A finding for each piece of context that a repository lacks."""
     has = lambda pattern: F.coalesce(F.bool_or(F.col("path").rlike(pattern)), F.lit(False))
-    seen = f.groupBy("repo_id").agg(has(r"^(AGENTS|CLAUDE)\.md\z").alias("brief"), has(r"^CONTEXT\.md\z").alias("glossary"), has(r"^docs/adr/").alias("decisions"), has(r"^\.cortex/memory/").alias("memory"), has(r"^\.cortex/enriched").alias("enriched"))
+    seen = f.groupBy("repo_id").agg(has(r"^(AGENTS|CLAUDE)\.md\z").alias("brief"), has(r"^CONTEXT\.md\z").alias("glossary"), has(r"^docs/adr/").alias("decisions"), has(r"^\.corpuslens/memory/").alias("memory"), has(r"^\.corpuslens/enriched").alias("enriched"))
     kinds = {"brief": "high", "glossary": "medium", "decisions": "low", "memory": "low", "enriched": "low"}
     rows = F.array(*[F.when(~F.col(k), F.struct(F.lit(f"missing-{k}").alias("kind"), F.lit(v).alias("severity"))) for k, v in kinds.items()])
     return seen.select("repo_id", F.explode(F.array_compact(rows)).alias("x")).select("repo_id", "x.*")

@@ -58,7 +58,7 @@ def test_frontmatter(one):
     assert one(C.vault_layer("p"), p="me.md") == "Map"
 
 
-@pytest.mark.parametrize(("cited", "ok"), [("lib/x.js", True), ("/abs/x.js", False), ("#a/b.js", False), ("tools/call", False), ("x.js", False), (".cortex/a.md", False), ("https://a.b/c.md", False), ("a/b.md#part", False)])
+@pytest.mark.parametrize(("cited", "ok"), [("lib/x.js", True), ("/abs/x.js", False), ("#a/b.js", False), ("tools/call", False), ("x.js", False), (".corpuslens/a.md", False), ("https://a.b/c.md", False), ("a/b.md#part", False)])
 def test_citation_shape(one, cited, ok):
     assert one(C.is_path_citation("c"), c=cited) is ok
 
