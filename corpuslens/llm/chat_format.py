@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPED = re.compile(r"<\\(\\*\|im_(?:start|end)\|>)")
 CONTROL = re.compile(r"<(\\*\|im_(?:start|end)\|>)")
@@ -79,6 +81,7 @@ def format_turns(conversations: DataFrame, *, learn_from: tuple[str, ...] = ("as
             columns = [batch.column(0), batch.column(1), pa.array([x[0] for x in made], pa.string()), *[pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "rendered", "loss_from", "loss_to"])
 
+    lean_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "conv_id long, turn long, rendered string, loss_from long, loss_to long")
 

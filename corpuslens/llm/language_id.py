@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import lean_batches
+
 LETTER = r"\p{L}"
 #: Production parameters: texts sampled for a language, characters taken of each, compression level.
 SAMPLE_TEXTS, SAMPLE_CHARS, LEVEL = 256, 1024, 6
@@ -55,6 +57,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
     docs that have these names already are replaced, unless a prefix sets the new ones apart. Rows stay where they are; an empty table gives
     an empty table.
     """
+    lean_batches(docs.sparkSession)
     names = list(dictionaries)
     added = [prefix + x for x in ("lang_pred", "score", "rejected")]
     kept = [c for c in docs.columns if c not in added]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_ROWS, broadcast_if_small, written
+from .shared import BROADCAST_ROWS, broadcast_if_small, lean_batches, written
 from .shingles import BlockIndex, set_key, shingle_sets
 from .vocab import text_batches
 
@@ -163,6 +163,7 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 75, roun
     whose id is null takes the least id of its component. An empty table gives an empty table; other
     columns are ignored.
     """
+    lean_batches(docs.sparkSession)
     sets = written(document_sets(docs, words), "sets")
     nodes = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")

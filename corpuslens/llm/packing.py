@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, written
+from .shared import broadcast_if_small, lean_batches, written
 from .vocab import library_encoder, text_batches
 
 
@@ -72,6 +72,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_
     and none has a hot key. Sequence ids and offsets have no gaps. A null text is end_id alone;
     repeated rows are packed each; an empty table gives an empty table; other columns are ignored.
     """
+    lean_batches(docs.sparkSession)
     groups = -(-docs.count() // group_docs) or 1
     rows = piece_digests(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(groups)))

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean_batches
 from .vocab import TextEncoder, read_ranks, text_batches
 
 
@@ -187,6 +188,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids:
     gives an empty table; other columns are ignored. Texts are never shuffled, and a task holds the
     ids of a few MB of text, or of one longer text, at a time.
     """
+    lean_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]

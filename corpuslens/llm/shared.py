@@ -46,6 +46,19 @@ def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(table) if is_small(table, rows) else table
 
 
+def lean_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets no more than so many bytes of rows go to a Python worker at a time.
+
+    A session's default is 64 MB, which JVM and worker each hold several times over.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).rstrip("bB")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:].lower(), 1)
+    held = int(now.rstrip("kmgKMG") or 0) * unit
+    if not 0 < held <= size:
+        spark.conf.set(key, str(size))
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value computed once a row, however often then uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), then), 1)

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .huffman import canonical_codes, code_lengths, decode_block, decode_table, encode_block
-from .shared import written
+from .shared import lean_batches, written
 from .vocab import library_encoder, text_batches
 
 MAX_BITS = 18
 #: Ids between two checkpoints, and ids after which a block ends (with the document that reaches them).
 EVERY, BLOCK_IDS = 128, 1 << 18
+#: Pieces that a worker remembers: more than elsewhere, since here texts are encoded and little else.
+PIECES = 900_000
 
 BLOCKS = "part int, block int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary"
 
@@ -27,7 +29,7 @@ def document_ids(docs: DataFrame, vocabulary: str, end_id: int, wide: bool = Fal
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = library_encoder(vocabulary, PIECES)
         for batch in (part for whole in batches for part in text_batches(whole, 1)):
             ids, bounds = encoder.encode(batch.column(1))
             with_end = np.insert(ids, bounds[1:], end_id).astype(kind)
@@ -73,6 +75,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: in
     Texts are encoded once and not shuffled: what is range partitioned by doc_id are the ids.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     ids = written(document_ids(docs, vocabulary, end_id, wide), "ids")
     bits = code_lengths(id_counts(ids, wide), max_bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id long, bits int").coalesce(1).write.parquet(f"{path}/code")

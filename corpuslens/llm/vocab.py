@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Pieces that a worker remembers (about 200 bytes each); beyond it the memory starts afresh.
-PIECES = 900_000
+PIECES = 450_000
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class TextEncoder:
@@ -110,7 +110,7 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> TextEncoder:
+def library_encoder(path: str, pieces: int = PIECES) -> TextEncoder:
     """By a byte-level file of the tokenizers library, without special tokens being added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Tokenizer, pre_tokenizers
@@ -138,7 +138,7 @@ def library_encoder(path: str) -> TextEncoder:
                     out[i] = x
         return _joined(out)
 
-    return TextEncoder(encoded, words)
+    return TextEncoder(encoded, words, pieces)
 
 
 @lru_cache(maxsize=4)
