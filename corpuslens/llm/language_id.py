@@ -16,6 +16,8 @@ LETTER = r"\p{L}"
 SAMPLE_TEXTS, SAMPLE_CHARS, LEVEL = 256, 1024, 6
 #: A text whose best size is within this share of the next best is rejected.
 MIN_MARGIN = 0.01
+#: A longer text is compressed in blocks of at most so many bytes, each with the dictionary afresh.
+BLOCK_BYTES = 4096
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -50,8 +52,10 @@ def learn_dictionaries(labelled: DataFrame, *, texts: int = SAMPLE_TEXTS, chars:
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level: int = LEVEL, min_margin: float = MIN_MARGIN, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score and rejected after its columns; lang, source and doc_id play no part.
 
-    The whole text, lower-cased, is compressed with each dictionary; the smallest result names the
-    language (ties, as of a few letters: the first in dictionaries). score is the share by which the next best is larger, 0 to 1 (1 with
+    The whole text, lower-cased, is compressed with each dictionary in blocks of equal length; the
+    smallest sum over all blocks names the language (ties, as of a few letters: the first in
+    dictionaries). A dictionary saves a bounded number of bytes a block, so the margin doesn't shrink
+    as texts get longer. score is the share by which the next best is larger, 0 to 1 (1 with
     a single language); rejected says that it is under min_margin. A null text, or one without a
     letter, is ``und`` with score 0 and rejected, as is every text if nothing was learned. Columns of
     docs that have these names already are replaced, unless a prefix sets the new ones apart. Rows stay where they are; an empty table gives
@@ -74,7 +78,8 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
                     out.append(("und", 0.0, True))
                     continue
                 data = text.as_py().lower().encode()
-                sizes = [len(c.compress(data)) for c in by]
+                parts = blocks(data)
+                sizes = [sum(len(c.compress(x)) for x in parts) for c in by]
                 best, *more = sorted(sizes)
                 score = 1 - best / more[0] if more else 1.0
                 out.append((names[sizes.index(best)], score, score < min_margin))
@@ -86,6 +91,12 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
     return held.select("*", letters.alias("has_letters__")).mapInArrow(run, schema)
 
 
+def blocks(data: bytes, size: int = BLOCK_BYTES) -> list[bytes]:
+    """data in the fewest consecutive parts of at most so many bytes, as equal in length as can be."""
+    n = max(1, -(-len(data) // size))
+    return [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
+
+
 def prepared(content: bytes, level: int) -> zstandard.ZstdCompressionDict:
     made = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     made.precompute_compress(level=level)

@@ -217,6 +217,29 @@ def test_language_id(spark, docs, empty):
     assert language_id.drop_unidentified(empty).count() == 0 and language_id.drop_unidentified(docs).columns == docs.columns
 
 
+def test_long_texts_keep_their_language(spark):
+    rng = random.Random(6)
+    alphabet = {"aa": "aeioubcdfg", "bb": "aeiouhklmn", "cc": "aeiouprstv"}
+    lexicon = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(400)] for lang, letters in alphabet.items()}
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    short = [(k, text(words, 120), lang) for k, (lang, words) in enumerate(x for x in lexicon.items() for _ in range(40))]
+    long = [(1000 + k, text(words, n), lang) for k, (lang, words, n) in enumerate((*x, n) for x in lexicon.items() for n in (20_000, 250_000))]
+    both = [(2000, " ".join(text(lexicon[lang], 500) for _ in range(50) for lang in ("aa", "bb")), "aa")]
+    assert max(len(t) for _, t, _ in long) > 1 << 20
+    schema = "doc_id long, text string, lang string"
+    learned = language_id.learn_dictionaries(spark.createDataFrame(short, schema))
+    said = {r.doc_id: r for r in language_id.predict_language(spark.createDataFrame(short + long + both, schema), learned).collect()}
+    assert all(said[i].lang_pred == lang and not said[i].rejected for i, _, lang in short + long)
+    assert said[2000].score < 0.1 < min(said[i].score for i, _, _ in long)  # the last block counts as the first
+
+
+def test_blocks_cover_a_text():
+    for n in (0, 1, 4095, 4096, 4097, 8193, 100_000):
+        data = random.Random(n).randbytes(n)
+        parts = language_id.blocks(data)
+        assert b"".join(parts) == data and max(map(len, parts)) <= language_id.BLOCK_BYTES and max(map(len, parts)) - min(map(len, parts)) <= 1
+
+
 def test_urls(spark):
     urls = ["http://www.Example.com/en/1", "http://example.com/en/1", "https://a.example.com/en/x?q#f", "http://example.com/de/", "http://x.net/fr/1", "http://x.net/en/1", None, "no scheme", "http://", "http://example.com", "ftp://notexample.com/en/", "http://h?x", "a://b://c/d", "http://e.org/\u00e9/\n"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, urls[0], 1)], "page_id long, url string, host int")
