@@ -27,7 +27,7 @@ def impact(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> tupl
     A round is one join of the frontier with the edges; what was seen is anti-joined, so cycles end.
     Also says whether max_depth cut anything off.
     """
-    back = e.select("repo_id", "src", "dst").distinct()
+    back = settle(e.select("repo_id", "src", "dst").distinct(), "impact-edges")
     keys = ["query_id", "repo_id", "path"]
     frontier = settle(seeds.select(*keys).distinct().withColumn("hops", F.lit(0)), "seeds")
     seen, depth = frontier, 0

@@ -137,16 +137,38 @@ def impact_radius(spark, sf_dir):
     where path % 10 <> 0 and path not in (select p_partkey from covered)""")
 def impact_unverified(spark, sf_dir):
     """Untested parts that a change reaches, with how often they change."""
+    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _seeds(spark, sf_dir), 2)[0])
+
+
+def _unverified(spark, sf_dir, found: DataFrame) -> DataFrame:
     f = part_files(spark, sf_dir)
     named = f.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
     own = named.select("repo_id", F.col("p_partkey").alias("path"), "is_test", "commits", "category", "p_name")
     tests = own.where("is_test").select("repo_id", "p_name", F.col("path").alias("test"))
     signal = own.where("not is_test").join(tests, ["repo_id", "p_name"]).select("repo_id", "path", "test")
-    found, _ = graph.impact(part_edges(spark, sf_dir), _seeds(spark, sf_dir), 2)
     left = graph.unverified(found, own, coverage.coverage(signal))
     return graph.order_impact(left, own).select("query_id", "path", F.col("hops").cast("long"), "commits")
 
 
+def _change_sets(spark, sf_dir) -> DataFrame:
+    """Every part whose key is divisible by 100, dealt to eight change sets."""
+    parts = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    return parts.select(F.expr("p_partkey div 100 % 8").alias("query_id"), F.lit("parts").alias("repo_id"), F.col("p_partkey").alias("path"))
+
+
+@query()
+def impact_radius_whole(spark, sf_dir):
+    """All that the change sets reach, at any number of hops."""
+    found, _ = graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))
+    return found.select("query_id", "path", F.col("hops").cast("long"))
+
+
+@query()
+def impact_unverified_whole(spark, sf_dir):
+    """Untested parts among all that the change sets reach."""
+    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))[0])
+
+
 @query()
 def scc(spark, sf_dir):
     return graph.scc(part_edges(spark, sf_dir)).select(F.col("node").alias("p_partkey"), "scc", "is_cyclic")
