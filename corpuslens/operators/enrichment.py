@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..tables import settle
+
+#: Files of an area that are walked and packed together.
+RUN_FILES = 4800
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -67,16 +71,29 @@ def is_stale(index_meta: DataFrame, enrichment_meta: DataFrame) -> DataFrame:
     return index_meta.join(e, "repo_id", "left").select("repo_id", (~same).alias("stale"))
 
 
-def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int = 1500, area_col: str | None = None) -> DataFrame:
+def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int = 1500, area_col: str | None = None, run_files: int = RUN_FILES) -> DataFrame:
     """repo_id, area, path, pos, local_batch: greedy batches inside each area, in cohesion order.
 
     Files of an area follow their imports depth first from the most imported one. A running sum that
-    starts again is no window frame, so an area, one directory's files, is a pandas group.
+    starts again is no window frame, so it is taken in pandas groups. An area's files, the most
+    imported first, are cut into runs of run_files, and a run is a group: neither the walk nor a batch
+    crosses the end of a run, and an area of no more files is packed as one. pos and local_batch go on
+    through an area's runs. Ranks come from a range partitioning and the sizes of its partitions.
     """
-    rows = f.withColumn("area", F.col(area_col) if area_col else C.area_key("path")).select("repo_id", "area", "path", "lines", "inbound")
-    near = e.join(rows.select("repo_id", F.col("path").alias("src"), F.col("area").alias("a")), ["repo_id", "src"]).join(rows.select("repo_id", F.col("path").alias("dst"), F.col("area").alias("b")), ["repo_id", "dst"]).where("a = b")
+    area = F.col(area_col) if area_col else C.area_key("path")
+    order = [F.col("repo_id"), F.col("area"), F.desc("inbound"), F.col("path")]
+    rows = f.withColumn("area", area).select("repo_id", "area", "path", "lines", "inbound")
+    ranged = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "pack-ranged")
+    ranged = ranged.withColumn("part", F.shiftright("at", 33))
+    keys = ["repo_id", "area"]
+    before = lambda by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    pieces = pieces.withColumn("start", F.coalesce(F.sum("n").over(before("part")), F.lit(0)) - F.col("first")).drop("n", "first")
+    placed = ranged.join(pieces, [*keys, "part"]).withColumn("rank", F.col("at") + F.col("start"))
+    placed = settle(placed.select(*keys, "path", "lines", "inbound", F.floor(F.col("rank") / run_files).alias("run")), "pack-placed")
+    end = lambda name, a, r: placed.select("repo_id", F.col("path").alias(name), F.col("area").alias(a), F.col("run").alias(r))
+    near = e.join(end("src", "a", "ra"), ["repo_id", "src"]).join(end("dst", "b", "rb"), ["repo_id", "dst"]).where("a = b and ra = rb")
     links = near.groupBy("repo_id", F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
-    rows = rows.join(links, ["repo_id", "path"], "left")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["inbound", "path"], ascending=[False, True])
@@ -97,14 +114,23 @@ def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int
             count, total = count + 1, total + size[p]
             made.append(batch)
         first = pdf.iloc[0]
-        return pd.DataFrame({"repo_id": first["repo_id"], "area": first["area"], "path": order, "pos": range(len(order)), "local_batch": made})
+        return pd.DataFrame({"repo_id": first["repo_id"], "area": first["area"], "run": first["run"], "path": order, "nth": range(len(order)), "batch": made})
 
-    return rows.groupBy("repo_id", "area").applyInPandas(pack, "repo_id string, area string, path string, pos int, local_batch int")
+    packed = placed.join(links, ["repo_id", "path"], "left").groupBy(*keys, "run").applyInPandas(pack, placed.select(*keys, "run", "path", F.lit(0).alias("nth"), F.lit(0).alias("batch")).schema)
+    packed = settle(packed, "packed")
+    runs = packed.groupBy(*keys, "run").agg((F.max("batch") + 1).cast("long").alias("n"))
+    runs = runs.withColumn("done", F.coalesce(F.sum("n").over(before("run")), F.lit(0))).drop("n")
+    out = packed.join(runs, [*keys, "run"])
+    return out.select(*keys, "path", (F.col("run") * run_files + F.col("nth")).alias("pos"), (F.col("done") + F.col("batch")).alias("local_batch"))
 
 
 def number_batches(packed: DataFrame) -> DataFrame:
-    """batch_index over a repository's areas in order."""
-    return packed.withColumn("batch_index", F.dense_rank().over(Window.partitionBy("repo_id").orderBy("area", "local_batch")) - 1)
+    """batch_index over a repository's areas in order: a prefix sum of the areas' batch counts."""
+    keys = ["repo_id", "area"]
+    counts = packed.groupBy(*keys).agg((F.max("local_batch") + 1).alias("n"))
+    before = Window.partitionBy("repo_id").orderBy("area").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return packed.join(starts, keys).withColumn("batch_index", F.col("start") + F.col("local_batch")).drop("start")
 
 
 def batch_stats(batches: DataFrame, f: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def areas(f: DataFrame) -> DataFrame:
     return f.groupBy("repo_id", C.area_key("path").alias("area")).agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
+def area_spans(f: DataFrame) -> DataFrame:
+    """repo_id, area, files, first_path, last_path: areas without their paths in one row."""
+    return f.groupBy("repo_id", C.area_key("path").alias("area")).agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
 def brief_candidates(f: DataFrame, min_files: int = 5) -> DataFrame:
     """Directories that deserve a brief of their own, by score; those that have one are left out."""
     rows = f.withColumn("dir", C.dir_of("path")).where("dir != ''")

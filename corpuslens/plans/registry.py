@@ -17,7 +17,7 @@ from ..functions import columns as C
 from ..operators import coverage, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from ..sources import scans
 from ..streaming import jobs
-from ..tables import shared_dir
+from ..tables import settle, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,7 +90,7 @@ def repo_stats(spark, sf_dir):
 
 @query(f"with {SQL_PARTS} select 'src/' || split_part(path, '/', 2) as area, count(*) as files, min(path) as first_path, max(path) as last_path from part_files group by 1")
 def areas(spark, sf_dir):
-    return findings.areas(part_files(spark, sf_dir)).select("area", F.size("paths").cast("long").alias("files"), F.array_min("paths").alias("first_path"), F.array_max("paths").alias("last_path"))
+    return findings.area_spans(part_files(spark, sf_dir)).select("area", "files", "first_path", "last_path")
 
 
 @query(f"""
@@ -456,11 +456,13 @@ def enrichment_merge(spark, sf_dir):
 
 @query()
 def pack_batches(spark, sf_dir):
+    """Documents are files, source and language an area; a document imports what the part of its number imports."""
     docs = table(spark, sf_dir, "documents")
-    f = docs.select("source", F.col("doc_id").cast("string").alias("path"), F.expr("cast(n_chars div 80 as int)").alias("lines"), F.lit(0).alias("inbound"), F.concat_ws("/", "source", "lang", F.pmod("doc_id", F.lit(997)).cast("string")).alias("dir"))
-    f = f.withColumnRenamed("source", "repo_id")
-    none = f.select("repo_id", F.col("path").alias("src"), F.col("path").alias("dst")).where(F.lit(False))
-    packed = enrichment.number_batches(enrichment.pack_batches(f, none, area_col="dir"))
+    f = docs.select(F.col("source").alias("repo_id"), "doc_id", F.col("doc_id").cast("string").alias("path"), F.expr("cast(n_chars div 80 as int)").alias("lines"), F.concat_ws("/", "source", "lang").alias("dir"))
+    own = lambda end: f.select("repo_id", F.col("dir").alias(f"{end}_dir"), F.col("doc_id").alias(end), F.col("path").alias(f"{end}_path"))
+    e = part_edges(spark, sf_dir).drop("repo_id").join(own("src"), "src").join(own("dst"), ["repo_id", "dst"])
+    e = settle(e.where("src_dir = dst_dir").select("repo_id", F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct(), "pack-edges")
+    packed = enrichment.number_batches(enrichment.pack_batches(graph.with_inbound(f, e), e, area_col="dir"))
     return packed.select("repo_id", "path", F.col("batch_index").cast("long"))
 
 

@@ -1,11 +1,12 @@
 """Registered queries that have no SQL, against brute force over a small folder of tables."""
 
-import re
+import random
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
 
+from corpuslens.operators import enrichment
 from corpuslens.plans import registry
 
 
@@ -45,3 +46,61 @@ def test_impact_reaches_to_the_end(spark, sf_dir, read):
     open_ = {x: h for x, h in want.items() if x[1] % 10 and parts[x[1]] not in tested}
     got = registry.QUERIES["impact_unverified_whole"](spark, sf_dir).collect()
     assert len(got) == len(open_) and {(r.query_id, r.path): r.hops for r in got} == open_
+
+
+def packed_by_hand(files, edges, max_files=12, max_lines=1500, run_files=4800):
+    """{(repo, path): batch_index} of files {(repo, area): {path: (lines, inbound)}}."""
+    got, start = {}, Counter()
+    for (repo, area), own in sorted(files.items()):
+        order = sorted(own, key=lambda p: (-own[p][1], p))
+        for run in (order[i : i + run_files] for i in range(0, len(order), run_files)):
+            walk = {}
+
+            def visit(p):
+                if p not in walk:
+                    walk[p] = None
+                    for x in sorted(edges.get((repo, p), ())):
+                        if x in run:
+                            visit(x)
+
+            for p in run:
+                visit(p)
+            batch, count, total = start[repo], 0, 0
+            for p in walk:
+                if count and (count == max_files or total + own[p][0] > max_lines):
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + own[p][0]
+                got[repo, p] = batch
+            start[repo] = batch + 1
+    return got
+
+
+def test_batches_of_whole_areas(spark, sf_dir, read):
+    docs = {r["doc_id"]: r for r in read("documents")}
+    area = lambda k: (docs[k]["source"], f"{docs[k]['source']}/{docs[k]['lang']}")
+    edges, inbound, files = defaultdict(set), Counter(), defaultdict(dict)
+    for a, b in part_edges(read("lineitem")):
+        if a in docs and b in docs and area(a) == area(b):
+            edges[docs[a]["source"], str(a)].add(str(b))
+            inbound[b] += 1
+    for k, r in docs.items():
+        files[area(k)][str(k)] = (r["n_chars"] // 80, inbound[k])
+    got = {(r.repo_id, r.path): r.batch_index for r in registry.QUERIES["pack_batches"](spark, sf_dir).collect()}
+    assert got == packed_by_hand(files, edges) and edges
+    assert max(Counter((r, b) for (r, _), b in got.items()).values()) > 1
+
+
+def test_hot_area_is_packed_in_runs(spark):
+    rng = random.Random(3)
+    own = {f"p{i:03}": (rng.randrange(1, 400), rng.randrange(4)) for i in range(150)}
+    files = {("r", "hot"): own, ("r", "a"): {"q": (10, 0)}, ("s", "hot"): {"p000": (5000, 0), "p001": (1, 0)}}
+    edges = defaultdict(set)
+    for _ in range(300):
+        a, b = rng.sample(sorted(own), 2)
+        edges["r", a].add(b)
+    f = spark.createDataFrame([(r, a, p, n, i) for (r, a), x in files.items() for p, (n, i) in x.items()], "repo_id string, area_id string, path string, lines int, inbound long").repartition(3)
+    e = spark.createDataFrame([(r, a, b) for (r, a), x in edges.items() for b in x], "repo_id string, src string, dst string")
+    for run_files in (40, 4800):
+        rows = enrichment.number_batches(enrichment.pack_batches(f, e, area_col="area_id", run_files=run_files)).collect()
+        assert len(rows) == 153 and {(r.repo_id, r.path): r.batch_index for r in rows} == packed_by_hand(files, edges, run_files=run_files)
+        assert sorted(r.pos for r in rows if r.repo_id == "r" and r.area == "hot") == list(range(150))
