@@ -688,6 +688,14 @@ def recall_many(spark, sf_dir):
     return notes.recall_many(docs, q).select(F.col("query_id").alias("item_id"), F.col("path").alias("doc_id"), "score", F.col("rank").cast("long"))
 
 
+@query()
+def recall_many_whole(spark, sf_dir):
+    """All words of each benchmark passage, searched in all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", F.col("n_chars").alias("mtime"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return notes.recall_many(docs, q).select(F.col("query_id").alias("item_id"), F.col("path").alias("doc_id"), "score", F.col("rank").cast("long"))
+
+
 # streams over the events table
 
 

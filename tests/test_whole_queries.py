@@ -1,6 +1,7 @@
 """Registered queries that have no SQL, against brute force over a small folder of tables."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
@@ -104,3 +105,20 @@ def test_hot_area_is_packed_in_runs(spark):
         rows = enrichment.number_batches(enrichment.pack_batches(f, e, area_col="area_id", run_files=run_files)).collect()
         assert len(rows) == 153 and {(r.repo_id, r.path): r.batch_index for r in rows} == packed_by_hand(files, edges, run_files=run_files)
         assert sorted(r.pos for r in rows if r.repo_id == "r" and r.area == "hot") == list(range(150))
+
+
+def test_recall_with_every_word(spark, sf_dir, read):
+    texts = [(r["doc_id"], r["n_chars"], (r["text"] or "").lower()) for r in read("documents")]
+    counts, want, longest = {}, set(), 0
+    for q in read("benchmark"):
+        words = Counter(re.findall("[a-z0-9]+", q["text"].lower()))
+        longest = max(longest, sum(words.values()))
+        for w in words:
+            if w not in counts:
+                counts[w] = [t.count(w) for _, _, t in texts]
+        scores = [sum(n * counts[w][i] for w, n in words.items()) for i in range(len(texts))]
+        best = sorted((-s, -texts[i][1], texts[i][0]) for i, s in enumerate(scores) if s)[:8]
+        want |= {(q["item_id"], d, -s, k) for k, (s, _, d) in enumerate(best, 1)}
+    assert longest > 3
+    got = registry.QUERIES["recall_many_whole"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r.item_id, r.doc_id, r.score, r.rank) for r in got} == want
