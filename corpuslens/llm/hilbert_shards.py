@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import let, text_or_empty, written
 
-#: Dimensions of the production layout: name and how its value becomes an ordered number.
+#: Dimensions of the production layout.
 DIMENSIONS = ("lang", "source", "bytes")
 
 
-def ordered_number(value: Column) -> Column:
-    """A string's first six bytes as a number that keeps their order; null before all others."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10).cast("long"), F.lit(-1))
+def ordered_key(value: Column) -> Column:
+    """A string that sorts as value does, byte by byte and over its whole length; null before all others."""
+    return F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit(""))
+
+
+def string_cuts(rows: DataFrame, key: str, points: list[float]) -> list[str]:
+    """The values of key at which so many shares of the rows are reached, each once, in order.
+
+    Rows are counted for each distinct value, the values range partitioned, and the counts summed
+    from partition to partition. Only the cut points and a row a partition come to the driver.
+    """
+    counts = written(rows.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")), "values")
+    ranged = counts.repartitionByRange("key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("part", F.shiftright("at", 33)), "values-ranged")
+    starts, total = [], 0
+    for p, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect()):
+        starts.append((p, total))
+        total += n
+    if not total:
+        return []
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = rows.sparkSession.createDataFrame(starts, "part long, start long")
+    reached = ranged.withColumn("running", running).join(F.broadcast(offsets), "part").withColumn("reached", F.col("start") + F.col("running"))
+    found = reached.agg(*[F.min(F.when(F.col("reached") >= math.ceil(p * total), F.col("key"))).alias(f"c{i}") for i, p in enumerate(points)]).first()
+    return sorted(set(found), key=str.encode)
 
 
 def hilbert_index(coords: list[Column], bits: int) -> Column:
@@ -55,8 +78,9 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
 def hilbert_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5) -> DataFrame:
     """Lays docs(doc_id, text, lang, source) out in shards whose row counts differ by one at most.
 
-    Returns doc_id, size (UTF-8 bytes and 1), text_crc32, curve, shard, slot, and the numbers of the
-    dimensions (dim_lang, dim_source, dim_bytes) for a manifest. Null texts have no bytes; null lang
+    Returns doc_id, size (UTF-8 bytes and 1), text_crc32, curve, shard, slot, the cells of the
+    dimensions (dim_lang, dim_source, dim_bytes), and what names the row for write_shards (tie, a hash
+    of the text, and placed_lang and placed_source). Null texts have no bytes; null lang
     or source comes first in its dimension. Equal texts of one lang and source are neighbours; ids
     break ties. Repeated rows get a slot each. An empty table gives an empty table. Other columns
     are ignored.
@@ -73,19 +97,22 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5) -> DataF
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("tie"),
-        ordered_number(F.col("lang")).alias("dim_lang"),
-        ordered_number(F.col("source")).alias("dim_source"),
-        (F.octet_length(text) + 1).cast("long").alias("dim_bytes"),
+        F.col("lang").alias("placed_lang"),
+        F.col("source").alias("placed_source"),
+        ordered_key(F.col("lang")).alias("lang_key"),
+        ordered_key(F.col("source")).alias("source_key"),
     )
     rows = written(rows, "rows")
     points = [k / 2**bits for k in range(1, 2**bits)]
-    found = rows.agg(*[F.percentile_approx(f"dim_{d}", points, 10_000).alias(d) for d in DIMENSIONS]).first()
-    cuts = {d: sorted(set(found[d] or [])) for d in DIMENSIONS}
+    found = rows.agg(F.percentile_approx("size", points, 10_000)).first()[0]
+    values = {"lang": "lang_key", "source": "source_key", "bytes": "size"}
+    cuts = {"lang": string_cuts(rows, "lang_key", points), "source": string_cuts(rows, "source_key", points), "bytes": sorted(set(found or []))}
 
     def cell(d: str) -> Column:
-        return reduce(lambda a, c: a + (F.col(f"dim_{d}") >= F.lit(c)).cast("int"), cuts[d], F.lit(0))
+        return reduce(lambda a, c: a + (F.col(values[d]) >= F.lit(c)).cast("int"), cuts[d], F.lit(0))
 
-    curve = hilbert_index([cell(d) for d in DIMENSIONS], bits)
+    rows = rows.withColumns({f"dim_{d}": cell(d) for d in DIMENSIONS}).drop("lang_key", "source_key")
+    curve = hilbert_index([F.col(f"dim_{d}") for d in DIMENSIONS], bits)
     order = ["curve", "tie", "doc_id"]
     ranged = rows.withColumn("curve", curve).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
@@ -101,7 +128,7 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5) -> DataF
     return (
         ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
         .withColumn("slot", F.col("rank") - first)
-        .select("doc_id", "size", "text_crc32", "curve", "shard", "slot", *[f"dim_{d}" for d in DIMENSIONS])
+        .select("doc_id", "size", "text_crc32", "curve", "shard", "slot", *[f"dim_{d}" for d in DIMENSIONS], "tie", "placed_lang", "placed_source")
     )
 
 
@@ -110,9 +137,18 @@ def write_shards(docs: DataFrame, layout: DataFrame, path: str, *, run_rows: int
 
     The manifest has for each run of run_rows slots of a shard the least and greatest lang, source
     and size: what a reader compares with its filter to skip the run. It is written to path/manifest.
+    A row finds its slot by id, text hash, lang and source, null or not, and its number among equals,
+    so that each row is written once.
     """
-    place = layout.select("doc_id", "shard", "slot", "curve", F.col("size").alias("bytes"))
-    rows = docs.join(place.withColumnRenamed("doc_id", "placed_id"), F.col("doc_id") == F.col("placed_id")).drop("placed_id")
+    names = ["placed_id", "tie", "placed_lang", "placed_source"]
+    same = lambda order: F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    place = layout.select(F.col("doc_id").alias("placed_id"), *names[1:], "shard", "slot", "curve", F.col("size").alias("bytes"))
+    place = place.withColumn("nth", same(["shard", "slot"]))
+    named = docs.withColumns({"placed_id": F.col("doc_id"), "tie": F.xxhash64(text_or_empty()), "placed_lang": F.col("lang"), "placed_source": F.col("source")})
+    named = named.withColumn("nth", same(["tie"]))
+    a, b = named.alias("a"), place.alias("b")
+    match = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*names, "nth"]])
+    rows = a.join(b, match).select(*[F.col(f"a.{c}") for c in docs.columns], "b.shard", "b.slot", "b.curve", "b.bytes")
     rows = rows.withColumn("run", F.expr(f"slot div {run_rows}"))
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{path}/data")
     read = docs.sparkSession.read.parquet(f"{path}/data")
@@ -121,7 +157,11 @@ def write_shards(docs: DataFrame, layout: DataFrame, path: str, *, run_rows: int
     return docs.sparkSession.read.parquet(f"{path}/manifest")
 
 
-def read_shards(spark, path: str, manifest: DataFrame, predicate: str) -> DataFrame:
-    """The rows of the runs whose bounds meet predicate (over min_ and max_ columns of the manifest)."""
+def read_shards(spark, path: str, manifest: DataFrame, predicate: str, where: str | None = None) -> DataFrame:
+    """The rows of the runs whose bounds meet predicate (over min_ and max_ columns of the manifest).
+
+    where is the condition on the rows themselves, which a run that is read needn't meet as a whole.
+    """
     runs = manifest.where(predicate).select("shard", "run")
-    return spark.read.parquet(f"{path}/data").join(F.broadcast(runs), ["shard", "run"], "left_semi")
+    rows = spark.read.parquet(f"{path}/data").join(F.broadcast(runs), ["shard", "run"], "left_semi")
+    return rows if where is None else rows.where(where)

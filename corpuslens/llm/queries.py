@@ -26,8 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = hilbert_shards.hilbert_shards(documents(spark, sf_dir))
-    return layout.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    docs, path = documents(spark, sf_dir), f"{shared_dir(spark)}/corpuslens/shards-{uuid4().hex}"
+    manifest = hilbert_shards.write_shards(docs.select("doc_id", "text", "lang", "source"), hilbert_shards.hilbert_shards(docs), path)
+    rows = hilbert_shards.read_shards(spark, path, manifest, "rows > 0")
+    crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
+    return rows.select("doc_id", F.col("bytes").alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,27 @@ def test_hilbert_shards(docs, rows, empty, tmp_path, spark):
     assert {r.doc_id for r in found.collect()} == {r.doc_id for r in plain.where("octet_length(text) + 1 >= 4000").collect()}
 
 
+def test_shards_hold_every_row(spark, docs, rows, tmp_path):
+    odd = spark.createDataFrame([(None, "a", "en", "s"), (None, "a", "en", "s"), (None, None, None, None), (102, "same text here", "xx", "s"), (102, "other", "en", None)], "doc_id long, text string, lang string, source string")
+    whole = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
+    layout = hilbert_shards.hilbert_shards(whole, shards=3)
+    manifest = hilbert_shards.write_shards(whole, layout, str(tmp_path / "w"), run_rows=7)
+    got = hilbert_shards.read_shards(spark, str(tmp_path / "w"), manifest, "rows > 0").collect()
+    row = lambda r: repr((r.doc_id, r.text, r.lang, r.source))
+    assert sorted(map(row, got)) == sorted(map(row, whole.collect()))
+    assert {(r.shard, r.slot) for r in got} == {(r.shard, r.slot) for r in layout.collect()} and len({(r.shard, r.slot) for r in got}) == len(got)
+    some = hilbert_shards.read_shards(spark, str(tmp_path / "w"), manifest, "max_bytes >= 4000", "bytes >= 4000").collect()
+    assert some and sorted(map(row, some)) == sorted(row(r) for r in got if r.bytes >= 4000)
+
+
+def test_long_sources_get_cells_of_their_own(spark):
+    names = [f"https://{a}.example.org/{y}" for a in "abcd" for y in (2023, 2024)]
+    df = spark.createDataFrame([(k, f"text {k}", "en", names[k % 8]) for k in range(160)], "doc_id long, text string, lang string, source string")
+    layout = hilbert_shards.hilbert_shards(df, shards=4).collect()
+    cells = {r.placed_source: r.dim_source for r in layout}
+    assert len(layout) == 160 and sorted(cells, key=cells.get) == sorted(names) and len(set(cells.values())) == 8
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     library = Tokenizer.from_file(BPE)
     path = str(tmp_path / "t")
