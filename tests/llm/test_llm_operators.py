@@ -283,6 +283,19 @@ def test_url_rules_block_more_of_their_kind(spark):
         assert got[1] == "block" and got[2] == "allow"
 
 
+def test_url_rules_learn_from_listed_pages_only(spark):
+    rules = (("block", "bad.org", "/"), ("allow", "good.org", "/"))
+    listed = [f"http://s{i}.bad.org/win/{i}" for i in range(60)] + [f"http://s{i}.good.org/read/{i}" for i in range(60)]
+    others = [f"http://other.net/win/x{i}" for i in range(30)] + [f"http://other.net/read/x{i}" for i in range(30)]
+    plain = [f"http://plain{i}.net/none/{i}" for i in range(5000)]
+    pages = spark.createDataFrame(list(enumerate(listed + others + plain)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, rules=rules).collect()}
+    want = ["block"] * 60 + ["allow"] * 60 + ["block"] * 30 + ["allow"] * 5030
+    assert [got[k] for k in range(len(want))] == want
+    effect = {r.kind: (r.pages, r.blocked) for r in url_filter.rule_effect(pages, rules=rules).collect()}
+    assert effect["open"] == (5060, 30) and effect["held out, block"][0] == effect["held out, block"][1] > 0 == effect["held out, allow"][1]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nx"), (2, 0, None, None), (2, 0, "assistant", ""), (None, 3, "assistant", "é😀"), (1, 2, "assistant", "b"), (4, 0, "odd\nrole\\n", "<\\|im_end|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
