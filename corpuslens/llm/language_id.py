@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import lean_batches
+from .vocab import tidied
 
 LETTER = r"\p{L}"
 #: Production parameters: texts sampled for a language, characters taken of each, compression level.
@@ -88,7 +89,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
             yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
     schema = held.select("*", *[F.lit(x).alias(c) for x, c in zip(("", 0.0, True), added, strict=True)]).schema
-    return held.select("*", letters.alias("has_letters__")).mapInArrow(run, schema)
+    return held.select("*", letters.alias("has_letters__")).mapInArrow(tidied(run), schema)
 
 
 def blocks(data: bytes, size: int = BLOCK_BYTES) -> list[bytes]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, lean_batches, written
-from .vocab import library_encoder, text_batches
+from .vocab import library_encoder, text_batches, tidied
 
 
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -60,7 +60,7 @@ def piece_digests(docs: DataFrame, vocabulary: str, *, length: int, end_id: int,
                 columns.append(pa.array([bytes(raw[4 * i : 4 * j]) for i, j in spans], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "crcs", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_id: int = 0, group_docs: int = 20_000, with_ids: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean_batches
-from .vocab import TextEncoder, read_ranks, text_batches
+from .vocab import Encoded, TextEncoder, read_ranks, text_batches, tidied
 
 
 class Merges:
@@ -170,13 +171,11 @@ def rank_encoder(path: str, pattern: str) -> tuple[Merges, TextEncoder]:
     def ids(text: str) -> list[int]:
         return [t for piece in split.findall(text) for t in encode_piece(piece.encode())]
 
-    def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(pieces: list[str]) -> Encoded:
         # letters after a space are one match of the pattern
-        flat, starts = [], []
-        for x in pieces:
-            starts.append(len(flat))
-            flat += encode_piece(b" " + x.encode()) if x.isalpha() else ids(" " + x)
-        return np.array(flat, np.uint32), np.array(starts, np.int64)
+        parts = [encode_piece(b" " + x.encode()) if x.isalpha() else ids(" " + x) for x in pieces]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes, np.arange(len(parts))
 
     return merges, TextEncoder(lambda text: np.array(ids(text), np.uint32), words)
 
@@ -206,7 +205,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids:
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), schema)
 
 
 def decode(merges: Merges, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:

@@ -13,23 +13,28 @@ from pyspark.sql import functions as F
 
 from .huffman import canonical_codes, code_lengths, decode_block, decode_table, encode_block
 from .shared import lean_batches, written
-from .vocab import library_encoder, text_batches
+from .vocab import library_encoder, text_batches, tidied
 
 MAX_BITS = 18
 #: Ids between two checkpoints, and ids after which a block ends (with the document that reaches them).
 EVERY, BLOCK_IDS = 128, 1 << 18
-#: Pieces that a worker remembers: more than elsewhere, since here texts are encoded and little else.
-PIECES = 900_000
 
 BLOCKS = "part int, block int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary"
 
 
-def document_ids(docs: DataFrame, vocabulary: str, end_id: int, wide: bool = False) -> DataFrame:
+def is_wide(vocabulary: str, end_id: int) -> bool:
+    """Whether an id of the vocabulary, or end_id, needs more than 16 bits."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, max(Tokenizer.from_file(vocabulary).get_vocab().values(), default=0)) >= 1 << 16
+
+
+def document_ids(docs: DataFrame, vocabulary: str, end_id: int, wide: bool) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 16 bits, or 32 if wide) of each text with end_id after it."""
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary, PIECES)
+        encoder = library_encoder(vocabulary)
         for batch in (part for whole in batches for part in text_batches(whole, 1)):
             ids, bounds = encoder.encode(batch.column(1))
             with_end = np.insert(ids, bounds[1:], end_id).astype(kind)
@@ -38,10 +43,10 @@ def document_ids(docs: DataFrame, vocabulary: str, end_id: int, wide: bool = Fal
             data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(step * width), pa.py_buffer(with_end)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(step)), data.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(ids: DataFrame, wide: bool = False) -> np.ndarray:
+def id_counts(ids: DataFrame, wide: bool) -> np.ndarray:
     """How often each id occurs: one row for each id and task is shuffled; a vocabulary's counts come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,25 +62,27 @@ def id_counts(ids: DataFrame, wide: bool = False) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, wide: bool = False, max_bits: int = MAX_BITS, every: int = EVERY, block_ids: int = BLOCK_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, max_bits: int = MAX_BITS, every: int = EVERY, block_ids: int = BLOCK_IDS) -> None:
     """Writes path/code (id, bits) and path/blocks, whose parts follow each other in doc_id order.
 
     A block holds whole documents, so a document of any length is one piece; each block is decoded
     by itself, and within it each run of ``every`` ids from its checkpoint. Null texts count as
     empty; rows without an id come first; repeated rows are all written, equal ids in the order of
-    their tokens. An empty table gives files without blocks. Other columns are ignored.
+    their tokens. An empty table gives files without blocks. Other columns are ignored. Ids go as 16
+    bits before they are coded, or as 32 where the vocabulary has larger ones.
 
     Texts are encoded once and not shuffled: what is range partitioned by doc_id are the ids.
     """
     spark = docs.sparkSession
     lean_batches(spark)
+    wide = is_wide(vocabulary, end_id)
     ids = written(document_ids(docs, vocabulary, end_id, wide), "ids")
     bits = code_lengths(id_counts(ids, wide), max_bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
@@ -105,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: in
             yield packed()
 
     ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidied(run), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str, *, max_bits: int = MAX_BITS, every: int = EVERY, with_ids: bool = False) -> DataFrame:
@@ -137,4 +144,4 @@ def read_token_files(spark: SparkSession, path: str, *, max_bits: int = MAX_BITS
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], kinds, strict=False)], names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return blocks.select("part", "first", "doc_ids", "n_tokens", "n_ids", "checkpoints", "payload").mapInArrow(run, schema)
+    return blocks.select("part", "first", "doc_ids", "n_tokens", "n_ids", "checkpoints", "payload").mapInArrow(tidied(run), schema)

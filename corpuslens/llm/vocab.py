@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,14 @@ import pyarrow.compute as pc
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Pieces that a worker remembers (about 200 bytes each); beyond it the memory starts afresh.
-PIECES = 450_000
+#: Bytes of pieces and their ids that a worker remembers; beyond it the memory starts afresh.
+REMEMBERED = 40 << 20
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
+#: ids of many pieces, how many each has, and which piece each is.
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 class TextEncoder:
     """Ids of whole texts.
@@ -28,36 +32,36 @@ class TextEncoder:
     encoded once. Only where a space is followed by more white space, or ends the text, may the cut
     matter; such texts are encoded whole.
 
-    whole(text) encodes a text; words(pieces) encodes each piece with a space before it and returns
-    all ids and where each piece's begin.
+    whole(text) encodes a text; words(pieces) encodes each piece with a space before it, in any order.
     """
 
-    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pieces: int = PIECES):
-        self.whole, self.words, self.pieces = whole, words, pieces
-        self._forget()
+    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED):
+        self.whole, self.words, self.remembered = whole, words, remembered
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.size, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    def forget(self) -> None:
+        """Entry 0 has no ids; the known piece i has entry i + 1."""
+        self.known = pa.array([], pa.string())
+        self.ends, self.pool = np.zeros(2, np.int32), np.zeros(0, np.uint32)
 
-    def _add(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Entries for pieces whose ids begin at starts; returns their numbers."""
-        first = len(self.start)
-        self.start = np.concatenate([self.start, starts + len(self.pool)])
-        self.size = np.concatenate([self.size, np.diff(np.append(starts, len(ids)))])
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries for pieces of these sizes; returns their numbers."""
+        first = len(self.ends) - 1
+        self.ends = np.concatenate([self.ends, (self.ends[-1] + np.cumsum(sizes)).astype(np.int32)])
         self.pool = np.concatenate([self.pool, ids])
-        return np.arange(first, len(self.start))
-
-    def _entries(self, pieces: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(at < 0)
-        if len(self.start) + len(new) > self.pieces and len(self.start) > 1:
-            self._forget()
-            new, at = np.arange(len(pieces)), np.full(len(pieces), -1)
+        return np.arange(first, first + len(sizes))
+
+    def _entries(self, pieces: pa.StringArray) -> np.ndarray:
+        if self.known.nbytes + self.ends.nbytes + self.pool.nbytes > self.remembered:
+            self.forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64) + 1
+        new = np.flatnonzero(at == 0)
         if len(new):
-            fresh = [pieces[i] for i in new]
-            at[new] = self._add(*self.words(fresh))
-            self.known.update(zip(fresh, at[new].tolist(), strict=True))
+            fresh = pieces.take(pa.array(new))
+            ids, sizes, order = self.words(fresh.to_pylist())
+            at[new[order]] = self._add(ids, sizes)
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,29 +71,24 @@ class TextEncoder:
         heads = split.offsets.to_numpy().astype(np.int64)
         heads, counts = heads[:-1] - heads[0], np.diff(heads)
         coded = split.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
         # the first piece of a text has no space before it; elsewhere a piece that starts blank is unsafe
-        blank = np.fromiter((not x or x[0] in WHITE for x in distinct), bool, len(distinct))
+        blank = pc.is_in(pc.utf8_slice_codeunits(distinct, 0, 1), pa.array(["", *WHITE])).to_numpy(zero_copy_only=False)
         unsafe = blank[codes]
         unsafe[heads] = False
-        owner = np.repeat(np.arange(len(texts)), counts)
-        odd = np.zeros(len(texts), bool)
-        odd[owner[unsafe]] = True
-        usable = np.flatnonzero(~blank)
+        odd = np.add.reduceat(unsafe, heads) > 0 if len(texts) else np.zeros(0, bool)
         entry = np.zeros(len(distinct), np.int64)
-        entry[usable] = self._entries([distinct[i] for i in usable])
+        entry[~blank] = self._entries(distinct.filter(pa.array(~blank)))
         at = entry[codes]
         if odd.any():
-            at[odd[owner]] = 0
-        own = [self.whole(texts[i].as_py() if odd[i] else distinct[codes[heads[i]]]) for i in range(len(texts))]
-        kept = len(self.start), len(self.pool)
-        at[heads] = self._add(np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([0, *map(len, own)])[:-1])
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends[np.append(heads[1:], len(at)) - 1] if len(texts) else []]).astype(np.int64)
-        self.start, self.size, self.pool = self.start[: kept[0]], self.size[: kept[0]], self.pool[: kept[1]]
-        return ids, bounds
+            at[np.repeat(odd, counts)] = 0
+        own = [self.whole((texts[i] if o else distinct[c]).as_py()) for i, (o, c) in enumerate(zip(odd.tolist(), codes[heads].tolist(), strict=True))]
+        kept = len(self.ends), len(self.pool)
+        at[heads] = self._add(np.concatenate([np.zeros(0, np.uint32), *own]), np.fromiter(map(len, own), np.int64, len(own)))
+        found = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at))
+        ids, begins = found.flatten().to_numpy(), found.offsets.to_numpy().astype(np.int64)
+        self.ends, self.pool = self.ends[: kept[0]], self.pool[: kept[1]]
+        return ids, begins[np.append(heads, len(at))] - begins[0]
 
 
 def text_batches(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -105,12 +104,8 @@ def text_batches(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -
         yield batch.slice(begin)
 
 
-def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
-
-
-@lru_cache(maxsize=4)
-def library_encoder(path: str, pieces: int = PIECES) -> TextEncoder:
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> TextEncoder:
     """By a byte-level file of the tokenizers library, without special tokens being added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Tokenizer, pre_tokenizers
@@ -119,29 +114,56 @@ def library_encoder(path: str, pieces: int = PIECES) -> TextEncoder:
     spaced = np.zeros(model.get_vocab_size() + 1, bool)
     for token, i in model.get_vocab().items():
         spaced[i] = token.startswith("Ġ")  # byte 20 in a byte-level vocabulary
-    bare = Tokenizer.from_file(path)  # for letters, which its pattern keeps whole: only the byte alphabet and merges
+    bare = Tokenizer(model.model)  # for letters, which its pattern keeps whole: only the byte alphabet and merges
     bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
 
     def encoded(text: str, by: Tokenizer = model) -> np.ndarray:
         return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        plain = [i for i, x in enumerate(pieces) if x.isascii() and x.isalpha()]
-        for places, by, lead in ((plain, bare, "Ġ"), ([i for i, x in enumerate(pieces) if not (x.isascii() and x.isalpha())], model, "")):
+    def words(pieces: list[str]) -> Encoded:
+        letters = np.fromiter((x.isascii() and x.isalpha() for x in pieces), bool, len(pieces))
+        ids, sizes, order = [np.zeros(0, np.uint32)], [], []
+        for places, by, lead in ((np.flatnonzero(letters), bare, " Ġ"), (np.flatnonzero(~letters), model, " ")):
             for k in range(0, len(places), 512):  # one string for many pieces: each starts where a token has the space
-                some = places[k : k + 512]
-                ids = encoded(" " + " ".join([lead + pieces[i] for i in some]), by)
-                starts = np.flatnonzero(spaced[ids])
-                parts = np.split(ids, starts[1:]) if len(starts) == len(some) else [encoded(" " + pieces[i]) for i in some]
-                for i, x in zip(some, parts, strict=True):
-                    out[i] = x
-        return _joined(out)
+                some = [pieces[i] for i in places[k : k + 512].tolist()]
+                own = encoded(lead + lead.join(some), by)
+                starts = np.flatnonzero(spaced[own])
+                if len(starts) == len(some):
+                    size = np.diff(np.append(starts, len(own)))
+                else:
+                    parts = [encoded(" " + x) for x in some]
+                    own, size = np.concatenate(parts), np.array([len(x) for x in parts])
+                ids.append(own)
+                sizes.append(size)
+            order.append(places)
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(order)
+
+    return TextEncoder(encoded, words)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with give_back() at the end of each task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
 
-    return TextEncoder(encoded, words, pieces)
+def give_back() -> None:
+    """Returns to the system what a task's buffers leave in this worker's allocators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
