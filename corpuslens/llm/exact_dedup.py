@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, broadcast_if_small, is_small, row_key, text_or_empty, without, written
+from .shared import BROADCAST_ROWS, broadcast_if_small, is_small, keep_one, row_key, text_or_empty, written
 
 
 def exact_duplicates(docs: DataFrame, *, keep: str = "largest", content_hash: Callable[[Column], Column] = row_key, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,14 +64,6 @@ def exact_duplicates(docs: DataFrame, *, keep: str = "largest", content_hash: Ca
 def drop_exact_duplicates(docs: DataFrame, *, keep: str = "largest", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with one row of each text, all columns as they were; see exact_duplicates."""
     verdicts = exact_duplicates(docs, keep=keep, broadcast_rows=broadcast_rows)
-    # rows that repeat id and text can't be told apart by a key: they go through dropDuplicates
-    twice = written(verdicts.where("group_size > 1").groupBy("doc_id", "text_hash").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
-    gone = twice.where("kept = 0 or n > 1").select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_key"))
-    left = without(docs, written(gone, "gone"), broadcast_rows)
-    tied = twice.where("kept > 0 and n > 1").select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_key"))
-    if tied.take(1):
-        same = docs.join(tied, docs["doc_id"].eqNullSafe(tied["drop_id"]) & (row_key(docs["text"]) == tied["drop_key"]), "left_semi")
-        key = f"key_{'_'.join(docs.columns)}"
-        same = same.withColumn(key, row_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
-        left = left.unionByName(same)
-    return left
+    groups = verdicts.where("group_size > 1").groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_key"))
+    counts = groups.agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return keep_one(docs, written(counts.where("kept = 0 or n > 1"), "verdicts"), broadcast_rows)

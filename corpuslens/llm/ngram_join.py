@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_ROWS, broadcast_if_small, lean_batches, written
+from .shared import BROADCAST_ROWS, broadcast_if_small, keep_one, lean_batches, row_key, written
 from .shingles import BlockIndex, set_key, shingle_sets
-from .vocab import text_batches
+from .vocab import text_batches, tidied
 
 #: Tokens that a task of the first filter compares at a time, sets in a block, probes of a block in a task.
 BUCKET_TOKENS, BLOCK, PROBES = 3_000_000, 64, 512
 ROUNDS = 3
+#: A list of more entries than this is probed by position blocks, whichever components they are of.
+LONG_LIST = 1024
 
 
 def _at_least(n, percent: int):
@@ -37,15 +39,17 @@ def _lead(n, percent: int):
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set)."""
+    """doc_id, text_key (row_key of the text), n_shingles, set_key (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in text_batches(whole, 1)):
-            sets = shingle_sets(batch.column(1), words)
+        for batch in (part for whole in batches for part in text_batches(whole, 2)):
+            sets = shingle_sets(batch.column(2), words)
             keys = [set_key(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "set_key"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("text_key"), "text")
+    return rows.mapInArrow(tidied(run), "doc_id long, text_key binary, n_shingles long, set_key binary")
 
 
 def shared_counts(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
@@ -154,37 +158,42 @@ def verify_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.select(*keys, "node", "n", "tokens", "probe").groupBy(*keys).applyInArrow(run, "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 75, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A row for each row of docs(doc_id, text): doc_id, n_shingles, component_id.
+def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 75, rounds: int = ROUNDS, long_list: int = LONG_LIST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, text_key, stays.
 
     Two documents link when 100 x the size of their sets' intersection is at least percent x that of
     their union; component_id is the least doc_id reachable by links. Documents without words link
     with nothing. A null text has no words; rows that repeat a text link with each other; a document
-    whose id is null takes the least id of its component. An empty table gives an empty table; other
-    columns are ignored.
+    whose id is null takes the least id of its component, null if that has none. A text of any length
+    is one set, hashed whole in its task. An empty table gives an empty table; other columns are
+    ignored. stays holds for the row of least id, then text_key, of each component.
     """
     lean_batches(docs.sparkSession)
     sets = written(document_sets(docs, words), "sets")
-    nodes = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = sets.where("set_key is not null").groupBy("set_key").agg(F.min(first).alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
     met = shared_counts(docs, words, percent, int(-(-tokens // BUCKET_TOKENS) or 1))
     set_id = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
     least_n = F.expr(f"(((n * {percent} + 99) div 100) * {100 - percent}) div 100 + 1")
-    alive = nodes.withColumn("set_id", set_id).join(met, "set_id").where(F.col("shared") >= least_n).select("set_key", "least")
+    alive = nodes.withColumn("set_id", set_id).join(met, "set_id").where(F.col("shared") >= least_n).select("set_key", F.col("least.doc_id").alias("least"))
     alive = written(alive, "alive")
     ordered = written(ordered_sets(docs, alive, words, percent, broadcast_rows), "ordered")
     found = written(nearby_links(ordered, percent, rounds), "nearby")
     known = connected_components(found)
-    more = written(crossing_links(ordered, known, percent), "crossing")
+    more = written(crossing_links(ordered, known, percent, long_list), "crossing")
     if more.take(1):
         known = connected_components(found.unionByName(more))
     labelled = known.join(nodes.select(F.col("set_key").alias("node"), "least"), "node")
     label = written(labelled.groupBy("component").agg(F.min("least").alias("label")), "label")
     joined = known.join(label, "component").select(F.col("node").alias("set_key"), "label")
-    several = nodes.join(joined, "set_key", "left").where("copies > 1 or label is not null").select("set_key", F.coalesce("label", "least").alias("component_id"))
+    several = nodes.join(joined, "set_key", "left").where("copies > 1 or label is not null").select("set_key", F.coalesce("label", "least").alias("label"))
     side = broadcast_if_small(written(several, "several"), broadcast_rows)
-    return sets.join(side, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.col("label").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("label.doc_id"))
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("label.doc_id")) & (F.col("text_key") == F.col("label.text_key")))
+    return sets.join(side, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), "text_key", stays.alias("stays"))
 
 
 def ordered_sets(docs: DataFrame, alive: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
@@ -202,7 +211,7 @@ def ordered_sets(docs: DataFrame, alive: DataFrame, words: int, percent: int, br
 
     side = broadcast_if_small(ids, broadcast_rows)
     texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
-    whole = texts.mapInArrow(run, "set_key binary, n long, tokens array<long>").join(alive, "set_key", "left_semi").dropDuplicates(["set_key"])
+    whole = texts.mapInArrow(tidied(run), "set_key binary, n long, tokens array<long>").join(alive, "set_key", "left_semi").dropDuplicates(["set_key"])
     whole = written(whole.withColumnRenamed("set_key", "node"), "whole")
     postings = whole.select("node", "n", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -224,11 +233,12 @@ def nearby_links(ordered: DataFrame, percent: int, rounds: int) -> DataFrame:
     return verify_blocks(rows, ["round", "least", "deal"], percent)
 
 
-def crossing_links(ordered: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def crossing_links(ordered: DataFrame, known: DataFrame, percent: int, long_list: int = LONG_LIST) -> DataFrame:
     """All links that connect two components of known, or as many as connect the same.
 
-    The prefix of a set: its rarest shingles, so many that no partner can miss them all. A set probes
-    blocks of other components under a shingle of both prefixes, the smaller component the larger.
+    The prefix of a set: its rarest shingles, so many that no partner can miss them all. Under a
+    shingle of both prefixes a set probes sets of other components, the smaller component the larger;
+    lists longer than long_list are probed by position blocks (``long_list_links``).
     """
     comp = ordered.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
     comp = written(comp, "comp")
@@ -238,29 +248,62 @@ def crossing_links(ordered: DataFrame, known: DataFrame, percent: int) -> DataFr
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - (n * {percent} + 99) div 100 + 1 as int))")
     postings = ordered.select("node", "n", F.size("tokens").alias("m"), F.posexplode(prefix).alias("pos", "token")).join(placed, "node")
     postings = written(postings.select("token", "node", "n", (F.col("m") - F.col("pos")).alias("left"), "comp", "comp_size", "block"), "postings")
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
-    lists = written(postings.join(written(mixed, "mixed"), "token", "left_semi"), "lists")
-    blocks = lists.groupBy("token", "comp", "comp_size", "block").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max("left").alias("room"))
+    mixed = postings.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("entries")).where("a != b").select("token", "entries")
+    lists = written(postings.join(written(mixed, "mixed"), "token"), "lists")
+    long, short = lists.where(F.col("entries") > long_list), lists.where(F.col("entries") <= long_list)
+    blocks = short.groupBy("token", "comp", "comp_size", "block").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max("left").alias("room"))
     blocks = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in ("comp", "comp_size", "block", "min_n", "max_n", "room")])
     order: Column = F.struct("comp_size", "comp") < F.struct(F.col("b_comp_size").alias("comp_size"), F.col("b_comp").alias("comp"))
+    probes = short.join(written(blocks, "blocks"), "token").where(order & may_reach(percent)).select("node", "b_comp", "b_block").distinct()
+    members = placed.select("node", F.col("comp").alias("b_comp"), F.col("block").alias("b_block"))
+    links = probed(written(probes, "probes"), members, ordered, ["b_comp", "b_block"], percent)
+    return links.unionByName(long_list_links(long, ordered, percent)) if long.take(1) else links
+
+
+def may_reach(percent: int) -> Column:
+    """Whether an entry (n, left) may link with any of a block (b_min_n, b_max_n, b_room): sizes first, then positions."""
     sized = (100 * F.col("b_max_n") >= percent * F.col("n")) & (percent * F.col("b_min_n") <= 100 * F.col("n"))
     reach = (100 + percent) * F.least("left", "b_room") >= percent * (F.col("n") + F.greatest(F.col("b_min_n"), F.expr(f"(n * {percent} + 99) div 100")))
-    probes = lists.join(written(blocks, "blocks"), "token").where(order & sized & reach).select("node", "b_comp", "b_block").distinct()
-    probes = written(probes, "probes")
-    asked = probes.groupBy("b_comp", "b_block").agg(F.ceil(F.count(F.lit(1)) / PROBES).alias("salts"))
-    asked = written(asked, "asked")
+    return sized & reach
+
+
+def probed(probes: DataFrame, members: DataFrame, ordered: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links from probes(node, keys) to the members(node, keys) of their blocks; a block's probes are split evenly."""
+    asked = written(probes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PROBES).alias("salts")), "asked")
     salt = F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts"))
-    asking = probes.join(asked, ["b_comp", "b_block"]).select("node", "b_comp", "b_block", salt.alias("salt"), F.lit(True).alias("probe"))
-    answering = placed.join(asked, (F.col("comp") == F.col("b_comp")) & (F.col("block") == F.col("b_block"))).select("node", "b_comp", "b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("probe"))
-    rows = asking.unionByName(answering).join(ordered, "node")
-    return verify_blocks(rows, ["b_comp", "b_block", "salt"], percent)
+    asking = probes.join(asked, keys).select("node", *keys, salt.alias("salt"), F.lit(True).alias("probe"))
+    answering = members.join(asked, keys).select("node", *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("probe"))
+    return verify_blocks(asking.unionByName(answering).join(ordered, "node"), [*keys, "salt"], percent)
+
+
+def long_list_links(lists: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Links under shingles that very many sets lead with.
+
+    A list is range partitioned: large components first, each by itself, then the others by size of
+    set. It is cut into blocks of BLOCK positions, and an entry probes the blocks up to its own whose
+    bounds it may reach, other than those of its own component: rows grow with entries x blocks, not
+    with pairs of entries.
+    """
+    large = F.when(F.col("comp_size") > BLOCK, F.col("comp_size")).otherwise(0)
+    order = [F.col("token"), large.desc(), F.when(large > 0, F.col("comp")), F.col("n"), F.col("node")]
+    ranged = lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = written(ranged.select("token", "node", "n", "left", "comp", F.expr(f"at div {BLOCK}").alias("position")), "long-lists")
+    bounds = ranged.groupBy("token", F.col("position").alias("b_position")).agg(
+        *[f(c).alias(f"b_{k}") for k, f, c in (("min_n", F.min, "n"), ("max_n", F.max, "n"), ("room", F.max, "left"), ("least", F.min, "comp"), ("most", F.max, "comp"))]
+    )
+    other = (F.col("b_least") != F.col("comp")) | (F.col("b_most") != F.col("comp"))
+    probes = ranged.join(written(bounds, "bounds"), "token").where((F.col("position") >= F.col("b_position")) & other & may_reach(percent))
+    probes = written(probes.select("node", "token", "b_position"), "long-probes")
+    members = ranged.select("node", "token", F.col("position").alias("b_position"))
+    return probed(probes, members, ordered, ["token", "b_position"], percent)
 
 
 def drop_near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
-    """docs, all columns as they were, with the document of least id of each component.
+    """docs, all columns as they were, with one row of each component: that of least id, then text.
 
-    Ids name documents: rows that share one stay or go together. Rows without an id stay.
+    Rows with and without an id count alike, and rows that share an id but not a text are told apart.
+    Of rows that repeat both, one stays.
     """
-    gone = ngram_components(docs, broadcast_rows=broadcast_rows, **how).where("doc_id != component_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    side = broadcast_if_small(written(gone, "near"), broadcast_rows)
-    return docs.join(side, docs["doc_id"] == side["drop_id"], "left_anti")
+    rows = ngram_components(docs, broadcast_rows=broadcast_rows, **how)
+    counts = rows.groupBy(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).agg(F.count_if("stays").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("words"))
+    return keep_one(docs, written(counts.where("kept = 0 or n > 1 and words > 0").drop("words"), "near"), broadcast_rows)

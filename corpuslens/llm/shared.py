@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,10 +20,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir or setCheckpointDir name it.
+
+    Without one, a session on this machine alone takes a temporary folder; a cluster is an error, since
+    its executors would each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="corpuslens-")
@@ -83,5 +90,21 @@ def without(docs: DataFrame, dropped: DataFrame, rows: int = BROADCAST_ROWS) ->
     return docs.join(side, docs["doc_id"].eqNullSafe(side["drop_id"]) & (key == side["drop_key"]), "left_anti")
 
 
+def keep_one(docs: DataFrame, counts: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without what the written table counts(drop_id, drop_key, kept, n) drops.
+
+    A row of counts says of how many rows n with this id and text any are kept; it has none of the
+    rows that stay as they are. Rows that repeat both id and text can't be told apart by a key: of
+    those with a kept one, the first stays.
+    """
+    left = without(docs, counts, rows)
+    tied = counts.where("kept > 0")
+    if not tied.take(1):
+        return left
+    same = docs.join(tied, docs["doc_id"].eqNullSafe(tied["drop_id"]) & (row_key(docs["text"]) == tied["drop_key"]), "left_semi")
+    key = f"key_{'_'.join(docs.columns)}"
+    return left.unionByName(same.withColumn(key, row_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key))
+
+
 def row_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
