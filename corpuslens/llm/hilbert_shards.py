@@ -1,14 +1,15 @@
-"""Sharding along a Hilbert curve over quantised metadata."""
+"""Sharding along a Hilbert curve over quantised metadata, in files that readers can skip."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import let, text_or_empty, written
+from .shared import BROADCAST_ROWS, broadcast_if_small, let, text_or_empty, written
 
 #: Dimensions of the production layout.
 DIMENSIONS = ("lang", "source", "bytes")
@@ -75,93 +76,161 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return let(turned, lambda x: let(gray(x), lambda g: let(settle(g), interleave)))
 
 
-def hilbert_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5) -> DataFrame:
-    """Lays docs(doc_id, text, lang, source) out in shards whose row counts differ by one at most.
+@dataclass(frozen=True)
+class Layout:
+    """Where rows go: the cells' cut points, the key at which each shard begins, and repeated rows at such a cut.
 
-    Returns doc_id, size (UTF-8 bytes and 1), text_crc32, curve, shard, slot, the cells of the
-    dimensions (dim_lang, dim_source, dim_bytes), and what names the row for write_shards (tie, a hash
-    of the text, and placed_lang and placed_source). Null texts have no bytes; null lang
-    or source comes first in its dimension. Equal texts of one lang and source are neighbours; ids
-    break ties. Repeated rows get a slot each. An empty table gives an empty table. Other columns
-    are ignored.
+    key: (curve, tie, doc_id). tied: keys of rows that repeat id and text on both sides of a cut, with
+    the rank of the first; such rows are numbered one by one.
+    """
+
+    shards: int
+    bits: int
+    total: int
+    cuts: dict[str, list]
+    begins: list[Row]
+    tied: list[tuple[Row, int]]
+
+
+def _size() -> Column:
+    return (F.octet_length(text_or_empty()) + 1).cast("long")
+
+
+def _curve(layout_cuts: dict[str, list], bits: int) -> Column:
+    values = {"lang": ordered_key(F.col("lang")), "source": ordered_key(F.col("source")), "bytes": _size()}
+    cell = lambda d: let(values[d], lambda v: reduce(lambda a, c: a + (v >= F.lit(c)).cast("int"), layout_cuts[d], F.lit(0)))
+    return hilbert_index([cell(d) for d in DIMENSIONS], bits)
+
+
+def _key(row: Row) -> Column:
+    return F.struct(F.lit(row["curve"]).cast("long").alias("curve"), F.lit(row["tie"]).cast("long").alias("tie"), F.lit(row["doc_id"]).cast("long").alias("doc_id"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """copied (a text hash of several rows), curve: the least position that any of the copies has."""
+    counts = rows.groupBy(F.col("tie").alias("copied")).agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("least"))
+    return written(counts.where("n > 1").drop("n"), "copies")
+
+
+def _together(rows: DataFrame, copies: DataFrame, broadcast_rows: int) -> DataFrame:
+    """rows with the curve position that all copies of a text share."""
+    joined = rows.join(broadcast_if_small(copies, broadcast_rows), F.col("tie") == F.col("copied"), "left")
+    return joined.withColumn("curve", F.coalesce("least", "curve")).drop("copied", "least")
+
+
+def plan_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> tuple[Layout, DataFrame]:
+    """The layout of docs(doc_id, text, lang, source), and the curve positions of repeated texts.
 
     Each dimension is cut at quantiles of all rows, so that a hot source takes cells of its own and
-    the others keep theirs; only those cut points (3 x 31 numbers) come to the driver. Ranks come
-    from a range partitioning of narrow rows by (curve, text hash, id), in which no group is larger
-    than a row, and the sizes of its partitions.
+    the others keep theirs. Ranks come from a range partitioning of narrow rows by (curve, text hash,
+    id), in which no group is larger than a row, and the sizes of its partitions. To the driver come
+    the cut points (3 x 31), a row a partition, and a key a shard.
     """
-    spark = docs.sparkSession
-    text = text_or_empty()
     rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("tie"),
-        F.col("lang").alias("placed_lang"),
-        F.col("source").alias("placed_source"),
-        ordered_key(F.col("lang")).alias("lang_key"),
-        ordered_key(F.col("source")).alias("source_key"),
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")
     )
-    rows = written(rows, "rows")
+    keys = ordered_key(F.col("lang")).alias("lang_key"), ordered_key(F.col("source")).alias("source_key")
+    narrow = rows.select("doc_id", _size().alias("size"), F.xxhash64(text_or_empty()).alias("tie"), *keys)
+    narrow = written(narrow, "rows")
     points = [k / 2**bits for k in range(1, 2**bits)]
-    found = rows.agg(F.percentile_approx("size", points, 10_000)).first()[0]
-    values = {"lang": "lang_key", "source": "source_key", "bytes": "size"}
-    cuts = {"lang": string_cuts(rows, "lang_key", points), "source": string_cuts(rows, "source_key", points), "bytes": sorted(set(found or []))}
-
-    def cell(d: str) -> Column:
-        return reduce(lambda a, c: a + (F.col(values[d]) >= F.lit(c)).cast("int"), cuts[d], F.lit(0))
-
-    rows = rows.withColumns({f"dim_{d}": cell(d) for d in DIMENSIONS}).drop("lang_key", "source_key")
-    curve = hilbert_index([F.col(f"dim_{d}") for d in DIMENSIONS], bits)
+    found = narrow.agg(F.percentile_approx("size", points, 10_000)).first()[0]
+    cuts = {"lang": string_cuts(narrow, "lang_key", points), "source": string_cuts(narrow, "source_key", points), "bytes": sorted(set(found or []))}
+    values = {"lang": F.col("lang_key"), "source": F.col("source_key"), "bytes": F.col("size")}
+    cell = lambda d: reduce(lambda a, c: a + (values[d] >= F.lit(c)).cast("int"), cuts[d], F.lit(0))
+    placed = narrow.select("doc_id", "tie", hilbert_index([cell(d) for d in DIMENSIONS], bits).alias("curve"))
+    copies = _copies(placed)
     order = ["curve", "tie", "doc_id"]
-    ranged = rows.withColumn("curve", curve).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = _together(placed, copies, broadcast_rows).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
-    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(ranged.groupBy(part.alias("part")).count().collect())  # one row a partition
-    total, starts = 0, []
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(starts, "part long, start long")
-    ranked = ranged.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("start") + row)
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return (
-        ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
-        .withColumn("slot", F.col("rank") - first)
-        .select("doc_id", "size", "text_crc32", "curve", "shard", "slot", *[f"dim_{d}" for d in DIMENSIONS], "tie", "placed_lang", "placed_source")
-    )
-
-
-def write_shards(docs: DataFrame, layout: DataFrame, path: str, *, run_rows: int = 100_000) -> DataFrame:
-    """Writes docs under path/shard=k in curve order and returns the manifest of its runs.
-
-    The manifest has for each run of run_rows slots of a shard the least and greatest lang, source
-    and size: what a reader compares with its filter to skip the run. It is written to path/manifest.
-    A row finds its slot by id, text hash, lang and source, null or not, and its number among equals,
-    so that each row is written once.
+    sizes = sorted(tuple(r) for r in ranged.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    total = sum(n for _, n in sizes)
+    place, before = {}, 0  # rank -> at, for the first row of each shard
+    first = sorted({-(-k * total // shards) for k in range(1, shards)} - {total})
+    for part, n in sizes:
+        place |= {r: (part << 33) + r - before for r in first if before <= r < before + n}
+        before += n
+    found = {r["at"]: r for r in ranged.where(F.col("at").isin(list(place.values()))).collect()} if place else {}
+    begins = [found[place[r]] for r in first]
+    tied = []
+    if begins:
+        keys = reduce(lambda a, b: a | b, [F.struct(*order).eqNullSafe(_key(x)) for x in begins])
+        starts, before = {}, 0
+        for part, n in sizes:
+            starts[part], before = before, before + n
+        for r in ranged.where(keys).groupBy(*order).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).where("n > 1").collect():
+            tied.append((r, starts[r["at"] >> 33] + (r["at"] & ((1 << 33) - 1))))
+    return Layout(shards, bits, total, cuts, begins, tied), copies
+
+
+def place_rows(docs: DataFrame, layout: Layout, copies: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with curve, tie, size and shard; columns of docs with these names are replaced."""
+    rows = docs.drop("curve", "tie", "size", "shard").withColumns({"curve": _curve(layout.cuts, layout.bits), "tie": F.xxhash64(text_or_empty()), "size": _size()})
+    rows = _together(rows, copies, broadcast_rows)
+    key = F.struct("curve", "tie", F.col("doc_id").cast("long").alias("doc_id"))
+    # shards that begin at the same place are empty but for the last of them
+    ranks = sorted({-(-k * layout.total // layout.shards) for k in range(1, layout.shards)} - {layout.total})
+    number = {r: r * layout.shards // max(layout.total, 1) for r in ranks}
+    shard = F.coalesce(*[F.when(key >= _key(x), F.lit(number[r])) for r, x in reversed(list(zip(ranks, layout.begins, strict=True)))], F.lit(0))
+    if not layout.tied:
+        return rows.withColumn("shard", shard)
+    is_tied = reduce(lambda a, b: a | b, [key.eqNullSafe(_key(x)) for x, _ in layout.tied])
+    begin = F.coalesce(*[F.when(key.eqNullSafe(_key(x)), F.lit(rank).cast("long")) for x, rank in layout.tied])
+    nth = F.row_number().over(Window.partitionBy("curve", "tie", "doc_id").orderBy("size")) - 1
+    own = rows.where(is_tied).withColumn("shard", F.expr("cast(0 as int)")).withColumn("rank", begin + nth)
+    own = own.withColumn("shard", F.expr(f"cast(rank * {layout.shards} div {layout.total} as int)")).drop("rank")
+    return rows.where(~is_tied).withColumn("shard", shard).unionByName(own)
+
+
+def write_shards(docs: DataFrame, path: str, *, shards: int = 16, bits: int = 5, run_rows: int = 100_000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Writes docs(doc_id, text, lang, source, ...) under path/data/shard=k in curve order; returns the manifest of its files.
+
+    Row counts of shards differ by one at most. A file is a run: a stretch of at most run_rows rows
+    of the curve. The manifest, at path/manifest, has a row for each: file, shard, start (the slot of
+    its first row), rows, and the least and greatest lang, source and size, which a reader compares
+    with its filter to skip the file. A row's slot is its file's start and its number in the file.
+
+    Null texts have no bytes; null lang or source comes first in its dimension. Equal texts lie next to
+    each other, at the least position that any of them has, whatever their metadata; ids break ties.
+    Repeated rows are each written once; so are rows without an id. A text of any length is one row.
+    An empty table gives an empty manifest. Other columns stay as they are, but for curve, tie, size
+    and shard, which are replaced.
+
+    Texts are shuffled once: the keys at which shards begin are known before.
     """
-    names = ["placed_id", "tie", "placed_lang", "placed_source"]
-    same = lambda order: F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    place = layout.select(F.col("doc_id").alias("placed_id"), *names[1:], "shard", "slot", "curve", F.col("size").alias("bytes"))
-    place = place.withColumn("nth", same(["shard", "slot"]))
-    named = docs.withColumns({"placed_id": F.col("doc_id"), "tie": F.xxhash64(text_or_empty()), "placed_lang": F.col("lang"), "placed_source": F.col("source")})
-    named = named.withColumn("nth", same(["tie"]))
-    a, b = named.alias("a"), place.alias("b")
-    match = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*names, "nth"]])
-    rows = a.join(b, match).select(*[F.col(f"a.{c}") for c in docs.columns], "b.shard", "b.slot", "b.curve", "b.bytes")
-    rows = rows.withColumn("run", F.expr(f"slot div {run_rows}"))
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{path}/data")
-    read = docs.sparkSession.read.parquet(f"{path}/data")
-    bounds = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "bytes") for n, f in (("min", F.min), ("max", F.max))]
-    read.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("rows"), *bounds).write.parquet(f"{path}/manifest")
-    return docs.sparkSession.read.parquet(f"{path}/manifest")
-
-
-def read_shards(spark, path: str, manifest: DataFrame, predicate: str, where: str | None = None) -> DataFrame:
-    """The rows of the runs whose bounds meet predicate (over min_ and max_ columns of the manifest).
-
-    where is the condition on the rows themselves, which a run that is read needn't meet as a whole.
+    spark = docs.sparkSession
+    layout, copies = plan_shards(docs, shards=shards, bits=bits, broadcast_rows=broadcast_rows)
+    order = ["shard", "curve", "tie", "doc_id"]
+    rows = place_rows(docs, layout, copies, broadcast_rows=broadcast_rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.option("maxRecordsPerFile", run_rows).partitionBy("shard").parquet(f"{path}/data")
+    rows.limit(0).write.parquet(f"{path}/schema")
+    read = spark.read.schema(rows.schema).parquet(f"{path}/data")
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("min", F.min), ("max", F.max))]
+    begin = F.min(F.struct("curve", "tie", "doc_id")).alias("first")
+    files = read.withColumn("file", _file()).groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows"), begin, *bounds)
+    before = Window.partitionBy("shard").orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("first").write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def _file() -> Column:
+    """The part of a file's path below data/, the same through any route to the folder."""
+    return F.regexp_extract("_metadata.file_path", r"(shard=[^/]+/[^/]+)$", 1)
+
+
+def read_shards(spark: SparkSession, path: str, predicate: str | None = None, where: str | None = None, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of the files whose bounds meet predicate (over min_ and max_ columns of the manifest), with shard and slot.
+
+    Other files are not opened. where is the condition on the rows themselves, which a file that is
+    read needn't meet as a whole. The names of the files that match come to the driver.
     """
-    runs = manifest.where(predicate).select("shard", "run")
-    rows = spark.read.parquet(f"{path}/data").join(F.broadcast(runs), ["shard", "run"], "left_semi")
+    manifest, schema = spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/schema").schema
+    some = [f"{path}/data"]
+    if predicate is not None:
+        some = [f"{path}/data/{r['file']}" for r in manifest.where(predicate).select("file").collect()]
+    if not some:
+        return spark.read.parquet(f"{path}/schema").withColumn("slot", F.lit(0).cast("long"))
+    read = spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*some)
+    starts = broadcast_if_small(manifest.select("file", "start"), broadcast_rows)
+    rows = read.withColumns({"file": _file(), "slot": F.col("_metadata.row_index")}).join(starts, "file")
+    rows = rows.withColumn("slot", F.col("start") + F.col("slot")).drop("file", "start")
     return rows if where is None else rows.where(where)

@@ -17,7 +17,7 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(documents(spark, sf_dir))
+    return ngram_join.ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = documents(spark, sf_dir), f"{shared_dir(spark)}/corpuslens/shards-{uuid4().hex}"
-    manifest = hilbert_shards.write_shards(docs.select("doc_id", "text", "lang", "source"), hilbert_shards.hilbert_shards(docs), path)
-    rows = hilbert_shards.read_shards(spark, path, manifest, "rows > 0")
+    path = f"{shared_dir(spark)}/corpuslens/shards-{uuid4().hex}"
+    hilbert_shards.write_shards(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), path)
+    rows = hilbert_shards.read_shards(spark, path)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
-    return rows.select("doc_id", F.col("bytes").alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return rows.select("doc_id", "size", crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,8 +94,40 @@ def test_ngram_components(docs, rows, empty):
 
 
 def test_ngram_components_without_the_first_rounds(docs, rows):
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs, rounds=1).collect()}
-    assert got == {i: c for i, (_, c) in brute.components(unique(rows)).items()}
+    want = {i: c for i, (_, c) in brute.components(unique(rows)).items()}
+    for long_list in (1024, 1):  # every list goes by position blocks in the second
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs, rounds=1, long_list=long_list).collect()}
+        assert got == want
+
+
+def test_links_under_shingles_that_very_many_texts_share(spark):
+    """Texts made of common sentences only: every shingle is frequent, and lists are far longer than a block."""
+    rng = random.Random(5)
+    said = [" ".join(f"s{k}w{j}" for j in range(12)) for k in range(24)]
+    rows = [(i, " ".join(rng.sample(said, rng.randrange(5, 8)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, rounds=1, long_list=50).collect()}
+    assert got == brute.components(rows)
+
+
+def test_one_passage_in_very_many_short_texts(spark):
+    passage = " ".join(f"p{j}" for j in range(80))
+    rows = [(i, f"{passage} a{i} b{i} c{i}") for i in range(20_000)] + [(20_000 + i, f"x{i} y{i} z{i} {passage} " + " ".join(f"q{i}r{j}" for j in range(60))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+    assert set(got[i] for i in range(20_000)) == {0} and all(got[20_000 + i] == 20_000 + i for i in range(50))
+
+
+def test_near_duplicates_by_row(spark):
+    """Rows without an id, with one id and two texts, and repeated rows."""
+    base = " ".join(f"w{j}" for j in range(200))
+    other = " ".join(f"v{j}" for j in range(200))
+    rows = [(None, base), (5, base + " x"), (5, other), (9, other + " y"), (9, other + " y"), (3, base + " z"), (None, "alone and short"), (None, None), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, kept int, drop_id string")
+    for limit in (1000, 0):
+        left = ngram_join.drop_near_duplicates(df, broadcast_rows=limit)
+        assert left.columns == df.columns
+        assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(3, base + " z"), (5, other), (-1, "alone and short"), (-1, ""), (-1, ""), (7, ""), (7, "")])
 
 
 def test_quality(docs, rows, empty):
@@ -110,33 +142,86 @@ def test_quality(docs, rows, empty):
     assert {r.doc_id for r in quality_rules.drop_low_quality(docs, min_group=10).collect()} == {r.doc_id for r in got if r.kept}
 
 
+def plain_mcd(x, share=0.75):
+    """Every start and step of the operator in numpy, with the same fixed diagonal."""
+    d, floors = x.shape[1], np.array([f for _, f in quality_rules.FEATURES.values()])
+    scale, h = quality_rules.consistency(d, share), int(np.ceil(share * len(x)))
+
+    def fit(rows, by=1.0):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(d, d) * by + np.diag(floors**2)
+
+    def step(state):
+        off = x - state[0]
+        d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(state[1]), off)
+        return fit(x[d2 <= np.sort(d2)[h - 1]], scale)
+
+    middle = np.sort(x, 0)[(len(x) - 1) // 2]
+    width = np.maximum(np.sort(np.abs(x - middle), 0)[(len(x) - 1) // 2] * 1.4826, floors)
+    inner = x[(np.abs(x - middle) <= 2 * width).all(1)]
+    starts = [(middle, np.diag(width**2)), fit(x), *([fit(inner)] if len(inner) else [])]
+    best = min((step(step(s)) for s in starts), key=lambda s: np.linalg.det(s[1]))
+    while np.linalg.det((new := step(best))[1]) < np.linalg.det(best[1]) * (1 - 1e-6):
+        best = new
+    return best
+
+
 def test_robust_estimates_against_numpy(spark):
     rng = np.random.default_rng(4)
     good = rng.normal([5, 2, 0.1, 0.2, 0.2], [1, 0.3, 0.2, 0.4, 0.3], (400, 5))
     bad = rng.normal(30, 1, (60, 5))
-    df = spark.createDataFrame([("g", [float(v) for v in x]) for x in np.vstack([good, bad])], "grp string, x array<double>")
-    r = quality_rules.robust_estimates(df, "grp").first()
-    assert np.abs(np.array(r["mean"]) - good.mean(0)).max() < 0.2
+    flat = np.tile([3.0, 1, 0, 0, 0], (50, 1))  # no spread at all
+    df = spark.createDataFrame([(g, [float(v) for v in x]) for g, rows in (("g", np.vstack([good, bad])), ("flat", flat)) for x in rows], "grp string, x array<double>")
+    found = {r["grp"]: r for r in quality_rules.robust_estimates(df, "grp").collect()}
+    for g, rows in (("g", np.vstack([good, bad])), ("flat", flat)):
+        mean, cov = plain_mcd(rows)
+        assert np.allclose(found[g]["mean"], mean, rtol=1e-6) and np.allclose(np.array(found[g]["inverse"]).reshape(5, 5), np.linalg.inv(cov), rtol=1e-6)
+        assert np.isclose(found[g]["determinant"], np.linalg.det(cov), rtol=1e-6)
+    r = found["g"]
     inverse = np.array(r["inverse"]).reshape(5, 5)
+    assert np.abs(np.array(r["mean"]) - good.mean(0)).max() < 0.2
     far = np.einsum("ij,jk,ik->i", bad - r["mean"], inverse, bad - r["mean"])
     near = np.einsum("ij,jk,ik->i", good - r["mean"], inverse, good - r["mean"])
     assert far.min() > 100 and np.quantile(near, 0.99) < quality_rules.chi2_quantile(5, 1 - 1e-5)
-    # one concentration step more of the same kind changes little: the estimate has settled
-    held = np.vstack([good, bad])
-    d2 = np.einsum("ij,jk,ik->i", held - r["mean"], inverse, held - r["mean"])
-    again = held[d2 <= np.quantile(d2, 0.75)]
-    assert np.abs(again.mean(0) - r["mean"]).max() < 0.1
+
+
+def test_kept_against_numpy(spark, sf_dir):
+    """Verdicts of the query over a whole table, from its own statistics (held against brute force elsewhere)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = quality_rules.quality_verdicts(docs).collect()
+    passed = [r for r in got if not r.base_failed]
+    vector = lambda r: [np.log(max(r.n_words, 1)), np.log(max(r.word_chars, 1) / max(r.n_words, 1)), np.log1p(r.n_symbols / max(r.n_words, 1)), np.log1p(r.n_dup_lines / max(r.n_words, 1) * 10), np.log1p(r.n_repeat_words / max(r.n_words, 1))]
+    by = {}
+    for r in passed:
+        for key in ((r.lang, r.source), (r.lang,), ()):
+            by.setdefault(key, []).append(vector(r))
+    limit, fits = quality_rules.chi2_quantile(5, 1 - 1e-5), {}
+    for r in got:
+        if r.base_failed:
+            assert not r.kept
+            continue
+        key = next(k for k in ((r.lang, r.source), (r.lang,), ()) if not k or len(by[k]) >= quality_rules.MIN_GROUP)
+        if key not in fits:
+            fits[key] = plain_mcd(np.array(by[key]))
+        mean, cov = fits[key]
+        off = np.array(vector(r)) - mean
+        d2 = off @ np.linalg.inv(cov) @ off
+        assert np.isclose(d2, r.distance, rtol=1e-5) and r.kept == (d2 <= limit)
+    assert any(not r.kept for r in passed) and sum(r.kept for r in passed) > 0.8 * len(passed)
 
 
 def test_matrix_inverse(one):
     m = np.array([[4.0, 1, 0.5], [1, 3, 0.2], [0.5, 0.2, 2]])
-    got = one(quality_rules.invert(F.array(*[F.lit(float(v)) for v in m.ravel()]), 3))
-    assert np.allclose(np.array(got).reshape(3, 3), np.linalg.inv(m))
+    got = one(quality_rules.inverted(F.array(*[F.lit(float(v)) for v in m.ravel()]), 3))
+    assert np.allclose(np.array(got["inverse"]).reshape(3, 3), np.linalg.inv(m)) and np.isclose(got["determinant"], np.linalg.det(m))
+
+
+def shard_rows(spark, docs, path, **how):
+    manifest = hilbert_shards.write_shards(docs, path, **how)
+    return manifest, hilbert_shards.read_shards(spark, path).collect()
 
 
 def test_hilbert_shards(docs, rows, empty, tmp_path, spark):
-    layout = hilbert_shards.hilbert_shards(docs, shards=4)
-    got = layout.collect()
+    manifest, got = shard_rows(spark, docs, str(tmp_path / "s"), shards=4, run_rows=9)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
@@ -144,34 +229,56 @@ def test_hilbert_shards(docs, rows, empty, tmp_path, spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     curve = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert curve == sorted(curve)
-    assert hilbert_shards.hilbert_shards(empty).count() == 0
-    plain = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
-    own = hilbert_shards.hilbert_shards(plain, shards=4)
-    manifest = hilbert_shards.write_shards(plain, own, str(tmp_path / "s"), run_rows=5)
-    assert manifest.agg(F.sum("rows")).first()[0] == plain.count()
-    found = hilbert_shards.read_shards(spark, str(tmp_path / "s"), manifest, "max_bytes >= 4000").where("bytes >= 4000")
-    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in plain.where("octet_length(text) + 1 >= 4000").collect()}
+    assert set(got[0].asDict()) == {*docs.columns, "curve", "tie", "size", "shard", "slot"}
+    assert manifest.agg(F.sum("rows")).first()[0] == len(rows) and manifest.agg(F.max("rows")).first()[0] <= 9
+    shard_rows(spark, empty, str(tmp_path / "e"))
+    assert hilbert_shards.read_shards(spark, str(tmp_path / "e")).count() == 0
+    assert hilbert_shards.read_shards(spark, str(tmp_path / "e"), "rows > 0").count() == 0
+
+
+def test_readers_open_only_files_that_may_match(docs, rows, tmp_path, spark):
+    path = str(tmp_path / "p")
+    manifest, got = shard_rows(spark, docs, path, shards=4, run_rows=5)
+    some = hilbert_shards.read_shards(spark, path, "max_size >= 4000", "size >= 4000")
+    assert sorted(r.doc_id for r in some.collect()) == sorted(r.doc_id for r in got if r.size >= 4000) != []
+    opened = [f for f in some.inputFiles() if "/data/" in f]
+    assert 0 < len(opened) == manifest.where("max_size >= 4000").count() < manifest.count()
+    assert {(r.shard, r.slot) for r in some.collect()} <= {(r.shard, r.slot) for r in got}
 
 
 def test_shards_hold_every_row(spark, docs, rows, tmp_path):
     odd = spark.createDataFrame([(None, "a", "en", "s"), (None, "a", "en", "s"), (None, None, None, None), (102, "same text here", "xx", "s"), (102, "other", "en", None)], "doc_id long, text string, lang string, source string")
     whole = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
-    layout = hilbert_shards.hilbert_shards(whole, shards=3)
-    manifest = hilbert_shards.write_shards(whole, layout, str(tmp_path / "w"), run_rows=7)
-    got = hilbert_shards.read_shards(spark, str(tmp_path / "w"), manifest, "rows > 0").collect()
     row = lambda r: repr((r.doc_id, r.text, r.lang, r.source))
-    assert sorted(map(row, got)) == sorted(map(row, whole.collect()))
-    assert {(r.shard, r.slot) for r in got} == {(r.shard, r.slot) for r in layout.collect()} and len({(r.shard, r.slot) for r in got}) == len(got)
-    some = hilbert_shards.read_shards(spark, str(tmp_path / "w"), manifest, "max_bytes >= 4000", "bytes >= 4000").collect()
-    assert some and sorted(map(row, some)) == sorted(row(r) for r in got if r.bytes >= 4000)
+    for k, limit in enumerate((1000, 0)):
+        _, got = shard_rows(spark, whole, str(tmp_path / f"w{k}"), shards=3, run_rows=7, broadcast_rows=limit)
+        assert sorted(map(row, got)) == sorted(map(row, whole.collect()))
+        assert len({(r.shard, r.slot) for r in got}) == len(got)
+        at = {}
+        for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+            at.setdefault(r.text or "", []).append(r)
+        places = {(r.shard, r.slot): n for n, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot)))}
+        for own in at.values():  # equal texts are neighbours, whatever their metadata
+            own = sorted(places[r.shard, r.slot] for r in own)
+            assert own == list(range(own[0], own[0] + len(own)))
+
+
+def test_shards_of_one_repeated_row(spark, tmp_path):
+    same = spark.createDataFrame([(7, "same", "en", "s")] * 50 + [(1, "other", "en", "s")], "doc_id long, text string, lang string, source string")
+    _, got = shard_rows(spark, same, str(tmp_path / "r"), shards=16)
+    counts = {}
+    for r in got:
+        counts.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 51 and {len(v) for v in counts.values()} == {3, 4} and len(counts) == 16
+    assert all(sorted(v) == list(range(len(v))) for v in counts.values())
 
 
 def test_long_sources_get_cells_of_their_own(spark):
     names = [f"https://{a}.example.org/{y}" for a in "abcd" for y in (2023, 2024)]
     df = spark.createDataFrame([(k, f"text {k}", "en", names[k % 8]) for k in range(160)], "doc_id long, text string, lang string, source string")
-    layout = hilbert_shards.hilbert_shards(df, shards=4).collect()
-    cells = {r.placed_source: r.dim_source for r in layout}
-    assert len(layout) == 160 and sorted(cells, key=cells.get) == sorted(names) and len(set(cells.values())) == 8
+    layout, _ = hilbert_shards.plan_shards(df, shards=4)
+    keys = [f"v{n}" for n in sorted(names)]
+    assert len({sum(k >= c for c in layout.cuts["source"]) for k in keys}) == 8
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
