@@ -47,17 +47,16 @@ def ext_of(path: Column | str) -> Column:
 
 def detect_language(path: Column | str) -> Column:
     name = F.lower(basename(path))
-    by_ext = {e: lang for lang, exts in rules.LANGUAGE_BY_EXTENSION.items() for e in exts.split()}
     return F.coalesce(
         F.try_element_at(_lookup(rules.LANGUAGE_BY_NAME), name),
         F.when(name.startswith("dockerfile"), "dockerfile"),
-        F.try_element_at(_lookup(by_ext), ext_of(path)),
+        F.try_element_at(_lookup(rules.LANGUAGE_BY_EXTENSION), ext_of(path)),
         F.when(col(path).isNotNull(), "other"),
     )
 
 
 def category_of(lang: Column | str) -> Column:
-    by_lang = {x: c for c, langs in rules.CATEGORY.items() for x in langs.split()}
+    by_lang = {x: c for c, langs in rules.CATEGORY.items() for x in langs}
     return F.coalesce(F.try_element_at(_lookup(by_lang), col(lang)), F.when(col(lang).isNotNull(), "other"))
 
 
@@ -133,9 +132,15 @@ def citation_class(doc: Column | str, line: Column | str) -> Column:
     return F.when(col(doc).rlike(r"(?i)(^|/)docs/adr/") | col(line).rlike(rules.ABSENCE), "historical").otherwise("suspected")
 
 
+def excerpt(line: Column | str, width: int = 120) -> Column:
+    """A line without the white space around it, cut to a width."""
+    return F.substring(F.regexp_replace(col(line), r"^\s+|\s+\z", ""), 1, width)
+
+
 def is_shim(text: Column | str) -> Column:
-    lines = F.filter(F.transform(F.split(col(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+\z", ""))), lambda x: x != "")
-    return (F.size(lines) == 0) | ((F.size(lines) == 1) & F.coalesce(F.get(lines, F.lit(0)).rlike(r"^@\S+\.md\z"), F.lit(False)))
+    """A text of one line that only points at another document; an empty text is none."""
+    body = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"^\s+|\s+\z", "")
+    return ~F.contains(body, F.lit("\n")) & body.rlike(r"^@\S+\.md\z")
 
 
 def frontmatter(text: Column | str) -> Column:
@@ -205,6 +210,13 @@ def tokenize(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def grams(text: Column | str, size: int) -> Column:
+    """All runs of so many characters of a text, in order."""
+    x = col(text)
+    starts = F.when(F.length(x) >= size, F.sequence(F.lit(1), F.length(x) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(x, i, F.lit(size)))
+
+
 def term_count(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences."""
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")

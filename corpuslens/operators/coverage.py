@@ -48,13 +48,15 @@ def untested_areas(f: DataFrame, cov: DataFrame, least: int = 3) -> DataFrame:
     """Directories with several untested code files; severity by how often those changed."""
     code = f.where("category = 'code' and not is_test").withColumn("dir", F.when(C.dir_of("path") == "", ".").otherwise(C.dir_of("path")))
     marked = code.join(cov.select("repo_id", "path").withColumn("is_covered", F.lit(True)), ["repo_id", "path"], "left").withColumn("open", F.col("is_covered").isNull())
-    rank = F.row_number().over(Window.partitionBy("repo_id", "dir").orderBy(F.desc("open"), "path"))
-    areas = marked.withColumn("rank", rank).groupBy("repo_id", "dir").agg(
+    areas = marked.groupBy("repo_id", "dir").agg(
         F.count(F.lit(1)).alias("code"),
         F.count_if("open").alias("untested"),
         F.coalesce(F.sum(F.when(F.col("open"), F.col("commits"))), F.lit(0)).alias("commits"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("open") & (F.col("rank") <= 4), F.col("path")))), ",").alias("examples"),
     )
+    rank = F.row_number().over(Window.partitionBy("repo_id", "dir").orderBy("path"))  # four of a group leave each task
+    first = marked.where("open").select("repo_id", "dir", "path").withColumn("rank", rank).where(F.col("rank") <= 4)
+    named = first.groupBy("repo_id", "dir").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
+    areas = areas.join(named, ["repo_id", "dir"], "left")
     return areas.where(F.col("untested") >= least)
 
 

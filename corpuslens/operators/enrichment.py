@@ -125,12 +125,12 @@ def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int
 
 
 def number_batches(packed: DataFrame) -> DataFrame:
-    """batch_index over a repository's areas in order: a prefix sum of the areas' batch counts."""
+    """batch_index from 1 over a repository's areas in order: a prefix sum of the areas' batch counts."""
     keys = ["repo_id", "area"]
     counts = packed.groupBy(*keys).agg((F.max("local_batch") + 1).alias("n"))
     before = Window.partitionBy("repo_id").orderBy("area").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return packed.join(starts, keys).withColumn("batch_index", F.col("start") + F.col("local_batch")).drop("start")
+    return packed.join(starts, keys).withColumn("batch_index", F.col("start") + F.col("local_batch") + 1).drop("start")
 
 
 def batch_stats(batches: DataFrame, f: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def enrichable(f: DataFrame) -> DataFrame:
 
 
 def in_project(notes: DataFrame, project: str) -> DataFrame:
+    """Notes that lie in, or are, a file or folder of the project's name."""
     parts = F.transform(F.split(F.lower("path"), "/"), lambda x: F.regexp_replace(x, r"\.md\z", ""))
     return notes.where(F.array_contains(parts, project.lower()))
 
@@ -112,13 +113,19 @@ def digest_paths(touches: DataFrame) -> DataFrame:
     return touches.where(~noise).select("repo_id", "path").distinct()
 
 
-def missing_context(f: DataFrame) -> DataFrame:
-    """A finding for each piece of context that a repository lacks."""
+def missing_context(f: DataFrame, present: DataFrame, enrich_files: int = 50) -> DataFrame:
+    """repo_id, kind, severity: a finding for each piece of context that a repository of f lacks.
+
+    present(repo_id, path) are all paths there are: the tool's own directory is not among the indexed
+    files f. Descriptions are asked for from enrich_files files on.
+    """
     has = lambda pattern: F.coalesce(F.bool_or(F.col("path").rlike(pattern)), F.lit(False))
-    seen = f.groupBy("repo_id").agg(has(r"^(AGENTS|CLAUDE)\.md\z").alias("brief"), has(r"^CONTEXT\.md\z").alias("glossary"), has(r"^docs/adr/").alias("decisions"), has(r"^\.corpuslens/memory/").alias("memory"), has(r"^\.corpuslens/enriched").alias("enriched"))
+    seen = present.groupBy("repo_id").agg(has(r"^(AGENTS|CLAUDE)\.md\z").alias("brief"), has(r"^CONTEXT\.md\z").alias("glossary"), has(r"^docs/adr/").alias("decisions"), has(r"^\.corpuslens/memory(/|\z)").alias("memory"), has(r"^\.corpuslens/enriched\.json\z").alias("enriched"))
+    counts = f.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(seen, "repo_id", "left").withColumn("enriched", F.col("enriched") | (F.col("n") < enrich_files))
     kinds = {"brief": "high", "glossary": "medium", "decisions": "low", "memory": "low", "enriched": "low"}
-    rows = F.array(*[F.when(~F.col(k), F.struct(F.lit(f"missing-{k}").alias("kind"), F.lit(v).alias("severity"))) for k, v in kinds.items()])
-    return seen.select("repo_id", F.explode(F.array_compact(rows)).alias("x")).select("repo_id", "x.*")
+    lost = F.array(*[F.when(~F.coalesce(F.col(k), F.lit(False)), F.struct(F.lit(f"missing-{k}").alias("kind"), F.lit(v).alias("severity"))) for k, v in kinds.items()])
+    return rows.select("repo_id", F.explode(F.array_compact(lost)).alias("x")).select("repo_id", "x.*")
 
 
 def malformed_notes(notes: DataFrame) -> DataFrame:

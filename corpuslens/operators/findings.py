@@ -38,13 +38,18 @@ def area_spans(f: DataFrame) -> DataFrame:
 
 
 def brief_candidates(f: DataFrame, min_files: int = 5) -> DataFrame:
-    """Directories that deserve a brief of their own, by score; those that have one are left out."""
-    rows = f.withColumn("dir", C.dir_of("path")).where("dir != ''")
-    briefed = rows.where(C.basename("path") == "AGENTS.md").select("repo_id", "dir").distinct()
+    """Areas that deserve a brief of their own, by score; those that have one are left out.
+
+    An area is a first directory, or two of them below a wrapper such as src; files at the root are in none.
+    """
+    rows = f.where(F.contains("path", F.lit("/"))).withColumn("dir", C.area_key("path"))
+    briefed = f.where(C.basename("path") == "AGENTS.md").select("repo_id", C.dir_of("path").alias("dir")).distinct()
     sums = rows.groupBy("repo_id", "dir").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("category") == "code").alias("code"), F.count_if("is_test").alias("tests"), F.sum("lines").alias("lines"), F.sum("commits").alias("commits"))
     kept = sums.where(F.col("code") >= min_files).join(briefed, ["repo_id", "dir"], "left_anti")
     score = 2 * F.col("code") + 3 * F.col("commits") + F.when(F.col("tests") == 0, 10).otherwise(0) + F.floor(F.col("lines") / 500)
-    reasons = F.array_compact(F.array(F.concat(F.col("code").cast("string"), F.lit(" code files")), F.when(F.col("commits") > 0, F.concat(F.col("commits").cast("string"), F.lit(" recent changes"))), F.when(F.col("tests") == 0, F.lit("no tests"))))
+    said = lambda c, what: F.concat(F.col(c).cast("string"), F.lit(f" {what}"))
+    size = F.when(F.col("code") >= 15, said("code", "code files, enough for a context of their own")).otherwise(said("code", "code files"))
+    reasons = F.array_compact(F.array(size, F.when(F.col("tests") == 0, F.lit("no tests here")), F.when(F.col("commits") > 0, said("commits", "recent commits")), F.when(F.col("lines") > 3000, said("lines", "lines"))))
     return kept.withColumn("score", score.cast("long")).withColumn("reasons", reasons)
 
 
@@ -104,8 +109,8 @@ def blind_languages(f: DataFrame, blind: list[str]) -> DataFrame:
 
 
 def surface_flags(f: DataFrame) -> DataFrame:
-    ui = C.ext_of("path").isin("tsx", "jsx", "vue", "svelte", "html", "css", "scss") | F.col("lang").isin("vue", "svelte")
-    api = C.basename("path").rlike(r"(?i)(openapi|swagger|postman)[^/]*\.(ya?ml|json)\z")
+    ui = F.substring_index("path", ".", -1).isin(rules.UI_EXTENSIONS) | F.col("lang").isin(rules.UI_LANGUAGES)
+    api = C.basename("path").rlike(rules.API_FILE)
     return f.groupBy("repo_id").agg(F.bool_or(ui).alias("ui"), F.bool_or(api).alias("api"))
 
 
@@ -114,11 +119,24 @@ def top_languages(f: DataFrame, k: int = 8) -> DataFrame:
     return cap_evidence(counts, ["repo_id"], [F.desc("files"), F.col("lang")], k)
 
 
-def render_reports(findings: DataFrame, repos: DataFrame, day: str) -> DataFrame:
-    """repo_id, day, report_md: one report for each repository, its findings from critical to low."""
+def render_reports(findings: DataFrame, stats: DataFrame, day: str) -> DataFrame:
+    """repo_id, day, report_md: one report for each row of stats(repo_id, files, lines, edges, tests, areas, top).
+
+    A glance at the repository, its findings from critical to low with detail and evidence, and what
+    happens next, which is another thing for a repository without files.
+    """
     fence = "```"
-    part = F.concat_ws("\n", F.concat(F.lit("### "), F.col("severity"), F.lit(": "), F.col("title")), F.when(F.size("targets") > 0, F.concat(F.lit(f"{fence}\n"), F.array_join("targets", "\n"), F.lit(f"\n{fence}"))))
+    evidence = F.when(F.size("evidence") > 0, F.concat(F.lit(f"{fence}\n"), F.array_join("evidence", "\n"), F.lit(f"\n{fence}")))
+    part = F.concat_ws("\n\n", F.concat(F.lit("#### "), F.col("title")), F.col("detail"), evidence)
     parts = findings.select("repo_id", F.struct(severity_rank("severity").alias("s"), "kind", "seq", part.alias("part")).alias("p"))
-    body = parts.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("body"))
-    text = F.concat(F.lit(f"# Findings {day}\n\n"), F.coalesce("body", F.lit("Nothing found.")))
-    return repos.select("repo_id").join(body, "repo_id", "left").select("repo_id", F.lit(day).cast("date").alias("day"), text.alias("report_md"))
+    sorted_ = parts.groupBy("repo_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    heading = [F.lit(f"### {x.capitalize()}") for x in rules.SEVERITIES]
+    at = lambda k: F.transform(F.filter("p", lambda p: p["s"] == k), lambda p: p["part"])
+    own = [at(k + 1) for k in range(len(heading))]
+    body = F.concat_ws("\n\n", *[F.when(F.size(x) > 0, F.concat_ws("\n\n", h, F.array_join(x, "\n\n"))) for h, x in zip(heading, own, strict=True)])
+    joined = stats.join(sorted_.select("repo_id", body.alias("body")), "repo_id", "left")
+    said = lambda c, what: F.concat(F.lit("- "), F.format_number(F.col(c).cast("long"), 0), F.lit(f" {what}"))
+    glance = F.concat_ws("\n", said("files", "files"), said("lines", "lines"), said("edges", "resolved imports"), said("tests", "test files"), F.concat(F.lit("- "), F.nullif("top", F.lit(""))), said("areas", "areas"))
+    after = F.when(F.col("files") == 0, "Nothing, until someone says so. There is no code yet: lay down the context layer first.").otherwise("Nothing, until someone says which findings to act on.")
+    text = F.concat_ws("\n\n", F.lit(f"# Findings {day}\n\nEach is a proposal; nothing was changed.\n\n## At a glance"), glance, F.lit("## Findings"), F.coalesce("body", F.lit("Nothing found.")), F.lit("## What happens next"), after)
+    return joined.select("repo_id", F.lit(day).cast("date").alias("day"), text.alias("report_md"))

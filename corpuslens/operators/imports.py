@@ -55,7 +55,7 @@ def _parts(spec: str, by: str) -> Column:
 
 def source_roots(files: DataFrame) -> DataFrame:
     """Java roots: what precedes src/main/java and the like, and the repository itself; longest first in root arrays."""
-    own = files.where("lang = 'java'").select("repo_id", F.regexp_extract("path", r"^(.*?(?:^|/)src/(?:main|test)/java|src)/", 1).alias("root")).where("root != ''").distinct()
+    own = files.where("lang = 'java'").select("repo_id", F.regexp_extract("path", r"^(.*?src/(?:main|test)/java)/", 1).alias("root")).where("root != ''").distinct()
     roots = own.groupBy("repo_id").agg(F.collect_set("root").alias("roots"))
     order = lambda x: F.sort_array(F.transform(x, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))), asc=False)
     return roots.select("repo_id", F.array_append(F.transform(order(F.col("roots")), lambda s: s["r"]), F.lit("")).alias("roots"))

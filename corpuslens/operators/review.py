@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import rules
 from .graph import follow_renames
 
 
@@ -25,34 +26,45 @@ def governing_docs(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """repo_id, path, doc, nearness: briefs in a changed path's directory or above, nearest first; shims are none."""
     up = F.array_append(C.ancestors("path"), F.lit(""))
     places = changed.select("repo_id", "path", F.explode(up).alias("dir"))
-    briefs = docs.where(~C.is_shim("text")).select("repo_id", F.col("path").alias("doc"), C.dir_of("path").alias("dir"))
+    briefs = docs.where(F.col("path").rlike(rules.BRIEF) & ~C.is_shim("text")).select("repo_id", F.col("path").alias("doc"), C.dir_of("path").alias("dir"))
     found = places.join(briefs, ["repo_id", "dir"])
     order = Window.partitionBy("repo_id", "path").orderBy(F.desc(F.length("dir")), "doc")
     return found.select("repo_id", "path", "doc", F.row_number().over(order).alias("nearness"))
 
 
+def brief_coverage(governing: DataFrame) -> DataFrame:
+    """repo_id, doc, dir, covers: each brief with the changed paths it governs."""
+    own = governing.groupBy("repo_id", "doc").agg(F.array_sort(F.collect_set("path")).alias("covers"))
+    return own.select("repo_id", "doc", C.dir_of("doc").alias("dir"), "covers")
+
+
 def stale_mentions(changed: DataFrame, docs: DataFrame, files: DataFrame, keep: int = 12) -> DataFrame:
-    """Lines of unchanged documents that name a changed file: by path, or by a long name that is unique.
+    """repo_id, doc, line, names, text, total: lines of unchanged context documents that name a changed file.
 
-    Lines become tokens first, so documents and changes meet in an equi-join however many there are.
+    A file is named by its path, if it lies in a directory, or by a long name that no other file has. A
+    line and a path count once; of each document the first ``keep`` pairs stay, total counts all. Any
+    character may stand in a name, so a needle is looked for under one run of its characters that the
+    lines give out as well (8 long, or 3 for a short needle) and is then found in the line itself: an
+    equi-join, however many documents and changes there are.
     """
-    unique = files.groupBy("repo_id", C.basename("path").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where((F.col("n") == 1) & (F.length("token") > 6))
-    by_name = unique.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi").select("repo_id", "token", "path")
-    by_path = changed.where(F.contains("path", F.lit("/"))).select("repo_id", F.col("path").alias("token"), "path")
-    needles = by_path.unionByName(by_name).distinct()
-    open_docs = docs.join(changed.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select("repo_id", F.col("path").alias("doc"), "text")
-    tokens = F.regexp_extract_all("text_line", F.lit("[A-Za-z0-9_./-]+"), F.lit(0))
-    clean = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, r"^\./", ""), r"[.,]+\z", ""))
-    both = F.array_distinct(F.concat(clean, F.transform(clean, lambda t: F.substring_index(t, "/", -1))))
-    said = lines(open_docs).select("repo_id", "doc", "line", F.explode(both).alias("token"))
-    hits = said.join(needles, ["repo_id", "token"]).groupBy("repo_id", "doc", "line").agg(F.array_sort(F.collect_set("path")).alias("names"))
+    unique = files.groupBy("repo_id", C.basename("path").alias("needle")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where((F.col("n") == 1) & (F.length("needle") > 6))
+    known = changed.select("repo_id", "path").distinct()
+    by_name = unique.join(known, ["repo_id", "path"], "left_semi").select("repo_id", "needle", "path")
+    by_path = known.where(F.contains("path", F.lit("/"))).select("repo_id", F.col("path").alias("needle"), "path")
+    size = F.when(F.length("needle") >= 8, 8).otherwise(3)
+    needles = by_path.unionByName(by_name).distinct().withColumn("gram", F.right("needle", size))
+    own = docs.where(F.col("path").rlike(rules.CONTEXT_DOC)).join(known, ["repo_id", "path"], "left_anti").select("repo_id", F.col("path").alias("doc"), "text")
+    grams = F.array_distinct(F.concat(C.grams("text_line", 8), C.grams("text_line", 3)))
+    said = lines(own).where("text_line != ''").select("repo_id", "doc", "line", "text_line", F.explode(grams).alias("gram"))
+    hits = said.join(needles, ["repo_id", "gram"]).where(F.contains("text_line", F.col("needle"))).select("repo_id", "doc", "line", F.col("path").alias("names"), "text_line").distinct()
     per_doc = Window.partitionBy("repo_id", "doc")
-    return hits.withColumn("total", F.count(F.lit(1)).over(per_doc)).withColumn("rank", F.row_number().over(per_doc.orderBy("line"))).where(F.col("rank") <= keep).drop("rank")
+    ranked = hits.withColumn("total", F.count(F.lit(1)).over(per_doc)).withColumn("rank", F.row_number().over(per_doc.orderBy("line", "names")))
+    return ranked.where(F.col("rank") <= keep).select("repo_id", "doc", "line", "names", C.excerpt("text_line").alias("text"), "total")
 
 
 def glossary_terms(docs: DataFrame) -> DataFrame:
     """Headings of each repository's first CONTEXT.md."""
-    own = docs.where(C.basename("path") == "CONTEXT.md").groupBy("repo_id").agg(F.min_by("text", "path").alias("text"))
+    own = docs.where(F.col("path").rlike(rules.GLOSSARY)).groupBy("repo_id").agg(F.min_by("text", "path").alias("text"))
     terms = own.select("repo_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^#{2,4}[ \t]+([^\n]+)"), F.lit(1))).alias("term"))
     return terms.withColumn("needle", C.glossary_needle("term")).where("needle is not null and needle != ''")
 
@@ -72,23 +84,25 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 
 
 def citation_drift(docs: DataFrame, files: DataFrame, renames: DataFrame) -> DataFrame:
-    """Citations that no file or directory answers, from the document's directory or the root.
+    """repo_id, doc, line, text, cited, class, suggestion: citations that no file or directory answers.
 
-    A suspected one whose file was renamed to one that exists is provable, with the new path as suggestion.
+    Looked up from the document's directory, with ``..`` taken out, then as written from the root.
+    Context documents speak, but for those under templates/. A suspected citation whose path was
+    renamed to one that exists is provable, with the new path as suggestion.
     """
     known = files.select("repo_id", F.col("path").alias("target")).unionByName(ancestors(files).withColumnRenamed("dir", "target")).distinct()
-    cited = extract_citations(docs.where(~F.col("path").rlike(r"(^|/)templates/")))
-    cited = cited.withColumn("near", C.normalize_path(C.dir_of("doc"), "cited")).withColumn("root", C.normalize_path(F.lit(""), "cited"))
+    cited = extract_citations(docs.where(F.col("path").rlike(rules.CONTEXT_DOC) & ~F.col("path").startswith("templates/")))
+    cited = cited.withColumn("near", C.normalize_path(C.dir_of("doc"), "cited")).withColumn("root", F.col("cited"))
     open_ = cited
     for place in ("near", "root"):
         open_ = open_.join(known.withColumnRenamed("target", place), ["repo_id", place], "left_anti")
     final = follow_renames(renames)
     landed = final.join(known, (final["repo_id"] == known["repo_id"]) & (final["final_path"] == known["target"]), "left_semi")
-    hop = lambda c: landed.select("repo_id", F.col("old_path").alias(c), F.col("final_path").alias(f"{c}_to"))
-    joined = open_.join(hop("near"), ["repo_id", "near"], "left").join(hop("root"), ["repo_id", "root"], "left")
+    hops = landed.select("repo_id", F.col("old_path").alias("cited"), F.col("final_path").alias("to"))
+    joined = open_.join(hops, ["repo_id", "cited"], "left")
     kind = C.citation_class("doc", "text_line")
-    to = F.coalesce("near_to", "root_to")
-    return joined.select("repo_id", "doc", "line", "text_line", "cited", F.when((kind == "suspected") & to.isNotNull(), "provable").otherwise(kind).alias("class"), F.when(kind == "suspected", to).alias("suggestion"))
+    proven = (kind == "suspected") & F.col("to").isNotNull()
+    return joined.select("repo_id", "doc", "line", C.excerpt("text_line").alias("text"), "cited", F.when(proven, "provable").otherwise(kind).alias("class"), F.when(proven, F.col("to")).alias("suggestion"))
 
 
 def drift_counts(drift: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -38,12 +38,21 @@ def _hits(text: Column, kind: str, words: list[str], pattern: str) -> Column:
     return F.when(tried, C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lines)).otherwise(none)
 
 
+def found_secrets(text: Column | str) -> Column:
+    """Matches of every rule but placeholders, as an array of (kind, line, match); unredacted, for use inside a job only."""
+    every = F.concat(*[_hits(F.coalesce(C.col(text), F.lit("")), *rule) for rule in rules.SECRETS])
+    return F.filter(every, lambda x: ~C.is_placeholder(x["match"]))
+
+
+def secret_kinds(text: Column | str) -> Column:
+    """The kinds of secret in a text, sorted, each once, and never a value."""
+    return F.array_sort(F.array_distinct(F.transform(found_secrets(text), lambda x: x["kind"])))
+
+
 def secret_matches(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
     """keys, kind, line, match of every rule; unredacted, for use inside a job only."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = F.concat(*[_hits(text, *rule) for rule in rules.SECRETS])
-    rows = docs.select(*keys, every.alias("found")).where(F.size("found") > 0)
-    return rows.select(*keys, F.explode("found").alias("x")).select(*keys, "x.kind", "x.line", "x.match").where(~C.is_placeholder("match"))
+    rows = docs.select(*keys, F.explode(found_secrets(text_col)).alias("x"))
+    return rows.select(*keys, "x.kind", "x.line", "x.match")
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
@@ -59,23 +68,43 @@ def scan_scope(file_text: DataFrame, max_bytes: int = 400_000) -> DataFrame:
 
 def gate(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys, is_clean, kinds (sorted, never a value) for every row."""
-    hits = scan_secrets(df, text_col, keys).groupBy(*keys).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    joined = df.select(*keys).join(hits, list(keys), "left")
-    return joined.select(*keys, F.col("kinds").isNull().alias("is_clean"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    return df.select(*keys, secret_kinds(text_col).alias("kinds")).select(*keys, (F.size("kinds") == 0).alias("is_clean"), "kinds")
 
 
-def secret_findings(hits: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
-    """A finding for each repository: critical if any hit is outside fixtures, else medium; exempt files as low."""
-    rolled = hits.groupBy("repo_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("path").alias("files"), F.bool_or(~C.is_fixture_path("path")).alias("real"))
-    out = rolled.select("repo_id", F.lit("secrets").alias("kind"), F.when(F.col("real"), "critical").otherwise("medium").alias("severity"), "hits", "files")
-    if exempt is not None:
-        low = exempt.groupBy("repo_id").agg(F.count(F.lit(1)).alias("files")).select("repo_id", F.lit("secrets-exempt").alias("kind"), F.lit("low").alias("severity"), F.lit(0).cast("long").alias("hits"), "files")
-        out = out.unionByName(low)
-    return out
+def leaky_files(file_text: DataFrame, max_bytes: int = 400_000) -> DataFrame:
+    """repo_id, path, hits, kinds (in order of the rules), exempt, fixture of the files in scope that hold a secret."""
+    scope = scan_scope(file_text, max_bytes).select("repo_id", "path", found_secrets("text").alias("found"), "exempt")
+    kinds = F.array_distinct(F.transform("found", lambda x: x["kind"]))
+    return scope.where(F.size("found") > 0).select("repo_id", "path", F.size("found").alias("hits"), kinds.alias("kinds"), "exempt", C.is_fixture_path("path").alias("fixture"))
+
+
+def secret_findings(leaky: DataFrame, evidence: int = 20) -> DataFrame:
+    """repo_id, kind, severity, hits, files, evidence, targets of leaky_files.
+
+    Critical, counting the files outside fixtures, if there are any; else medium, counting all. All
+    paths are targets, the first so many evidence. Exempt files are one low finding of their own.
+    """
+    open_ = leaky.where("not exempt")
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
+    named = open_.withColumn("rank", rank).withColumn("said", F.concat_ws(": ", "path", F.array_join("kinds", ", ")))
+    rolled = named.groupBy("repo_id").agg(
+        F.sum("hits").alias("all_hits"),
+        F.count(F.lit(1)).alias("all_files"),
+        F.sum(F.when(~F.col("fixture"), F.col("hits"))).alias("real_hits"),
+        F.count_if(~F.col("fixture")).alias("real_files"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= evidence, F.col("said")))).alias("evidence"),
+        F.array_sort(F.collect_list("path")).alias("targets"),
+    )
+    real = F.col("real_files") > 0
+    pick = lambda c: F.when(real, F.col(f"real_{c}")).otherwise(F.col(f"all_{c}")).alias(c)
+    out = rolled.select("repo_id", F.lit("secrets").alias("kind"), F.when(real, "critical").otherwise("medium").alias("severity"), pick("hits"), pick("files"), "evidence", "targets")
+    none = F.array().cast("array<string>")
+    low = leaky.where("exempt").groupBy("repo_id").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("files"))
+    return out.unionByName(low.select("repo_id", F.lit("secrets-exempt").alias("kind"), F.lit("low").alias("severity"), "hits", "files", none.alias("evidence"), none.alias("targets")))
 
 
 def firewall_hits(notes: DataFrame, terms: list[str]) -> DataFrame:
     """Lines that hold a listed term, whatever its case."""
-    lines = notes.select("vault_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    found = F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower("line"), t))
+    lines = notes.select("vault_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("n", "said"))
+    found = F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower("said"), t))
     return lines.select("vault_id", "path", (F.col("n") + 1).alias("line"), F.explode(found).alias("term"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,50 +12,57 @@ from ..functions import columns as C
 from ..functions import rules
 
 
-def _signals(spark) -> DataFrame:
-    rows = [(i, label, kind, deps.split(), manifest, file, alone, manifest is not None) for i, label, kind, deps, manifest, file, alone in rules.SIGNALS]
-    return spark.createDataFrame(rows, "signal_id string, label string, kind string, deps array<string>, manifest string, file string, alone boolean, by_manifest boolean")
+def names_dependency(text: Column, path: Column, dep: str) -> Column:
+    """A JSON manifest has the dependency as a key; others as a token of its own."""
+    quoted = re.sub(r"([\\.^$|()\[\]{}+?*/@-])", r"\\\1", dep)
+    return F.when(path.endswith(".json"), text.rlike(rf'"{quoted}"\s*:')).otherwise(text.rlike(rf"(?i)(^|[^A-Za-z0-9_-]){quoted}([^A-Za-z0-9_-]|\z)"))
 
 
-def names_dependency(text: Column, path: Column, dep: Column) -> Column:
-    """A JSON manifest has the dependency as a key; others as a token of its own."""
-    quoted = F.regexp_replace(dep, r"([\\.^$|()\[\]{}+?*/@-])", r"\\$1")
-    key = F.concat(F.lit('"'), quoted, F.lit(r'"\s*:'))
-    token = F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_-])"), quoted, F.lit(r"([^A-Za-z0-9_-]|\z)"))
-    return F.regexp_like(text, F.when(path.endswith(".json"), key).otherwise(token))
+def _proven(cases: list[tuple[str, Column]]) -> Column:
+    return F.explode(F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in cases])))
 
 
 def detect_stack(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """repo_id, kind, signal_id, label of what manifests and files prove.
 
-    The signal table is broadcast (one row for each rule). A signal with both kinds of evidence needs
-    both, unless its file is enough alone.
+    All rules are expressions over a row, so a manifest or a file is read once and gives a row for each
+    signal that it proves. A signal with both kinds of evidence needs both, unless its file is enough
+    alone; one without dependencies needs its file only.
     """
-    rules_ = F.broadcast(_signals(files.sparkSession))
-    in_manifest = manifests.join(rules_, F.regexp_like(manifests["path"], F.col("manifest")))
-    hit = (F.size("deps") == 0) | F.exists("deps", lambda d: names_dependency(F.col("text"), F.col("path"), d))
-    by_manifest = in_manifest.where(hit).select("repo_id", "signal_id", F.lit("m").alias("how"))
-    by_file = files.join(rules_.where("file is not null"), F.regexp_like(files["path"], F.col("file"))).select("repo_id", "signal_id", F.lit("f").alias("how"))
-    seen = by_manifest.unionByName(by_file).groupBy("repo_id", "signal_id").agg(F.bool_or(F.col("how") == "m").alias("m"), F.bool_or(F.col("how") == "f").alias("f"))
-    needs = (F.col("f") & F.col("alone")) | (F.col("m") & (F.col("file").isNull() | F.col("alone") | F.col("f")))
-    return seen.join(rules_, "signal_id").where(needs).select("repo_id", "kind", "signal_id", "label")
+    text, path = F.col("text"), F.col("path")
+    by_manifest, by_file = [], []
+    for name, _, _, deps, manifest, file, _ in rules.SIGNALS:
+        if manifest is not None:
+            hit = reduce(lambda a, b: a | b, [names_dependency(text, path, d) for d in deps]) if deps else F.lit(True)
+            by_manifest.append((name, path.rlike(manifest) & hit))
+        if file is not None:
+            by_file.append((name, path.rlike(file)))
+    said = manifests.select("repo_id", _proven(by_manifest).alias("signal_id"), F.lit("m").alias("how"))
+    shown = files.select("repo_id", _proven(by_file).alias("signal_id"), F.lit("f").alias("how"))
+    seen = said.unionByName(shown).groupBy("repo_id", "signal_id").agg(F.bool_or(F.col("how") == "m").alias("m"), F.bool_or(F.col("how") == "f").alias("f"))
+    known = [(i, label, kind, bool(deps), manifest is not None, file is not None, alone) for i, label, kind, deps, manifest, file, alone in rules.SIGNALS]
+    table = files.sparkSession.createDataFrame(known, "signal_id string, label string, kind string, has_deps boolean, by_manifest boolean, by_file boolean, alone boolean")
+    both = F.when(F.col("has_deps"), F.col("m") & F.col("f")).otherwise(F.col("f"))
+    needs = F.when(~F.col("by_file"), F.col("m")).when(~F.col("by_manifest"), F.col("f")).when(F.col("alone"), F.col("m") | F.col("f")).otherwise(both)
+    return seen.join(F.broadcast(table), "signal_id").where(needs).select("repo_id", "kind", "signal_id", "label")  # a row for each rule
 
 
 def stack_arrays(stack: DataFrame, stats: DataFrame) -> DataFrame:
     kinds = {"language": "languages", "framework": "frameworks", "data": "data", "service": "services", "test": "test", "delivery": "delivery"}
-    own = stack.groupBy("repo_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("signal_id")))).alias(name) for k, name in kinds.items()])
+    own = stack.groupBy("repo_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("signal_id")))).alias(name) for k, name in kinds.items()])
     return own.join(stats.select("repo_id", "tests", "files"), "repo_id")
 
 
-def register_rule(table: list[tuple[str, int, str]], rule_id: str, rank: int, predicate_sql: str) -> list[tuple[str, int, str]]:
-    """A rule table with one more rule, given as SQL over the columns of stack_arrays."""
-    return [*table, (rule_id, rank, predicate_sql)]
+def register_rule(table: list[tuple], rule_id: str, rank: int, predicate_sql: str, title: str = "", why_sql: str = "''") -> list[tuple]:
+    """A rule table with one more rule: when it holds and why, as SQL over the columns of stack_arrays."""
+    return [*table, (rule_id, rank, predicate_sql, title, why_sql)]
 
 
-def recommend(stack: DataFrame, stats: DataFrame, table: list[tuple[str, int, str]] = rules.SKILLS) -> DataFrame:
-    """repo_id, skill_id, rank; a repository without any stack gets none."""
+def recommend(stack: DataFrame, stats: DataFrame, table: list[tuple] = rules.SKILLS) -> DataFrame:
+    """repo_id, skill_id, rank, title, why; a repository without any stack gets none."""
     rows = stack_arrays(stack, stats)
-    met = F.array_compact(F.array(*[F.when(F.expr(sql), F.struct(F.lit(i).alias("skill_id"), F.lit(r).alias("rank"))) for i, r, sql in table]))
+    said = lambda i, r, title, why: F.struct(F.lit(i).alias("skill_id"), F.lit(r).alias("rank"), F.lit(title).alias("title"), F.expr(why).alias("why"))
+    met = F.array_compact(F.array(*[F.when(F.expr(sql), said(i, r, title, why)) for i, r, sql, title, why in table]))
     return rows.select("repo_id", F.explode(met).alias("x")).select("repo_id", "x.*")
 
 

@@ -71,7 +71,8 @@ def test_citation_class(one):
 
 def test_shim(one):
     assert one(C.is_shim("t"), t="@AGENTS.md\n") is True
-    assert one(C.is_shim("t"), t="") is True
+    assert one(C.is_shim("t"), t="") is False
+    assert one(C.is_shim("t"), t="\n\n @AGENTS.md \n") is True
     assert one(C.is_shim("t"), t="@AGENTS.md\nmore") is False
 
 
