@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,25 +56,41 @@ def _nodes(e: DataFrame) -> DataFrame:
     return e.select("repo_id", F.col("src").alias("node")).unionByName(e.select("repo_id", F.col("dst").alias("node"))).distinct()
 
 
+def _peel(e: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges by the round in which they went, and those that stay for ever.
+
+    A round takes the edges to nodes that have none of their own: to sinks, then to what is a sink
+    without them, and so on. An edge that goes in round k ends at a node whose longest way down has k
+    edges. What stays leads into a cycle. A round is one table, which holds both parts.
+    """
+    left, gone, level = settle(e.select("repo_id", "src", "dst"), name), [], 0
+    while True:
+        waiting = left.select("repo_id", F.col("src").alias("dst")).distinct().withColumn("waits", F.lit(True))
+        marked = settle(left.join(waiting, ["repo_id", "dst"], "left").select("repo_id", "src", "dst", F.col("waits").isNotNull().alias("waits")), name)
+        removed = marked.where("not waits").drop("waits")
+        if not removed.take(1):
+            break
+        gone.append(removed.withColumn("level", F.lit(level)))
+        left, level = marked.where("waits").drop("waits"), level + 1
+    return reduce(DataFrame.unionByName, gone) if gone else left.withColumn("level", F.lit(0)).limit(0), left
+
+
+def _turned(e: DataFrame) -> DataFrame:
+    return e.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def scc(e: DataFrame) -> DataFrame:
     """repo_id, node, scc (its largest node), is_cyclic for all nodes of the edges.
 
-    Nodes without an edge in or out among what is left are alone. Of the rest, each takes the largest
+    Nodes that lie on no way from a cycle to a cycle are alone. Of the rest, each takes the largest
     label that reaches it; nodes of one colour that reach the node of that name form its component.
     Both are joins repeated until nothing changes, and every round retires at least one component of
     each repository that still has a cycle.
     """
-    left = settle(e.where("src != dst").select("repo_id", "src", "dst").distinct(), "scc-edges")
-    done = None
+    whole = settle(e.where("src != dst").select("repo_id", "src", "dst").distinct(), "scc-edges")
+    left, done = whole, None
     while True:
-        while True:  # trim
-            both = left.select("repo_id", F.col("src").alias("node")).intersect(left.select("repo_id", F.col("dst").alias("node")))
-            inner = left.join(both.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi").join(both.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi")
-            inner = settle(inner.select("repo_id", "src", "dst"), "scc-trim")
-            shrunk = inner.count() < left.count()
-            left = inner
-            if not shrunk:
-                break
+        left = _turned(_peel(_turned(_peel(left, "scc-peel")[1]), "scc-peel")[1])
         if not left.take(1):
             break
         colour = settle(_nodes(left).withColumn("colour", F.col("node")), "scc-colour")
@@ -95,8 +113,7 @@ def scc(e: DataFrame) -> DataFrame:
         done = members if done is None else done.unionByName(members)
         for end in ("src", "dst"):
             left = left.join(members.select("repo_id", F.col("node").alias(end)), ["repo_id", end], "left_anti")
-        left = settle(left.select("repo_id", "src", "dst"), "scc-left")
-    nodes = _nodes(e.where("src != dst"))
+    nodes = _nodes(whole)
     if done is None:
         return nodes.select("repo_id", "node", F.col("node").alias("scc"), F.lit(False).alias("is_cyclic"))
     size = done.groupBy("repo_id", "colour").agg(F.count(F.lit(1)).alias("size"))
@@ -108,49 +125,61 @@ def scc(e: DataFrame) -> DataFrame:
 def depth(e: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """repo_id, node, depth, scc, is_cyclic: the longest path down the condensation; 0 imports nothing.
 
-    Round k takes the components all of whose dependencies have a depth already.
+    Components are looked for only among what leads into a cycle. Given components that leave a cycle
+    between them are an error.
     """
-    comp = settle(components if components is not None else scc(e), "depth-scc")
-    name = lambda end, c: comp.select("repo_id", F.col("node").alias(end), F.col("scc").alias(c))
-    links = e.select("repo_id", "src", "dst").join(name("src", "a"), ["repo_id", "src"]).join(name("dst", "b"), ["repo_id", "dst"]).where("a != b").select("repo_id", "a", "b").distinct()
-    links = settle(links, "depth-links")
-    open_ = settle(comp.select("repo_id", F.col("scc").alias("a")).distinct(), "depth-open")
-    level, placed = 0, []
-    while open_.take(1):
-        waiting = links.select("repo_id", "a").distinct()
-        ready = settle(open_.join(waiting, ["repo_id", "a"], "left_anti").withColumn("depth", F.lit(level)), "depth-level")
-        placed.append(ready)
-        gone = ready.select("repo_id", F.col("a").alias("b"))
-        links = settle(links.join(gone, ["repo_id", "b"], "left_anti").select("repo_id", "a", "b"), "depth-links")
-        open_ = settle(open_.join(ready, ["repo_id", "a"], "left_anti"), "depth-open")
-        level += 1
-    levels = placed[0]
-    for x in placed[1:]:
-        levels = levels.unionByName(x)
-    return comp.join(levels.withColumnRenamed("a", "scc"), ["repo_id", "scc"]).select("repo_id", "node", "depth", "scc", "is_cyclic")
+    whole = settle(e.where("src != dst").select("repo_id", "src", "dst").distinct(), "depth-edges")
+    gone, rest = _peel(whole, "depth-peel")
+    cyclic = bool(rest.take(1))
+    own = components if components is not None else scc(rest) if cyclic else None
+    if own is not None:
+        comp = settle(own.select("repo_id", "node", "scc", "is_cyclic"), "depth-scc")
+        for end, name in (("src", "a"), ("dst", "b")):
+            whole = whole.join(comp.select("repo_id", F.col("node").alias(end), F.col("scc").alias(name)), ["repo_id", end], "left").withColumn(name, F.coalesce(name, end))
+        links = whole.where("a != b").select("repo_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        gone, rest = _peel(links, "depth-peel")
+        if rest.take(1):
+            raise ValueError("the components leave a cycle between them")
+    levels = settle(gone.groupBy("repo_id", F.col("src").alias("scc")).agg((F.max("level") + 1).alias("depth")), "depth-levels")
+    nodes = _nodes(e.where("src != dst"))
+    if own is None:
+        named = nodes.select("repo_id", "node", F.col("node").alias("scc"), F.lit(False).alias("is_cyclic"))
+    else:
+        named = nodes.join(comp, ["repo_id", "node"], "left").select("repo_id", "node", F.coalesce("scc", "node").alias("scc"), F.coalesce("is_cyclic", F.lit(False)).alias("is_cyclic"))
+    return named.join(levels, ["repo_id", "scc"], "left").select("repo_id", "node", F.coalesce("depth", F.lit(0)).alias("depth"), "scc", "is_cyclic")
 
 
 def layers(depths: DataFrame) -> DataFrame:
     return depths.groupBy("repo_id", "depth").agg(F.count(F.lit(1)).alias("files"), F.min("node").alias("first_path"), F.max("node").alias("last_path"))
 
 
+def _ends(hop: DataFrame, most: int) -> DataFrame:
+    """repo_id, old_path, final_path of hop(repo_id, old_path, new_path), followed to the end or for most steps at least.
+
+    Each round doubles how far every pointer has gone; a row is a pointer and stays so.
+    """
+    links, far = hop.select("repo_id", "old_path", F.col("new_path").alias("final_path"), F.lit(True).alias("moved")), 1
+    while far <= most and links.where("moved").take(1):
+        ahead = links.select("repo_id", F.col("old_path").alias("final_path"), F.col("final_path").alias("further"))
+        joined = links.join(ahead, ["repo_id", "final_path"], "left")
+        links = settle(joined.select("repo_id", "old_path", F.coalesce("further", "final_path").alias("final_path"), F.col("further").isNotNull().alias("moved")), "renames")
+        far *= 2
+    return links.drop("moved")
+
+
 def follow_renames(renames: DataFrame) -> DataFrame:
-    """repo_id, old_path, final_path: the newest record of each source, followed to its end; cycles stop."""
+    """repo_id, old_path, final_path: the newest record of each source, followed to its end.
+
+    A chain that runs into a cycle ends where it meets it; paths on a cycle end nowhere and are left out.
+    """
     newest = F.row_number().over(Window.partitionBy("repo_id", "old_path").orderBy("seq"))
-    hop = renames.withColumn("n", newest).where("n = 1 and old_path != new_path").select("repo_id", "old_path", "new_path")
-    links = settle(hop.select("repo_id", "old_path", F.col("new_path").alias("final_path"), F.array("old_path", "new_path").alias("way")), "renames")
-    while True:  # each round doubles how far every record has been followed
-        ahead = links.select("repo_id", F.col("old_path").alias("final_path"), F.col("way").alias("more"))
-        joined = links.join(ahead, ["repo_id", "final_path"], "left")
-        fresh = F.filter("more", lambda p: ~F.array_contains(F.col("way"), p))
-        # a rename that leads back stops before it repeats a path
-        stop = F.array_position(F.transform("more", lambda p: F.array_contains(F.slice("way", F.lit(1), F.size("way") - 1), p)), True)
-        take = F.when(F.col("more").isNull(), F.array().cast("array<string>")).when(stop > 0, F.filter(F.slice("more", F.lit(1), (stop - 1).cast("int")), lambda p: ~F.array_contains(F.col("way"), p))).otherwise(fresh)
-        moved = joined.select("repo_id", "old_path", F.concat("way", take).alias("longer"), (F.size(take) > 0).alias("moved"))
-        links = settle(moved.select("repo_id", "old_path", F.element_at("longer", -1).alias("final_path"), F.col("longer").alias("way"), "moved"), "renames")
-        if not links.where("moved").take(1):
-            return links.select("repo_id", "old_path", "final_path")
-        links = links.drop("moved")
+    hop = settle(renames.withColumn("n", newest).where("n = 1 and old_path != new_path").select("repo_id", "old_path", "new_path"), "renames")
+    most = hop.groupBy("repo_id").count().agg(F.max("count")).first()[0] or 0
+    ends = _ends(hop, most)
+    # where a pointer still can go on after as many steps as there are records, it has come to lie on a cycle
+    cyclic = ends.join(hop.select("repo_id", F.col("old_path").alias("final_path")), ["repo_id", "final_path"], "left_semi").select("repo_id", F.col("final_path").alias("old_path")).distinct()
+    cyclic = settle(cyclic, "rename-cycles")
+    return _ends(hop.join(cyclic, ["repo_id", "old_path"], "left_anti"), most) if cyclic.take(1) else ends
 
 
 def coverage_of(radius: DataFrame, cov: DataFrame) -> DataFrame:

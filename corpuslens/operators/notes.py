@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..tables import broadcast_if_small, settle
+from .files import in_project
 
 
 def extract_wikilinks(notes: DataFrame) -> DataFrame:
@@ -62,42 +64,59 @@ def remove_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
     return joined.withColumn("text", text).drop("lost"), archived
 
 
-def recall(notes: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """The best notes for a query: occurrences of its tokens, then the newest, then the path."""
+def recall(notes: DataFrame, query: str, limit: int = 8, project: str | None = None) -> DataFrame:
+    """The best notes for a query, of one project if it is named: occurrences of its tokens, then the newest, then the path."""
     terms = C.tokenize(F.lit(query))
-    scored = notes.withColumn("score", C.recall_score("text", terms)).where("score > 0")
+    own = notes if project is None else in_project(notes, project)
+    scored = own.withColumn("score", C.recall_score("text", terms)).where("score > 0")
     return scored.orderBy(F.desc("score"), F.desc("mtime"), "path").limit(limit).select("vault_id", "path", "score", C.snippet("text", terms).alias("snippet"))
 
 
-def recall_many(notes: DataFrame, queries: DataFrame, limit: int = 8, block: int = 256) -> DataFrame:
+def recall_many(notes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, path, score, rank for each of queries(query_id, query), a stated set.
 
-    The set's distinct terms go in blocks over the notes: a text is lower-cased once a block, and only
-    terms that occur in it become rows, which then meet the queries that ask for them.
+    A term is letters and digits, so each of its occurrences lies inside one run of letters and digits
+    of a text. The distinct runs of all notes are cut into pieces as long as terms are and meet the
+    terms once; notes then only look up what their runs hold. Work grows with texts and with the
+    vocabulary, not with texts times terms.
     """
     asked = queries.select("query_id", F.explode(C.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = settle(asked, "asked")
     terms = asked.select("term").distinct()
-    blocks = max(1, -(-terms.count() // block))
-    lists = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks))).agg(F.collect_list("term").alias("terms")).select("terms")
-
-    def counted(text: Column) -> Column:
-        return F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), C.term_count(text, t).alias("n"))), lambda x: x["n"] > 0)
-
-    found = notes.select("path", "text", "mtime").join(F.broadcast(lists)).select("path", "mtime", F.explode(C.let(F.lower("text"), counted)).alias("x")).select("path", "mtime", "x.*")
+    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a few numbers
+    runs = notes.select("path", "mtime", F.explode(C.tokenize("text")).alias("run"))
+    pieces = F.flatten(F.array(*[C.grams("run", n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    held = runs.select("run").distinct().select("run", F.explode(F.array_distinct(pieces)).alias("term"))
+    held = held.join(broadcast_if_small(settle(terms, "terms")), "term").select("run", "term", C.term_count(F.col("run"), F.col("term")).alias("n"))
+    found = runs.join(broadcast_if_small(settle(held, "held")), "run").groupBy("path", "mtime", "term").agg(F.sum("n").alias("n"))
     scored = found.join(asked, "term").groupBy("query_id", "path", "mtime").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("mtime"), "path")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "path", "score", "rank")
 
 
 def catch_up(notes: DataFrame, commits: DataFrame, project: str, since: Column) -> tuple[DataFrame, DataFrame]:
-    return recall(notes, project, 50), commits.where((F.col("repo_id") == project) & (F.col("ts") >= since))
+    """The 50 notes of a project that say most of it, and its commits since then."""
+    return recall(notes, project, 50, project), commits.where((F.col("repo_id") == project) & (F.col("ts") >= since))
+
 
+def digest(commits: DataFrame, since: Column, merged: DataFrame | None = None) -> DataFrame:
+    """repo_id, digest: ``- sha subject (author, date)`` lines of commits since then, newest first, and of what was merged.
+
+    merged(repo_id, number, title, ts) gives ``- #number title`` lines under a heading of their own,
+    where there are any.
+    """
 
-def digest(commits: DataFrame, since: Column) -> DataFrame:
-    """repo_id, digest: ``- sha subject (author, date)`` lines of commits since then, newest first."""
-    line = F.format_string("- %s %s (%s, %s)", "sha", "subject", "author", C.day_stamp("ts"))
-    own = commits.where(F.col("ts") >= since).groupBy("repo_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "sha", line.alias("line"))), asc=False), lambda x: x["line"]), "\n").alias("digest"))
-    return commits.select("repo_id").distinct().join(own, "repo_id", "left").select("repo_id", F.coalesce("digest", F.lit("(none)")).alias("digest"))
+    def block(rows: DataFrame, line: Column, name: str) -> DataFrame:
+        own = rows.where(F.col("ts") >= since).select("repo_id", F.struct("ts", line.alias("line")).alias("x"))
+        return own.groupBy("repo_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x"), asc=False), lambda x: x["line"]), "\n").alias(name))
+
+    out = commits.select("repo_id").distinct()
+    out = out.join(block(commits, F.format_string("- %s %s (%s, %s)", "sha", "subject", "author", C.day_stamp("ts")), "said"), "repo_id", "left")
+    text = F.concat(F.lit("### Commits\n"), F.coalesce("said", F.lit("- (none)")))
+    if merged is not None:
+        out = out.join(block(merged, F.format_string("- #%s %s", F.col("number").cast("string"), "title"), "merged"), "repo_id", "left")
+        text = F.concat_ws("\n\n", text, F.concat(F.lit("### Merged\n"), F.col("merged")))
+    return out.select("repo_id", text.alias("digest"))
 
 
 def open_actions(notes: DataFrame) -> DataFrame:

@@ -48,22 +48,32 @@ def read_tracked(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("value != ''").select("repo_id", F.col("value").alias("path")).dropDuplicates()
 
 
+def _log_lines(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """repo_id, value, at: the lines of <repo_id>.<ending> files, and their order, without reading a file whole."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at"))
+    return raw.select(F.regexp_extract("file", rf"([^/]+)\.{ending}$", 1).alias("repo_id"), "value", "at")
+
+
 def read_touches(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
-    """sha, ts, path from whole change logs: ``@sha epoch`` headers, each followed by its paths."""
-    raw = spark.read.text(path, wholetext=True).withColumn("repo_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.log", 1))
-    parts = raw.select("repo_id", F.explode(F.filter(F.split("value", r"(?m)^@"), lambda x: x != "")).alias("entry"))
-    head = F.regexp_extract("entry", r"^(\S+) (\d+)", 1), F.regexp_extract("entry", r"^(\S+) (\d+)", 2)
-    rows = parts.select("repo_id", head[0].alias("sha"), F.timestamp_seconds(head[1].cast("long")).alias("ts"), F.explode(F.slice(F.split("entry", "\n"), 2, 1 << 30)).alias("path"))
-    rows = rows.where("path != ''")
+    """repo_id, sha, ts, path from change logs: ``@sha epoch`` headers, each followed by its paths.
+
+    A line belongs to the last header before it.
+    """
+    header = r"^@(\S+) (\d+)\s*$"
+    lines = _log_lines(spark, path, "log")
+    head = F.when(F.col("value").rlike(header), F.struct(F.regexp_extract("value", header, 1).alias("sha"), F.timestamp_seconds(F.regexp_extract("value", header, 2).cast("long")).alias("ts")))
+    own = F.last("head", ignorenulls=True).over(Window.partitionBy("repo_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("head", head).withColumn("own", own).where("head is null and own is not null and value != ''")
+    rows = rows.select("repo_id", "own.sha", "own.ts", F.col("value").alias("path"))
     return rows if since is None else rows.where(F.col("ts") >= since)
 
 
 def read_renames(spark: SparkSession, path: str) -> DataFrame:
-    """seq, old_path, new_path; seq rises with age, the log being newest first."""
-    raw = spark.read.text(path, wholetext=True).withColumn("repo_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.renames", 1))
-    lines = raw.select("repo_id", F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(F.col("line").rlike(r"^R\d*\t"))
-    parts = F.split("line", "\t")
-    return lines.select("repo_id", F.col("seq").cast("long"), F.get(parts, F.lit(1)).alias("old_path"), F.get(parts, F.lit(2)).alias("new_path"))
+    """repo_id, seq, old_path, new_path; seq rises with age, the log being newest first."""
+    lines = _log_lines(spark, path, "renames").where(F.col("value").rlike(r"^R\d*\t"))
+    parts = F.split("value", "\t")
+    seq = F.row_number().over(Window.partitionBy("repo_id").orderBy("at")).cast("long")
+    return lines.select("repo_id", seq.alias("seq"), F.get(parts, F.lit(1)).alias("old_path"), F.get(parts, F.lit(2)).alias("new_path"))
 
 
 def read_manifests(file_text: DataFrame) -> DataFrame:
@@ -103,7 +113,7 @@ def memory_from_files(file_text: DataFrame) -> DataFrame:
     entries = F.regexp_extract_all("text", F.lit(r"(?s)(?:^|\n)(## \d{2}:\d{2} · .*?)(?=\n## \d{2}:\d{2} · |\z)"), F.lit(1))
     rows = file_text.where(C.basename("path").rlike(DAY_FILE)).select("repo_id", day.alias("day"), F.explode(entries).alias("entry"))
     at = F.regexp_extract("entry", r"^## (\d{2}:\d{2}) · ([^\n]*)", 1)
-    body = F.trim(F.regexp_replace("entry", r"^## [^\n]*\n*", ""))
+    body = F.regexp_replace("entry", r"^## [^\n]*\s*|\s+\z", "")
     return rows.select("repo_id", "day", F.to_timestamp(F.concat_ws(" ", "day", at)).alias("ts"), F.regexp_extract("entry", r"^## \d{2}:\d{2} · ([^\n]*)", 1).alias("kind"), body.alias("body"))
 
 

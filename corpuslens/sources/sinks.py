@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..operators.secrets import gate
+from ..operators.secrets import secret_kinds
 
 
 def write_index(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
@@ -20,20 +20,21 @@ def write_index(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> N
 def split_entries(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries (entry_id, body, …) that may be written, and entry_id with kinds of those refused.
 
-    Empty entries are refused as ``empty``; a secret is refused and never cleaned away.
+    Empty entries are refused as ``empty``; a secret is refused and never cleaned away. The verdict is
+    a column of the row, so rows without an id or with one id are each written or refused once.
     """
-    verdicts = gate(df, "body", ("entry_id",))
-    judged = df.join(verdicts, "entry_id")
-    blank = F.trim(F.coalesce("body", F.lit(""))) == ""
-    ok = F.col("is_clean") & ~blank
-    refused = judged.where(~ok).select("entry_id", F.when(blank, F.array(F.lit("empty"))).otherwise(F.col("kinds")).alias("kinds"))
-    return judged.where(ok).drop("is_clean", "kinds"), refused
+    blank = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s", "") == ""
+    judged = df.withColumn("refused__", F.when(blank, F.array(F.lit("empty"))).otherwise(secret_kinds("body")))
+    return judged.where("size(refused__) = 0").drop("refused__"), judged.where("size(refused__) > 0").select("entry_id", F.col("refused__").alias("kinds"))
 
 
-def append_memory(df: DataFrame, path: str) -> DataFrame:
-    """Appends clean entries (entry_id, repo_id, ts, kind, body) to day partitions; returns the refused ones."""
+def append_memory(df: DataFrame, path: str, batch: str) -> DataFrame:
+    """Writes clean entries (entry_id, repo_id, ts, kind, body) to day partitions under path/batch=…; returns the refused ones.
+
+    A batch that is written again replaces what it wrote; others stay.
+    """
     clean, refused = split_entries(df)
-    clean.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    clean.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
     return refused
 
 

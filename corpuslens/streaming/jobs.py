@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import split_entries
+from ..sources.sinks import append_memory
 
 
 def _start(df: DataFrame, checkpoint: str, mode: str = "append"):
@@ -20,9 +20,9 @@ def stream_gate(src: DataFrame, memory: str, quarantine: str, checkpoint: str) -
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        clean, refused = split_entries(batch)
-        clean.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{memory}/batch={number}")
-        refused.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        held = batch.persist()  # read for either table
+        append_memory(held, memory, str(number)).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        held.unpersist()
 
     return _start(src, checkpoint).foreachBatch(write).start()
 
@@ -51,8 +51,10 @@ def stream_late_split(src: DataFrame, on_time: str, late: str, checkpoint: str,
 
     def write(batch: DataFrame, number: int) -> None:
         is_late = F.datediff("arrived", "ts") > days
+        batch = batch.persist()
         batch.where(~is_late).withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{on_time}/batch={number}")
         batch.where(is_late).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        batch.unpersist()
 
     return _start(src, checkpoint).foreachBatch(write).start()
 
@@ -62,3 +64,13 @@ def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = _start(df, checkpoint).format("parquet").option("path", path).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drain_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream that gives its whole result each time; the last one is kept, and is what a restart begins from."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    _start(df, checkpoint, "complete").foreachBatch(write).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)

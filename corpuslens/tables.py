@@ -1,20 +1,31 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables go, and what may be broadcast."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of more rows than this is never broadcast (narrow rows, 8 to 40 MB).
+BROADCAST_ROWS = 400_000
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir or setCheckpointDir name it.
+
+    Without one, a session on this machine alone takes a temporary folder; a cluster is an error, since
+    its executors would each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="corpuslens-")
@@ -26,3 +37,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/corpuslens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table, broadcast if it has at most so many rows, else left to a shuffled join."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
