@@ -61,9 +61,9 @@ def test_scc_against_brute_force(spark):
 
 
 def test_renames_follow_chains_and_stop_on_cycles(spark):
-    log = spark.createDataFrame([("r", i, f"f{i}", f"f{i + 1}") for i in range(7)] + [("c", 1, "a", "b"), ("c", 2, "b", "a"), ("r", 9, "f0", "old")], "repo_id string, seq long, old_path string, new_path string")
+    log = spark.createDataFrame([("r", i, f"f{i}", f"f{i + 1}") for i in range(7)] + [("c", 1, "a", "b"), ("c", 2, "b", "a"), ("c", 3, "t", "u"), ("c", 4, "u", "b"), ("r", 9, "f0", "old")], "repo_id string, seq long, old_path string, new_path string")
     got = {(r.repo_id, r.old_path): r.final_path for r in graph.follow_renames(log).collect()}
-    assert all(got["r", f"f{i}"] == "f7" for i in range(7)) and got["c", "a"] == "b"
+    assert got == {("r", f"f{i}"): "f7" for i in range(7)} | {("c", "t"): "b", ("c", "u"): "b"}
 
 
 def test_orphans_and_inbound(spark):
@@ -91,8 +91,12 @@ def test_ignore_patterns(spark):
 
 
 def test_missing_context(spark):
-    f = spark.createDataFrame([("r", "CLAUDE.md"), ("r", "docs/adr/1.md")], "repo_id string, path string")
-    assert {r.kind for r in files.missing_context(f).collect()} == {"missing-glossary", "missing-memory", "missing-enriched"}
+    f = spark.createDataFrame([("r", "CLAUDE.md"), ("r", "docs/adr/1.md"), *[("big", f"src/{i}.py") for i in range(50)], ("told", "a.py")], "repo_id string, path string")
+    present = f.unionByName(spark.createDataFrame([("told", ".corpuslens/memory/2024-01-01.md"), ("big", ".corpuslens/index/x")], "repo_id string, path string"))
+    got = {}
+    for r in files.missing_context(f, present).collect():
+        got.setdefault(r.repo_id, set()).add(r.kind.removeprefix("missing-"))
+    assert got == {"r": {"glossary", "memory"}, "big": {"brief", "glossary", "decisions", "memory", "enriched"}, "told": {"brief", "glossary", "decisions"}}
 
 
 def test_scan_corpus(spark, tmp_path):
@@ -156,8 +160,12 @@ def test_offers_collapse(spark):
     df = spark.createDataFrame(rows, "repo_id string, seq int, severity string, kind string, action string, title string, targets array<string>")
     r = findings.offers(df).collect()
     assert [(x.action, x.severity, x.targets, x.titles) for x in r] == [("fix", "high", ["b", "a", "c"], ["t1", "t2"])]
-    report = findings.render_reports(df, spark.createDataFrame([("r",), ("empty",)], "repo_id string"), "2024-01-02").collect()
-    assert {x.repo_id for x in report} == {"r", "empty"} and any("Nothing found." in x.report_md for x in report)
+    stats = spark.createDataFrame([("r", 3, 1234, 1, 0, 2, "python 3"), ("empty", 0, 0, 0, 0, 0, None)], "repo_id string, files long, lines long, edges long, tests long, areas long, top string")
+    told = df.withColumn("detail", F.lit("why")).withColumn("evidence", F.col("targets"))
+    report = {x.repo_id: x.report_md for x in findings.render_reports(told, stats, "2024-01-02").collect()}
+    assert report["r"].index("### High") < report["r"].index("#### t2") < report["r"].index("### Low") and "- 1,234 lines\n" in report["r"] and "- python 3\n" in report["r"]
+    assert "why\n\n```\nb\na\n```" in report["r"] and "### Critical" not in report["r"] and report["r"].endswith("which findings to act on.")
+    assert "Nothing found." in report["empty"] and "no code yet" in report["empty"]
 
 
 # secrets; values are put together at run time
@@ -187,11 +195,27 @@ def test_placeholders_are_no_secrets(spark):
 
 
 def test_gate_and_memory(spark, tmp_path):
-    rows = [("1", "r", "2024-01-01 10:00:00", "note", "fine"), ("2", "r", "2024-01-02 10:00:00", "note", "tok" + 'en = "' + "Zx9" * 5 + '"'), ("3", "r", "2024-01-02 11:00:00", "note", "  ")]
+    secret = "tok" + 'en = "' + "Zx9" * 5 + '"'
+    rows = [("1", "r", "2024-01-01 10:00:00", "note", "fine"), ("1", "r", "2024-01-01 11:00:00", "note", "fine too"), (None, "r", "2024-01-01 12:00:00", "note", "no id"), ("2", "r", "2024-01-02 10:00:00", "note", secret), (None, "r", "2024-01-02 10:00:00", "note", secret), ("3", "r", "2024-01-02 11:00:00", "note", " \n ")]
     df = spark.createDataFrame(rows, "entry_id string, repo_id string, ts string, kind string, body string").withColumn("ts", F.to_timestamp("ts"))
-    refused = {r.entry_id: r.kinds for r in sinks.append_memory(df, str(tmp_path / "m")).collect()}
-    assert refused == {"2": ["assigned secret"], "3": ["empty"]}
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 1
+    for _ in range(2):  # the same batch again replaces itself
+        refused = [(r.entry_id, r.kinds) for r in sinks.append_memory(df, str(tmp_path / "m"), "a").collect()]
+        assert sorted(refused, key=str) == sorted([("2", ["assigned secret"]), (None, ["assigned secret"]), ("3", ["empty"])], key=str)
+    sinks.append_memory(df.limit(1), str(tmp_path / "m"), "b")
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 4
+
+
+def test_secret_findings_count_what_is_real(spark):
+    secret = "tok" + 'en = "' + "Zx9" * 5 + '"'
+    texts = {("r", "lib/a.py"): secret, ("r", "spec"): secret, ("r", "examples/b.py"): secret + "\n" + secret, ("r", "doc.md"): secret, ("t", "test/x.py"): secret, ("e", "x.py"): secret + " # corpuslens:allow-secrets", ("r", "long.py"): secret + "x" * 400_000}
+    ft = spark.createDataFrame([(r, p, t) for (r, p), t in texts.items()], "repo_id string, path string, text string")
+    got = {(r.repo_id, r.kind): (r.severity, r.hits, r.files, r.targets) for r in secrets.secret_findings(secrets.leaky_files(ft)).collect()}
+    assert got == {("r", "secrets"): ("critical", 1, 1, ["examples/b.py", "lib/a.py", "spec"]), ("t", "secrets"): ("medium", 1, 1, ["test/x.py"]), ("e", "secrets-exempt"): ("low", 1, 1, [])}
+
+
+def test_firewalled_terms(spark):
+    n = spark.createDataFrame([("v", "a.md", "fine\nAcme plans\n"), ("v", "b.md", "none")], "vault_id string, path string, text string")
+    assert [(r.path, r.line, r.term) for r in secrets.firewall_hits(n, ["ACME"]).collect()] == [("a.md", 2, "acme")]
 
 
 # documents
@@ -199,26 +223,75 @@ def test_gate_and_memory(spark, tmp_path):
 
 def test_governing_docs_and_shims(spark):
     changed = spark.createDataFrame([("r", "a/b/x.py")], "repo_id string, path string")
-    docs = file_text(spark, **{"AGENTS.md": "root\nmore", "a/AGENTS.md": "leaf\nmore", "a/b/c/AGENTS.md": "below\nmore", "a/b/CLAUDE.md": "@AGENTS.md"})
-    assert [r.doc for r in review.governing_docs(changed, docs).orderBy("nearness").collect()] == ["a/AGENTS.md", "AGENTS.md"]
+    docs = file_text(spark, **{"AGENTS.md": "root\nmore", "a/AGENTS.md": "leaf\nmore", "a/b/c/AGENTS.md": "below\nmore", "a/b/CLAUDE.md": "@AGENTS.md", "a/b/gemini.md": "", "CONTEXT.md": "## Term", "docs/adr/1.md": "x"})
+    found = review.governing_docs(changed, docs)
+    assert [r.doc for r in found.orderBy("nearness").collect()] == ["a/b/gemini.md", "a/AGENTS.md", "AGENTS.md"]
+    assert {(r.doc, r.dir, tuple(r.covers)) for r in review.brief_coverage(found).collect()} == {("AGENTS.md", "", ("a/b/x.py",)), ("a/AGENTS.md", "a", ("a/b/x.py",)), ("a/b/gemini.md", "a/b", ("a/b/x.py",))}
 
 
 def test_stale_mentions(spark):
-    changed = spark.createDataFrame([("r", "lib/longname.js"), ("r", "lib/x.js")], "repo_id string, path string")
-    f = file_text(spark, **{"lib/longname.js": "", "lib/x.js": "", "other/x.js": ""})
-    docs = file_text(spark, **{"d.md": "see lib/longname.js.\nand `longname.js` here\nx.js alone\n", "lib/x.js": "lib/longname.js"})
-    assert [(r.line, r.names) for r in review.stale_mentions(changed, docs, f).orderBy("line").collect()] == [(1, ["lib/longname.js"]), (2, ["lib/longname.js"])]
+    names = ["lib/longname.js", "lib/x.js", "lib/long name.js", "lib/other@2.js", "a/b", "root-file.js", "s.js"]
+    changed = spark.createDataFrame([("r", p) for p in names], "repo_id string, path string")
+    f = file_text(spark, **dict.fromkeys([*names, "other/x.js", "AGENTS.md", "pkg/docs/adr/1.md", "deep/agents.md"], ""))
+    docs = {
+        "AGENTS.md": "see lib/longname.js.\nand `longname.js` here\nx.js alone\n  lib/long name.js and lib/other@2.js  \nya/bc\nmyroot-file.jsx",
+        "pkg/docs/adr/1.md": "s.js lib/x.js",
+        "deep/agents.md": "\n".join(["lib/x.js lib/longname.js"] * 9),
+        "notes.md": "lib/longname.js",
+        "lib/x.js": "lib/longname.js",
+    }
+    got = review.stale_mentions(changed, file_text(spark, **docs), f).collect()
+    assert sorted((r.line, r.names) for r in got if r.doc == "AGENTS.md") == [(1, "lib/longname.js"), (2, "lib/longname.js"), (4, "lib/long name.js"), (4, "lib/other@2.js"), (5, "a/b"), (6, "root-file.js")]
+    assert [r.text for r in got if r.names == "lib/other@2.js"] == ["lib/long name.js and lib/other@2.js"]
+    assert [(r.names, r.total) for r in got if r.doc == "pkg/docs/adr/1.md"] == [("lib/x.js", 1)]
+    deep = [r for r in got if r.doc == "deep/agents.md"]
+    assert len(deep) == 12 and all(r.total == 18 for r in deep) and {r.doc for r in got} == {"AGENTS.md", "pkg/docs/adr/1.md", "deep/agents.md"}
+
+
+def test_context_documents(spark):
+    f = spark.createDataFrame([("r", p) for p in ("agents.md", "pkg/docs/adr/1.md", "docs/adr.md", "a/Context.md", "CLAUDE.mdx")], "repo_id string, path string")
+    assert {r.path for r in scans.context_docs(f).collect()} == {"agents.md", "pkg/docs/adr/1.md", "a/Context.md"}
 
 
 def test_citation_drift_and_patch(spark):
-    docs = file_text(spark, **{"docs/a.md": "see `lib/old.js` and `lib/new.js`\n`lib/gone.js` was removed\n[x](../lib/new.js) [y](https://a.b/c.md) `tools/call`\n`lib/lost.js`"})
-    f = spark.createDataFrame([("r", "lib/new.js"), ("r", "docs/a.md")], "repo_id string, path string")
+    docs = file_text(
+        spark,
+        **{
+            "docs/AGENTS.md": "see `lib/old.js` and `lib/new.js`\n`lib/gone.js` was removed\n[x](../lib/new.js) [y](https://a.b/c.md) `tools/call`\n`lib/lost.js`",
+            "docs/deep/CONTEXT.md": "`../lib/new.js` `../../lib/new.js` `lib/old.js`",
+            "docs/adr/1.md": "`lib/old.js`",
+            "templates/AGENTS.md": "`lib/lost.js`",
+            "pkg/templates/AGENTS.md": "`lib/lost.js`",
+            "notes.md": "`lib/lost.js`",
+        },
+    )
+    f = spark.createDataFrame([("r", p) for p in ("lib/new.js", "docs/AGENTS.md", "docs/deep/CONTEXT.md", "docs/adr/1.md", "pkg/templates/AGENTS.md")], "repo_id string, path string")
     renames = spark.createDataFrame([("r", 1, "lib/old.js", "lib/new.js")], "repo_id string, seq long, old_path string, new_path string")
     drift = review.citation_drift(docs, f, renames)
-    assert {(r.line, r.cited, r["class"], r.suggestion) for r in drift.collect()} == {(1, "lib/old.js", "provable", "lib/new.js"), (2, "lib/gone.js", "historical", None), (4, "lib/lost.js", "suspected", None)}
-    patch = review.citation_patch(drift, docs).first().patch
+    assert {(r.doc, r.line, r.cited, r["class"], r.suggestion) for r in drift.collect()} == {
+        ("docs/AGENTS.md", 1, "lib/old.js", "provable", "lib/new.js"),
+        ("docs/AGENTS.md", 2, "lib/gone.js", "historical", None),
+        ("docs/AGENTS.md", 4, "lib/lost.js", "suspected", None),
+        ("docs/deep/CONTEXT.md", 1, "../lib/new.js", "suspected", None),  # dots count from the document only
+        ("docs/deep/CONTEXT.md", 1, "lib/old.js", "provable", "lib/new.js"),
+        ("docs/adr/1.md", 1, "lib/old.js", "historical", None),
+        ("pkg/templates/AGENTS.md", 1, "lib/lost.js", "suspected", None),
+    }
+    own = drift.where("doc = 'docs/AGENTS.md'")
+    patch = review.citation_patch(own, docs).first().patch
     assert "+see `lib/new.js` and `lib/new.js`" in patch and patch.count("@@ ") == 1
-    assert review.drift_counts(drift).first().gate is True
+    counts = review.drift_counts(own).first()
+    assert (counts.provable, counts.suspected, counts.historical, counts.gate) == (1, 1, 1, True)
+    touched = spark.createDataFrame([("r", "lib/lost.js")], "repo_id string, path string")
+    assert {r.doc for r in files.narrow_since(drift, touched).collect()} == {"docs/AGENTS.md", "pkg/templates/AGENTS.md"}
+
+
+def test_glossary(spark):
+    docs = file_text(spark, **{"CONTEXT.md": "# Title\n## Blast Radius\n### `Depth`\n## " + "x" * 50})
+    terms = review.glossary_terms(docs)
+    changed = spark.createDataFrame([("r", "lib/blast-radius.js"), ("r", "lib/other.js")], "repo_id string, path string")
+    assert [r.term for r in review.glossary_hits(changed, terms).collect()] == ["Blast Radius"]
+    assert {r.needle for r in terms.collect()} == {"blast-radius", "depth"}
 
 
 # notes
@@ -261,7 +334,8 @@ def test_batches(spark):
     got = {}
     for r in packed.collect():
         got.setdefault(r.batch_index, []).append(r.path)
-    assert {len(v) for v in got.values()} == {1, 2} and max(sum(100 for _ in v) for k, v in got.items() if k) <= 250
+    assert sorted(got) == list(range(1, len(got) + 1))
+    assert {len(v) for v in got.values()} == {1, 2} and max(sum(100 for _ in v) for k, v in got.items() if k > 1) <= 250
     assert any({"src/x/0.py", "src/x/4.py"} <= set(v) for v in got.values())
 
 
@@ -274,3 +348,104 @@ def test_stack_and_skills(spark):
     assert {r.signal_id for r in found.collect()} == {"next", "stripe", "prisma", "typescript", "flask", "python", "java"}
     stats = spark.createDataFrame([("r", 0, 9)], "repo_id string, tests int, files int")
     assert [r.skill_id for r in stack.recommend(found, stats).orderBy("rank").collect()] == ["write-first-test", "verify-webhook", "add-migration", "add-route", "type-check"]
+
+
+def test_skill_reasons_and_what_exists(spark):
+    ft = file_text(spark, **{"package.json": '{"devDependencies": {"jest": "1", "next-auth": "2"}}'})
+    found = stack.detect_stack(ft.select("repo_id", "path"), scans.read_manifests(ft))
+    stats = spark.createDataFrame([("r", 0, 9)], "repo_id string, tests int, files int")
+    table = stack.register_rule(stack.rules.SKILLS, "own-rule", 5, "files > 8", "Own", "concat(files, ' files')")
+    got = stack.recommend(found, stats, table)
+    assert [(r.skill_id, r.why) for r in got.orderBy("rank").collect()] == [("own-rule", "9 files"), ("write-first-test", "jest is declared, but no file is a test"), ("check-auth", "nextauth keeps the sessions")]
+    present, missing = stack.partition_existing(got, spark.createDataFrame([("r", "own-rule")], "repo_id string, skill_id string"))
+    assert [r.skill_id for r in present.collect()] == ["own-rule"] and missing.count() == 2
+
+
+def test_manifest_summaries(spark):
+    ft = file_text(spark, **{"package.json": '{"dependencies": {"next": "1", "typescript": "5"}, "scripts": {"test": "vitest"}}', "yarn.lock": "", "package-lock.json": "", "README.md": "# Title\n\nDoes things.\nMore."})
+    r = stack.primary_stack(ft).first()
+    assert (r.label, r.language) == ("Next.js", "TypeScript")
+    assert stack.package_manager(ft).first().manager == "yarn"
+    assert [(x.script, x.command) for x in stack.run_commands(scans.read_manifests(ft)).collect()] == [("test", "vitest")]
+    assert stack.purpose(ft.where("path = 'README.md'")).first().purpose == "Does things."
+
+
+# scans, sinks and filters that no table exercises
+
+
+def test_tracked_lists(spark, tmp_path):
+    (tmp_path / "one.tracked").write_bytes(b"bin/run.sh\0a b.py\0bin/run.sh\0")
+    assert {(r.repo_id, r.path) for r in scans.read_tracked(spark, str(tmp_path)).collect()} == {("one", "bin/run.sh"), ("one", "a b.py")}
+
+
+def test_projects_and_memory_files(spark):
+    n = spark.createDataFrame([("v", "projects/a.md", "one"), ("v", "projects/b/z.md", "last"), ("v", "projects/b/c.md", "first"), ("v", "projects/.hidden/x.md", ""), ("v", "notes/a.md", "")], "vault_id string, path string, text string")
+    assert {r.slug for r in scans.list_projects(n).collect()} == {"a", "b"}
+    assert scans.project_context(n, "b").first().context == "first\n\n---\n\nlast"
+    m = spark.createDataFrame([("r", "memory/2024-01-02.md", "# 2024-01-02\n\n## 09:05 · note\n\nhello\n\n## 10:00 · decision\n\nyes\nso\n"), ("r", "memory/x.md", "## 09:00 · no\n")], "repo_id string, path string, text string")
+    assert [(str(r.ts), r.kind, r.body) for r in scans.memory_from_files(m).orderBy("ts").collect()] == [("2024-01-02 09:05:00", "note", "hello"), ("2024-01-02 10:00:00", "decision", "yes\nso")]
+
+
+def test_captures_are_routed(spark):
+    rows = [("2024-01-02 10:00:00", "x", "My Proj", ["A b"], True, "n1", "home"), ("2024-01-02 10:00:00", "x", None, None, True, "n2", "lab"), ("2024-01-02 10:00:00", "x", None, [], False, "n3", None)]
+    df = spark.createDataFrame(rows, "ts string, content string, project string, tags array<string>, team boolean, note_id string, profile string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.note_id: (r.dest, r.tag_line, r.pushed, r.note) for r in sinks.route_captures(df).collect()}
+    assert got == {"n1": ("team/my-proj/n1.md", "#a-b", True, None), "n2": ("team/inbox/n2.md", "", False, "outward_sync_disabled"), "n3": ("inbox/2024-01-02.md", "", False, None)}
+
+
+def test_firewall_and_machine_paths(spark):
+    p = spark.createDataFrame([("a", "home/work/a"), ("b", "home/own/b")], "slug string, path string")
+    assert [r.slug for r in files.firewall(p, ["work"]).collect()] == ["b"]
+    assert [r.slug for r in files.firewall_purge(p.select("slug"), p, ["work"]).collect()] == ["a"]
+    home = "/ho" + "me/ann/code/x"
+    ft = file_text(spark, **{"a.sh": f"cd {home}\ncd /ho" + "me/user/x", "docs/adr/1.md": home, "tests/t.sh": home})
+    assert [(r.path, r.line) for r in files.absolute_paths(ft).collect()] == [("a.sh", 1)]
+    t = spark.createDataFrame([("r", x) for x in ("a.py", "a.py", "x.bak", "audits/y.md", " ")], "repo_id string, path string")
+    assert [r.path for r in files.digest_paths(t).collect()] == ["a.py"]
+
+
+def test_note_actions_and_stages(spark):
+    text = "---\ntype: moc\n---\n## Next actions\n- [ ] call due: 2024-02-01\n- [x] done\n- [ ] rest\n## Later\n- [ ] not this"
+    n = spark.createDataFrame([("v", "projects/a.md", text, "2024-01-30", "a"), ("v", "daily/d.md", "[[a]]", "2024-01-30", "d"), ("v", "areas/e.md", "x", "2023-01-01", "e")], "vault_id string, path string, text string, mtime string, note_id string").withColumn("mtime", F.to_timestamp("mtime"))
+    actions = notes.open_actions(n)
+    assert [(r.action, str(r.due)) for r in actions.orderBy("action").collect()] == [("call due: 2024-02-01", "2024-02-01"), ("rest", "None")]
+    assert [r.overdue for r in notes.due_items(actions, F.lit("2024-02-02").cast("date")).collect()] == [True]
+    r = notes.vault_score(n, notes.extract_wikilinks(n), F.lit("2024-02-01").cast("date")).first()
+    assert (r.capture, r.knowledge, r.context, r.cadence, r.stage) == (20, 10, 0, 20, "Built") and len(r.gaps) == 3
+    stay, gone = notes.remove_notes(n, spark.createDataFrame([("v", "a")], "vault_id string, note_id string"))
+    assert {x.note_id: x.text for x in stay.collect()} == {"d": "a", "e": "x"} and [x.note_id for x in gone.collect()] == ["a"]
+
+
+def test_digest_with_merges(spark):
+    commits = spark.createDataFrame([("r", "2024-01-02", "abc", "fix", "me"), ("r", "2023-01-02", "old", "no", "me"), ("s", "2023-01-02", "old", "no", "me")], "repo_id string, ts string, sha string, subject string, author string").withColumn("ts", F.to_timestamp("ts"))
+    merged = spark.createDataFrame([("r", 7, "Title", "2024-01-03")], "repo_id string, number int, title string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.repo_id: r.digest for r in notes.digest(commits, F.lit("2024-01-01").cast("timestamp"), merged).collect()}
+    assert got == {"r": "### Commits\n- abc fix (me, 2024-01-02)\n\n### Merged\n- #7 Title", "s": "### Commits\n- (none)"}
+
+
+def test_recall_within_a_project(spark):
+    n = spark.createDataFrame([("v", "projects/fr/a.md", "alpha", 1), ("v", "notes/b.md", "alpha alpha", 2), ("v", "projects/FR.md", "alpha", 3)], "vault_id string, path string, text string, mtime long")
+    assert [r.path for r in notes.recall(n, "alpha", project="fr").collect()] == ["projects/FR.md", "projects/fr/a.md"]
+    q = spark.createDataFrame([(1, "ana a")], "query_id int, query string")
+    t = spark.createDataFrame([("x", "banana Ana an-a", 1), ("y", "", 1), ("z", None, 1)], "path string, text string, mtime long")
+    assert [(r.path, r.score) for r in notes.recall_many(t, q).collect()] == [("x", 9)]
+
+
+def test_depth_refuses_components_that_leave_a_cycle(spark):
+    e = edges(spark, "a>b", "b>a")
+    own = spark.createDataFrame([("r", "a", "a", False), ("r", "b", "b", False)], "repo_id string, node string, scc string, is_cyclic boolean")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depth(e, own)
+
+
+def test_stack_signals_of_a_file(spark):
+    ft = file_text(spark, **{"prisma/schema.prisma": "", "tsconfig.json": "{}", "sub/package.json": '{"x": {"prisma": "1"}}'})
+    assert {r.signal_id for r in stack.detect_stack(ft.select("repo_id", "path"), scans.read_manifests(ft)).collect()} == {"typescript", "prisma"}
+    alone = ft.where("path = 'prisma/schema.prisma'")
+    assert stack.detect_stack(alone.select("repo_id", "path"), scans.read_manifests(alone)).count() == 0
+
+
+def test_java_roots(spark):
+    ft = file_text(spark, **{"src/foo/A.java": "import B;", "src/B.java": ""})
+    f = described(ft)
+    assert imports.build_edges(imports.resolve_imports(imports.extract_imports(ft), f), f).count() == 0

@@ -66,13 +66,13 @@ def packed_by_hand(files, edges, max_files=12, max_lines=1500, run_files=4800):
 
             for p in run:
                 visit(p)
-            batch, count, total = start[repo], 0, 0
+            batch, count, total = start[repo] + 1, 0, 0
             for p in walk:
                 if count and (count == max_files or total + own[p][0] > max_lines):
                     batch, count, total = batch + 1, 0, 0
                 count, total = count + 1, total + own[p][0]
                 got[repo, p] = batch
-            start[repo] = batch + 1
+            start[repo] = batch
     return got
 
 
