@@ -43,8 +43,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def page_ratings(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url, blocked: a page's path ends in the number of the document that it shows, which labels may rate."""
+    number = F.try_to_number(F.regexp_extract(url_filter.url_path(F.col("url")), r"/([0-9]{1,18})(?:[.][a-z]+|/)?$", 1), F.lit("9" * 18)).cast("long")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    return pages.select("url", number.alias("shown")).join(labels.select(F.col("doc_id").alias("shown"), bad.alias("blocked")), "shown").select("url", "blocked")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    ratings = page_ratings(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return url_filter.url_verdicts(pages, labels=ratings).select("page_id", "host", "path", "rule", "verdict", "said", "confidence")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

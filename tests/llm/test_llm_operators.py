@@ -2,6 +2,10 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
+from itertools import combinations
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -11,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslens.llm import chat_format, exact_dedup, hilbert_shards, language_id, ngram_join, packing, prefix_bpe, quality_rules, token_files, url_filter
+from corpuslens.llm import chat_format, exact_dedup, hilbert_shards, language_id, ngram_join, packing, prefix_bpe, quality_rules, queries, token_files, url_filter
 from corpuslens.llm.vocab import read_ranks
 
 BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -399,8 +403,57 @@ def test_url_rules_learn_from_listed_pages_only(spark):
     got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, rules=rules).collect()}
     want = ["block"] * 60 + ["allow"] * 60 + ["block"] * 30 + ["allow"] * 5030
     assert [got[k] for k in range(len(want))] == want
-    effect = {r.kind: (r.pages, r.blocked) for r in url_filter.rule_effect(pages, rules=rules).collect()}
-    assert effect["open"] == (5060, 30) and effect["held out, block"][0] == effect["held out, block"][1] > 0 == effect["held out, allow"][1]
+    effect = {r.kind: (r.pages, r.blocked, r.allowed) for r in url_filter.rule_effect(pages, rules=rules).collect()}
+    assert effect["open"] == (5060, 30, 30) and effect["held out, to block"][0] == effect["held out, to block"][1] > 0 == effect["held out, to allow"][1]
+
+
+def rules_by_hand(rows, min_pages, min_confidence, max_tokens):
+    """{(tokens, verdict): (confidence, pages)} by counting every combination."""
+    freq = Counter(t for tokens, _ in rows for t in tokens)
+    held = [(sorted((t for t in tokens if freq[t] >= min_pages), key=lambda t: (freq[t], t))[:max_tokens], bad) for tokens, bad in rows]
+    seen = Counter((c, v) for tokens, bad in held for k in range(1, len(tokens) + 1) for c in combinations(sorted(tokens), k) for v in ("", "block" if bad else "allow"))
+    return {(c, v): (n / seen[c, ""], seen[c, ""]) for (c, v), n in seen.items() if v and n >= min_pages and n / seen[c, ""] >= min_confidence}
+
+
+def test_mined_rules_against_every_combination(spark):
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(9)]
+    rows = []
+    for _ in range(400):
+        tokens = sorted({rng.choice(words[: 3 + k]) for k in range(rng.randrange(6))})
+        rows.append((tokens, rng.random() < (0.8 if {"t0", "t2"} <= set(tokens) else 0.25)))
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    for limit, most in ((1000, 8), (0, 3)):
+        got = url_filter.mine_rules(df, min_pages=12, min_confidence=0.5, max_tokens=most, broadcast_rows=limit).collect()
+        want = rules_by_hand(rows, 12, 0.5, most)
+        assert len(got) == len(want) and {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), r.pages) for r in got} == {k: (round(c, 9), n) for k, (c, n) in want.items()}
+        assert any(r.verdict == "block" for r in got) and all(r.anchor in r.tokens for r in got)
+
+
+def test_url_query_against_every_combination(spark, sf_dir):
+    """The query over a whole table: listed rules, then the surest of the rules mined from rated pages."""
+    sf_dir = f"{Path(sf_dir).parent}/sf0.01"  # a smaller one has too few rated pages for a rule
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    rated = {r.doc_id: r.toxic == 1 or r.quality == 0 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    parts = {r.page_id: brute.url_parts(r.url) for r in pages}
+    number = lambda path: int(m[1]) if (m := re.search(r"/([0-9]+)(?:[.][a-z]+|/)?$", path)) else None
+    labelled = [(p, rated[number(p[1])]) for p in parts.values() if number(p[1]) in rated]
+    split = spark.createDataFrame([(h, p) for (h, p), _ in labelled], "host string, path string")
+    held = {(r.host, r.path) for r in split.where(url_filter.is_held_out(F.col("host"), F.col("path"))).collect()}
+    assert labelled and 0 < len(held) < len(labelled)
+
+    def tokens(p):
+        return sorted({f"h:{x}" for x in p[0].split(".") if x} | {f"p:{x}" for x in re.split(r"[^0-9A-Za-z]+", p[1]) if x})
+
+    mined = rules_by_hand([(tokens(p), bad) for p, bad in labelled if p not in held], url_filter.MIN_PAGES, url_filter.MIN_CONFIDENCE, url_filter.MAX_TOKENS)
+    assert mined
+    for r in queries.op6_url_rules(spark, sf_dir).collect():
+        assert (r.host, r.path) == parts[r.page_id]
+        rule, verdict = brute.listed(r.host, r.path, url_filter.RULES)
+        own = set(tokens((r.host, r.path)))
+        fit = max(((round(c, 9), n, -len(t), v, " ".join(t)) for (t, v), (c, n) in mined.items() if set(t) <= own), default=None)
+        assert r.rule == rule and r.verdict == (verdict or (fit[3] if fit else "allow"))
+        assert r.said == (None if rule else fit and fit[3])
 
 
 def test_chat(spark):
