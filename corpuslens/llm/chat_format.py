@@ -92,7 +92,8 @@ def read_back(turns: DataFrame) -> DataFrame:
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Turns of a conversation
     are sorted across the cluster and stream through two running digests, so one of any length takes
     no more memory than a batch. Ties of turn are in the order of their rendered text. Rows without a
-    conv_id are one conversation.
+    conv_id are one conversation, whose turns go through one task as those of any other do: its
+    digest takes them in order. A turn of any length is rendered, parsed and compared whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,8 @@ def exact_duplicates(docs: DataFrame, *, keep: str = "largest", content_hash: Ca
     Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with
     the largest (or smallest) doc_id stays. Rows that repeat both id and text tie: one of them stays.
     Rows without an id stay only if their whole group has none. An empty table gives an empty table.
-    Other columns of docs are ignored.
+    Other columns of docs are ignored. A text of any length is hashed whole, and compared whole where
+    its hash repeats.
 
     1. Ids and hashes go to a narrow table, whose hashes are counted with map-side combining.
     2. Only texts whose hash occurs twice are shuffled, grouped by (hash, text): grouping compares

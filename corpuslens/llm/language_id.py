@@ -89,7 +89,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, level:
             yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
     schema = held.select("*", *[F.lit(x).alias(c) for x, c in zip(("", 0.0, True), added, strict=True)]).schema
-    return held.select("*", letters.alias("has_letters__")).mapInArrow(tidied(run), schema)
+    return held.select("*", letters.alias(f"{prefix}has_letters")).mapInArrow(tidied(run), schema)
 
 
 def blocks(data: bytes, size: int = BLOCK_BYTES) -> list[bytes]:
@@ -107,7 +107,11 @@ def prepared(content: bytes, level: int) -> zstandard.ZstdCompressionDict:
 def drop_unidentified(docs: DataFrame, **learning) -> DataFrame:
     """docs, all columns as they were, without the texts whose language is rejected.
 
-    Learns from the rows that have a lang and aren't held out.
+    Learns from the rows that have a lang and aren't held out. A text of any length is judged whole;
+    rows without an id, repeated rows and nulls are judged like any other.
     """
     dictionaries = learn_dictionaries(docs.where(~is_held_out(F.col("doc_id"))), **learning)
-    return predict_language(docs, dictionaries, prefix="__id_").where("not __id_rejected").select(*docs.columns)
+    prefix = "id_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):  # no column of docs is touched
+        prefix += "_"
+    return predict_language(docs, dictionaries, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(*docs.columns)

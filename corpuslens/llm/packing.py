@@ -70,7 +70,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_
     sequences of their own; the rests go first-fit decreasing into bins, in groups that a hash of the
     id deals out, about group_docs documents each, so groups stay as large at every size of corpus
     and none has a hot key. Sequence ids and offsets have no gaps. A null text is end_id alone;
-    repeated rows are packed each; an empty table gives an empty table; other columns are ignored.
+    repeated rows are packed each; a text of any length is encoded whole and cut; an empty table gives
+    an empty table; other columns are ignored.
     """
     lean_batches(docs.sparkSession)
     groups = -(-docs.count() // group_docs) or 1
@@ -95,7 +96,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_
 
     packed = written(layout.groupBy("grp").applyInArrow(pack, layout.schema), "packed")
     sizes = packed.groupBy("grp").agg(F.max("sequences").alias("own"))  # a row for each group of documents
-    base = sizes.select("grp", (F.sum("own").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("base"))
+    sizes = written(sizes.withColumn("run", F.expr("grp div 1024")), "sizes")
+    before = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.groupBy("run").agg(F.sum("own").alias("n"))  # a row for each 20 million documents
+    runs = runs.select("run", F.coalesce(F.sum("n").over(before(Window.partitionBy(F.lit(0)), "run")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("own").over(before(Window.partitionBy("run"), "grp")), F.lit(0))
+    base = sizes.withColumn("inside", inside).join(runs, "run").select("grp", (F.col("first") + F.col("inside")).alias("base"))
     pieces = packed.join(broadcast_if_small(written(base, "bases")), "grp").select("*", F.posexplode("crcs").alias("k", "ids_crc32"))
     start = F.col("k").cast("long") * length
     size = F.least(F.lit(length).cast("long"), F.col("doc_tokens") - start)

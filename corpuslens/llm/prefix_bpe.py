@@ -13,6 +13,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -177,14 +178,15 @@ def rank_encoder(path: str, pattern: str) -> tuple[Merges, TextEncoder]:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes, np.arange(len(parts))
 
-    return merges, TextEncoder(lambda text: np.array(ids(text), np.uint32), words)
+    return merges, TextEncoder(lambda text: np.array(ids(text), np.uint32), words, cuts=pattern == public_tokenizers.PATTERN)
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
     """Encodes and decodes each text: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (binary) if asked for.
 
     A null text counts as empty and has no ids; repeated rows come out repeated; an empty table
-    gives an empty table; other columns are ignored. Texts are never shuffled, and a task holds the
+    gives an empty table; other columns are ignored. Texts are cut before spaces if pattern is
+    public_tokenizers.PATTERN, and split as a whole by any other. Texts are never shuffled, and a task holds the
     ids of a few MB of text, or of one longer text, at a time.
     """
     lean_batches(docs.sparkSession)

@@ -334,6 +334,24 @@ def test_prefix_bpe(docs, rows, empty):
     assert prefix_bpe.bpe_round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_prefix_bpe_with_another_pattern(docs, rows):
+    """A pattern that joins words: texts aren't cut before spaces then."""
+    pattern = r"\S+(?: \S+)?|\s+"
+    library = tiktoken.Encoding("own5", pat_str=pattern, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    texts = dict(unique(rows))
+    for r in prefix_bpe.bpe_round_trip(docs.where("doc_id < 60 or doc_id > 90"), RANKS, pattern, with_ids=True).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id] or "")
+
+
+def test_wide_vocabularies(spark, tmp_path):
+    """Ids of more than 16 bits come back whole."""
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    assert not token_files.is_wide(BPE, 2) and token_files.is_wide(BPE, 70_000)
+    token_files.write_token_files(df, str(tmp_path / "w"), BPE, end_id=70_000)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_token_files(spark, str(tmp_path / "w"), with_ids=True).collect()}
+    assert got == {1: [*Tokenizer.from_file(BPE).encode("some text", add_special_tokens=False).ids, 70_000], 2: [70_000]}
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(2)
     lexicon = {"aa": ["the", "of", "and", "thing", "water"], "bb": ["der", "und", "wasser", "nicht", "eine"], "cc": ["que", "los", "agua", "pero", "una"]}
@@ -347,6 +365,9 @@ def test_language_id(spark, docs, empty):
     assert all(hostile[i].lang_pred == "und" and hostile[i].rejected for i in (0, 1, 5, 6))
     assert all(r.lang_pred == "und" for r in language_id.predict_language(docs, {}).collect())
     assert language_id.drop_unidentified(empty).count() == 0 and language_id.drop_unidentified(docs).columns == docs.columns
+    clash = df.withColumns({"id_rejected": F.lit("mine"), "ID__score": F.lit("own")})
+    kept = language_id.drop_unidentified(clash)
+    assert kept.columns == clash.columns and {(r.id_rejected, r["ID__score"]) for r in kept.collect()} == {("mine", "own")}
 
 
 def test_long_texts_keep_their_language(spark):

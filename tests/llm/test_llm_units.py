@@ -39,13 +39,13 @@ def test_encoders_give_the_libraries_ids(rank_library):
 
 def test_encoder_forgets_and_stays_right():
     encoder = library_encoder(BPE)
-    encoder.pieces, before = 10, encoder.pieces
+    encoder.remembered, before = 100, encoder.remembered
     try:
         words = ["alpha beta gamma", "delta epsilon zeta eta theta iota kappa", "alpha beta"]
         first = slices(*encoder.encode(pa.array(words)))
         assert slices(*encoder.encode(pa.array(words[::-1]))) == first[::-1]
     finally:
-        encoder.pieces = before
+        encoder.remembered = before
 
 
 @settings(max_examples=150, deadline=None)
