@@ -152,6 +152,11 @@ def frontmatter_summary(notes: DataFrame, key: str, section: str) -> DataFrame:
     return notes.groupBy(C.fm_value("text", key).alias("value")).agg(F.count(F.lit(1)).alias("notes"), F.count_if(has).alias("with_section"))
 
 
+def undeclared(notes: DataFrame, key: str) -> DataFrame:
+    """The notes that don't declare a key."""
+    return notes.where(C.fm_value("text", key).isNull())
+
+
 def context_footprint(f: DataFrame) -> DataFrame:
     """Bytes and tokens by load class."""
     return f.groupBy("repo_id", C.load_class("path").alias("load")).agg(F.sum("bytes").alias("bytes"), F.sum(C.est_tokens("bytes")).alias("tokens"))

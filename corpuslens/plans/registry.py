@@ -580,6 +580,14 @@ def frontmatter_summary(spark, sf_dir):
     return notes.frontmatter_summary(table(spark, sf_dir, "documents").select(text.alias("text")), "lang", "src0")
 
 
+@query("select doc_id from documents where source = 'src0'")
+def undeclared_notes(spark, sf_dir):
+    """Documents of one source don't say their language."""
+    said = F.when(F.col("source") == "src0", "---\nkind: x\n---\n").otherwise(F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
+    return notes.undeclared(rows, "lang").select("doc_id")
+
+
 SQL_MADE = "made as (select s_suppkey, case s_suppkey % 4 when 0 then 'node_modules/a/' when 1 then 'bin/' when 2 then 'src/' else 'lib/x/' end || s_name || case s_suppkey % 3 when 0 then '.png' when 1 then '.js' else '.lock' end as path from supplier)"
 
 
@@ -951,11 +959,32 @@ def _sql_stack() -> str:
 
 @query(f"with evidence(k, signal_id) as (values {_sql_stack()}) select c_custkey as repo_id, signal_id from customer join evidence on k = c_custkey % {len(rules.SIGNALS)}")
 def stack_signals(spark, sf_dir):
+    return _signal_stacks(spark, sf_dir).select("repo_id", "signal_id")
+
+
+def _signal_stacks(spark, sf_dir) -> DataFrame:
     """Each customer's repository has the evidence of one signal; all of them in turn."""
     cases = F.array(*[F.struct(*[F.lit(x) for x in case]) for case in _stack_cases()])
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.get(cases, (F.col("c_custkey") % len(rules.SIGNALS)).cast("int")).alias("x"))
     ft = own.select("repo_id", F.explode(F.array(F.struct(F.col("x.col2").alias("path"), F.col("x.col3").alias("text")), F.struct(F.col("x.col4").alias("path"), F.lit("").alias("text")))).alias("f")).select("repo_id", "f.*").where("path != ''")
-    return stack.detect_stack(ft.select("repo_id", "path"), scans.read_manifests(ft)).select("repo_id", "signal_id")
+    return stack.detect_stack(ft.select("repo_id", "path"), scans.read_manifests(ft))
+
+
+def _sql_kinds() -> str:
+    return ", ".join(f"('{i}', '{kind}')" for i, _, kind, *_ in rules.SIGNALS)
+
+
+@query(f"""
+    with evidence(k, signal_id) as (values {_sql_stack()}), kinds(signal_id, kind) as (values {_sql_kinds()}),
+    s as (select c_custkey as repo_id, signal_id, kind, count(o_orderkey) filter (o_orderstatus = 'F') as tests, count(o_orderkey) as files from customer join evidence on k = c_custkey % {len(rules.SIGNALS)} join kinds using (signal_id) join orders on o_custkey = c_custkey group by 1, 2, 3),
+    o as (select repo_id, unnest(list_filter([case when tests = 0 and files > 5 then 'write-first-test' end, case when kind = 'test' and tests > 0 then 'add-test' end, case when signal_id = 'stripe' then 'verify-webhook' end, case when kind = 'data' then 'add-migration' end,
+        case when signal_id in ('next', 'express', 'nest', 'fastapi', 'flask', 'django') then 'add-route' end, case when signal_id in ('nextauth', 'supabase') then 'check-auth' end, case when signal_id = 'typescript' then 'type-check' end,
+        case when signal_id in ('githubActions', 'docker') then 'ship-it' end], lambda x: x is not null)) as skill_id from s)
+    select distinct repo_id, skill_id from o""")
+def skill_offers(spark, sf_dir):
+    """All rules over the repositories of stack_signals, whose orders are their files."""
+    stats = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("repo_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("tests"), F.count(F.lit(1)).alias("files"))
+    return stack.recommend(_signal_stacks(spark, sf_dir), stats).select("repo_id", "skill_id")
 
 
 SQL_LOOPS = f"""

@@ -34,11 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/corpuslens/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Removes the tables that this application has put in the shared folder; no frame that reads them works after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A settled table, broadcast if it has at most so many rows, else left to a shuffled join."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -122,3 +122,34 @@ def test_recall_with_every_word(spark, sf_dir, read):
     assert longest > 3
     got = registry.QUERIES["recall_many_whole"](spark, sf_dir).collect()
     assert len(got) == len(want) and {(r.item_id, r.doc_id, r.score, r.rank) for r in got} == want
+
+
+def test_components_of_the_part_graph(spark, sf_dir, read):
+    """Two depth-first passes, one along the edges and one against them."""
+    pairs = part_edges(read("lineitem"))
+    nodes = {x for p in pairs for x in p}
+    forth, back = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        forth[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for start in nodes:
+        stack = [(start, False)]
+        while stack:
+            x, left = stack.pop()
+            if left:
+                order.append(x)
+            elif x not in seen:
+                seen.add(x)
+                stack += [(x, True), *((y, False) for y in forth[x])]
+    comp, named = defaultdict(set), {}
+    for start in reversed(order):
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            if x not in named:
+                named[x] = start
+                comp[start].add(x)
+                stack += back[x]
+    got = {r.p_partkey: (r.scc, r.is_cyclic) for r in registry.QUERIES["scc"](spark, sf_dir).collect()}
+    assert got == {x: (max(comp[c]), len(comp[c]) > 1) for x, c in named.items()}
