@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import BROADCAST_ROWS, broadcast_if_small, keep_one, lean_batches, row_key, written
 from .shingles import BlockIndex, set_key, shingle_sets
-from .vocab import text_batches, tidied
+from .vocab import give_back, text_batches, tidied
 
 #: Tokens that a task of the first filter compares at a time, sets in a block, probes of a block in a task.
-BUCKET_TOKENS, BLOCK, PROBES = 3_000_000, 64, 512
+BUCKET_TOKENS, BLOCK, PROBES = 1_000_000, 64, 512
 ROUNDS = 3
 #: A list of more entries than this is probed by position blocks, whichever components they are of.
 LONG_LIST = 1024
@@ -58,10 +58,19 @@ def shared_counts(docs: DataFrame, words: int, percent: int, buckets: int) -> Da
     Leading: the least hashes, so many that any two sets that link have at least _lead of them in
     common there. Shingles are dealt by hash as arrays. A batch settles what its own sets share and
     sends on each shingle once, so a shingle that a third of all texts hold is a row from each batch.
+    A bucket's counts go on as one array for each of as many groups of sets, where they are summed.
     Equal sets may count twice, never less than once: it only filters.
     """
     schema = "bucket int, owner binary, runs binary, tokens binary"
 
+    def by_set(ids: np.ndarray, met: np.ndarray) -> pa.Table:
+        place = ids % np.uint64(buckets)
+        order = np.argsort(place, kind="stable")
+        first = np.flatnonzero(np.diff(place[order].astype(np.int64), prepend=-1))
+        cuts = list(zip(first.tolist(), np.append(first, len(ids))[1:].tolist(), strict=True))
+        parts = [(int(place[order[i]]), ids[order[i:j]].tobytes(), met[order[i:j]].astype("<i8").tobytes()) for i, j in cuts]
+        return pa.table([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["place", "ids", "met"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "owner", "runs", "tokens"]
         for batch in (part for whole in batches for part in text_batches(whole, 0)):
@@ -94,27 +103,38 @@ def shared_counts(docs: DataFrame, words: int, percent: int, buckets: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
     def meet(table: pa.Table) -> pa.Table:
-        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        owner, runs = join("owner", np.uint64), join("runs", np.int64)
+        owner, runs = joined(table, "owner", np.uint64), joined(table, "runs", np.int64)
         if table.column("bucket")[0].as_py() < 0:  # already counted in their batches
             ids, met = owner, runs
         else:
-            tokens, who = join("tokens", np.uint64), np.repeat(owner, runs)
+            tokens, who = joined(table, "tokens", np.uint64), np.repeat(owner, runs)
             order = np.lexsort((who, tokens))
             tokens, who = tokens[order], who[order]
             new = np.diff(tokens, prepend=tokens[:1] - np.uint64(1)) != 0
             distinct = new | (np.diff(who, prepend=who[:1]) != 0)
-            tokens, who, new = tokens[distinct], who[distinct], new[distinct]
+            who, new = who[distinct], new[distinct]
             first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(tokens)))
+            n = np.diff(np.append(first, len(who)))
             several = np.repeat((n > 1) | (who[first] == 0), n) & (who != 0)
             ids, met = np.unique(who[several], return_counts=True)
-        return pa.table({"set_id": pa.array(ids.astype(np.int64) if ids.dtype != np.uint64 else ids.view(np.int64)), "shared": pa.array(met.astype(np.int64))})
+        out = by_set(ids, met)
+        give_back()
+        return out
+
+    def total(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(joined(table, "ids", np.uint64), return_inverse=True)
+        met = np.bincount(at, joined(table, "met", np.int64), len(ids)).astype(np.int64)
+        return pa.table({"set_id": pa.array(ids.view(np.int64)), "shared": pa.array(met)})
 
-    dealt = docs.select("text").mapInArrow(deal, schema)
+    dealt = docs.select("text").mapInArrow(tidied(deal), schema)
     part = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("owner"), F.lit(buckets))).otherwise(F.col("bucket"))
-    met = dealt.withColumn("part", part).groupBy("part").applyInArrow(meet, "set_id long, shared long")
-    return met.groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    met = dealt.withColumn("part", part).groupBy("part").applyInArrow(meet, "place int, ids binary, met binary")
+    return met.groupBy("place").applyInArrow(total, "set_id long, shared long")
+
+
+def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    """The arrays that a binary column's rows hold, one after the other."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
 def verify_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
