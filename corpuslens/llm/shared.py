@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and start from files."""
-    path = f"{shared_dir(df.sparkSession)}/corpuslens/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,8 +54,8 @@ def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(table) if is_small(table, rows) else table
 
 
-def lean_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Lets no more than so many bytes of rows go to a Python worker at a time.
+def lean_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets no more than so many bytes of rows go to a Python worker at a time, from now on in this session.
 
     A session's default is 64 MB, which JVM and worker each hold several times over.
     """

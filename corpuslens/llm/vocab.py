@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Bytes of pieces and their ids that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 40 << 20
+REMEMBERED = 24 << 20
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: ids of many pieces, how many each has, and which piece each is.
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -35,8 +35,9 @@ class TextEncoder:
     whole(text) encodes a text; words(pieces) encodes each piece with a space before it, in any order.
     """
 
-    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED):
-        self.whole, self.words, self.remembered = whole, words, remembered
+    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED, cuts: bool = True):
+        """cuts: whether the pattern is of the kind said above; every text is encoded whole otherwise."""
+        self.whole, self.words, self.remembered, self.cuts = whole, words, remembered, cuts
         self.forget()
 
     def forget(self) -> None:
@@ -67,6 +68,9 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (null: none) and, one more than texts, where each begins."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.cuts:
+            parts = [self.whole(x.as_py()) for x in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
         split = pc.split_pattern(texts, " ")
         heads = split.offsets.to_numpy().astype(np.int64)
         heads, counts = heads[:-1] - heads[0], np.diff(heads)
