@@ -63,7 +63,7 @@ def _peel(e: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     without them, and so on. An edge that goes in round k ends at a node whose longest way down has k
     edges. What stays leads into a cycle. A round is one table, which holds both parts.
     """
-    left, gone, level = settle(e.select("repo_id", "src", "dst"), name), [], 0
+    left, gone, level = e.select("repo_id", "src", "dst"), [], 0
     while True:
         waiting = left.select("repo_id", F.col("src").alias("dst")).distinct().withColumn("waits", F.lit(True))
         marked = settle(left.join(waiting, ["repo_id", "dst"], "left").select("repo_id", "src", "dst", F.col("waits").isNotNull().alias("waits")), name)
@@ -128,8 +128,8 @@ def depth(e: DataFrame, components: DataFrame | None = None) -> DataFrame:
     Components are looked for only among what leads into a cycle. Given components that leave a cycle
     between them are an error.
     """
-    whole = settle(e.where("src != dst").select("repo_id", "src", "dst").distinct(), "depth-edges")
-    gone, rest = _peel(whole, "depth-peel")
+    edges = whole = settle(e.where("src != dst").select("repo_id", "src", "dst").distinct(), "depth-edges")
+    gone, rest = _peel(edges, "depth-peel")
     cyclic = bool(rest.take(1))
     own = components if components is not None else scc(rest) if cyclic else None
     if own is not None:
@@ -141,7 +141,7 @@ def depth(e: DataFrame, components: DataFrame | None = None) -> DataFrame:
         if rest.take(1):
             raise ValueError("the components leave a cycle between them")
     levels = settle(gone.groupBy("repo_id", F.col("src").alias("scc")).agg((F.max("level") + 1).alias("depth")), "depth-levels")
-    nodes = _nodes(e.where("src != dst"))
+    nodes = _nodes(edges)
     if own is None:
         named = nodes.select("repo_id", "node", F.col("node").alias("scc"), F.lit(False).alias("is_cyclic"))
     else:
