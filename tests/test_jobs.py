@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens import tables
 from corpuslens.plans import jobs
 from corpuslens.sources import sinks
 from corpuslens.streaming import jobs as streams
@@ -92,3 +93,29 @@ def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
     assert hot() == dict.fromkeys(["a0", "a1", "a2", "b0", "b1", "b2"], 1)
     put("a")
     assert hot() == dict.fromkeys(["a0", "a1", "a2"], 2) | dict.fromkeys(["b0", "b1", "b2"], 1)
+
+
+def test_tables_of_an_application_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path))
+    held = tables.settle(spark.range(3), "some")
+    assert held.count() == 3 and any(tmp_path.rglob("*.parquet"))
+    tables.clear_tables(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://host:7077", "a"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(Session())
