@@ -107,15 +107,15 @@ def _key(row: Row) -> Column:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """copied (a text hash of several rows), curve: the least position that any of the copies has."""
-    counts = rows.groupBy(F.col("tie").alias("copied")).agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("least"))
+    """__copied (a text hash of several rows), __least: the least position that any of the copies has."""
+    counts = rows.groupBy(F.col("tie").alias("__copied")).agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("__least"))
     return written(counts.where("n > 1").drop("n"), "copies")
 
 
 def _together(rows: DataFrame, copies: DataFrame, broadcast_rows: int) -> DataFrame:
     """rows with the curve position that all copies of a text share."""
-    joined = rows.join(broadcast_if_small(copies, broadcast_rows), F.col("tie") == F.col("copied"), "left")
-    return joined.withColumn("curve", F.coalesce("least", "curve")).drop("copied", "least")
+    joined = rows.join(broadcast_if_small(copies, broadcast_rows), F.col("tie") == F.col("__copied"), "left")
+    return joined.withColumn("curve", F.coalesce("__least", "curve")).drop("__copied", "__least")
 
 
 def plan_shards(docs: DataFrame, *, shards: int = 16, bits: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> tuple[Layout, DataFrame]:
@@ -176,8 +176,7 @@ def place_rows(docs: DataFrame, layout: Layout, copies: DataFrame, *, broadcast_
     is_tied = reduce(lambda a, b: a | b, [key.eqNullSafe(_key(x)) for x, _ in layout.tied])
     begin = F.coalesce(*[F.when(key.eqNullSafe(_key(x)), F.lit(rank).cast("long")) for x, rank in layout.tied])
     nth = F.row_number().over(Window.partitionBy("curve", "tie", "doc_id").orderBy("size")) - 1
-    own = rows.where(is_tied).withColumn("shard", F.expr("cast(0 as int)")).withColumn("rank", begin + nth)
-    own = own.withColumn("shard", F.expr(f"cast(rank * {layout.shards} div {layout.total} as int)")).drop("rank")
+    own = rows.where(is_tied).withColumn("shard", F.floor((begin + nth) * layout.shards / layout.total).cast("int"))
     return rows.where(~is_tied).withColumn("shard", shard).unionByName(own)
 
 
@@ -192,8 +191,8 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 16, bits: int = 5,
     Null texts have no bytes; null lang or source comes first in its dimension. Equal texts lie next to
     each other, at the least position that any of them has, whatever their metadata; ids break ties.
     Repeated rows are each written once; so are rows without an id. A text of any length is one row.
-    An empty table gives an empty manifest. Other columns stay as they are, but for curve, tie, size
-    and shard, which are replaced.
+    An empty table gives an empty manifest. Other columns stay as they are, but for curve, tie, size,
+    shard and (when read) slot, which are replaced.
 
     Texts are shuffled once: the keys at which shards begin are known before.
     """
@@ -206,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 16, bits: int = 5,
     read = spark.read.schema(rows.schema).parquet(f"{path}/data")
     bounds = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("min", F.min), ("max", F.max))]
     begin = F.min(F.struct("curve", "tie", "doc_id")).alias("first")
-    files = read.withColumn("file", _file()).groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows"), begin, *bounds)
+    files = read.withColumn("__file", _file()).groupBy("shard", F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("rows"), begin, *bounds)
     before = Window.partitionBy("shard").orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("first").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
@@ -230,7 +229,7 @@ def read_shards(spark: SparkSession, path: str, predicate: str | None = None, wh
     if not some:
         return spark.read.parquet(f"{path}/schema").withColumn("slot", F.lit(0).cast("long"))
     read = spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*some)
-    starts = broadcast_if_small(manifest.select("file", "start"), broadcast_rows)
-    rows = read.withColumns({"file": _file(), "slot": F.col("_metadata.row_index")}).join(starts, "file")
-    rows = rows.withColumn("slot", F.col("start") + F.col("slot")).drop("file", "start")
+    starts = broadcast_if_small(manifest.select(F.col("file").alias("__file"), F.col("start").alias("__start")), broadcast_rows)
+    rows = read.withColumns({"__file": _file(), "slot": F.col("_metadata.row_index")}).join(starts, "__file")
+    rows = rows.withColumn("slot", F.col("__start") + F.col("slot")).drop("__file", "__start")
     return rows if where is None else rows.where(where)

@@ -252,8 +252,9 @@ def test_readers_open_only_files_that_may_match(docs, rows, tmp_path, spark):
 
 def test_shards_hold_every_row(spark, docs, rows, tmp_path):
     odd = spark.createDataFrame([(None, "a", "en", "s"), (None, "a", "en", "s"), (None, None, None, None), (102, "same text here", "xx", "s"), (102, "other", "en", None)], "doc_id long, text string, lang string, source string")
-    whole = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
-    row = lambda r: repr((r.doc_id, r.text, r.lang, r.source))
+    clash = {c: F.lit(f"own {c}") for c in ("file", "start", "rank", "copied", "least", "rows", "n")}
+    whole = docs.select("doc_id", "text", "lang", "source").unionByName(odd).withColumns(clash)
+    row = lambda r: repr((r.doc_id, r.text, r.lang, r.source, *[r[c] for c in clash]))
     for k, limit in enumerate((1000, 0)):
         _, got = shard_rows(spark, whole, str(tmp_path / f"w{k}"), shards=3, run_rows=7, broadcast_rows=limit)
         assert sorted(map(row, got)) == sorted(map(row, whole.collect()))
