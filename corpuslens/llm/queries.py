@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, hilbert_shards, language_id, ngram_join, packing, prefix_bpe, quality_rules, token_files, url_filter
+from . import chat_format, divergence, exact_dedup, hilbert_shards, language_id, ngram_join, packing, phrase_prints, prefix_bpe, quality_rules, token_files, url_filter, vector_codes
 from .shared import documents, shared_dir
 
 #: Fixed value: the turns that op9 adds as conversation -1.
@@ -77,12 +77,71 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op12_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.phrase_fingerprints(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_quality_rules, op3_hilbert_shards, op4_huffman_tokens, op5_packing, op6_url_rules, op7_language_id, op8_prefix_bpe, op9_chat_format, op10_exact_dedup)
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_hilbert_shards, op4_huffman_tokens, op5_packing, op6_url_rules, op7_language_id, op8_prefix_bpe, op9_chat_format, op10_exact_dedup, op11_source_divergence, op12_phrase_fingerprints, op13_vector_codes)
 }
 
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """A common table for each round."""
+    steps = [
+        f"""numbered as (
+            select row_number() over (order by vec_id nulls last, embedding) as row_id, * from embeddings
+            where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))),
+        cells as materialized (
+            select row_id, (i - 1) // (len(embedding) // {parts}) as part, (i - 1) % (len(embedding) // {parts}) as place, cast(floor(4096 * cast(embedding[i] as double)) as bigint) as x
+            from numbered, unnest(range(1, len(embedding) + 1)) as u(i)),
+        book_0 as materialized (select part, row_id - 1 as entry, place, x from cells where row_id <= {entries})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""far_{k} as (select row_id, c.part, entry, sum((c.x - b.x) * (c.x - b.x)) as d from cells c join book_{k} b using (part, place) group by all),
+        near_{k} as materialized (select row_id, part, arg_min(entry, d * 256 + entry) as entry, min(d) as d from far_{k} group by all)""")
+        if k < rounds:
+            steps.append(f"""book_{k + 1} as materialized (
+            select b.part, b.entry, b.place, coalesce(m.x, b.x) as x from book_{k} b left join (
+                select part, entry, place, cast(floor(sum(x) / count(*)) as bigint) as x from cells join near_{k} using (row_id, part) group by all) m using (part, entry, place))""")
+    return f"""
+        with {", ".join(steps)},
+        coded as (select row_id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from near_{rounds} group by all)
+        select n.vec_id, code, error, cast(sum(error) over (partition by n.label) as bigint) as label_error,
+               (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, place)) from book_{rounds}) as codebooks_sha256
+        from coded join numbered n using (row_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": vector_codes_sql(),
+    "op11_source_divergence": r"""
+        with docs as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+        words as (
+            select row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from docs),
+        used as (select lang, source, term, count(distinct row_id) as docs, count(*) as n from words group by all),
+        terms as (select lang, term, sum(n) as total from used group by all having sum(docs) >= 3),
+        langs as (select lang, count(*) as v, sum(total) as size from terms group by all),
+        own as (select lang, source, sum(n) as size from used semi join terms using (lang, term) group by all),
+        sources as (select distinct lang, source from docs),
+        cells as (
+            select s.lang, s.source, t.term, coalesce(u.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(u.n, 0) + 1) // (coalesce(o.size, 0) + l.v) as p, 1 + 1000000000::hugeint * (t.total + 1) // (l.size + l.v) as q
+            from sources s join terms t using (lang) join langs l using (lang) left join own o using (lang, source) left join used u on u.lang = s.lang and u.source = s.source and u.term = t.term),
+        pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from cells a join cells b using (lang, term) group by all),
+        parts as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+            from sources a join sources b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+            union all select lang, source, 'term', term, (p - q) * (p - q) // q from cells where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+        select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200""",
     "op10_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

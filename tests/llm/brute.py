@@ -115,3 +115,24 @@ def hilbert_cells(dims, bits):
         return tuple(x)
 
     return [to_point(i) for i in range(1 << (bits * dims))]
+
+
+def phrase_set(data):
+    """Phrases of the parse of some bytes."""
+    seen, start = set(), 0
+    for end in range(1, len(data) + 1):
+        if data[start:end] not in seen:
+            seen.add(data[start:end])
+            start = end
+    return seen
+
+
+def edited_pairs(docs):
+    """{doc_id: (text, edited text, next text)} of rows with distinct ids."""
+    order = sorted(docs, key=lambda r: -r[0])
+    out = {}
+    for k, (i, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        out[i] = (text, text[: len(text) - n] + following[:n], following)
+    return out
