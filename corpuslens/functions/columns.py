@@ -137,6 +137,11 @@ def excerpt(line: Column | str, width: int = 120) -> Column:
     return F.substring(F.regexp_replace(col(line), r"^\s+|\s+\z", ""), 1, width)
 
 
+def strip(c: Column | str) -> Column:
+    """Without the white space around it, that of Unicode included."""
+    return F.regexp_replace(col(c), rf"^{rules.BLANK}+|{rules.BLANK}+\z", "")
+
+
 def is_shim(text: Column | str) -> Column:
     """A text of one line that only points at another document; an empty text is none."""
     body = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"^\s+|\s+\z", "")
@@ -268,14 +273,15 @@ def is_placeholder(match: Column | str) -> Column:
 
 
 def clean_summary(c: Column | str) -> Column:
-    x = F.trim(col(c))
+    x = strip(c)
     return F.when(F.length(x) > 400, F.concat(F.substring(x, 1, 399), F.lit("…"))).otherwise(x)
 
 
 def clean_role(c: Column | str) -> Column:
-    x = F.lower(F.trim(col(c)))
+    x = F.lower(strip(c))
     return F.when(x.isin(rules.ROLES), x)
 
 
 def clean_tags(c: Column | str) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(col(c), lambda t: F.lower(F.trim(t))), lambda t: t != "")), 1, 8)
+    tags = F.coalesce(col(c), F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(strip(t))), lambda t: t != "")), 1, 8)

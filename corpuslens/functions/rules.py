@@ -152,6 +152,8 @@ SKILLS = [
     ("ship-it", 80, "arrays_overlap(delivery, array('githubActions', 'docker'))", "Bring a change through delivery", "concat(array_join(delivery, ', '), ' delivers it')"),
 ]
 
+#: The characters that trimming takes away.
+BLANK = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 ROLES = ["entrypoint", "core-logic", "adapter", "config", "test", "docs", "infrastructure", "types", "utility", "generated"]
 NOTE_LAYERS = {
     "context": "Context", "notes": "Knowledge", "projects": "Projects", "areas": "Areas", "references": "References",

@@ -22,17 +22,34 @@ def coverage_import(f: DataFrame, e: DataFrame) -> DataFrame:
     return e.join(tests, ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path"), F.col("src").alias("test"))
 
 
+#: What may stand around the name of a file in a test.
+QUOTES = ('"', "'", "`")
+
+
 def string_literals(test_text: DataFrame) -> DataFrame:
-    """repo_id, test, literal: the bodies of quoted strings."""
-    bodies = [F.regexp_extract_all("text", F.lit(q + "([^" + q + r"\n]*)" + q), F.lit(1)) for q in ('"', "'", "`")]
-    return test_text.select("repo_id", F.col("path").alias("test"), F.explode(F.array_distinct(F.concat(*bodies))).alias("literal"))
+    """repo_id, test, literal: what lies between two quotes of a kind that follow each other.
+
+    A quote may close one literal and open the next, so a lone one before it costs nothing. Only what
+    may be the name of a file is kept: one line without a slash.
+    """
+    inner = lambda pieces: F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+    pieces = F.concat(*[C.let(F.split(F.coalesce("text", F.lit("")), q, -1), inner) for q in QUOTES])
+    names = F.filter(F.array_distinct(pieces), lambda x: (x != "") & ~x.rlike(r"[/\n]"))
+    return test_text.select("repo_id", F.col("path").alias("test"), F.explode(names).alias("literal"))
+
 
+def coverage_mention(f: DataFrame, test_text: DataFrame) -> DataFrame:
+    """Tests whose text has a code file's name in quotes; of files with one name, the last path is credited.
 
-def coverage_mention(f: DataFrame, literals: DataFrame) -> DataFrame:
-    """Tests that quote a code file's name; of files with one name, the last path is credited."""
+    A name that holds a quote itself may span several literals, so the few such names are looked for in
+    the texts of their repository.
+    """
     named = f.where("category = 'code' and not is_test").groupBy("repo_id", C.basename("path").alias("literal")).agg(F.max("path").alias("path"))
-    tail = literals.withColumn("literal", C.basename("literal"))
-    return tail.join(named, ["repo_id", "literal"]).select("repo_id", "path", "test")
+    odd = F.col("literal").rlike("[\"'`]")
+    plain = string_literals(test_text).join(named.where(~odd), ["repo_id", "literal"]).select("repo_id", "path", "test")
+    quoted = lambda q: F.contains(F.col("text"), F.concat(F.lit(q), F.col("literal"), F.lit(q)))
+    texts = test_text.select("repo_id", F.col("path").alias("test"), "text")
+    return plain.unionByName(texts.join(named.where(odd), "repo_id").where(quoted('"') | quoted("'") | quoted("`")).select("repo_id", "path", "test"))
 
 
 def union_signals(*signals: DataFrame) -> DataFrame:

@@ -20,33 +20,44 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Data
 
 
 def validate_enrichment(batches: DataFrame, results: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and issues of results(repo_id, batch_no, pos, path, summary, role, tags).
+    """Valid rows and issues of results(repo_id, batch_no, pos, path, summary, role, tags), as ``scans.read_enrichment`` gives them.
 
-    A path of another batch is kept and noted if files has it; an unknown one is dropped, as is every
-    path outside its batch when no files are given. Rows without a summary and repeats go; a role
-    that isn't one is cleared.
+    Of a path's entries in a batch, the first one with a summary is valid, those before it have an issue
+    and those after it are duplicates. A path of another batch is kept and noted if files has it; an
+    unknown one is dropped, as is every path outside its batch when no files are given. Then, too, each
+    path that an answered batch asked for and that has no valid entry is an issue: with files, a gap may
+    well be filled from another batch. An unknown role is cleared.
     """
-    first, later = dedupe_first(results, ["repo_id", "batch_no", "path"], ["pos"])
-    asked = batches.select("repo_id", F.col("batch_index").alias("batch_no"), "path").distinct().withColumn("asked", F.lit(True))
-    rows = first.join(asked, ["repo_id", "batch_no", "path"], "left")
+    keys = ["repo_id", "batch_no", "path"]
+    asked = batches.select("repo_id", F.col("batch_index").alias("batch_no"), "path").distinct()
+    rows = results.where("pos is not null").join(asked.withColumn("asked", F.lit(True)), keys, "left")
     if files is None:
         rows = rows.withColumn("known", F.lit(None).cast("boolean"))
     else:
         rows = rows.join(files.select("repo_id", "path").distinct().withColumn("known", F.lit(True)), ["repo_id", "path"], "left")
-    summary, role = C.clean_summary("summary"), C.clean_role("role")
-    empty = F.coalesce(summary, F.lit("")) == ""
+    rows = rows.withColumns({"asked": F.col("asked").isNotNull(), "known": F.col("known").isNotNull(), "summary": C.clean_summary("summary"), "cleared": C.clean_role("role")})
+    named, told = F.coalesce(F.col("path").cast("string") != "", F.lit(False)), F.coalesce(F.col("summary") != "", F.lit(False))
+    rows = rows.withColumn("in_scope", named & (F.col("asked") | F.col("known"))).withColumn("is_valid", F.col("in_scope") & told)
+    first = F.min(F.when(F.col("is_valid"), F.col("pos"))).over(Window.partitionBy(*keys))  # entries of one path in one answer
+    rows = rows.withColumn("first", first)
+    later, valid = F.coalesce(F.col("pos") > F.col("first"), F.lit(False)), F.coalesce(F.col("pos") == F.col("first"), F.lit(False))
     issue = F.array_compact(
         F.array(
-            F.when(F.col("asked").isNull() & F.col("known").isNull(), F.lit("unknown path")),
-            F.when(F.col("asked").isNull() & F.col("known").isNotNull(), F.lit("moved path")),
-            F.when(empty, F.lit("no summary")),
-            F.when(F.col("role").isNotNull() & role.isNull(), F.lit("unknown role")),
+            F.when(~named, F.lit("no path")),
+            F.when(named & ~F.col("in_scope"), F.lit("unknown path")),
+            F.when(F.col("in_scope") & ~F.col("asked"), F.lit("moved path")),
+            F.when(F.col("in_scope") & later, F.lit("duplicate")),
+            F.when(F.col("in_scope") & ~later & ~told, F.lit("no summary")),
+            F.when(valid & (C.strip("role") != "") & F.col("cleared").isNull(), F.lit("unknown role")),
         )
     )
-    marked = rows.withColumn("issues", issue)
-    issues = marked.select("repo_id", "batch_no", "path", F.explode("issues").alias("issue")).unionByName(later.select("repo_id", "batch_no", "path", F.lit("duplicate").alias("issue")))
-    good = marked.where((F.col("asked").isNotNull() | F.col("known").isNotNull()) & ~empty)
-    return good.select("repo_id", "batch_no", "path", summary.alias("summary"), role.alias("role"), C.clean_tags("tags").alias("tags")), issues
+    issues = rows.select(*keys, F.explode(issue).alias("issue"))
+    good = rows.where(valid).select(*keys, "summary", F.col("cleared").alias("role"), C.clean_tags("tags").alias("tags"))
+    if files is None:
+        answered = results.select("repo_id", "batch_no").distinct()
+        gaps = asked.join(answered, ["repo_id", "batch_no"], "left_semi").join(good, keys, "left_anti")
+        issues = issues.unionByName(gaps.select(*keys, F.lit("not covered").alias("issue")))
+    return good, issues
 
 
 def merge_enrichment(files: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -72,9 +72,9 @@ def gate(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("id",))
 
 
 def leaky_files(file_text: DataFrame, max_bytes: int = 400_000) -> DataFrame:
-    """repo_id, path, hits, kinds (in order of the rules), exempt, fixture of the files in scope that hold a secret."""
+    """repo_id, path, hits, kinds (of each hit, in order of the rules), exempt, fixture of the files in scope that hold a secret."""
     scope = scan_scope(file_text, max_bytes).select("repo_id", "path", found_secrets("text").alias("found"), "exempt")
-    kinds = F.array_distinct(F.transform("found", lambda x: x["kind"]))
+    kinds = F.transform("found", lambda x: x["kind"])
     return scope.where(F.size("found") > 0).select("repo_id", "path", F.size("found").alias("hits"), kinds.alias("kinds"), "exempt", C.is_fixture_path("path").alias("fixture"))
 
 
@@ -82,19 +82,20 @@ def secret_findings(leaky: DataFrame, evidence: int = 20) -> DataFrame:
     """repo_id, kind, severity, hits, files, evidence, targets of leaky_files.
 
     Critical, counting the files outside fixtures, if there are any; else medium, counting all. All
-    paths are targets, the first so many evidence. Exempt files are one low finding of their own.
+    paths are targets, the first so many evidence, with the kind of every hit. Exempt files are one low finding of their own.
     """
     open_ = leaky.where("not exempt")
-    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
-    named = open_.withColumn("rank", rank).withColumn("said", F.concat_ws(": ", "path", F.array_join("kinds", ", ")))
-    rolled = named.groupBy("repo_id").agg(
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))  # so many of a group leave each task
+    said = F.struct("rank", F.concat_ws(": ", "path", F.array_join("kinds", ", ")).alias("said"))
+    first = open_.withColumn("rank", rank).where(F.col("rank") <= evidence).groupBy("repo_id").agg(F.array_sort(F.collect_list(said)).alias("first"))
+    rolled = open_.groupBy("repo_id").agg(
         F.sum("hits").alias("all_hits"),
         F.count(F.lit(1)).alias("all_files"),
         F.sum(F.when(~F.col("fixture"), F.col("hits"))).alias("real_hits"),
         F.count_if(~F.col("fixture")).alias("real_files"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= evidence, F.col("said")))).alias("evidence"),
         F.array_sort(F.collect_list("path")).alias("targets"),
     )
+    rolled = rolled.join(first, "repo_id").withColumn("evidence", F.transform("first", lambda x: x["said"]))
     real = F.col("real_files") > 0
     pick = lambda c: F.when(real, F.col(f"real_{c}")).otherwise(F.col(f"all_{c}")).alias(c)
     out = rolled.select("repo_id", F.lit("secrets").alias("kind"), F.when(real, "critical").otherwise("medium").alias("severity"), pick("hits"), pick("files"), "evidence", "targets")

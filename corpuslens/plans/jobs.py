@@ -59,7 +59,7 @@ def test_coverage(index: dict[str, DataFrame], file_text: DataFrame) -> DataFram
     """repo_id, path, tests by the three signals: name, import and mention."""
     f = index["files"]
     tests = file_text.join(f.where("is_test").select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    return settle(coverage.coverage(coverage.coverage_name(f), coverage.coverage_import(f, index["edges"]), coverage.coverage_mention(f, coverage.string_literals(tests))), "coverage")
+    return settle(coverage.coverage(coverage.coverage_name(f), coverage.coverage_import(f, index["edges"]), coverage.coverage_mention(f, tests)), "coverage")
 
 
 def _finding(df: DataFrame, seq: int, severity: str | Column, kind: str, title: Column, detail: str, evidence: Column | None = None, action: str | None = None, targets: Column | None = None) -> DataFrame:

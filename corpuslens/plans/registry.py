@@ -288,10 +288,18 @@ def secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), keys=("doc_id",)).withColumn("line", F.col("line").cast("long"))
 
 
-@query(f"with {sql_secrets('documents', 'doc_id')} select source as repo_id, 'critical' as severity, count(*) as hits, count(distinct doc_id) as files from secrets join documents using (doc_id) where strlen(text) <= 400000 group by 1")
+SQL_KINDS = "list_value(" + ", ".join(f"'{kind}'" for kind in SQL_SECRETS) + ")"
+
+
+@query(f"""
+    with {sql_secrets('documents', 'doc_id')}, s as (select source, doc_id, 'notes/' || doc_id as path, count(*) as hits, string_agg(kind, ', ' order by list_position({SQL_KINDS}, kind)) as kinds from secrets join documents using (doc_id) where strlen(text) <= 400000 group by 1, 2),
+    r as (select *, row_number() over (partition by source order by path) as k from s)
+    select source as repo_id, 'critical' as severity, cast(sum(hits) as bigint) as hits, count(*) as files, string_agg(case when k <= 20 then path || ': ' || kinds end, chr(10) order by k) as evidence, string_agg(path, ',' order by path) as targets from r group by 1""")
 def secret_findings(spark, sf_dir):
+    """Documents without a language's ending are files of their source; the first twenty are named with the kind of each hit."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return secrets.secret_findings(secrets.leaky_files(docs)).select("repo_id", "severity", "hits", "files")
+    found = secrets.secret_findings(secrets.leaky_files(docs))
+    return found.select("repo_id", "severity", "hits", "files", F.array_join("evidence", "\n").alias("evidence"), F.array_join("targets", ",").alias("targets"))
 
 
 @query(f"""
@@ -460,6 +468,32 @@ def enrichment_merge(spark, sf_dir):
     return merged.select("path", "summary", "role")
 
 
+@query("""
+    with d as (select cast(doc_id as varchar) as path, doc_id // 20 as b, doc_id % 6 as k from labels), a as (select * from d where b % 5 <> 4),
+    issues as (
+        select b, path, unnest(case k when 1 then ['no summary', 'not covered'] when 2 then ['no summary', 'unknown role'] when 3 then ['duplicate'] when 4 then ['not covered'] when 5 then ['not covered'] else [] end) as said from a
+        union all select b, 'x' || path, 'unknown path' from a where k = 4 union all select b, null, 'no path' from a where k = 5 union all select distinct b, null, 'no list of entries' from d where b % 5 = 4),
+    good as (select b, path, case k when 0 then 's ' || path || ' config a,b' when 2 then 'late' else 'one' end as said from a where k in (0, 2, 3))
+    select 'issue' as kind, b as batch, path, said, count(*) as n from issues group by all union all select 'entry', b, path, trim(said), count(*) from good group by all""")
+def enrichment_strict(spark, sf_dir):
+    """Labels are files, twenty ids a batch; answers in JSON say too little, too much or something else of them."""
+    labels, key = table(spark, sf_dir, "labels"), F.col("doc_id").cast("string")
+    asked = labels.select(F.lit("docs").alias("repo_id"), F.expr("doc_id div 20").alias("batch_index"), key.alias("path"))
+    answer = [
+        ('{"path": "%1$s", "summary": " \\n s %1$s\\t", "role": " Config", "tags": ["A", 1, " a ", null, "b"]}'), '{"path": "%1$s", "summary": 7}', '{"path": "%1$s", "role": "docs"}, {"path": "%1$s", "summary": "late", "role": "wizard"}',
+        '{"path": "%1$s", "summary": "one"}, {"path": "%1$s", "summary": "two"}', '{"path": "x%1$s", "summary": "s"}', '{"summary": "s"}',
+    ]
+    said = F.get(F.array(*[F.format_string(x, key) for x in answer]), (F.col("doc_id") % 6).cast("int"))
+    listed = F.array_join(F.collect_list(said), ", ")
+    raw = labels.groupBy(F.lit("docs").alias("repo_id"), F.expr("doc_id div 20").alias("batch_no")).agg(F.when(F.first(F.expr("doc_id div 20")) % 5 == 4, '{"x": 1}').otherwise(F.concat(F.lit('{"files": ['), listed, F.lit("]}"))).alias("text"))
+    entries, bad = scans.read_enrichment(raw)
+    good, issues = enrichment.validate_enrichment(asked, settle(entries, "entries"))
+    issues = issues.unionByName(bad.withColumn("path", F.lit(None).cast("string")))
+    text = F.trim(F.concat_ws(" ", "summary", "role", F.array_join("tags", ",")))
+    rows = issues.select(F.lit("issue").alias("kind"), "batch_no", "path", F.col("issue").alias("said")).unionByName(good.select(F.lit("entry").alias("kind"), "batch_no", "path", text.alias("said")))
+    return rows.groupBy("kind", F.col("batch_no").alias("batch"), "path", "said").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def pack_batches(spark, sf_dir):
     """Documents are files, source and language an area; a document imports what the part of its number imports."""
@@ -885,15 +919,24 @@ def coverage_imports(spark, sf_dir):
     return coverage.coverage(coverage.coverage_import(f, part_edges(spark, sf_dir))).select(F.col("path").alias("p_partkey"), F.size("tests").cast("long").alias("tests"))
 
 
-@query("select l_partkey as p_partkey, count(distinct l_orderkey) as tests from lineitem group by 1")
+@query("""
+    with named as (select distinct l_orderkey, l_partkey, 'p' || l_partkey || '.py' as file from lineitem),
+    said as (select l_orderkey, string_agg(case l_partkey % 4 when 0 then 'run("' || file || '")' when 1 then 'run("dir/' || file || '")' when 2 then 'a = "\\""; run("' || file || '")' else 'b = `it''s ' || file || '`; run(`' || file || '`)' end, chr(10)) as text from named group by 1)
+    select l_partkey as p_partkey, count(*) as tests from named join said using (l_orderkey) where contains(text, '"' || file || '"') or contains(text, '''' || file || '''') or contains(text, '`' || file || '`') group by 1""")
 def coverage_mentions(spark, sf_dir):
-    """An order is a test that quotes its parts' files."""
-    line = table(spark, sf_dir, "lineitem")
-    file = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py"))
-    said = line.groupBy("l_orderkey").agg(F.array_join(F.collect_set(F.concat(F.lit("run('"), file, F.lit("')"))), "\n").alias("text"))
-    tests = said.select(F.lit("parts").alias("repo_id"), F.concat(F.lit("test/o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"), "text")
+    """An order is a test that speaks of its parts' files: quoted, below a directory, behind a lone quote, inside a longer literal."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    file, kind = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py")), F.col("l_partkey") % 4
+    said = (
+        F.when(kind == 0, F.concat(F.lit('run("'), file, F.lit('")')))
+        .when(kind == 1, F.concat(F.lit('run("dir/'), file, F.lit('")')))
+        .when(kind == 2, F.concat(F.lit('a = "\\""; run("'), file, F.lit('")')))
+        .otherwise(F.concat(F.lit("b = `it's "), file, F.lit("`; run(`"), file, F.lit("`)")))
+    )
+    texts = line.groupBy("l_orderkey").agg(F.array_join(F.collect_list(said), "\n").alias("text"))
+    tests = texts.select(F.lit("parts").alias("repo_id"), F.concat(F.lit("test/o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"), "text")
     f = table(spark, sf_dir, "part").select(F.lit("parts").alias("repo_id"), F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("code").alias("category"), F.lit(False).alias("is_test"))
-    found = coverage.coverage(coverage.coverage_mention(f, coverage.string_literals(tests)))
+    found = coverage.coverage(coverage.coverage_mention(f, tests))
     return found.select(F.regexp_extract("path", "p([0-9]+)", 1).cast("long").alias("p_partkey"), F.size("tests").cast("long").alias("tests"))
 
 
@@ -912,19 +955,36 @@ def surface_flags(spark, sf_dir):
     return findings.surface_flags(f.withColumn("lang", C.detect_language("path")))
 
 
-@query("""
-    with c as (select *, conv_id % 4 = 0 as team, case conv_id % 3 when 0 then 'home' when 1 then 'work' else 'lab' end as profile, case when turn % 2 = 0 then 'Project ' || role end as project from conversations)
-    select conv_id, turn, case when team then 'team/' || coalesce('project-' || case when project is not null then role end, 'inbox') || '/n' || conv_id || '.md' when project is not null then 'projects/project-' || role || '.md' else 'inbox/2024-01-02.md' end as dest,
-           team and profile <> 'lab' as pushed, case when profile = 'lab' then 'outward_sync_disabled' end as note from c""")
-def route_captures(spark, sf_dir):
-    """Turns are captures: of a team, a project or the inbox, by three profiles."""
-    c = table(spark, sf_dir, "conversations")
-    profile = F.element_at(F.array(*map(F.lit, ("home", "work", "lab"))), (F.col("conv_id") % 3 + 1).cast("int"))
-    rows = c.select(
-        "conv_id", "turn", F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Project "), "role")).alias("project"), F.array(F.lit("A b")).alias("tags"),
-        (F.col("conv_id") % 4 == 0).alias("team"), F.concat(F.lit("n"), F.col("conv_id").cast("string")).alias("note_id"), profile.alias("profile"),
+SQL_CAPTURES = """
+    raw as (select *, case conv_id % 4 when 0 then 'core-team' when 1 then 'data-co' end as team, case conv_id % 3 when 0 then 'home' when 1 then 'work' else 'lab' end as profile, case when turn % 2 = 0 then 'project-' || role end as project,
+            strftime(date '2024-01-02' + cast(conv_id % 2 as integer), '%Y-%m-%d') as day, 'n' || conv_id || '-' || turn as note_id, coalesce(text, '') || ' #a-b' as said from conversations),
+    c as (select *, case when team is not null then 'team/' || team || '/projects/' || coalesce(project, 'inbox') || '/' || day || '-' || note_id || '.md' when project is not null then 'projects/' || project || '.md' else 'inbox/' || day || '.md' end as dest from raw)"""
+
+
+def _captures(spark, sf_dir) -> DataFrame:
+    """Turns are captures of two days: of one of two teams or of none, for a project or the inbox, by three profiles."""
+    pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), (F.col("conv_id") % n).cast("int"))
+    day = F.date_add(F.lit("2024-01-02").cast("date"), (F.col("conv_id") % 2).cast("int"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", day.cast("timestamp").alias("ts"), F.col("text").alias("content"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Project "), "role")).alias("project"), F.array(F.lit("A b")).alias("tags"),
+        pick(4, "Core Team", "Data & Co").alias("team"), F.concat(F.lit("n"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("note_id"), pick(3, "home", "work", "lab").alias("profile"),
     )
-    return sinks.route_captures(rows).select("conv_id", "turn", "dest", "pushed", "note")
+
+
+@query(f"with {SQL_CAPTURES} select conv_id, turn, dest, team is not null and profile <> 'lab' as pushed, case when team is not null and profile = 'lab' then 'outward_sync_disabled' end as note from c")
+def route_captures(spark, sf_dir):
+    return sinks.route_captures(_captures(spark, sf_dir)).select("conv_id", "turn", "dest", "pushed", "note")
+
+
+@query(f"""
+    with {SQL_CAPTURES}, w as (select *, case when team is not null then '---' || chr(10) || 'type: brain-note' || chr(10) || 'created: ' || day || chr(10) || '---' || chr(10) || chr(10) || said || chr(10) else chr(10) || '- ' || day || ' — ' || said || chr(10) end as written from c)
+    select dest, sha256(case when any_value(team) is not null then min(written) else '---' || chr(10) || 'type: brain-note' || chr(10) || 'created: ' || min(day) || chr(10) || '---' || chr(10) || string_agg(written, '' order by day, note_id, written) end) as digest from w group by 1""")
+def written_captures(spark, sf_dir):
+    """Captures written as one batch, twice, and read back as notes."""
+    at = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/captures-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_captures(_captures(spark, sf_dir), at, "1")
+    return sinks.read_captures(spark, at).select("dest", F.sha2("text", 256).alias("digest"))
 
 
 @query("select s_nationkey as slug, true as has_brain, s_nationkey in (select c_nationkey from customer where c_acctbal > 9900) as registered from supplier group by 1 union all select distinct c_nationkey, false, true from customer where c_acctbal > 9900 and c_nationkey not in (select s_nationkey from supplier)")

@@ -122,10 +122,22 @@ def context_docs(files: DataFrame) -> DataFrame:
 
 
 def read_enrichment(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and issues of batch results (repo_id, batch_no, text): a JSON list, or an object with files."""
-    parsed = raw.withColumn("v", F.try_parse_json("text"))
-    bad = parsed.where("v is null").select("repo_id", "batch_no", F.lit("invalid json").alias("issue"))
-    shape = "array<struct<path string, summary string, role string, tags array<string>>>"
-    rows = F.coalesce(F.try_variant_get("v", "$.files", shape), F.try_variant_get("v", "$", shape))
-    good = parsed.where("v is not null").select("repo_id", "batch_no", F.posexplode(rows).alias("pos", "r"))
-    return good.select("repo_id", "batch_no", "pos", "r.*"), bad
+    """Entries and issues of batch results (repo_id, batch_no, text): a JSON list, or an object with a list as files.
+
+    A field of another type than it should have is null, a tag that is no string is left out. An answer
+    without entries is one row without a pos, so that it counts as an answer. Text that isn't JSON, and
+    JSON of another shape, are an issue each.
+    """
+    list_ = "array<variant>"
+    parsed = raw.withColumn("v", F.try_parse_json("text")).withColumn("entries", F.coalesce(F.try_variant_get("v", "$", list_), F.try_variant_get("v", "$.files", list_)))
+    wrong = F.when(F.col("v").isNull(), "invalid json").when(F.col("entries").isNull(), "no list of entries")
+    bad = parsed.select("repo_id", "batch_no", wrong.alias("issue")).where("issue is not null")
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+
+    def field(name: str) -> Column:
+        x = F.try_variant_get("entry", f"$.{name}", "variant")
+        return F.when(is_text(x), F.try_variant_get("entry", f"$.{name}", "string")).alias(name)
+
+    tags = F.transform(F.filter(F.try_variant_get("entry", "$.tags", list_), is_text), lambda x: F.try_variant_get(x, "$", "string"))
+    rows = parsed.where("entries is not null").select("repo_id", "batch_no", F.posexplode_outer("entries").alias("pos", "entry"))
+    return rows.select("repo_id", "batch_no", "pos", field("path"), field("summary"), field("role"), tags.alias("tags")), bad

@@ -1,5 +1,6 @@
 """Behaviours of the operators on small inline tables."""
 
+import datetime
 import random
 
 import pytest
@@ -150,11 +151,20 @@ def test_external_packages(spark):
 def test_coverage_signals(spark):
     ft = file_text(spark, **{"lib/x.js": "", "test/x.test.js": "", "lib/y.js": "", "test/other.test.js": "run('y.js') // z.js", "lib/z.js": ""})
     f = described(ft)
-    lit = coverage.string_literals(ft.where(C.is_test_path("path")))
-    cov = {r.path: r.tests for r in coverage.coverage(coverage.coverage_name(f), coverage.coverage_mention(f, lit)).collect()}
+    cov = {r.path: r.tests for r in coverage.coverage(coverage.coverage_name(f), coverage.coverage_mention(f, ft.where(C.is_test_path("path")))).collect()}
     assert cov == {"lib/x.js": ["test/x.test.js"], "lib/y.js": ["test/other.test.js"]}
 
 
+def test_names_in_quotes_cover_wherever_the_quotes_stand(spark):
+    texts = {"a = '\"'; run(\"b.js\")": True, 'run("dir/b.js")': False, 'run("b.js")': True, "`x`b.js`": True, "'b.js\"": False, "b.js": False, '"it\'s.js"': False, '"b.js': False}
+    for text, is_said in texts.items():
+        ft = file_text(spark, **{"lib/b.js": "", "old/b.js": "", "lib/it's.js": "", "test/t.js": text})
+        got = [(r.path, r.test) for r in coverage.coverage_mention(described(ft), ft.where(C.is_test_path("path"))).where("path not like '%it_s%'").collect()]
+        assert got == ([("old/b.js", "test/t.js")] if is_said else []), text
+    ft = file_text(spark, **{"lib/it's.js": "", "test/t.js": "run(\"it's.js\")", "test/u.js": "run('it's.js')", "test/v.js": "it's.js"})
+    assert {r.test for r in coverage.coverage_mention(described(ft), ft.where(C.is_test_path("path"))).collect()} == {"test/t.js", "test/u.js"}
+
+
 def test_offers_collapse(spark):
     rows = [("r", 1, "low", "k", "fix", "t1", ["b", "a"]), ("r", 2, "high", "k", "fix", "t2", ["a", "c"]), ("r", 3, "low", "k", None, "t3", [])]
     df = spark.createDataFrame(rows, "repo_id string, seq int, severity string, kind string, action string, title string, targets array<string>")
@@ -210,6 +220,8 @@ def test_secret_findings_count_what_is_real(spark):
     texts = {("r", "lib/a.py"): secret, ("r", "spec"): secret, ("r", "examples/b.py"): secret + "\n" + secret, ("r", "doc.md"): secret, ("t", "test/x.py"): secret, ("e", "x.py"): secret + " # corpuslens:allow-secrets", ("r", "long.py"): secret + "x" * 400_000}
     ft = spark.createDataFrame([(r, p, t) for (r, p), t in texts.items()], "repo_id string, path string, text string")
     got = {(r.repo_id, r.kind): (r.severity, r.hits, r.files, r.targets) for r in secrets.secret_findings(secrets.leaky_files(ft)).collect()}
+    said = {r.repo_id: r.evidence for r in secrets.secret_findings(secrets.leaky_files(ft)).where("kind = 'secrets'").collect()}
+    assert said == {"r": ["examples/b.py: assigned secret, assigned secret", "lib/a.py: assigned secret", "spec: assigned secret"], "t": ["test/x.py: assigned secret"]}
     assert got == {("r", "secrets"): ("critical", 1, 1, ["examples/b.py", "lib/a.py", "spec"]), ("t", "secrets"): ("medium", 1, 1, ["test/x.py"]), ("e", "secrets-exempt"): ("low", 1, 1, [])}
 
 
@@ -328,6 +340,25 @@ def test_enrichment(spark):
     assert {(r.path, r.issue) for r in issues.collect()} == {("a", "duplicate"), ("zz", "unknown path"), ("c", "moved path"), ("c", "unknown role"), ("b", "no summary")}
 
 
+def test_answers_of_another_shape_are_issues(spark):
+    raw = spark.createDataFrame([("r", k, t) for k, t in enumerate(['{"x": 1}', '"text"', "[]", '[1, null, {"path": 3, "summary": "s"}, {"path": "a", "summary": 7}, {"path": "b", "summary": "s", "role": 1, "tags": [1, "A", null, " a\\t"]}]', "{", '{"files": {"path": "a"}}'])], "repo_id string, batch_no int, text string")
+    rows, bad = scans.read_enrichment(raw)
+    assert {(r.batch_no, r.issue) for r in bad.collect()} == {(0, "no list of entries"), (1, "no list of entries"), (4, "invalid json"), (5, "no list of entries")}
+    asked = spark.createDataFrame([("r", k, p) for k in (0, 2, 3) for p in "ab"], "repo_id string, batch_index int, path string")
+    good, issues = enrichment.validate_enrichment(asked, rows)
+    assert [tuple(r) for r in good.collect()] == [("r", 3, "b", "s", None, ["a"])]
+    got = [(r.batch_no, r.path, r.issue) for r in issues.collect()]
+    assert sorted(got, key=str) == sorted([(2, "a", "not covered"), (2, "b", "not covered"), (3, "a", "no summary"), (3, "a", "not covered"), *[(3, None, "no path")] * 3], key=str)
+
+
+def test_the_first_entry_with_a_summary_is_valid(spark):
+    raw = spark.createDataFrame([("r", 0, '[{"path": "a"}, {"path": "a", "summary": "\\n docs\\n", "role": "\\u00a0 docs\\n"}, {"path": "a", "summary": "later", "role": "wizard"}, {"path": "z", "summary": "s"}]')], "repo_id string, batch_no int, text string")
+    asked = spark.createDataFrame([("r", 0, "a")], "repo_id string, batch_index int, path string")
+    good, issues = enrichment.validate_enrichment(asked, scans.read_enrichment(raw)[0])
+    assert [(r.path, r.summary, r.role) for r in good.collect()] == [("a", "docs", "docs")]
+    assert sorted((r.path, r.issue) for r in issues.collect()) == [("a", "duplicate"), ("a", "no summary"), ("z", "unknown path")]
+
+
 def test_batches(spark):
     f = spark.createDataFrame([("r", f"src/x/{i}.py", 100, 0) for i in range(5)] + [("r", "docs/a.md", 9000, 0)], "repo_id string, path string, lines int, inbound int")
     packed = enrichment.number_batches(enrichment.pack_batches(f, edges(spark, "src/x/0.py>src/x/4.py"), max_lines=250))
@@ -386,11 +417,41 @@ def test_projects_and_memory_files(spark):
     assert [(str(r.ts), r.kind, r.body) for r in scans.memory_from_files(m).orderBy("ts").collect()] == [("2024-01-02 09:05:00", "note", "hello"), ("2024-01-02 10:00:00", "decision", "yes\nso")]
 
 
+CAPTURE = "ts timestamp, content string, project string, tags array<string>, team string, note_id string, profile string"
+
+
+def captures(spark):
+    day = lambda d, h=10: datetime.datetime(2024, 1, d, h)
+    rows = [(day(2), "x", "My Proj", ["A b"], "Core", "n1", "home"), (day(3), "later", "My Proj", None, "Core", "n1", "home"), (day(2), "y", None, None, "Lab 2", "n1", "lab"), (day(2, 11), "second", None, [], None, "n3", None), (day(2, 9), "first", "", ["t"], "", "n4", "lab"), (day(2), "p", "My Proj", None, None, "n5", "home")]
+    return spark.createDataFrame(rows, CAPTURE)
+
+
 def test_captures_are_routed(spark):
-    rows = [("2024-01-02 10:00:00", "x", "My Proj", ["A b"], True, "n1", "home"), ("2024-01-02 10:00:00", "x", None, None, True, "n2", "lab"), ("2024-01-02 10:00:00", "x", None, [], False, "n3", None)]
-    df = spark.createDataFrame(rows, "ts string, content string, project string, tags array<string>, team boolean, note_id string, profile string").withColumn("ts", F.to_timestamp("ts"))
-    got = {r.note_id: (r.dest, r.tag_line, r.pushed, r.note) for r in sinks.route_captures(df).collect()}
-    assert got == {"n1": ("team/my-proj/n1.md", "#a-b", True, None), "n2": ("team/inbox/n2.md", "", False, "outward_sync_disabled"), "n3": ("inbox/2024-01-02.md", "", False, None)}
+    got = {(r.note_id, r.content): (r.dest, r.tag_line, r.pushed, r.note) for r in sinks.route_captures(captures(spark)).collect()}
+    assert got == {
+        ("n1", "x"): ("team/core/projects/my-proj/2024-01-02-n1.md", "#a-b", True, None),
+        ("n1", "later"): ("team/core/projects/my-proj/2024-01-03-n1.md", "", True, None),
+        ("n1", "y"): ("team/lab-2/projects/inbox/2024-01-02-n1.md", "", False, "outward_sync_disabled"),
+        ("n3", "second"): ("inbox/2024-01-02.md", "", False, None),
+        ("n4", "first"): ("inbox/2024-01-02.md", "#t", False, None),
+        ("n5", "p"): ("projects/my-proj.md", "", False, None),
+    }
+
+
+def test_captures_are_written_once(spark, tmp_path):
+    at = str(tmp_path / "captures")
+    for _ in range(2):  # a batch that runs again replaces itself
+        sinks.write_captures(captures(spark), at, "1")
+    again = captures(spark).where("note_id = 'n1' and content = 'x' or note_id = 'n5'").withColumn("content", F.lit("changed"))
+    sinks.write_captures(again, at, "2")
+    head = "---\ntype: brain-note\ncreated: 2024-01-02\n---\n"
+    assert {r.dest: r.text for r in sinks.read_captures(spark, at).collect()} == {
+        "team/core/projects/my-proj/2024-01-02-n1.md": f"{head}\nx #a-b\n",
+        "team/core/projects/my-proj/2024-01-03-n1.md": f"{head.replace('-02', '-03')}\nlater\n",
+        "team/lab-2/projects/inbox/2024-01-02-n1.md": f"{head}\ny\n",
+        "inbox/2024-01-02.md": f"{head}\n- 2024-01-02 — first #t\n\n- 2024-01-02 — second\n",
+        "projects/my-proj.md": f"{head}\n- 2024-01-02 — p\n\n- 2024-01-02 — changed\n",
+    }
 
 
 def test_firewall_and_machine_paths(spark):
