@@ -23,27 +23,31 @@ def orphans(f: DataFrame, e: DataFrame, blind: list[str] = ()) -> DataFrame:
     return able
 
 
-def impact(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, bool]:
-    """Reverse breadth-first search from seeds(query_id, repo_id, path): fewest hops, seeds left out.
+def impact(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reverse breadth-first searches from seeds(query_id, repo_id, path): fewest hops, seeds left out.
 
     A round is one join of the frontier with the edges; what was seen is anti-joined, so cycles end.
-    Also says whether max_depth cut anything off.
+    Every search has a limit of its own if seeds have a column max_depth (null: none; of several, the
+    largest), else max_depth is that of all; a search that is over leaves the frontier. The second table
+    has query_id and truncated: whether the limit cut anything off.
     """
     back = settle(e.select("repo_id", "src", "dst").distinct(), "impact-edges")
     keys = ["query_id", "repo_id", "path"]
-    frontier = settle(seeds.select(*keys).distinct().withColumn("hops", F.lit(0)), "seeds")
-    seen, depth = frontier, 0
+    own = F.col("max_depth") if "max_depth" in seeds.columns else F.lit(max_depth)
+    limits = seeds.groupBy("query_id").agg(F.max(own.cast("int")).alias("most"))
+    frontier = settle(seeds.select(*keys).distinct().join(limits, "query_id").select(*keys, "most", F.lit(0).alias("hops")), "seeds")
+    seen, cut, depth = frontier, frontier.select("query_id").limit(0), 0
     while frontier.take(1):
-        step = frontier.join(back, (frontier["repo_id"] == back["repo_id"]) & (frontier["path"] == back["dst"])).select("query_id", frontier["repo_id"], F.col("src").alias("path")).distinct()
-        step = step.join(seen, keys, "left_anti")
-        if max_depth is not None and depth == max_depth:
-            return seen.where("hops > 0"), bool(step.take(1))
         depth += 1
-        frontier = settle(step.withColumn("hops", F.lit(depth)), "frontier")
-        seen = seen.unionByName(frontier)
+        near = frontier.join(back, (frontier["repo_id"] == back["repo_id"]) & (frontier["path"] == back["dst"])).select("query_id", frontier["repo_id"], F.col("src").alias("path"), "most").distinct()
+        step = settle(near.join(seen, keys, "left_anti").withColumn("hops", F.lit(depth)), "frontier")
+        beyond = F.coalesce(F.col("hops") > F.col("most"), F.lit(False))
+        frontier, over = step.where(~beyond), step.where(beyond).select("query_id").distinct()
+        seen, cut = seen.unionByName(frontier), cut.unionByName(over)
         if depth % 8 == 0:  # a long search must not carry all its rounds in one plan
-            seen = settle(seen, "seen")
-    return seen.where("hops > 0"), False
+            seen, cut = settle(seen, "seen"), settle(cut.distinct(), "cut")
+    searches = limits.join(cut.distinct().withColumn("truncated", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return seen.where("hops > 0").select(*keys, "hops"), searches
 
 
 def order_impact(found: DataFrame, f: DataFrame) -> DataFrame:

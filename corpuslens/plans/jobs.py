@@ -161,10 +161,13 @@ def review_change(index: dict[str, DataFrame], file_text: DataFrame, changed: Da
 
 
 def impact_report(index: dict[str, DataFrame], file_text: DataFrame, changed: DataFrame, max_depth: int | None = None) -> dict[str, DataFrame]:
-    """What changed(query_id, repo_id, path) reaches: affected (hops, commits, tests, covered), unverified, tests to run, unknown."""
+    """What changed(query_id, repo_id, path) reaches: affected (hops, commits, tests, covered), unverified, tests to run, unknown, searches (truncated).
+
+    changed may have a max_depth for each query_id; see ``graph.impact``.
+    """
     f, cov = index["files"], test_coverage(index, file_text)
     known, unknown = files.split_known(changed, f)
-    found, _ = graph.impact(index["edges"], known, max_depth)
+    found, searches = graph.impact(index["edges"], known, max_depth)
     rows = graph.coverage_of(graph.order_impact(found, f), cov)
     affected = rows.select("query_id", "repo_id", "path", "hops", F.coalesce("is_test", F.lit(False)).alias("is_test"), F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("tests", F.array().cast("array<string>")).alias("tests"), F.col("tests").isNotNull().alias("covered"))
-    return {"affected": affected, "unverified": graph.unverified(found, f, cov), "tests": graph.suggested_tests(found, known, f, cov), "unknown": unknown}
+    return {"affected": affected, "unverified": graph.unverified(found, f, cov), "tests": graph.suggested_tests(found, known, f, cov), "unknown": unknown, "searches": searches}

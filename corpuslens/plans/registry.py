@@ -8,7 +8,6 @@ sources are repositories. Every query reads its tables whole.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +18,7 @@ from ..functions import rules
 from ..operators import coverage, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from ..sources import scans, sinks
 from ..streaming import jobs
-from ..tables import settle, shared_dir
+from ..tables import new_folder, settle
 from . import jobs as jobs_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,33 +118,43 @@ def orphans(spark, sf_dir):
     return graph.orphans(f, e).select("p_partkey")
 
 
-def _seeds(spark, sf_dir) -> DataFrame:
-    """The three largest parts, each as a query of its own."""
-    parts = table(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(3)
-    return parts.select(F.col("p_partkey").alias("query_id"), F.lit("parts").alias("repo_id"), F.col("p_partkey").alias("path"))
+def _change_sets(spark, sf_dir) -> DataFrame:
+    """Every part whose key is divisible by 100, dealt to eight change sets; in the odd ones, a search ends after as many hops as the set's number."""
+    parts = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").withColumn("query_id", F.expr("p_partkey div 100 % 8"))
+    return parts.select("query_id", F.lit("parts").alias("repo_id"), F.col("p_partkey").alias("path"), F.when(F.col("query_id") % 2 == 1, F.col("query_id")).cast("int").alias("max_depth"))
 
 
+#: Every search, to its end: a part that is reached at all is reached in far less than 24 hops.
 SQL_IMPACT = f"""
-    {SQL_EDGES}, seeds as (select p_partkey as query_id from part order by p_size desc, p_partkey limit 3),
-    reach as (select query_id, query_id as path, 0 as hops from seeds union select query_id, src, hops + 1 from reach join edges on dst = path where hops < 4),
-    radius as (select query_id, path, cast(min(hops) as bigint) as hops from reach group by 1, 2 having min(hops) > 0)"""
+    {SQL_EDGES}, seeds as (select p_partkey // 100 % 8 as query_id, p_partkey as path from part where p_partkey % 100 = 0),
+    reach as (select query_id, path, 0 as hops from seeds union select query_id, src, hops + 1 from reach join edges on dst = path where hops < 24),
+    whole as (select query_id, path, cast(min(hops) as bigint) as hops from reach group by 1, 2 having min(hops) > 0),
+    radius as (select * from whole where query_id % 2 = 0 or hops <= query_id)"""
+SQL_UNVERIFIED = f"""
+    {SQL_PARTS}, stems as (select p_partkey, p_name, p_partkey % 10 = 0 as is_test from part),
+    covered as (select distinct a.p_partkey from stems a join stems b on a.p_name = b.p_name and b.is_test and not a.is_test)"""
 
 
 @query(f"with recursive {SQL_IMPACT} select query_id, path, hops from radius")
 def impact_radius(spark, sf_dir):
-    """What the three largest parts reach in up to four hops."""
-    found, _ = graph.impact(part_edges(spark, sf_dir), _seeds(spark, sf_dir), 4)
+    """What the change sets reach, half of them up to a limit of their own."""
+    found, _ = graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))
     return found.select("query_id", "path", F.col("hops").cast("long"))
 
 
+@query(f"with recursive {SQL_IMPACT} select query_id, query_id % 2 = 1 and bool_or(coalesce(hops > query_id, false)) as truncated from (select distinct query_id from seeds) left join whole using (query_id) group by 1")
+def impact_truncated(spark, sf_dir):
+    """Which of those searches their limit cut off."""
+    return graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))[1]
+
+
 @query(f"""
-    with recursive {SQL_IMPACT}, {SQL_PARTS}, stems as (select p_partkey, p_name, p_partkey % 10 = 0 as is_test from part),
-    covered as (select distinct a.p_partkey from stems a join stems b on a.p_name = b.p_name and b.is_test and not a.is_test)
+    with recursive {SQL_IMPACT}, {SQL_UNVERIFIED}
     select query_id, path, hops, coalesce(commits, 0) as commits from radius left join part_commits on p_partkey = path
     where path % 10 <> 0 and path not in (select p_partkey from covered)""")
 def impact_unverified(spark, sf_dir):
     """Untested parts that a change reaches, with how often they change."""
-    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _seeds(spark, sf_dir), 4)[0])
+    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))[0])
 
 
 def _unverified(spark, sf_dir, found: DataFrame) -> DataFrame:
@@ -158,23 +167,20 @@ def _unverified(spark, sf_dir, found: DataFrame) -> DataFrame:
     return graph.order_impact(left, own).select("query_id", "path", F.col("hops").cast("long"), "commits")
 
 
-def _change_sets(spark, sf_dir) -> DataFrame:
-    """Every part whose key is divisible by 100, dealt to eight change sets."""
-    parts = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
-    return parts.select(F.expr("p_partkey div 100 % 8").alias("query_id"), F.lit("parts").alias("repo_id"), F.col("p_partkey").alias("path"))
-
-
-@query()
+@query(f"with recursive {SQL_IMPACT} select query_id, path, hops from whole")
 def impact_radius_whole(spark, sf_dir):
     """All that the change sets reach, at any number of hops."""
-    found, _ = graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))
+    found, _ = graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir).drop("max_depth"))
     return found.select("query_id", "path", F.col("hops").cast("long"))
 
 
-@query()
+@query(f"""
+    with recursive {SQL_IMPACT}, {SQL_UNVERIFIED}
+    select query_id, path, hops, coalesce(commits, 0) as commits from whole left join part_commits on p_partkey = path
+    where path % 10 <> 0 and path not in (select p_partkey from covered)""")
 def impact_unverified_whole(spark, sf_dir):
     """Untested parts among all that the change sets reach."""
-    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir))[0])
+    return _unverified(spark, sf_dir, graph.impact(part_edges(spark, sf_dir), _change_sets(spark, sf_dir).drop("max_depth"))[0])
 
 
 @query()
@@ -820,15 +826,17 @@ def malformed_notes(spark, sf_dir):
 
 
 @query(f"""
-    with s as (select doc_id, n_chars, {sql_score("['fr']")} as score from documents where lang = 'fr')
-    select doc_id, score from s where score > 0 order by score desc, n_chars desc, 'projects/fr/' || doc_id || '.md' limit 50""")
+    with s as (select doc_id, n_chars, {sql_score("['fr']")} as score from documents where lang = 'fr'),
+    n as (select doc_id, score from s where score > 0 order by score desc, n_chars desc, 'projects/fr/' || doc_id || '.md' limit 50)
+    select 'note' as part, doc_id as id, score, null as day from n union all select 'commit', event_id, null, strftime(ts, '%Y-%m-%d') from events where user_id % 3 = 0 and ts >= timestamp '2024-01-15'""")
 def catch_up(spark, sf_dir):
-    """Documents are notes of their language's project; those that say most of project fr."""
+    """Documents are notes of their language's project, events of every third user commits: what is said most of project fr, and its commits since a day."""
     path = F.concat(F.lit("projects/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     own = table(spark, sf_dir, "documents").select(F.lit("docs").alias("vault_id"), path.alias("path"), "text", F.col("n_chars").alias("mtime"))
-    commits = table(spark, sf_dir, "events").select(F.lit("fr").alias("repo_id"), "ts")
-    found, _ = notes.catch_up(own, commits, "fr", F.lit("2024-01-15").cast("timestamp"))
-    return found.select(F.regexp_extract("path", "([0-9]+)[.]md", 1).cast("long").alias("doc_id"), "score")
+    commits = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 3 == 0, "fr").otherwise("other").alias("repo_id"), "ts", "event_id")
+    found, since = notes.catch_up(own, commits, "fr", F.lit("2024-01-15").cast("timestamp"))
+    said = found.select(F.lit("note").alias("part"), F.regexp_extract("path", "([0-9]+)[.]md", 1).cast("long").alias("id"), "score", F.lit(None).cast("string").alias("day"))
+    return said.unionByName(since.select(F.lit("commit").alias("part"), F.col("event_id").alias("id"), F.lit(None).cast("long").alias("score"), C.day_stamp("ts").alias("day")))
 
 
 @query(f"with {SQL_PARTS} select p_partkey, lines from (select p_partkey, lines, row_number() over (order by lines desc, path) as k from parts where lines > 600) where k <= 10")
@@ -886,16 +894,13 @@ def stale_enrichment(spark, sf_dir):
     return enrichment.is_stale(index, own).select(F.col("repo_id").alias("s_suppkey"), "stale")
 
 
-SQL_NEAR = f"""
-    {SQL_EDGES}, seeds as (select p_partkey as query_id from part order by p_size desc, p_partkey limit 3), reached as (select distinct query_id, src as path from seeds join edges on dst = query_id where src <> query_id),
-    covered as (select a.p_partkey as path, b.p_partkey as test from part a join part b on a.p_name = b.p_name and b.p_partkey % 10 = 0 and a.p_partkey % 10 <> 0)"""
-
-
-@query(f"with {SQL_NEAR} select query_id, path as test from reached where path % 10 = 0 union select query_id, test from (select * from reached union select query_id, query_id from seeds) join covered using (path)")
+@query(f"""
+    with recursive {SQL_IMPACT}, covered as (select a.p_partkey as path, b.p_partkey as test from part a join part b on a.p_name = b.p_name and b.p_partkey % 10 = 0 and a.p_partkey % 10 <> 0)
+    select query_id, path as test from whole where path % 10 = 0 union select query_id, test from (select query_id, path from whole union select query_id, path from seeds) join covered using (path)""")
 def suggested_tests(spark, sf_dir):
-    """Tests among what imports the three largest parts, and tests of it and of them."""
-    seeds = _seeds(spark, sf_dir)
-    found, _ = graph.impact(part_edges(spark, sf_dir), seeds, 1)
+    """Tests among all that the change sets reach, and tests of them and of the changed parts."""
+    seeds = _change_sets(spark, sf_dir).drop("max_depth")
+    found, _ = graph.impact(part_edges(spark, sf_dir), seeds)
     f = part_files(spark, sf_dir).withColumn("path", F.col("p_partkey"))
     own = table(spark, sf_dir, "part").select(F.lit("parts").alias("repo_id"), F.col("p_partkey").alias("path"), "p_name")
     tests = own.where("path % 10 = 0").select("repo_id", "p_name", F.col("path").alias("test"))
@@ -981,7 +986,7 @@ def route_captures(spark, sf_dir):
     select dest, sha256(case when any_value(team) is not null then min(written) else '---' || chr(10) || 'type: brain-note' || chr(10) || 'created: ' || min(day) || chr(10) || '---' || chr(10) || string_agg(written, '' order by day, note_id, written) end) as digest from w group by 1""")
 def written_captures(spark, sf_dir):
     """Captures written as one batch, twice, and read back as notes."""
-    at = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/captures-{uuid.uuid4().hex}"
+    at = new_folder(spark, "captures")
     for _ in range(2):
         sinks.write_captures(_captures(spark, sf_dir), at, "1")
     return sinks.read_captures(spark, at).select("dest", F.sha2("text", 256).alias("digest"))
@@ -1106,7 +1111,7 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select(F.lit("events").alias("repo_id"), F.col("event_type").alias("path"), F.col("ts").cast("timestamp"), F.col("event_id").alias("note_id"), "user_id")
-    return rows, f"{shared_dir(spark)}/corpuslens/stream-{uuid.uuid4().hex}"
+    return rows, new_folder(spark, "stream")
 
 
 @query("select strftime(ts, '%Y-%m-%d') as start, event_type as path, count(*) as touches from events where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events) group by 1, 2")
@@ -1129,21 +1134,38 @@ def dedup_captures(spark, sf_dir):
     return jobs.drain(jobs.stream_dedup(rows, delay="60 days").select("note_id"), f"{at}/out", f"{at}/state")
 
 
-@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as events from events where user_id % 5 = 0 group by 1")
+SQL_ARRIVALS = """
+    arrivals as (select *, ts + to_days(cast(case when user_id % 5 = 0 then 5 else 0 end as integer)) as arrived from events),
+    weeks as (select *, date_diff('day', date '2024-01-01', cast(arrived as date)) // 7 as week from arrivals)"""
+
+
+def _by_week(spark, sf_dir, run: Callable[[DataFrame, str], None]) -> str:
+    """Runs a stream again and again, over the events that arrive in one week after the other; every fifth user's take five days."""
+    arrived = F.col("ts") + F.when(F.col("user_id") % 5 == 0, F.expr("interval 5 days")).otherwise(F.expr("interval 0 days"))
+    rows = table(spark, sf_dir, "events").select(F.lit("events").alias("repo_id"), F.col("user_id").alias("path"), F.col("ts").cast("timestamp"), F.col("user_id"))
+    rows = rows.withColumn("week", F.floor(F.datediff(arrived.cast("date"), F.lit("2024-01-01").cast("date")) / 7)).drop("user_id")
+    rows, at = settle(rows, "arrivals"), new_folder(spark, "stream")
+    for r in rows.select("week").distinct().orderBy("week").collect():  # a few weeks
+        rows.where(F.col("week") == r.week).write.mode("append").parquet(f"{at}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), at)
+    return at
+
+
+@query(f"""
+    with {SQL_ARRIVALS}, tops as (select week, max(ts) as top from weeks group by 1), marks as (select a.week, max(b.top) - interval 2 day as mark from tops a join tops b on b.week < a.week group by 1)
+    select strftime(ts, '%Y-%m-%d') as day, count(*) as events from weeks join marks using (week) where ts < mark group by 1""")
 def late_rows(spark, sf_dir):
-    """Events of every fifth user arrive five days late and land in the side table."""
-    rows, at = _stream(spark, sf_dir)
-    arrived = rows.withColumn("arrived", F.when(F.col("user_id") % 5 == 0, F.col("ts") + F.expr("interval 5 days")).otherwise(F.col("ts")))
-    jobs.stream_late_split(arrived, f"{at}/on_time", f"{at}/late", f"{at}/state").awaitTermination()
-    late = spark.read.schema(arrived.schema).option("recursiveFileLookup", True).parquet(f"{at}/late")
+    """Events that come behind the watermark of the weeks before land in the side table."""
+    at = _by_week(spark, sf_dir, lambda rows, at: jobs.stream_late_split(rows, f"{at}/on_time", f"{at}/late", f"{at}/state").awaitTermination())
+    late = spark.read.schema("ts timestamp").option("recursiveFileLookup", True).parquet(f"{at}/late")
     return late.groupBy(C.day_stamp("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("select user_id, count(*) as touches from events group by 1")
+@query("select user_id, count(*) as touches from events where date_trunc('day', ts) > (select max(date_trunc('day', ts)) - interval 10 day from events) group by 1")
 def hotspots_stream(spark, sf_dir):
-    rows, at = _stream(spark, sf_dir)
-    touches = rows.select("repo_id", F.col("user_id").alias("path"))
-    return jobs.drain_complete(jobs.stream_hotspots(touches), f"{at}/out", f"{at}/state").select(F.col("path").alias("user_id"), "touches")
+    """Running counts of the last ten days, brought up to date week by week."""
+    at = _by_week(spark, sf_dir, lambda rows, at: jobs.keep_hotspots(jobs.stream_hotspots(rows, "10 days"), f"{at}/out", f"{at}/state", "10 days").awaitTermination())
+    return jobs.read_hotspots(spark, f"{at}/out", "10 days").select(F.col("path").alias("user_id"), "touches")
 
 
 @query(f"""
@@ -1155,7 +1177,7 @@ def gate_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "conversations").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
     entries = source.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role").alias("entry_id"), F.lit("all").alias("repo_id"), F.lit("2024-01-02").cast("timestamp").alias("ts"), F.col("role").alias("kind"), F.col("text").alias("body"))
-    at = f"{shared_dir(spark)}/corpuslens/gate-{uuid.uuid4().hex}"
+    at = new_folder(spark, "gate")
     jobs.stream_gate(entries, f"{at}/memory", f"{at}/refused", f"{at}/state").awaitTermination()
     clean = spark.read.option("recursiveFileLookup", True).parquet(f"{at}/memory").select(F.col("kind").alias("role"), F.lit("clean").alias("verdict"))
     refused = spark.read.option("recursiveFileLookup", True).parquet(f"{at}/refused").select(F.substring_index("entry_id", "-", -1).alias("role"), F.array_join("kinds", ",").alias("verdict"))

@@ -32,19 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of this application's in the shared folder that nothing uses yet; ``clear_tables`` removes what is put there."""
+    return f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders whose path fits a pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or [] if x.isDirectory())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Removes the tables that this application has put in the shared folder; no frame that reads them works after it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}")
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Whole jobs over small repositories."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,10 +91,55 @@ def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
     run()
     run()
     assert read("m") == ["a1", "a2", "b1", "b2"] and read("q") == ["a0", "b0"]
-    hot = lambda: {r.path: r.touches for r in streams.drain_complete(streams.stream_hotspots(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).select("repo_id", F.col("entry_id").alias("path"))), str(tmp_path / "h"), str(tmp_path / "hc")).collect()}
-    assert hot() == dict.fromkeys(["a0", "a1", "a2", "b0", "b1", "b2"], 1)
-    put("a")
-    assert hot() == dict.fromkeys(["a0", "a1", "a2"], 2) | dict.fromkeys(["b0", "b1", "b2"], 1)
+
+
+def feed(spark, folder, *rows):
+    frame = spark.createDataFrame([("r", p, datetime.datetime(2024, m, d) if m else None) for p, m, d in rows], "repo_id string, path string, ts timestamp")
+    frame.coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(frame.schema).parquet(str(folder))
+
+
+def test_running_counts_expire_and_change_their_buckets_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def hot(*rows):
+        days = streams.stream_hotspots(feed(spark, tmp_path / "in", *rows))
+        streams.keep_hotspots(days, out, str(tmp_path / "state"), buckets=16).awaitTermination()
+        return {r.path: r.touches for r in streams.read_hotspots(spark, out).collect()}
+
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    assert hot(("a", 1, 5), ("a", 1, 5), ("b", 2, 1), ("c", 2, 1)) == {"a": 2, "b": 1, "c": 1}
+    before = files()
+    assert hot(("a", 1, 5), ("a", 3, 1)) == {"a": 4, "b": 1, "c": 1}
+    assert len(files()) == len(before) + 1 and before.items() <= files().items()  # a's bucket anew, the others as they were
+    assert hot(("b", 4, 20)) == {"a": 1, "b": 2, "c": 1}  # January is over
+    assert hot(("a", 1, 6), ("c", 4, 20)) == {"a": 1, "b": 2, "c": 2}  # a late touch that no window holds
+    # the last batch runs again: its commit is lost, its output and all before it are there
+    newest = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    days = streams.stream_hotspots(spark.readStream.schema("repo_id string, path string, ts timestamp").parquet(str(tmp_path / "in")))
+    streams.keep_hotspots(days, out, str(tmp_path / "state"), buckets=16).awaitTermination()
+    assert {r.path: r.touches for r in streams.read_hotspots(spark, out).collect()} == {"a": 1, "b": 2, "c": 2}
+
+
+def test_late_rows_are_behind_the_watermark_of_earlier_batches(spark, tmp_path):
+    def split(*rows):
+        src = feed(spark, tmp_path / "in", *rows) if rows else spark.readStream.schema("repo_id string, path string, ts timestamp").parquet(str(tmp_path / "in"))
+        streams.stream_late_split(src, *(str(tmp_path / x) for x in ("day", "late", "state"))).awaitTermination()
+        read = lambda x: sorted(r.path for r in spark.read.schema("path string").option("recursiveFileLookup", True).parquet(str(tmp_path / x)).collect())
+        return read("day"), read("late")
+
+    assert split(("a", 1, 10), ("b", 1, 2), ("none", 0, 0)) == (["a", "b"], ["none"])  # out of order, but in one batch
+    assert split(("c", 1, 8), ("d", 1, 7), ("e", 1, 20)) == (["a", "b", "c", "e"], ["d", "none"])
+    assert split(("f", 1, 17), ("g", 1, 5)) == (["a", "b", "c", "e"], ["d", "f", "g", "none"])
+    want = split(("h", 1, 19))
+    assert want == (["a", "b", "c", "e", "h"], ["d", "f", "g", "none"])
+    newest = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    assert split() == want  # the batch that runs again decides alike
+    assert [p.name for p in sorted((tmp_path / "day").rglob("day=2024-01-19"))] == ["day=2024-01-19"]
 
 
 def test_tables_of_an_application_can_be_removed(spark, tmp_path, monkeypatch):

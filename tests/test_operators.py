@@ -32,9 +32,31 @@ def described(ft):
 
 def test_impact_counts_fewest_hops_and_ends_on_cycles(spark):
     found, cut = graph.impact(edges(spark, "b>a", "c>b", "c>a", "a>c"), seeds(spark, "a"))
-    assert {(r.path, r.hops) for r in found.collect()} == {("b", 1), ("c", 1)} and not cut
+    assert {(r.path, r.hops) for r in found.collect()} == {("b", 1), ("c", 1)} and not cut.first().truncated
     found, cut = graph.impact(edges(spark, "b>a", "c>b", "d>c"), seeds(spark, "a"), 2)
-    assert {(r.path, r.hops) for r in found.collect()} == {("b", 1), ("c", 2)} and cut
+    assert {(r.path, r.hops) for r in found.collect()} == {("b", 1), ("c", 2)} and cut.first().truncated
+
+
+def test_each_search_has_its_own_limit(spark):
+    rng = random.Random(4)
+    links = {(rng.randrange(60), rng.randrange(60)) for _ in range(110)}
+    e = spark.createDataFrame([("r", str(a), str(b)) for a, b in links], "repo_id string, src string, dst string")
+    starts = {q: (rng.sample(range(60), 2), rng.choice([None, 0, 1, 2, 3, 5])) for q in range(25)}
+    s = spark.createDataFrame([(q, "r", str(p), most) for q, (paths, most) in starts.items() for p in paths], "query_id int, repo_id string, path string, max_depth int")
+    found, searches = graph.impact(e, s)
+    want, cut = set(), {}
+    for q, (paths, most) in starts.items():
+        hops = dict.fromkeys(paths, 0)
+        queue = list(paths)
+        for p in queue:
+            for a, b in links:
+                if b == p and a not in hops:
+                    hops[a] = hops[p] + 1
+                    queue.append(a)
+        want |= {(q, str(p), n) for p, n in hops.items() if n and (most is None or n <= most)}
+        cut[q] = most is not None and max(hops.values()) > most
+    assert {(r.query_id, r.path, r.hops) for r in found.collect()} == want
+    assert {r.query_id: r.truncated for r in searches.collect()} == cut and {True, False} == set(cut.values())
 
 
 def test_depth_and_cycles(spark):
