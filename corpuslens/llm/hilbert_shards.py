@@ -185,8 +185,8 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 16, bits: int = 5,
 
     Row counts of shards differ by one at most. A file is a run: a stretch of at most run_rows rows
     of the curve. The manifest, at path/manifest, has a row for each: file, shard, start (the slot of
-    its first row), rows, and the least and greatest lang, source and size, which a reader compares
-    with its filter to skip the file. A row's slot is its file's start and its number in the file.
+    its first row), rows, the least and greatest lang, source and size, and how many rows have no lang or
+    source (null_lang, null_source), which a reader compares with its filter to skip the file. A row's slot is its file's start and its number in the file.
 
     Null texts have no bytes; null lang or source comes first in its dimension. Equal texts lie next to
     each other, at the least position that any of them has, whatever their metadata; ids break ties.
@@ -204,6 +204,7 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 16, bits: int = 5,
     rows.limit(0).write.parquet(f"{path}/schema")
     read = spark.read.schema(rows.schema).parquet(f"{path}/data")
     bounds = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("min", F.min), ("max", F.max))]
+    bounds += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("lang", "source")]
     begin = F.min(F.struct("curve", "tie", "doc_id")).alias("first")
     files = read.withColumn("__file", _file()).groupBy("shard", F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("rows"), begin, *bounds)
     before = Window.partitionBy("shard").orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
@@ -217,7 +218,7 @@ def _file() -> Column:
 
 
 def read_shards(spark: SparkSession, path: str, predicate: str | None = None, where: str | None = None, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of the files whose bounds meet predicate (over min_ and max_ columns of the manifest), with shard and slot.
+    """The rows of the files whose bounds meet predicate (over min_, max_ and null_ columns of the manifest), with shard and slot.
 
     Other files are not opened. where is the condition on the rows themselves, which a file that is
     read needn't meet as a whole. The names of the files that match come to the driver.

@@ -9,6 +9,7 @@ a block follow from its overlap with the block's leader.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -302,8 +303,11 @@ def long_list_links(lists: DataFrame, ordered: DataFrame, percent: int) -> DataF
     A list is range partitioned: large components first, each by itself, then the others by size of
     set. It is cut into blocks of BLOCK positions, and an entry probes the blocks up to its own whose
     bounds it may reach, other than those of its own component: rows grow with entries x blocks, not
-    with pairs of entries.
+    with pairs of entries. Entries meet only blocks of a class of sizes next to their own: a set links
+    with sets of its class, the one below and the one above.
     """
+    ratio = math.log(100 / percent) if percent < 100 else 1.0
+    size_class = lambda c: F.floor(F.ln(c) / (1.0001 * ratio)).cast("int")
     large = F.when(F.col("comp_size") > BLOCK, F.col("comp_size")).otherwise(0)
     order = [F.col("token"), large.desc(), F.when(large > 0, F.col("comp")), F.col("n"), F.col("node")]
     ranged = lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -312,7 +316,9 @@ def long_list_links(lists: DataFrame, ordered: DataFrame, percent: int) -> DataF
         *[f(c).alias(f"b_{k}") for k, f, c in (("min_n", F.min, "n"), ("max_n", F.max, "n"), ("room", F.max, "left"), ("least", F.min, "comp"), ("most", F.max, "comp"))]
     )
     other = (F.col("b_least") != F.col("comp")) | (F.col("b_most") != F.col("comp"))
-    probes = ranged.join(written(bounds, "bounds"), "token").where((F.col("position") >= F.col("b_position")) & other & may_reach(percent))
+    classes = F.explode(F.sequence(size_class("b_min_n") - 1, size_class("b_max_n") + 1)).alias("class")
+    bounds = written(bounds.select("*", classes), "bounds")
+    probes = ranged.withColumn("class", size_class("n")).join(bounds, ["token", "class"]).where((F.col("position") >= F.col("b_position")) & other & may_reach(percent))
     probes = written(probes.select("node", "token", "b_position"), "long-probes")
     members = ranged.select("node", "token", F.col("position").alias("b_position"))
     return probed(probes, members, ordered, ["token", "b_position"], percent)

@@ -68,15 +68,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_
 
     A document (its ids and end_id) is cut every ``length`` ids from its start. Whole cuts are
     sequences of their own; the rests go first-fit decreasing into bins, in groups that a hash of the
-    id deals out, about group_docs documents each, so groups stay as large at every size of corpus
-    and none has a hot key. Sequence ids and offsets have no gaps. A null text is end_id alone;
+    row and of its place in its task deals out, about group_docs documents each, so groups stay as large
+    at every size of corpus, and rows that repeat, with an id or without, are dealt to all of them. Sequence ids and offsets have no gaps. A null text is end_id alone;
     repeated rows are packed each; a text of any length is encoded whole and cut; an empty table gives
     an empty table; other columns are ignored.
     """
     lean_batches(docs.sparkSession)
     groups = -(-docs.count() // group_docs) or 1
     rows = piece_digests(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids)
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", F.monotonically_increasing_id()), F.lit(groups)))
     layout = rows.select("*", *[F.lit(0).cast("long").alias(x) for x in ("first_whole", "rest_sequence", "rest_offset", "sequences")])
 
     def pack(table: pa.Table) -> pa.Table:

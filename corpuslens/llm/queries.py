@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, divergence, exact_dedup, hilbert_shards, language_id, ngram_join, packing, phrase_prints, prefix_bpe, quality_rules, token_files, url_filter, vector_codes
-from .shared import documents, shared_dir
+from .shared import documents, new_folder
 
 #: Fixed value: the turns that op9 adds as conversation -1.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -26,7 +25,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/corpuslens/shards-{uuid4().hex}"
+    path = new_folder(spark, "shards")
     hilbert_shards.write_shards(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), path)
     rows = hilbert_shards.read_shards(spark, path)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
@@ -34,7 +33,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/corpuslens/token-files-{uuid4().hex}"
+    path = new_folder(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(spark, path)
 

@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import BROADCAST_ROWS, broadcast_if_small, new_folder
+from ..tables import settle as written
+
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "new_folder", "written"]  # of the library's tables, for this subpackage
+
 #: The bytes that part words, for ``btrim`` and ``translate``: 20 and 09 to 0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-#: A table of more rows than this is never broadcast (8 to 40 MB of narrow rows).
-BROADCAST_ROWS = 400_000
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir or setCheckpointDir name it.
-
-    Without one, a session on this machine alone takes a temporary folder; a cluster is an error, since
-    its executors would each write to a disk of their own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="corpuslens-")
-    return _OWN[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later reads survive lost executors and start from files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -49,11 +22,6 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, broadcast if its counted rows allow it, else left to a shuffled join."""
-    return F.broadcast(table) if is_small(table, rows) else table
-
-
 def lean_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Lets no more than so many bytes of rows go to a Python worker at a time, from now on in this session.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, written
@@ -23,8 +23,6 @@ BROADCAST_ROWS = 50_000
 MIN_PAGES = 20
 #: A rule says block or allow if so large a share of the labelled pages that it fits say so.
 MIN_CONFIDENCE = 0.5
-#: Of an address, so many tokens that occur on MIN_PAGES labelled pages or more, the rarest first, are combined.
-MAX_TOKENS = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,33 +58,48 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(labels, pieces)))
 
 
-def mine_rules(labelled: DataFrame, *, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Token combinations of labelled(tokens, blocked) that foretell a verdict: rule_id, tokens, anchor, verdict, confidence, pages.
+def common_items(words: DataFrame, min_pages: int) -> DataFrame:
+    """token, item, freq: the tokens of words(row, token) on min_pages rows at least; those on the very same rows are one item, named by the least.
 
-    Spark's FP-growth finds the combinations on min_pages rows at least, with the label as one more
-    item, among max_tokens tokens of a row at most, so that a row has a bounded number of them; rules
-    under min_confidence go. anchor is the rule's rarest token, under which the inverted index keeps
-    it. No labelled row gives no rule.
+    A long path that many addresses repeat is one item so, instead of all combinations of its pieces.
+    """
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"rows{k}") for k in (1, 2)]
+    seen = words.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), *same).where(F.col("freq") >= min_pages)
+    item = F.min("token").over(Window.partitionBy("freq", "rows1", "rows2"))  # distinct tokens of the same rows
+    return seen.select("token", item.alias("item"), "freq")
+
+
+def mine_rules(labelled: DataFrame, *, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, max_items: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Token combinations of labelled(tokens, blocked) that foretell a verdict, and the items they are made of.
+
+    rule_id, items, anchor, verdict, confidence, pages; token, item: any token of an item stands for it
+    (``common_items``). Spark's FP-growth finds the combinations on min_pages rows at least, with the
+    label as one more item; rules under min_confidence go. anchor is the rule's rarest item, under which
+    the inverted index keeps it. All items of a row are combined, unless max_items names how many, the
+    rarest first: combinations grow with two to the power of a row's common items. No labelled row gives
+    no rule.
     """
     spark = labelled.sparkSession
     rows = written(labelled.where("blocked is not null").select("tokens", "blocked").withColumn("row", F.monotonically_increasing_id()), "labelled")
     words = rows.select("row", F.explode("tokens").alias("token"))
-    weight = written(words.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_pages), "weight")
-    kept = words.join(broadcast_if_small(weight, broadcast_rows), "token").groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("freq", "token"))), 1, max_tokens).alias("t"))
+    items = written(common_items(words, min_pages), "items")
+    own = F.array_sort(F.collect_set(F.struct("freq", "item")))
+    kept = words.join(broadcast_if_small(items, broadcast_rows), "token").groupBy("row").agg((own if max_items is None else F.slice(own, 1, max_items)).alias("t"))
     label = F.when(F.col("blocked"), "label:block").otherwise("label:allow")
-    baskets = rows.join(kept, "row", "left").select(F.array_append(F.coalesce(F.transform("t", lambda x: x["token"]), F.array().cast("array<string>")), label).alias("items"))
+    baskets = rows.join(kept, "row", "left").select(F.array_append(F.coalesce(F.transform("t", lambda x: x["item"]), F.array().cast("array<string>")), label).alias("items"))
     baskets = written(baskets, "baskets")
     n = baskets.count()
     if not n:
-        return spark.createDataFrame([], "rule_id long, tokens array<string>, anchor string, verdict string, confidence double, pages long")
+        return spark.createDataFrame([], "rule_id long, items array<string>, anchor string, verdict string, confidence double, pages long"), items.select("token", "item")
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, min(1.0, (min_pages - 0.5) / n)), minConfidence=min_confidence).fit(baskets)
     said = F.get("consequent", F.lit(0))
     found = model.associationRules.where(said.startswith("label:") & ~F.exists("antecedent", lambda t: t.startswith("label:")))
-    pages = F.round(F.col("support") * n / F.col("confidence")).cast("long")  # that the tokens fit
-    rules = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(said, 7, 5).alias("verdict"), "confidence", pages.alias("pages"))
-    rules = written(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "mined")
-    rarest = rules.select("rule_id", F.explode("tokens").alias("token")).join(weight, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return rules.join(rarest, "rule_id").select("rule_id", "tokens", "anchor", "verdict", "confidence", "pages")
+    pages = F.round(F.col("support") * n / F.col("confidence")).cast("long")  # that the items fit
+    rules = found.select(F.array_sort("antecedent").alias("items"), F.substring(said, 7, 5).alias("verdict"), "confidence", pages.alias("pages"))
+    rules = written(rules.withColumn("rule_id", F.xxhash64("items", "verdict")), "mined")
+    weight = items.select("item", "freq").distinct()
+    rarest = rules.select("rule_id", F.explode("items").alias("item")).join(weight, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
+    return rules.join(rarest, "rule_id").select("rule_id", "items", "anchor", "verdict", "confidence", "pages"), items.select("token", "item")
 
 
 def is_held_out(host: Column, path: Column) -> Column:
@@ -100,16 +113,17 @@ def listed_pages(pages: DataFrame, rules) -> DataFrame:
     return written(parts.select("page_id", "url", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict")), "parts")
 
 
-def rule_hits(urls: DataFrame, index: DataFrame, broadcast_rows: int) -> DataFrame:
+def rule_hits(urls: DataFrame, index: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     """host, path, said, confidence of the distinct urls(host, path) that a rule of the written index fits.
 
-    The surest rule decides; of equal ones that of most pages, then of fewest tokens, then to block.
+    The surest rule decides; of equal ones that of most pages, then of fewest items, then to block.
     """
-    order = F.struct("confidence", "pages", (-F.size("tokens")).alias("fewest"), "verdict", F.array_join("tokens", " ").alias("name"))
-    side = broadcast_if_small(index.select(F.col("anchor").alias("token"), F.col("tokens").alias("needed"), order.alias("rule")), broadcast_rows)
-    tokens = url_tokens(F.col("host"), F.col("path")).alias("tokens")
-    probes = urls.select("host", "path").distinct().select("host", "path", tokens).select("host", "path", "tokens", F.explode("tokens").alias("token"))
-    hits = probes.join(side, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    order = F.struct("confidence", "pages", (-F.size("items")).alias("fewest"), "verdict", F.array_join("items", " ").alias("name"))
+    side = broadcast_if_small(index.select("anchor", F.col("items").alias("needed"), order.alias("rule")), broadcast_rows)
+    tokens = urls.select("host", "path").distinct().select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    own = tokens.join(broadcast_if_small(items, broadcast_rows), "token").groupBy("host", "path").agg(F.collect_set("item").alias("own"))
+    probes = own.select("host", "path", "own", F.explode("own").alias("anchor"))
+    hits = probes.join(side, "anchor").where(F.size(F.array_except("needed", "own")) == 0)
     best = hits.groupBy("host", "path").agg(F.max("rule").alias("rule"))
     return written(best.select("host", "path", F.col("rule.verdict").alias("said"), F.col("rule.confidence").alias("confidence")), "hits")
 
@@ -124,22 +138,23 @@ def split_labels(labels: DataFrame) -> DataFrame:
     return labels.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.col("blocked").cast("boolean").alias("blocked"))
 
 
-def _index(labelled: DataFrame, how: dict) -> DataFrame:
-    """The rules mined from the labelled addresses that aren't held out."""
+def _index(labelled: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+    """The rules, and their items, mined from the labelled addresses that aren't held out."""
     own = labelled.where(~is_held_out(F.col("host"), F.col("path")))
-    return written(mine_rules(own.select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "blocked"), **how), "index")
+    rules, items = mine_rules(own.select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "blocked"), **how)
+    return written(rules, "index"), written(items, "index-items")
 
 
 def rule_effect(pages: DataFrame, *, labels: DataFrame | None = None, rules=RULES, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """kind, pages, blocked, allowed: what the mined rules say of open pages and of held out addresses, by their labels."""
     parts = listed_pages(pages, rules)
     labelled = list_labels(parts) if labels is None else split_labels(labels)
-    index = _index(labelled, {"broadcast_rows": broadcast_rows, **how})
+    index, items = _index(labelled, {"broadcast_rows": broadcast_rows, **how})
     held = labelled.where(is_held_out(F.col("host"), F.col("path")) & F.col("blocked").isNotNull())
     kind = F.when(F.col("blocked"), "held out, to block").otherwise("held out, to allow")
     judged = parts.where("verdict is null").select("host", "path", F.lit("open").alias("kind")).unionByName(held.select("host", "path", kind.alias("kind")))
     judged = written(judged, "judged")
-    hits = broadcast_if_small(rule_hits(judged, index, broadcast_rows), broadcast_rows)
+    hits = broadcast_if_small(rule_hits(judged, index, items, broadcast_rows), broadcast_rows)
     out = judged.join(hits, ["host", "path"], "left").groupBy("kind")
     return out.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("said") == "block").alias("blocked"), F.count_if(F.col("said") == "allow").alias("allowed"))
 
@@ -152,14 +167,13 @@ def url_verdicts(pages: DataFrame, *, rules=RULES, labels: DataFrame | None = No
     fifth of the addresses that is held out for rule_effect. Of the rules that fit, the surest says
     block or allow; an address that none fits is allowed. said and confidence are the mined rule's.
     A null address, or one without ``://``, has an empty host and path and is allowed. A very long one
-    is read whole; rules combine at most max_tokens of its tokens. Repeated rows get the same verdict;
-    an empty table gives an empty table. Other columns are ignored.
+    is read whole, and all its common tokens are combined. Repeated rows get the same verdict; an empty table gives an empty table. Other columns are ignored.
 
     Only distinct undecided addresses are exploded into tokens and joined with the index.
     """
     parts = listed_pages(pages, rules)
-    index = _index(list_labels(parts) if labels is None else split_labels(labels), {"broadcast_rows": broadcast_rows, **how})
-    hits = rule_hits(parts.where("verdict is null and host != ''"), index, broadcast_rows)
+    index, items = _index(list_labels(parts) if labels is None else split_labels(labels), {"broadcast_rows": broadcast_rows, **how})
+    hits = rule_hits(parts.where("verdict is null and host != ''"), index, items, broadcast_rows)
     out = parts.join(broadcast_if_small(hits, broadcast_rows), ["host", "path"], "left")
     own = F.col("rule").isNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "said", F.lit("allow")).alias("verdict"), F.when(own, F.col("said")).alias("said"), F.when(own, F.col("confidence")).alias("confidence"))

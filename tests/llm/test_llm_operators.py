@@ -248,6 +248,10 @@ def test_readers_open_only_files_that_may_match(docs, rows, tmp_path, spark):
     opened = [f for f in some.inputFiles() if "/data/" in f]
     assert 0 < len(opened) == manifest.where("max_size >= 4000").count() < manifest.count()
     assert {(r.shard, r.slot) for r in some.collect()} <= {(r.shard, r.slot) for r in got}
+    none = hilbert_shards.read_shards(spark, path, "null_lang > 0", "lang is null")
+    assert sorted(r.doc_id for r in none.collect()) == sorted(r.doc_id for r in got if r.lang is None) != []
+    opened = {f.rsplit("/data/")[1] for f in none.inputFiles() if "/data/" in f}
+    assert opened == {r.file for r in manifest.collect() if r.null_lang} and len(opened) < manifest.count()
 
 
 def test_shards_hold_every_row(spark, docs, rows, tmp_path):
@@ -324,6 +328,26 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark, tmp_path):
+    n, most = 60_000, 20_000
+    same = spark.range(n).repartition(6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text that repeats").alias("text"))
+    groups = []
+    real = packing.written
+
+    def spy(df, name):
+        out = real(df, name)
+        groups.extend(r["n"] for r in out.groupBy("grp").agg(F.count("*").alias("n")).collect() if name == "packed")
+        return out
+
+    packing.written = spy
+    try:
+        got = packing.pack_documents(same, BPE, length=1024, group_docs=most)
+        assert got.agg(F.sum("length"), F.countDistinct("sequence_id"), F.max(F.col("offset") + F.col("length"))).first()[:1] == (n * got.first().doc_tokens,)
+    finally:
+        packing.written = real
+    assert len(groups) == 3 and sum(groups) == n and max(groups) < 1.1 * most
+
+
 def test_prefix_bpe(docs, rows, empty):
     library = tiktoken.Encoding("own3", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
     texts = dict(unique(rows))
@@ -445,12 +469,28 @@ def test_mined_rules_against_every_combination(spark):
         tokens = sorted({rng.choice(words[: 3 + k]) for k in range(rng.randrange(6))})
         rows.append((tokens, rng.random() < (0.8 if {"t0", "t2"} <= set(tokens) else 0.25)))
     df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
-    for limit, most in ((1000, 8), (0, 3)):
-        got = url_filter.mine_rules(df, min_pages=12, min_confidence=0.5, max_tokens=most, broadcast_rows=limit).collect()
-        want = rules_by_hand(rows, 12, 0.5, most)
-        assert len(got) == len(want) and {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), r.pages) for r in got} == {k: (round(c, 9), n) for k, (c, n) in want.items()}
-        assert any(r.verdict == "block" for r in got) and all(r.anchor in r.tokens for r in got)
+    for limit, most in ((1000, None), (0, 3)):
+        mined, items = url_filter.mine_rules(df, min_pages=12, min_confidence=0.5, max_items=most, broadcast_rows=limit)
+        got, want = mined.collect(), rules_by_hand(rows, 12, 0.5, most)
+        assert all(r.token == r.item for r in items.collect())
+        assert len(got) == len(want) and {(tuple(r.items), r.verdict): (round(r.confidence, 9), r.pages) for r in got} == {k: (round(c, 9), n) for k, (c, n) in want.items()}
+        assert any(r.verdict == "block" for r in got) and all(r.anchor in r.items for r in got)
+
+
+def test_tokens_of_the_same_rows_are_one_item(spark):
+    """Forty pieces that always occur together would have 2^40 combinations; any of them stands for all."""
+    long = "/".join(f"piece{k}" for k in range(40))
+    labels = [(f"http://a.org/{long}/x{i}", True) for i in range(60)] + [(f"http://b.org/read/y{i}", False) for i in range(60)]
+    pages = spark.createDataFrame([(1, f"http://c.org/{long}"), (2, "http://c.org/piece7"), (3, "http://c.org/read"), (4, "http://c.org/other")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.said) for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean")).collect()}
+    assert got == {1: ("block", "block"), 2: ("block", "block"), 3: ("allow", "allow"), 4: ("allow", None)}
+
 
+def test_a_long_address_is_read_whole(spark):
+    labels = [(f"http://a.org/{'z' * 100_000}/bad{i % 2}/{i}", True) for i in range(30)] + [(f"http://b.org/{i}", False) for i in range(30)]
+    pages = spark.createDataFrame([(1, f"http://c.org/{'y/' * 400_000}bad0"), (2, f"http://c.org/{'y/' * 400_000}good")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean"), min_pages=2).collect()}
+    assert got == {1: "block", 2: "allow"}
 
 def test_url_query_against_every_combination(spark, sf_dir):
     """The query over a whole table: listed rules, then the surest of the rules mined from rated pages."""
@@ -467,7 +507,7 @@ def test_url_query_against_every_combination(spark, sf_dir):
     def tokens(p):
         return sorted({f"h:{x}" for x in p[0].split(".") if x} | {f"p:{x}" for x in re.split(r"[^0-9A-Za-z]+", p[1]) if x})
 
-    mined = rules_by_hand([(tokens(p), bad) for p, bad in labelled if p not in held], url_filter.MIN_PAGES, url_filter.MIN_CONFIDENCE, url_filter.MAX_TOKENS)
+    mined = rules_by_hand([(tokens(p), bad) for p, bad in labelled if p not in held], url_filter.MIN_PAGES, url_filter.MIN_CONFIDENCE, None)
     assert mined
     for r in queries.op6_url_rules(spark, sf_dir).collect():
         assert (r.host, r.path) == parts[r.page_id]
