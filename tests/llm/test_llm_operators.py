@@ -489,7 +489,7 @@ def test_tokens_of_the_same_rows_are_one_item(spark):
 def test_a_long_address_is_read_whole(spark):
     labels = [(f"http://a.org/{'z' * 100_000}/bad{i % 2}/{i}", True) for i in range(30)] + [(f"http://b.org/{i}", False) for i in range(30)]
     pages = spark.createDataFrame([(1, f"http://c.org/{'y/' * 400_000}bad0"), (2, f"http://c.org/{'y/' * 400_000}good")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean"), min_pages=2).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean"), min_pages=2, min_confidence=0.9).collect()}
     assert got == {1: "block", 2: "allow"}
 
 def test_url_query_against_every_combination(spark, sf_dir):
