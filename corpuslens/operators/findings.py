@@ -23,6 +23,17 @@ def repo_stats(f: DataFrame) -> DataFrame:
     return base
 
 
+def language_categories(f: DataFrame) -> DataFrame:
+    """repo_id, lang, category, level, files, lines: by both, by either and by neither.
+
+    level tells them apart, since a language or category may itself be null: 0 both, 1 by language, 2 by
+    category, 3 the whole repository.
+    """
+    sets = [[F.col(c) for c in by] for by in (("repo_id", "lang", "category"), ("repo_id", "lang"), ("repo_id", "category"), ("repo_id",))]
+    level = F.grouping("lang") * 2 + F.grouping("category")
+    return f.groupingSets(sets, "repo_id", "lang", "category").agg(level.cast("long").alias("level"), F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
+
+
 def hotspots(touches: DataFrame, since: Column | None = None) -> DataFrame:
     rows = touches if since is None else touches.where(F.col("ts") >= since)
     return rows.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("commits"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -90,6 +90,15 @@ def repo_stats(spark, sf_dir):
     return rows.select("repo_id", F.explode("languages").alias("lang", "n"), "files", "lines")
 
 
+@query("""
+    select source as repo_id, lang, quality as category, cast(grouping(lang, quality) as bigint) as level, count(*) as files, cast(sum(n_chars) as bigint) as lines
+    from documents join labels using (doc_id) group by grouping sets ((source, lang, quality), (source, lang), (source, quality), (source))""")
+def language_categories(spark, sf_dir):
+    """Rated documents are files, their rating the category."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return findings.language_categories(docs.select(F.col("source").alias("repo_id"), "lang", F.col("quality").alias("category"), F.col("n_chars").alias("lines")))
+
+
 @query(f"with {SQL_PARTS} select 'src/' || split_part(path, '/', 2) as area, count(*) as files, min(path) as first_path, max(path) as last_path from part_files group by 1")
 def areas(spark, sf_dir):
     return findings.area_spans(part_files(spark, sf_dir)).select("area", "files", "first_path", "last_path")
@@ -1081,6 +1090,70 @@ def _part_text(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("p_brand").alias("repo_id"), F.concat(F.lit("src/"), name(F.col("p_partkey")), F.lit(".py")).alias("path"), text.alias("text"))
 
 
+#: In place of {k} and {n}, a part's key and the next one of its brand; {dk} and {dn} are those modulo three.
+POLYGLOT = [  # path, then the text of parts whose key modulo four is 0, 1, 2, 3
+    ("js/d{dk}/m{k}.ts", ['import x from "../d{dn}/m{n}";', "const x = require('../d{dn}/m{n}.js');", 'export * from "../d{dn}/m{n}.ts";', 'const x = await import("../d{dn}/m{n}");\nimport "./gone{k}";']),
+    ("py/pkg/m{k}.py", ["from .m{n} import x", "import py.pkg.m{n}", "from ..pkg.m{n} import x", "from lib{n} import x"]),
+    ("src/lib{k}.py", ["", "", "", ""]),
+    ("go/p{k}/a.go", ['import "acme.org/x/go/p{n}"', 'import (\n\t"fmt"\n\tz "acme.org/x/go/p{n}"\n)', 'import "acme.org/x/go/p{n}"', 'import "other.org/x/go/p{n}"']),
+    ("go/p{k}/b.go", ["", "", "", ""]),
+    ("go/p{k}/a_test.go", ["", "", "", ""]),
+    ("rs/src/m{k}.rs", ["use crate::m{n}::Thing;", "pub use crate::m{n};", "mod inner;", "pub(crate) mod sub;"]),
+    ("rs/src/m{k}/inner.rs", ["", "", "", ""]),
+    ("rs/src/m{k}/sub/mod.rs", ["", "", "", ""]),
+    ("java/src/main/java/com/acme/M{k}.java", ["import com.acme.M{n};", "import java.util.List;\nimport com.acme.M{n};", "import static com.acme.M{n}.of;", "import org.other.M{n};"]),
+    ("php/M{k}.php", ["use Acme\\M{n};", "use \\Acme\\M{n} as Z;", "use function Acme\\M{n};", "use Vendor\\M{n};"]),
+    ("rb/lib/r{k}.rb", ['require_relative "r{n}"', "require 'r{n}'", "require_relative 'r{n}'\nrequire 'r{n}'", "require 'rack'"]),
+    ("sh/s{k}.sh", ["source ./s{n}.sh", '. "$DIR/s{n}.sh"', "source s{n}.sh", "source /etc/profile"]),
+]
+
+
+def _polyglot(spark, sf_dir) -> DataFrame:
+    """Brands as repositories of files in eight languages; a part's files import those of the next part of its brand."""
+    keys = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("n"))
+
+    def filled(text: str) -> Column:
+        out = F.lit(text)
+        for name, value in (("k", F.col("k")), ("n", F.col("n")), ("dk", F.col("k") % 3), ("dn", F.col("n") % 3)):
+            out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("none")))
+        return out
+
+    texts = lambda forms: F.get(F.array(*[filled(x) for x in forms]), (F.col("k") % 4).cast("int"))
+    files_ = F.array(*[F.struct(filled(path).alias("path"), texts(forms).alias("text")) for path, forms in POLYGLOT])
+    rows = keys.select(F.col("p_brand").alias("repo_id"), F.explode(files_).alias("f")).select("repo_id", "f.*")
+    roots = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in (("go.mod", "module acme.org/x\n"), ("composer.json", '{"autoload": {"psr-4": {"Acme\\\\": "php/"}}}'), ("rs/src/lib.rs", ""))])
+    return rows.unionByName(keys.select(F.col("p_brand").alias("repo_id")).distinct().select("repo_id", F.explode(roots).alias("f")).select("repo_id", "f.*"))
+
+
+@query("""
+    with n as (select p_brand as repo_id, p_partkey as k, p_partkey % 4 as form, lead(p_partkey) over (partition by p_brand order by p_partkey) as n from part),
+    e as (
+        select repo_id, 'js/d' || k % 3 || '/m' || k || '.ts' as src, 'js/d' || n % 3 || '/m' || n || '.ts' as dst from n where n is not null
+        union all select repo_id, 'py/pkg/m' || k || '.py', case when form = 3 then 'src/lib' || n || '.py' else 'py/pkg/m' || n || '.py' end from n where n is not null
+        union all select repo_id, 'go/p' || k || '/a.go', 'go/p' || n || unnest(['/a.go', '/b.go']) from n where n is not null and form < 3
+        union all select repo_id, 'rs/src/m' || k || '.rs', 'rs/src/m' || n || '.rs' from n where n is not null and form < 2
+        union all select repo_id, 'rs/src/m' || k || '.rs', 'rs/src/m' || k || case form when 2 then '/inner.rs' else '/sub/mod.rs' end from n where form >= 2
+        union all select repo_id, 'java/src/main/java/com/acme/M' || k || '.java', 'java/src/main/java/com/acme/M' || n || '.java' from n where n is not null and form < 3
+        union all select repo_id, 'php/M' || k || '.php', 'php/M' || n || '.php' from n where n is not null and form < 3
+        union all select repo_id, 'rb/lib/r' || k || '.rb', 'rb/lib/r' || n || '.rb' from n where n is not null and form < 3
+        union all select repo_id, 'sh/s' || k || '.sh', 'sh/s' || n || '.sh' from n where n is not null and form < 3)
+    select 'edge' as kind, repo_id, src, dst from e
+    union all select 'dangling', repo_id, 'js/d' || k % 3 || '/m' || k || '.ts', './gone' || k from n where form = 3
+    union all select 'dangling', repo_id, 'js/d' || k % 3 || '/m' || k || '.ts', case form when 1 then '../dnone/mnone.js' when 2 then '../dnone/mnone.ts' else '../dnone/mnone' end from n where n is null
+    union all select 'dangling', repo_id, 'py/pkg/m' || k || '.py', case form when 0 then '.mnone' else '..pkg.mnone' end from n where n is null and form in (0, 2)
+    union all select 'dangling', repo_id, 'rb/lib/r' || k || '.rb', './rnone' from n where n is null and form in (0, 2)
+    union all select 'dangling', repo_id, 'sh/s' || k || '.sh', './snone.sh' from n where n is null and form = 0""")
+def import_languages(spark, sf_dir):
+    """Edges of all eight languages, by every form of import, and the relative imports that find nothing."""
+    ft = _polyglot(spark, sf_dir)
+    f = scans.describe_files(ft.withColumn("lines", C.line_count("text")).withColumn("bytes", F.octet_length("text")))
+    specs = settle(imports.extract_imports(ft), "specs")
+    resolved = settle(imports.resolve_imports(specs, f, scans.read_manifests(ft)), "resolved")
+    edge = imports.build_edges(resolved, f).select(F.lit("edge").alias("kind"), "repo_id", "src", "dst")
+    lost = imports.dangling_imports(specs, resolved).select(F.lit("dangling").alias("kind"), "repo_id", F.col("path").alias("src"), F.col("spec").alias("dst"))
+    return edge.unionByName(lost)
+
+
 SQL_PLACES = """
     p as (select p_brand as repo_id, p_partkey, p_partkey % 10 = 0 as is_test, row_number() over (partition by p_brand order by p_partkey) as place from part),
     n as (select a.*, count(b.place) as inbound, coalesce(bool_or(b.is_test), false) as by_test from p a left join p b on b.repo_id = a.repo_id and b.place // 2 = a.place group by all)"""
