@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..tables import settle
 
-#: Files of an area that are walked and packed together.
+#: Files of an area that are walked together.
 RUN_FILES = 4800
+AREA = ["repo_id", "area"]
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -82,31 +84,28 @@ def is_stale(index_meta: DataFrame, enrichment_meta: DataFrame) -> DataFrame:
     return index_meta.join(e, "repo_id", "left").select("repo_id", (~same).alias("stale"))
 
 
-def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int = 1500, area_col: str | None = None, run_files: int = RUN_FILES) -> DataFrame:
-    """repo_id, area, path, pos, local_batch: greedy batches inside each area, in cohesion order.
+def cohesion_order(f: DataFrame, e: DataFrame, area_col: str | None = None, run_files: int = RUN_FILES) -> DataFrame:
+    """repo_id, area, path, lines, pos: the files of each area, depth first along their imports from the most imported one.
 
-    Files of an area follow their imports depth first from the most imported one. A running sum that
-    starts again is no window frame, so it is taken in pandas groups. An area's files, the most
-    imported first, are cut into runs of run_files, and a run is a group: neither the walk nor a batch
-    crosses the end of a run, and an area of no more files is packed as one. pos and local_batch go on
-    through an area's runs. Ranks come from a range partitioning and the sizes of its partitions.
+    The walk is sequential, so it is taken in pandas groups: an area's files, the most imported first, are
+    cut into runs of run_files, and a walk ends with its run; an area of no more files is one walk. pos
+    goes on through an area's runs. Ranks come from a range partitioning and the sizes of its partitions.
     """
     area = F.col(area_col) if area_col else C.area_key("path")
     order = [F.col("repo_id"), F.col("area"), F.desc("inbound"), F.col("path")]
     rows = f.withColumn("area", area).select("repo_id", "area", "path", "lines", "inbound")
     ranged = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "pack-ranged")
     ranged = ranged.withColumn("part", F.shiftright("at", 33))
-    keys = ["repo_id", "area"]
-    before = lambda by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = ranged.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    pieces = pieces.withColumn("start", F.coalesce(F.sum("n").over(before("part")), F.lit(0)) - F.col("first")).drop("n", "first")
-    placed = ranged.join(pieces, [*keys, "part"]).withColumn("rank", F.col("at") + F.col("start"))
-    placed = settle(placed.select(*keys, "path", "lines", "inbound", F.floor(F.col("rank") / run_files).alias("run")), "pack-placed")
+    before = Window.partitionBy(*AREA).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy(*AREA, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    pieces = pieces.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).drop("n", "first")
+    placed = ranged.join(pieces, [*AREA, "part"]).withColumn("rank", F.col("at") + F.col("start"))
+    placed = settle(placed.select(*AREA, "path", "lines", "inbound", F.floor(F.col("rank") / run_files).alias("run")), "pack-placed")
     end = lambda name, a, r: placed.select("repo_id", F.col("path").alias(name), F.col("area").alias(a), F.col("run").alias(r))
     near = e.join(end("src", "a", "ra"), ["repo_id", "src"]).join(end("dst", "b", "rb"), ["repo_id", "dst"]).where("a = b and ra = rb")
     links = near.groupBy("repo_id", F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["inbound", "path"], ascending=[False, True])
         out = {p: list(x) if x is not None else [] for p, x in zip(pdf["path"], pdf["imports"], strict=True)}
         size, order, seen = dict(zip(pdf["path"], pdf["lines"], strict=True)), [], set()
@@ -118,21 +117,48 @@ def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int
                     seen.add(p)
                     order.append(p)
                     stack += [x for x in reversed(out[p]) if x in out]
-        batch, count, total, made = 0, 0, 0, []
-        for p in order:
-            if count and (count == max_files or total + size[p] > max_lines):
-                batch, count, total = batch + 1, 0, 0
-            count, total = count + 1, total + size[p]
-            made.append(batch)
         first = pdf.iloc[0]
-        return pd.DataFrame({"repo_id": first["repo_id"], "area": first["area"], "run": first["run"], "path": order, "nth": range(len(order)), "batch": made})
-
-    packed = placed.join(links, ["repo_id", "path"], "left").groupBy(*keys, "run").applyInPandas(pack, placed.select(*keys, "run", "path", F.lit(0).alias("nth"), F.lit(0).alias("batch")).schema)
-    packed = settle(packed, "packed")
-    runs = packed.groupBy(*keys, "run").agg((F.max("batch") + 1).cast("long").alias("n"))
-    runs = runs.withColumn("done", F.coalesce(F.sum("n").over(before("run")), F.lit(0))).drop("n")
-    out = packed.join(runs, [*keys, "run"])
-    return out.select(*keys, "path", (F.col("run") * run_files + F.col("nth")).alias("pos"), (F.col("done") + F.col("batch")).alias("local_batch"))
+        return pd.DataFrame({"repo_id": first["repo_id"], "area": first["area"], "path": order, "lines": [size[p] for p in order], "pos": first["run"] * run_files + np.arange(len(order))})
+
+    walked = placed.join(links, ["repo_id", "path"], "left").groupBy(*AREA, "run")
+    return walked.applyInPandas(walk, placed.select(*AREA, "path", "lines", F.lit(0).cast("long").alias("pos")).schema)
+
+
+def batch_starts(ordered: DataFrame, max_files: int = 12, max_lines: int = 1500, stretch: int = 10_000) -> DataFrame:
+    """repo_id, area, pos, next, local_batch: where each batch of ordered(repo_id, area, pos, lines) begins and the next one would.
+
+    A batch is closed at max_files files, or before the file that would bring it over max_lines; a larger
+    file is a batch of its own. So where a batch that begins at a file ends follows from the max_files
+    files after it, and the batches of an area are the orbit of its first file, found by pointer doubling:
+    in each round all starts known so far jump as many batches as there have been, and pointers double.
+    Windows look ahead in stretches of positions, each with the first files of the next one.
+    """
+    own = F.floor(F.col("pos") / stretch)
+    early = (F.col("pos") % stretch < max_files) & (own > 0)
+    shared = ordered.select(*AREA, "pos", "lines", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("stretch"))
+    ahead = Window.partitionBy(*AREA, "stretch").orderBy("pos").rowsBetween(Window.currentRow, max_files - 1)
+    sums = F.aggregate("ahead", F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("going")), lambda a, x: F.struct((a["total"] + x).alias("total"), (a["n"] + F.when(a["going"] & ((a["n"] == 0) | (a["total"] + x <= max_lines)), 1).otherwise(0)).alias("n"), (a["going"] & ((a["n"] == 0) | (a["total"] + x <= max_lines))).alias("going")))
+    rows = shared.withColumn("ahead", F.collect_list("lines").over(ahead)).where(F.col("stretch") == own)
+    first = settle(rows.select(*AREA, "pos", (F.col("pos") + sums["n"]).alias("next")), "batch-next")
+    jumps, far = first, 1
+    starts = settle(first.where("pos = 0").select(*AREA, "pos", F.lit(0).cast("long").alias("local_batch")), "batch-starts")
+    while True:
+        landed = starts.join(jumps, [*AREA, "pos"]).select(*AREA, F.col("next").alias("pos"), (F.col("local_batch") + far).alias("local_batch"))
+        landed = settle(landed.join(first.select(*AREA, "pos"), [*AREA, "pos"], "left_semi"), "batch-landed")
+        if not landed.take(1):
+            break
+        starts = settle(starts.unionByName(landed), "batch-starts")
+        beyond = jumps.select(*AREA, F.col("pos").alias("next"), F.col("next").alias("further"))
+        jumps, far = settle(jumps.join(beyond, [*AREA, "next"]).select(*AREA, "pos", F.col("further").alias("next")), "batch-jumps"), 2 * far
+    return starts.join(first, [*AREA, "pos"]).select(*AREA, "pos", "next", "local_batch")
+
+
+def pack_batches(f: DataFrame, e: DataFrame, max_files: int = 12, max_lines: int = 1500, area_col: str | None = None, run_files: int = RUN_FILES) -> DataFrame:
+    """repo_id, area, path, pos, local_batch: greedy batches inside each area, of any size, in cohesion order."""
+    ordered = settle(cohesion_order(f, e, area_col, run_files), "pack-ordered")
+    starts = batch_starts(ordered, max_files, max_lines)
+    held = starts.select(*AREA, F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), "local_batch")  # max_files at most
+    return ordered.join(held, [*AREA, "pos"]).select(*AREA, "path", "pos", "local_batch")
 
 
 def number_batches(packed: DataFrame) -> DataFrame:

@@ -60,6 +60,29 @@ def _nodes(e: DataFrame) -> DataFrame:
     return e.select("repo_id", F.col("src").alias("node")).unionByName(e.select("repo_id", F.col("dst").alias("node"))).distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its least node) of links(src, dst), whatever their direction.
+
+    Large and small stars in turn: every node's larger neighbours, then its smaller ones, are tied to the
+    least of them, until nothing moves; a round is two grouped tables, and rounds grow with the logarithm
+    of the longest way. Least neighbours are map-side aggregates joined back, so no group is collected.
+    """
+    edges = settle(links.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = settle(large.unionByName(least.where("least < a").select("a", F.col("least").alias("b"))).where("a != b").distinct(), "large-stars")
+        centre = settle(large.groupBy("a").agg(F.min("b").alias("least")), "centres")
+        small = large.join(centre, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        small = settle(small.unionByName(centre.select("a", F.col("least").alias("b"))).where("a != b").distinct(), "small-stars")
+        if not small.join(edges, ["a", "b"], "left_anti").take(1) and not edges.join(small, ["a", "b"], "left_anti").take(1):
+            break
+        edges = small
+    tied = edges.groupBy("a").agg(F.min("b").alias("component"))
+    return tied.select(F.col("a").alias("node"), "component").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
 def _peel(e: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Edges by the round in which they went, and those that stay for ever.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..operators import coverage, enrichment, files, findings, graph, imports, notes, review, secrets, stack
+from ..operators import coverage, duplicates, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from ..sources import scans, sinks
 from ..streaming import jobs
 from ..tables import new_folder, settle
@@ -342,6 +342,12 @@ def duplicates_exact(spark, sf_dir):
     return notes.duplicates_exact(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query()
+def duplicates_near(spark, sf_dir):
+    """Documents whose five-word shingles agree by three quarters, by classes."""
+    return duplicates.duplicates_near(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("""
     with b as (select doc_id, trim(unnest(string_split(text, chr(10)))) as block from documents)
     select sha256(block) as digest, count(*) as occurrences, count(distinct doc_id) as documents from b where block <> '' group by block having count(distinct doc_id) > 1""")
@@ -658,10 +664,17 @@ def ignore_filter(spark, sf_dir):
     return files.apply_ignore(_made(spark, sf_dir), patterns).select("s_suppkey", "path")
 
 
-@query("with d as (select distinct cast(ts as date) as day from events order by 1 desc limit 7) select strftime(cast(ts as date), '%Y-%m-%d') as day, event_type as kind, count(*) as entries from events where cast(ts as date) in (select day from d) group by 1, 2")
+@query("""
+    with e as (select user_id % 9 as repo, cast(ts as date) as day, event_type as kind from events where user_id % 9 <> extract(day from ts) % 10),
+    d as (select *, row_number() over (partition by repo order by day desc) as k from (select distinct repo, day from e))
+    select cast(repo as varchar) as repo_id, strftime(day, '%Y-%m-%d') as day, kind, count(*) as entries from e join d using (repo, day) where k <= 7 group by all""")
 def memory_recent(spark, sf_dir):
-    memory = table(spark, sf_dir, "events").select(F.lit("events").alias("repo_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("kind"))
-    return scans.recent_memory(memory, 7).groupBy(C.day_stamp("day").alias("day"), "kind").agg(F.count(F.lit(1)).alias("entries"))
+    """Events are entries of nine repositories, each silent every tenth day: written through the gate, then the last seven days of each."""
+    events = table(spark, sf_dir, "events").where("user_id % 9 != day(ts) % 10")
+    entries = events.select(F.col("event_id").cast("string").alias("entry_id"), (F.col("user_id") % 9).cast("string").alias("repo_id"), F.col("ts").cast("timestamp"), F.col("event_type").alias("kind"), F.lit("said").alias("body"))
+    at = new_folder(spark, "memory")
+    sinks.append_memory(entries, at, "1")
+    return scans.scan_recent_memory(spark, at, 7).groupBy("repo_id", C.day_stamp("day").alias("day"), "kind").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query("with n as (select cast(max(o_orderdate) as date) - 30 as day from orders) select o_orderkey, cast(o_orderdate as date) < day as overdue from orders, n where cast(o_orderdate as date) <= day + 3 and o_orderstatus = 'O'")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules
 from ..operators.files import apply_ignore
+from ..tables import folders
 
 MANIFESTS = r"(^|/)(package\.json|composer\.json|go\.mod|Cargo\.toml|Gemfile|requirements\.txt|pyproject\.toml|setup\.py|setup\.cfg|pom\.xml|build\.gradle(\.kts)?)\z"
+#: Fixed value: the folder of rows without a day.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 DAY_FILE = r"^(\d{4}-\d{2}-\d{2})\.md\z"
 
 
@@ -107,6 +110,19 @@ def recent_memory(memory: DataFrame, days: int = 7) -> DataFrame:
     return memory.join(ranked, ["repo_id", "day"])
 
 
+def scan_recent_memory(spark: SparkSession, path: str, days: int = 7) -> DataFrame:
+    """Entries of the last so many days that each repository has, from what ``sinks.append_memory`` wrote; older days' files aren't opened.
+
+    The days are the names of folders, which Spark lists anyway before it reads a table.
+    """
+    held: dict[str, dict[str, list[str]]] = {}
+    for folder in folders(spark, f"{path}/batch=*/repo=*/day=*"):
+        _, repo, day = (x.split("=", 1)[1] for x in folder.split("/")[-3:])
+        held.setdefault(repo, {}).setdefault(day, []).append(folder)
+    kept = [x for own in held.values() for day in sorted((d for d in own if d != NO_DAY), reverse=True)[:days] for x in own[day]]
+    return spark.read.option("basePath", path).parquet(*kept)
+
+
 def memory_from_files(file_text: DataFrame) -> DataFrame:
     """Entries of day files: ``## HH:MM · kind`` headings and what follows."""
     day = F.to_date(F.regexp_extract(C.basename("path"), DAY_FILE, 1))

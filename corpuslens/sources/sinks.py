@@ -29,12 +29,13 @@ def split_entries(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_memory(df: DataFrame, path: str, batch: str) -> DataFrame:
-    """Writes clean entries (entry_id, repo_id, ts, kind, body) to day partitions under path/batch=…; returns the refused ones.
+    """Writes clean entries (entry_id, repo_id, ts, kind, body) to folders of repository and day under path/batch=…; returns the refused ones.
 
     A batch that is written again replaces what it wrote; others stay.
     """
     clean, refused = split_entries(df)
-    clean.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
+    placed = clean.withColumns({"repo": F.col("repo_id"), "day": F.to_date("ts")}).hint("rebalance", "repo", "day")  # a file or so for each folder
+    placed.write.mode("overwrite").partitionBy("repo", "day").parquet(f"{path}/batch={batch}")
     return refused
 
 

@@ -2,12 +2,14 @@
 
 import datetime
 import random
+from collections import Counter
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import columns as C
-from corpuslens.operators import coverage, enrichment, files, findings, graph, imports, notes, review, secrets, stack
+from corpuslens.operators import coverage, duplicates, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from corpuslens.sources import scans, sinks
 
 
@@ -237,6 +239,19 @@ def test_gate_and_memory(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
 
 
+def test_recent_memory_opens_recent_days_only(spark, tmp_path):
+    days = [("a", d) for d in (1, 2, 3, 9, 20)] + [("b/c", d) for d in (1, 2)] + [("007", 5)]
+    rows = [(f"{r}{d}{k}", r, datetime.datetime(2024, 1, d, k), "note", f"{d}") for r, d in days for k in (1, 2)]
+    df = spark.createDataFrame(rows, "entry_id string, repo_id string, ts timestamp, kind string, body string")
+    at = str(tmp_path / "m")
+    sinks.append_memory(df.where("day(ts) != 9"), at, "1")
+    sinks.append_memory(df.where("day(ts) = 9"), at, "2")
+    got = scans.scan_recent_memory(spark, at, 3)
+    assert {(r.repo_id, r.day.day) for r in got.collect()} == {("a", 20), ("a", 9), ("a", 3), ("b/c", 2), ("b/c", 1), ("007", 5)} and got.count() == 12
+    opened = {unquote(f).split("/m/")[1].rsplit("/", 1)[0] for f in got.inputFiles()}
+    assert opened == {"batch=1/repo=a/day=2024-01-20", "batch=2/repo=a/day=2024-01-09", "batch=1/repo=a/day=2024-01-03", "batch=1/repo=b%2Fc/day=2024-01-02", "batch=1/repo=b%2Fc/day=2024-01-01", "batch=1/repo=007/day=2024-01-05"}
+
+
 def test_secret_findings_count_what_is_real(spark):
     secret = "tok" + 'en = "' + "Zx9" * 5 + '"'
     texts = {("r", "lib/a.py"): secret, ("r", "spec"): secret, ("r", "examples/b.py"): secret + "\n" + secret, ("r", "doc.md"): secret, ("t", "test/x.py"): secret, ("e", "x.py"): secret + " # corpuslens:allow-secrets", ("r", "long.py"): secret + "x" * 400_000}
@@ -252,6 +267,89 @@ def test_firewalled_terms(spark):
     assert [(r.path, r.line, r.term) for r in secrets.firewall_hits(n, ["ACME"]).collect()] == [("a.md", 2, "acme")]
 
 
+# near duplicates
+
+
+def near_by_hand(texts, percent=75):
+    """All links between different sets, and {id: class}, by comparing every pair."""
+    sets = {}
+    for i, text in texts:
+        w = (text or "").lower().split()
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = []
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                links += [(a, b)] if sets[a] != sets[b] else []
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    classes = {i: top(i) for i in ids}
+    several = Counter(classes.values())
+    return links, {i: c for i, c in classes.items() if several[c] > 1}
+
+
+def near_texts():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(900)]
+    rows = [(0, None), (1, ""), (2, "One two"), (3, "one  TWO"), (4, "x " * 5000)]
+    for base in range(40):
+        own = [rng.choice(words) for _ in range(rng.randrange(30, 120))]
+        for _ in range(rng.randrange(1, 7)):
+            text = list(own)
+            for _ in range(rng.randrange(0, 4)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(text)))
+    template = [rng.choice(words) for _ in range(200)]
+    for k in range(150):  # a template with another name in each text
+        rows.append((len(rows), " ".join([*template[:100], f"name{k}", *template[100:]])))
+    return rows
+
+
+def test_near_duplicates_against_every_pair(spark):
+    rows = near_texts()
+    links, classes = near_by_hand(rows)
+    df = spark.createDataFrame(rows, "path long, text string").repartition(3)
+    got = {r.path: r.class_id for r in duplicates.duplicates_near(df).collect()}
+    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in links)
+    assert len(links) > 11_000 and found >= 0.9 * len(links)
+    assert got.items() <= classes.items() or all(classes[i] == classes[c] for i, c in got.items())  # nothing that isn't near
+    assert len(got) >= 0.95 * len(classes)
+    sets = df.select(F.col("path").alias("node"), duplicates.shingle_hashes("text").alias("hashes")).where("size(hashes) > 0")
+    exact = set(links)
+    few = {(r.src, r.dst) for r in duplicates.near_links(sets, block=8).collect()}
+    assert {(a, b) for a, b in few if a not in (2, 3)} <= exact | {(a, b) for a in classes for b in classes if classes[a] == classes[b]} and len(few) < 8_000
+    assert duplicates.duplicates_near(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(k, k + 1) for k in range(200)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(140)] + [(700, 700 + k) for k in range(1, 50)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for k in sorted(near):
+        queue = [] if k in want or near[k] == {k} else [k]
+        while queue:
+            x = queue.pop()
+            if x not in want:
+                want[x] = k
+                queue += near[x]
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 # documents
 
 

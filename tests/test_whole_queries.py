@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from test_operators import near_by_hand
 
 from corpuslens.operators import enrichment
 from corpuslens.plans import registry
@@ -54,25 +55,26 @@ def packed_by_hand(files, edges, max_files=12, max_lines=1500, run_files=4800):
     got, start = {}, Counter()
     for (repo, area), own in sorted(files.items()):
         order = sorted(own, key=lambda p: (-own[p][1], p))
+        walk = {}
         for run in (order[i : i + run_files] for i in range(0, len(order), run_files)):
-            walk = {}
+            inside = set(run)
 
-            def visit(p):
+            def visit(p, inside=inside):
                 if p not in walk:
                     walk[p] = None
                     for x in sorted(edges.get((repo, p), ())):
-                        if x in run:
+                        if x in inside:
                             visit(x)
 
             for p in run:
                 visit(p)
-            batch, count, total = start[repo] + 1, 0, 0
-            for p in walk:
-                if count and (count == max_files or total + own[p][0] > max_lines):
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + own[p][0]
-                got[repo, p] = batch
-            start[repo] = batch
+        batch, count, total = start[repo] + 1, 0, 0
+        for p in walk:
+            if count and (count == max_files or total + own[p][0] > max_lines):
+                batch, count, total = batch + 1, 0, 0
+            count, total = count + 1, total + own[p][0]
+            got[repo, p] = batch
+        start[repo] = batch
     return got
 
 
@@ -107,6 +109,26 @@ def test_hot_area_is_packed_in_runs(spark):
         assert sorted(r.pos for r in rows if r.repo_id == "r" and r.area == "hot") == list(range(150))
 
 
+def test_batches_of_an_area_of_twenty_thousand_files(spark):
+    """Batches go on through the ends of walks: the same as closing them one file after the other."""
+    rng = random.Random(9)
+    own = {f"p{i:05}": (rng.choice([0, 5, 90, 130, 400, 700, 1500, 4000]), 0) for i in range(20_000)}
+    f = spark.createDataFrame([("r", "hot", p, n, i) for p, (n, i) in own.items()], "repo_id string, area_id string, path string, lines int, inbound long").repartition(5)
+    e = spark.createDataFrame([], "repo_id string, src string, dst string")
+    rows = enrichment.number_batches(enrichment.pack_batches(f, e, area_col="area_id")).collect()
+    assert len(rows) == 20_000 and {(r.repo_id, r.path): r.batch_index for r in rows} == packed_by_hand({("r", "hot"): own}, {})
+    ordered = spark.createDataFrame([("r", "hot", i, n) for i, (n, _) in enumerate(own.values())], "repo_id string, area string, pos long, lines int")
+    want = {(r.pos, r.next, r.local_batch) for r in enrichment.batch_starts(ordered.where("pos < 500")).collect()}
+    assert want == {(r.pos, r.next, r.local_batch) for r in enrichment.batch_starts(ordered.where("pos < 500"), stretch=13).collect()}
+
+
+def test_near_duplicates_of_the_query(spark, sf_dir, read):
+    links, classes = near_by_hand([(r["doc_id"], r["text"]) for r in read("documents")])
+    got = {r.doc_id: r.class_id for r in registry.QUERIES["duplicates_near"](spark, sf_dir).collect()}
+    assert links and sum(got.get(a, -1) == got.get(b, -2) for a, b in links) >= 0.9 * len(links)
+    assert len(got) >= 0.9 * len(classes) and all(classes[i] == classes[c] for i, c in got.items())
+
+
 def test_recall_with_every_word(spark, sf_dir, read):
     texts = [(r["doc_id"], r["n_chars"], (r["text"] or "").lower()) for r in read("documents")]
     counts, want, longest = {}, set(), 0
