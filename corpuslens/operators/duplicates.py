@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +24,13 @@ def shingle_hashes(text: Column | str, words: int = 5) -> Column:
 
 
 def band_keys(hashes: Column | str, bands: int, rows: int) -> Column:
-    """A key for each band: of so many minima, each of the hashes in another order, which a fixed mask turns them into."""
-    masks = random.Random(7)
-    least = lambda: F.array_min(F.transform(C.col(hashes), lambda x, m=masks.getrandbits(63): x.bitwiseXOR(F.lit(m))))
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[least() for _ in range(rows)]).alias("key")) for b in range(bands)])
+    """A key for each band: of so many minima, each of the hashes hashed again with a number of its own."""
+
+    def again(k: int):
+        return lambda x: F.xxhash64(x, F.lit(k))
+
+    least = [F.array_min(F.transform(C.col(hashes), again(k))) for k in range(bands * rows)]
+    return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*least[b * rows : (b + 1) * rows]).alias("key")) for b in range(bands)])
 
 
 def near_links(sets: DataFrame, percent: int = 75, bands: int = 8, rows: int = 3, block: int = BLOCK) -> DataFrame:
