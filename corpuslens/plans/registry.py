@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
+from ..functions import tables as tables_
 from ..operators import coverage, duplicates, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from ..sources import scans, sinks
 from ..streaming import jobs
@@ -306,6 +307,25 @@ def secret_scan(spark, sf_dir):
 SQL_KINDS = "list_value(" + ", ".join(f"'{kind}'" for kind in SQL_SECRETS) + ")"
 
 
+@query(f"with {sql_secrets('documents', 'doc_id')} select doc_id, kind, line, match_redacted from secrets")
+def secrets_in_sql(spark, sf_dir):
+    """The same scan as a table function in a lateral join."""
+    tables_.register(spark)
+    return spark.sql("select doc_id, kind, cast(line as bigint) as line, match_redacted from {docs}, lateral secrets_of(text)", docs=table(spark, sf_dir, "documents"))
+
+
+@query("""
+    with n as (select p_brand as repo_id, p_partkey % 4 as form from part),
+    t as (select repo_id, unnest(case form
+        when 0 then ['import-from', 'from', 'single', 'use', 'import', 'use', 'relative', 'source'] when 1 then ['require', 'import', 'block', 'block', 'use', 'import', 'import', 'use', 'require', 'source']
+        when 2 then ['export-from', 'from', 'single', 'mod', 'import', 'use', 'relative', 'source'] else ['dynamic', 'import', 'from', 'single', 'mod', 'import', 'use', 'require', 'source'] end) as tag from n)
+    select repo_id, tag, count(*) as n from t group by all""")
+def imports_in_sql(spark, sf_dir):
+    """Specifiers of the files in eight languages by form, from the table function."""
+    tables_.register(spark)
+    return spark.sql("select repo_id, tag, count(*) as n from {files}, lateral imports_of(path, text) group by all", files=_polyglot(spark, sf_dir))
+
+
 @query(f"""
     with {sql_secrets('documents', 'doc_id')}, s as (select source, doc_id, 'notes/' || doc_id as path, count(*) as hits, string_agg(kind, ', ' order by list_position({SQL_KINDS}, kind)) as kinds from secrets join documents using (doc_id) where strlen(text) <= 400000 group by 1, 2),
     r as (select *, row_number() over (partition by source order by path) as k from s)

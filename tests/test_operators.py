@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import columns as C
+from corpuslens.functions import tables
 from corpuslens.operators import coverage, duplicates, enrichment, files, findings, graph, imports, notes, review, secrets, stack
 from corpuslens.sources import scans, sinks
 
@@ -267,6 +268,22 @@ def test_firewalled_terms(spark):
     assert [(r.path, r.line, r.term) for r in secrets.firewall_hits(n, ["ACME"]).collect()] == [("a.md", 2, "acme")]
 
 
+# SQL table functions
+
+
+def test_table_functions_give_what_the_jobs_give(spark):
+    tables.register(spark)
+    secret = "tok" + 'en = "' + "Zx9" * 5 + '"'
+    docs = file_text(spark, **{"a": f"one\n{secret}\n\nit's {secret}", "b": "-----BEGIN PRIVATE " + "KEY-----\n", "c": 'pass' + 'word = "${DB_PASSWORD}"', "d": None, "e": ""})
+    got = spark.sql("select path, s.* from {d}, lateral secrets_of(text) as s", d=docs).collect()
+    want = secrets.scan_secrets(docs, keys=("path",)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.line for r in got} == {1, 2, 4}
+    code = file_text(spark, **{"a.rb": "require_relative 'x'\nrequire 'x'\nrequire 'y'", "b.go": 'import (\n "a"\n z "b/c"\n)', "c.ts": "import x from './y';\nexport * from \"z\"", "Makefile": "import x", "d.py": "from .a import b\nimport c.d"})
+    got = spark.sql("select c.path, i.* from {c} as c, lateral imports_of(path, text) as i", c=code).collect()
+    want = imports.extract_imports(code).select("path", "spec", "tag", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 8
+
+
 # near duplicates
 
 
