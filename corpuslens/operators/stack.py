@@ -98,5 +98,5 @@ def run_commands(manifests: DataFrame) -> DataFrame:
 
 def purpose(readmes: DataFrame) -> DataFrame:
     """The first line of a README that is neither blank nor a heading."""
-    body = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    body = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return readmes.select("repo_id", F.get(body, F.lit(0)).alias("purpose"))
