@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
+from ..tables import broadcast_if_small, settle
 from .graph import follow_renames
 
 
@@ -38,25 +39,42 @@ def brief_coverage(governing: DataFrame) -> DataFrame:
     return own.select("repo_id", "doc", C.dir_of("doc").alias("dir"), "covers")
 
 
+def holding(rows: DataFrame, text: str, needles: DataFrame) -> DataFrame:
+    """rows(repo_id, …), once with each of needles(repo_id, needle) that the column text contains.
+
+    Any character may stand in a needle, so it is filed under one run of its characters (8 long, 3 if it
+    is shorter, or 1): of its own runs the one that the fewest needles of its repository have. Texts give
+    out only runs under which some needle is filed, before anything is shuffled, and a needle that a
+    text's run leads to is then looked for in the text itself.
+    """
+
+    def runs(c: str) -> Column:
+        return F.when(F.length(c) >= 8, C.grams(c, 8)).when(F.length(c) >= 3, C.grams(c, 3)).otherwise(C.grams(c, 1))
+
+    own = settle(needles.select("repo_id", "needle").distinct().withColumn("gram", F.explode(F.array_distinct(runs("needle")))), "needle-runs")
+    common = own.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    filed = own.join(common, ["repo_id", "gram"]).groupBy("repo_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    filed = settle(filed, "needles")
+    used = broadcast_if_small(settle(filed.select("gram").distinct(), "needle-grams"))
+    every = F.array_distinct(F.concat(*[C.grams(text, n) for n in (8, 3, 1)]))
+    given = rows.withColumn("gram", F.explode(every)).join(used, "gram", "left_semi")
+    return given.join(broadcast_if_small(filed), ["repo_id", "gram"]).where(F.contains(text, F.col("needle"))).drop("gram")
+
+
 def stale_mentions(changed: DataFrame, docs: DataFrame, files: DataFrame, keep: int = 12) -> DataFrame:
     """repo_id, doc, line, names, text, total: lines of unchanged context documents that name a changed file.
 
     A file is named by its path, if it lies in a directory, or by a long name that no other file has. A
-    line and a path count once; of each document the first ``keep`` pairs stay, total counts all. Any
-    character may stand in a name, so a needle is looked for under one run of its characters that the
-    lines give out as well (8 long, or 3 for a short needle) and is then found in the line itself: an
-    equi-join, however many documents and changes there are.
+    line and a path count once; of each document the first ``keep`` pairs stay, total counts all.
     """
     unique = files.groupBy("repo_id", C.basename("path").alias("needle")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where((F.col("n") == 1) & (F.length("needle") > 6))
     known = changed.select("repo_id", "path").distinct()
     by_name = unique.join(known, ["repo_id", "path"], "left_semi").select("repo_id", "needle", "path")
     by_path = known.where(F.contains("path", F.lit("/"))).select("repo_id", F.col("path").alias("needle"), "path")
-    size = F.when(F.length("needle") >= 8, 8).otherwise(3)
-    needles = by_path.unionByName(by_name).distinct().withColumn("gram", F.right("needle", size))
+    needles = settle(by_path.unionByName(by_name).distinct(), "mentioned")
     own = docs.where(F.col("path").rlike(rules.CONTEXT_DOC)).join(known, ["repo_id", "path"], "left_anti").select("repo_id", F.col("path").alias("doc"), "text")
-    grams = F.array_distinct(F.concat(C.grams("text_line", 8), C.grams("text_line", 3)))
-    said = lines(own).where("text_line != ''").select("repo_id", "doc", "line", "text_line", F.explode(grams).alias("gram"))
-    hits = said.join(needles, ["repo_id", "gram"]).where(F.contains("text_line", F.col("needle"))).select("repo_id", "doc", "line", F.col("path").alias("names"), "text_line").distinct()
+    said = holding(lines(own).where("text_line != ''").select("repo_id", "doc", "line", "text_line"), "text_line", needles)
+    hits = said.join(needles, ["repo_id", "needle"]).select("repo_id", "doc", "line", F.col("path").alias("names"), "text_line").distinct()
     per_doc = Window.partitionBy("repo_id", "doc")
     ranked = hits.withColumn("total", F.count(F.lit(1)).over(per_doc)).withColumn("rank", F.row_number().over(per_doc.orderBy("line", "names")))
     return ranked.where(F.col("rank") <= keep).select("repo_id", "doc", "line", "names", C.excerpt("text_line").alias("text"), "total")
@@ -70,8 +88,9 @@ def glossary_terms(docs: DataFrame) -> DataFrame:
 
 
 def glossary_hits(changed: DataFrame, terms: DataFrame) -> DataFrame:
-    pairs = changed.join(terms, "repo_id").where(F.contains(F.lower("path"), F.col("needle")))
-    return pairs.select("repo_id", "path", "term").distinct()
+    terms = settle(terms.select("repo_id", "term", "needle").distinct(), "terms")
+    said = holding(changed.select("repo_id", "path").distinct().withColumn("lowered", F.lower("path")), "lowered", terms)
+    return said.join(terms, ["repo_id", "needle"]).select("repo_id", "path", "term").distinct()
 
 
 def extract_citations(docs: DataFrame) -> DataFrame:

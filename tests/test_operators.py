@@ -378,6 +378,16 @@ def test_governing_docs_and_shims(spark):
     assert {(r.doc, r.dir, tuple(r.covers)) for r in review.brief_coverage(found).collect()} == {("AGENTS.md", "", ("a/b/x.py",)), ("a/AGENTS.md", "a", ("a/b/x.py",)), ("a/b/gemini.md", "a/b", ("a/b/x.py",))}
 
 
+def test_needles_are_found_wherever_they_stand(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab./é\n") for _ in range(n))
+    rows = [("r" if k % 3 else "s", k, word(rng.choice([0, 1, 2, 3, 7, 8, 20, 60]))) for k in range(120)]
+    needles = [(r, word(n)) for r in "rs" for n in (1, 1, 2, 2, 3, 3, 4, 7, 8, 9, 10)] + [("r", rows[7][2][3:15] or "a"), ("s", "nowhere"), ("t", "a")]
+    got = review.holding(spark.createDataFrame(rows, "repo_id string, k int, text string"), "text", spark.createDataFrame(needles * 2, "repo_id string, needle string"))
+    want = sorted({(r, k, n) for r, k, t in rows for q, n in needles if q == r and n in t})
+    assert sorted((r.repo_id, r.k, r.needle) for r in got.collect()) == want and len(want) > 100
+
+
 def test_stale_mentions(spark):
     names = ["lib/longname.js", "lib/x.js", "lib/long name.js", "lib/other@2.js", "a/b", "root-file.js", "s.js"]
     changed = spark.createDataFrame([("r", p) for p in names], "repo_id string, path string")
