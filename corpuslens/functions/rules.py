@@ -28,9 +28,11 @@ TEST_PATHS = [
     r"(^|/)test_[^/]+\.py\z", r"(^|/)conftest\.py\z", r"(^|/)test-[^/]+\.(sh|bash|zsh|py)\z", r"\.bats\z", r"Tests?\.(java|kt|cs|scala)\z", r"Spec\.(kt|scala)\z",
 ]
 
+#: Where programs begin.
 ENTRY_PATHS = [
-    r"^(src/)?(index|main|app|server|cli)\.[a-z]+\z", r"^main\.go\z", r"(^|/)cmd/[^/]+/main\.go\z", r"^(src/)?(lib|main)\.rs\z",
-    r"^(manage|wsgi|asgi|__main__)\.py\z", r"^Program\.cs\z",
+    r"^(src/)?index\.[a-z]+\z", r"^(src/)?main\.[a-z]+\z", r"^(src/)?app\.[a-z]+\z", r"^(src/)?server\.[a-z]+\z", r"^(src/)?cli\.[a-z]+\z",
+    r"^main\.go\z", r"(^|/)cmd/[^/]+/main\.go\z", r"^(src/)?lib\.rs\z", r"^(src/)?main\.rs\z",
+    r"^manage\.py\z", r"^wsgi\.py\z", r"^asgi\.py\z", r"^__main__\.py\z", r"^Program\.cs\z",
 ]
 
 FIXTURE_PATH = r"(?i)(^|/)(tests?|testdata|__tests__|spec|fixtures?|examples?|mocks?)(/|\z)"

@@ -47,10 +47,15 @@ def link_stats(notes: DataFrame, links: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
-def remove_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The notes that stay, their links to removed ones turned to plain text, and the archived ones."""
+def remove_notes(notes: DataFrame, ids: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The notes that stay, their links to removed ones turned to plain text, and the archived ones.
+
+    Those have archived_as, the name under which the archive keeps them, with the time of the removal.
+    """
+    stamp = F.date_format(F.current_timestamp() if now is None else now, "yyyyMMdd-HHmmss")
+    kept_as = F.concat(F.lit("archives/removed/"), F.regexp_replace(C.basename("path"), r"\.md\z", ""), F.lit("."), stamp, F.lit(".md"))
     gone = ids.select("vault_id", "note_id").distinct()
-    archived = notes.join(gone, ["vault_id", "note_id"], "left_semi")
+    archived = notes.join(gone, ["vault_id", "note_id"], "left_semi").withColumn("archived_as", kept_as)
     stay = notes.join(gone, ["vault_id", "note_id"], "left_anti")
     links = extract_wikilinks(stay).join(gone.withColumnRenamed("note_id", "dst"), ["vault_id", "dst"], "left_semi")
     named = links.groupBy("vault_id", F.col("src").alias("note_id")).agg(F.array_sort(F.collect_set("dst")).alias("lost"))
@@ -100,7 +105,7 @@ def catch_up(notes: DataFrame, commits: DataFrame, project: str, since: Column)
 
 
 def digest(commits: DataFrame, since: Column, merged: DataFrame | None = None) -> DataFrame:
-    """repo_id, digest: ``- sha subject (author, date)`` lines of commits since then, newest first, and of what was merged.
+    """repo_id, digest: under a heading with the day, ``- sha subject (author, date)`` lines of commits since then, newest first, and of what was merged.
 
     merged(repo_id, number, title, ts) gives ``- #number title`` lines under a heading of their own,
     where there are any.
@@ -112,11 +117,11 @@ def digest(commits: DataFrame, since: Column, merged: DataFrame | None = None) -
 
     out = commits.select("repo_id").distinct()
     out = out.join(block(commits, F.format_string("- %s %s (%s, %s)", "sha", "subject", "author", C.day_stamp("ts")), "said"), "repo_id", "left")
-    text = F.concat(F.lit("### Commits\n"), F.coalesce("said", F.lit("- (none)")))
+    text = F.concat(F.lit("## Digest since "), C.day_stamp(since), F.lit("\n\n### Commits\n"), F.coalesce("said", F.lit("- (none)")))
     if merged is not None:
         out = out.join(block(merged, F.format_string("- #%s %s", F.col("number").cast("string"), "title"), "merged"), "repo_id", "left")
-        text = F.concat_ws("\n\n", text, F.concat(F.lit("### Merged\n"), F.col("merged")))
-    return out.select("repo_id", text.alias("digest"))
+        text = F.concat_ws("\n\n", text, F.concat(F.lit("### Merged PRs\n"), F.col("merged")))
+    return out.select("repo_id", F.concat(text, F.lit("\n")).alias("digest"))
 
 
 def open_actions(notes: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def open_actions(spark, sf_dir):
     with e as (select user_id % 50 as repo, event_id, event_type, ts from events), c as (select *, '- s' || event_id || ' did ' || event_type || ' (u' || repo || ', ' || strftime(ts, '%Y-%m-%d') || ')' as line from e where event_type <> 'purchase'),
     m as (select *, '- #' || event_id || ' merged' as line from e where event_type = 'purchase'),
     said as (select repo, string_agg(line, chr(10) order by ts desc, line desc) as said from c where ts >= timestamp '2024-01-25' group by 1), merged as (select repo, string_agg(line, chr(10) order by ts desc, line desc) as merged from m where ts >= timestamp '2024-01-25' group by 1)
-    select r.repo, sha256('### Commits' || chr(10) || coalesce(said, '- (none)') || coalesce(chr(10) || chr(10) || '### Merged' || chr(10) || merged, '')) as digest
+    select r.repo, sha256('## Digest since 2024-01-25' || chr(10) || chr(10) || '### Commits' || chr(10) || coalesce(said, '- (none)') || coalesce(chr(10) || chr(10) || '### Merged PRs' || chr(10) || merged, '') || chr(10)) as digest
     from (select distinct repo from c) r left join said using (repo) left join merged using (repo)""")
 def commit_digests(spark, sf_dir):
     """Events of fifty repositories: purchases are what was merged, all else commits, of the last days."""
@@ -79,6 +79,28 @@ def commit_digests(spark, sf_dir):
     return notes.digest(commits, F.lit("2024-01-25").cast("timestamp"), merged).select(F.col("repo_id").alias("repo"), F.sha2("digest", 256).alias("digest"))
 
 
+PLACES = ["inbox/n{k}.md", "daily/d{k}.md", "projects/p{k}.md", "areas/a{k}.md", "context/voice{k}.md", "decisions/x{k}.md", "notes/n{k}.md", "templates/t{k}.md"]
+
+
+@query("""
+    with n as (select c_nationkey as vault, c_custkey as k, c_custkey % 8 as place, c_custkey % 37 as age, c_custkey % 5 = 0 as is_map, c_acctbal > 0 as linked from customer),
+    v as (select vault, count(*) as notes, count(*) filter (linked) as linked, count(*) filter (place = 0) as inbox, coalesce(bool_or(place = 0 and age <= 7), false) as moves, coalesce(bool_or(place = 1 and age <= 7), false) as daily, bool_or(is_map) as moc,
+                 count(distinct case when place in (2, 3) then place end) as para, bool_or(place = 4) as voice, coalesce(bool_and(case when place = 4 then is_map end), false) as filled, bool_or(place = 5) as decision, bool_or(age <= 7) as active, bool_or(place = 7) as templates from n group by 1),
+    s as (select vault, case when inbox > 0 then 5 else 0 end + case when daily then 10 else 0 end + case when inbox < 50 or moves then 10 else 0 end as capture, case when notes >= 5 then 5 else 0 end + case when 2 * linked > notes then 10 else 0 end + case when moc then 5 else 0 end + case when para >= 2 then 5 else 0 end as knowledge,
+                 case when filled then 10 else 0 end + case when voice then 5 else 0 end + case when decision then 5 else 0 end as context, case when daily then 10 else 0 end + case when active then 10 else 0 end + case when templates then 5 else 0 end as cadence from v)
+    select vault, cast(capture as bigint) as capture, cast(knowledge as bigint) as knowledge, cast(context as bigint) as context, cast(cadence as bigint) as cadence, cast(capture + knowledge + context + cadence as bigint) as total,
+           case when capture + knowledge + context + cadence < 40 then 'Foundation' when capture + knowledge + context + cadence < 70 then 'Built' when capture + knowledge + context + cadence < 90 then 'Compounding' else 'Autonomous' end as stage from s""")
+def vault_scores(spark, sf_dir):
+    """Customers as notes of their nation's vault, in eight folders and of ages up to 36 days; those in credit link to another."""
+    day, k = F.lit("2024-06-30").cast("date"), F.col("c_custkey")
+    text = F.concat(F.when(k % 5 == 0, F.concat(F.lit("---\ntype: moc\n---\n"), F.repeat(F.lit("a line of text "), F.lit(20)))).otherwise("short "), F.when(F.col("c_acctbal") > 0, F.lit("[[other]]")).otherwise(""))
+    own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("vault_id"), pick("c_custkey", PLACES).alias("path"), text.alias("text"), F.date_sub(day, (k % 37).cast("int")).cast("timestamp").alias("mtime"))
+    own = own.withColumn("note_id", C.note_id(C.basename("path")))
+    found = notes.vault_score(own, notes.extract_wikilinks(own), day)
+    points = [F.col(c).cast("long").alias(c) for c in ("capture", "knowledge", "context", "cadence", "total")]
+    return found.select(F.col("vault_id").alias("vault"), *points, "stage")
+
+
 # files and context
 
 

@@ -620,7 +620,8 @@ def test_note_actions_and_stages(spark):
     assert [r.overdue for r in notes.due_items(actions, F.lit("2024-02-02").cast("date")).collect()] == [True]
     r = notes.vault_score(n, notes.extract_wikilinks(n), F.lit("2024-02-01").cast("date")).first()
     assert (r.capture, r.knowledge, r.context, r.cadence, r.stage) == (20, 10, 0, 20, "Built") and len(r.gaps) == 3
-    stay, gone = notes.remove_notes(n, spark.createDataFrame([("v", "a")], "vault_id string, note_id string"))
+    stay, gone = notes.remove_notes(n, spark.createDataFrame([("v", "a")], "vault_id string, note_id string"), F.lit("2024-02-01 03:04:05").cast("timestamp"))
+    assert gone.first().archived_as == "archives/removed/a.20240201-030405.md"
     assert {x.note_id: x.text for x in stay.collect()} == {"d": "a", "e": "x"} and [x.note_id for x in gone.collect()] == ["a"]
 
 
@@ -628,7 +629,7 @@ def test_digest_with_merges(spark):
     commits = spark.createDataFrame([("r", "2024-01-02", "abc", "fix", "me"), ("r", "2023-01-02", "old", "no", "me"), ("s", "2023-01-02", "old", "no", "me")], "repo_id string, ts string, sha string, subject string, author string").withColumn("ts", F.to_timestamp("ts"))
     merged = spark.createDataFrame([("r", 7, "Title", "2024-01-03")], "repo_id string, number int, title string, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r.repo_id: r.digest for r in notes.digest(commits, F.lit("2024-01-01").cast("timestamp"), merged).collect()}
-    assert got == {"r": "### Commits\n- abc fix (me, 2024-01-02)\n\n### Merged\n- #7 Title", "s": "### Commits\n- (none)"}
+    assert got == {"r": "## Digest since 2024-01-01\n\n### Commits\n- abc fix (me, 2024-01-02)\n\n### Merged PRs\n- #7 Title\n", "s": "## Digest since 2024-01-01\n\n### Commits\n- (none)\n"}
 
 
 def test_recall_within_a_project(spark):
