@@ -482,7 +482,7 @@ def test_tokens_of_the_same_rows_are_one_item(spark):
     long = "/".join(f"piece{k}" for k in range(40))
     labels = [(f"http://a.org/{long}/x{i}", True) for i in range(60)] + [(f"http://b.org/read/y{i}", False) for i in range(60)]
     pages = spark.createDataFrame([(1, f"http://c.org/{long}"), (2, "http://c.org/piece7"), (3, "http://c.org/read"), (4, "http://c.org/other")], "page_id long, url string")
-    got = {r.page_id: (r.verdict, r.said) for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean")).collect()}
+    got = {r.page_id: (r.verdict, r.said) for r in url_filter.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean"), min_confidence=0.9).collect()}
     assert got == {1: ("block", "block"), 2: ("block", "block"), 3: ("allow", "allow"), 4: ("allow", None)}
 
 
