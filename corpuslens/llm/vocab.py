@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Bytes of pieces and their ids that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 24 << 20
+REMEMBERED = 12 << 20
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
 
@@ -146,11 +146,17 @@ def library_encoder(path: str) -> TextEncoder:
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow, with give_back() at the end of each task."""
+    """run, for mapInArrow, with give_back() at the end of each task and freed memory returned after each batch it takes."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            return_freed()
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(trimmed(batches))
         finally:
             give_back()
 
@@ -160,6 +166,11 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def give_back() -> None:
     """Returns to the system what a task's buffers leave in this worker's allocators."""
     gc.collect()
+    return_freed()
+
+
+def return_freed() -> None:
+    """Returns to the system what is free in this worker's allocators; looks for no cycles."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
