@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -17,6 +17,27 @@ def coverage_name(f: DataFrame) -> DataFrame:
     return stems.where("category = 'code' and not is_test").join(tests, ["repo_id", "stem"]).select("repo_id", "path", "test")
 
 
+def name_classes(f: DataFrame, stem: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Code (repo_id, stem, path) and tests (repo_id, stem, test): each test of a stem covers each code file of it.
+
+    The pairs of ``coverage_name`` by classes: their rows grow with the files, pairs with the square of a stem's.
+    """
+    stems = f.withColumn("stem", C.test_stem("path") if stem is None else stem)
+    code = stems.where("category = 'code' and not is_test").select("repo_id", "stem", "path").distinct()
+    return code, stems.where("is_test").select("repo_id", "stem", F.col("path").alias("test")).distinct()
+
+
+def covered(code: DataFrame, tests: DataFrame) -> DataFrame:
+    """The code files of ``name_classes`` that any test covers."""
+    return code.join(tests.select("repo_id", "stem").distinct(), ["repo_id", "stem"], "left_semi")
+
+
+def test_counts(code: DataFrame, tests: DataFrame) -> DataFrame:
+    """repo_id, path, tests: how many tests cover each code file of ``name_classes`` that any does; a stem's are counted once."""
+    counts = tests.groupBy("repo_id", "stem").agg(F.count(F.lit(1)).alias("tests"))
+    return code.join(counts, ["repo_id", "stem"]).select("repo_id", "path", "tests")
+
+
 def coverage_import(f: DataFrame, e: DataFrame) -> DataFrame:
     tests = f.where("is_test").select("repo_id", F.col("path").alias("src"))
     return e.join(tests, ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path"), F.col("src").alias("test"))
