@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
+from ..tables import shuffled
 
 
 def _tagged(tag: str):
@@ -28,12 +29,12 @@ def extract_imports(file_text: DataFrame) -> DataFrame:
     found.append(F.when(F.col("lang") == "go", F.transform(quoted, lambda s: F.struct(F.lit("block").alias("tag"), s.alias("spec")))))
     empty = F.array().cast("array<struct<tag:string,spec:string>>")
     every = F.concat(*[F.coalesce(x, empty) for x in found])
-    specs = rows.withColumn("found", every).where(F.size("found") > 0).select("repo_id", "path", "lang", F.posexplode("found").alias("pos", "x"))
-    specs = specs.select("repo_id", "path", "lang", "x.spec", "x.tag", "pos").where("spec != ''")
     # an absolute require that repeats a relative one is dropped; a relative one is marked
-    marked = specs.withColumn("spec", F.when(F.col("tag") == "relative", F.concat(F.lit("./"), F.col("spec"))).otherwise(F.col("spec")))
-    twins = specs.where("tag = 'relative'").select("repo_id", "path", "spec").distinct().withColumn("twin", F.lit(True))
-    return marked.join(twins, ["repo_id", "path", "spec"], "left").where(~((F.col("tag") == "require") & F.coalesce("twin", F.lit(False)))).drop("twin")
+    near = F.array_distinct(F.transform(F.filter("found", lambda x: x["tag"] == "relative"), lambda x: x["spec"]))
+    held = rows.withColumn("found", every).where(F.size("found") > 0).select("repo_id", "path", "lang", near.alias("near"), F.posexplode("found").alias("pos", "x"))
+    held = held.where((F.col("x.spec") != "") & ~((F.col("x.tag") == "require") & F.array_contains("near", F.col("x.spec"))))
+    spec = F.when(F.col("x.tag") == "relative", F.concat(F.lit("./"), F.col("x.spec"))).otherwise(F.col("x.spec"))
+    return held.select("repo_id", "path", "lang", spec.alias("spec"), "x.tag", "pos")
 
 
 def _texts(names: list[str]) -> Column:
@@ -127,7 +128,7 @@ def candidates(specs: DataFrame, files: DataFrame, prefixes: DataFrame | None =
     up = C.ancestors("path")
     rooted = specs.where("lang = 'rust'").withColumn("up", F.explode_outer(up)).join(crate_roots(files).withColumnRenamed("root", "up"), ["repo_id", "up"], "left_semi")
     crate = rooted.groupBy(*keep).agg(F.max_by("up", F.length("up")).alias("crate"))
-    rust = specs.where("lang = 'rust'").join(crate.select("repo_id", "path", "spec", "pos", "crate"), ["repo_id", "path", "spec", "pos"], "left")
+    rust = specs.where("lang = 'rust'").join(shuffled(crate.select("repo_id", "path", "spec", "pos", "crate")), ["repo_id", "path", "spec", "pos"], "left")
     from_root = F.when(F.col("crate").isNotNull(), F.flatten(F.transform(_shortened(parts), lambda t: F.array(F.concat_ws("/", "crate", F.concat(t, F.lit(".rs"))), F.concat_ws("/", "crate", t, F.lit("mod.rs")))))).otherwise(F.array().cast("array<string>"))
     rust = out(rust, [F.array(F.concat(child, F.lit(".rs")), F.concat(child, F.lit("/mod.rs"))), from_root])
 
@@ -156,27 +157,27 @@ def resolve_imports(specs: DataFrame, files: DataFrame, manifests: DataFrame | N
     """repo_id, path, spec, target: the first candidate that exists; a Go package means all its files."""
     found = candidates(specs, files, php_prefixes(manifests) if manifests is not None else None)
     known = files.select("repo_id", F.col("path").alias("candidate"))
-    first = found.join(known, ["repo_id", "candidate"]).groupBy("repo_id", "path", "spec", "pos").agg(F.min_by("candidate", F.struct("priority", "candidate")).alias("target"))
+    first = found.join(shuffled(known), ["repo_id", "candidate"]).groupBy("repo_id", "path", "spec", "pos").agg(F.min_by("candidate", F.struct("priority", "candidate")).alias("target"))
     resolved = first.select("repo_id", "path", "spec", "target")
     if manifests is not None:
         modules = manifests.where("path = 'go.mod'").select("repo_id", C.go_module("text").alias("module")).where("module is not null")
         go = specs.where("lang = 'go'").join(modules, "repo_id").where((F.col("spec") == F.col("module")) | F.expr("startswith(spec, module || '/')"))
         go = go.withColumn("dir", F.expr("case when spec = module then '' else substring(spec, length(module) + 2) end"))
         own = files.where("lang = 'go' and not is_test").select("repo_id", F.col("path").alias("target"), C.dir_of("path").alias("dir"))
-        resolved = resolved.unionByName(go.join(own, ["repo_id", "dir"]).select("repo_id", "path", "spec", "target"))
+        resolved = resolved.unionByName(go.join(shuffled(own), ["repo_id", "dir"]).select("repo_id", "path", "spec", "target"))
     return resolved
 
 
 def build_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct import edges of code and script files, without self edges."""
     able = files.where("category in ('code', 'script')").select("repo_id", "path")
-    rows = resolved.where("path != target").join(able, ["repo_id", "path"], "left_semi")
+    rows = resolved.where("path != target").join(shuffled(able), ["repo_id", "path"], "left_semi")
     return rows.select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("type")).dropDuplicates()
 
 
 def dangling_imports(specs: DataFrame, resolved: DataFrame) -> DataFrame:
     """Relative specifiers outside tests that resolve to nothing."""
-    return specs.where(F.col("spec").startswith(".") & ~C.is_test_path("path")).join(resolved, ["repo_id", "path", "spec"], "left_anti")
+    return specs.where(F.col("spec").startswith(".") & ~C.is_test_path("path")).join(shuffled(resolved), ["repo_id", "path", "spec"], "left_anti")
 
 
 def external_packages(specs: DataFrame, builtins: DataFrame) -> DataFrame:
