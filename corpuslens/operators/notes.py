@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..tables import broadcast_if_small, settle
+from ..tables import broadcast_if_small, settle, tasks_for
 from .files import in_project
 
+#: So many characters of notes are one task's share where notes are searched.
+TASK_CHARS = 2_000_000
+#: What so many runs hold is found once and broadcast.
+COMMON_RUNS = 100_000
+
 
 def extract_wikilinks(notes: DataFrame) -> DataFrame:
     """vault_id, src, dst: distinct [[links]] outside fences, comments and inline code.
@@ -77,24 +82,46 @@ def recall(notes: DataFrame, query: str, limit: int = 8, project: str | None = N
     return scored.orderBy(F.desc("score"), F.desc("mtime"), "path").limit(limit).select("vault_id", "path", "score", C.snippet("text", terms).alias("snippet"))
 
 
+def _common_runs(notes: DataFrame, pieces: Column, terms: DataFrame) -> DataFrame:
+    """run, hits (term, n): what the runs of most notes hold, so many as may be broadcast; other runs are looked up where they occur."""
+    seen = notes.select(F.explode(F.array_distinct(C.tokenize("text"))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("notes"))
+    seen = settle(seen.where("notes > 1").select("run", F.floor(F.log2("notes")).alias("level")), "runs")
+    least, rows = 64, 0
+    for level, n in sorted(seen.groupBy("level").count().collect(), reverse=True):  # a level for each power of two
+        rows += n
+        if rows > COMMON_RUNS:
+            break
+        least = level
+    common = seen.where(F.col("level") >= least).select("run")
+    held = common.withColumn("term", F.explode(pieces)).join(terms, "term").groupBy("run").agg(F.collect_list(F.struct("term", C.term_count(F.col("run"), F.col("term")).alias("n"))).alias("hits"))
+    none = F.array().cast("array<struct<term:string,n:bigint>>")
+    return F.broadcast(settle(common.join(held, "run", "left").select("run", F.coalesce("hits", none).alias("hits")), "common-runs"))
+
+
 def recall_many(notes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, path, score, rank for each of queries(query_id, query), a stated set.
 
     A term is letters and digits, so each of its occurrences lies inside one run of letters and digits
-    of a text. The distinct runs of all notes are cut into pieces as long as terms are and meet the
-    terms once; notes then only look up what their runs hold. Work grows with texts and with the
-    vocabulary, not with texts times terms.
+    of a text. The runs of a note are counted, cut into pieces as long as terms are and meet the terms,
+    which go to all tasks if they are few; what the commonest runs hold is found once for all notes. Notes are dealt once, by their path, and all that follows
+    from one stays with its task: neither runs, pieces nor scores are shuffled, only the best notes that
+    a task has for a query. Work grows with the texts' distinct runs, not with texts times terms.
     """
     asked = queries.select("query_id", F.explode(C.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = settle(asked, "asked")
-    terms = asked.select("term").distinct()
+    terms = settle(asked.select("term").distinct(), "terms")
     lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a few numbers
-    runs = notes.select("path", "mtime", F.explode(C.tokenize("text")).alias("run"))
-    pieces = F.flatten(F.array(*[C.grams("run", n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    held = runs.select("run").distinct().select("run", F.explode(F.array_distinct(pieces)).alias("term"))
-    held = held.join(broadcast_if_small(settle(terms, "terms")), "term").select("run", "term", C.term_count(F.col("run"), F.col("term")).alias("n"))
-    found = runs.join(broadcast_if_small(settle(held, "held")), "run").groupBy("path", "mtime", "term").agg(F.sum("n").alias("n"))
-    scored = found.join(asked, "term").groupBy("query_id", "path", "mtime").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
+    own = notes.select("path", "mtime", "text")
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = own.repartition(tasks_for(notes.sparkSession, size, TASK_CHARS), "path")
+    runs = dealt.select("path", "mtime", F.explode(C.tokenize("text")).alias("run")).groupBy("path", "mtime", "run").agg(F.count(F.lit(1)).alias("times_run"))
+    pieces = F.array_distinct(F.flatten(F.array(*[C.grams("run", n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    few = broadcast_if_small(terms)
+    known = _common_runs(own, pieces, few)
+    cut = runs.join(known, "run", "left").withColumn("hit", F.explode(F.coalesce("hits", F.transform(pieces, lambda t: F.struct(t.alias("term"), F.lit(None).cast("long").alias("n"))))))
+    held = cut.select("path", "mtime", "run", "times_run", "hit.*").join(few, "term").withColumn("n", F.coalesce("n", C.term_count(F.col("run"), F.col("term"))))
+    found = held.groupBy("path", "mtime", "term").agg(F.sum(F.col("n") * F.col("times_run")).alias("n"))
+    scored = found.join(broadcast_if_small(asked), "term").groupBy("query_id", "path", "mtime").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("mtime"), "path")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "path", "score", "rank")
 

@@ -19,6 +19,23 @@ def joins_of(df, *keys: str) -> set[str]:
     return {w for x in found for w in x.replace("(", " ").split() if w.endswith("Join")}
 
 
+def exchanged(df) -> int:
+    """The most rows that any shuffle of a frame wrote, which was run before."""
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            left += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 @pytest.fixture(scope="module")
 def module_files(spark):
     """3,000 modules, each of which imports the next one, in a file of a few kilobytes."""
@@ -41,3 +58,16 @@ def test_files_are_not_broadcast_in_the_index(module_files):
     e = settle(f.select("repo_id", F.col("path").alias("src"), F.col("path").alias("dst")), "e")
     for df in (graph.with_inbound(f, e), graph.orphans(f, e), coverage.coverage_import(f.withColumn("is_test", F.col("path").endswith("1.py")), e), coverage.coverage_name(f)):
         assert joins_of(df) == {"SortMergeJoin"}
+
+
+def test_search_shuffles_notes_and_their_best_only(spark):
+    """200 notes of 300 words each: their words and scores stay where the notes are."""
+    from corpuslens.operators import notes
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("a"), (i + F.col("id") * 300).cast("string"))), " ")
+    n = settle(spark.range(200).select(F.col("id").alias("path"), words.alias("text"), F.col("id").alias("mtime")), "notes")
+    q = spark.createDataFrame([(1, "a"), (2, "a1 1 zz")], "query_id int, query string")
+    got = notes.recall_many(n, q)
+    rows = got.collect()
+    assert [(r.path, r.score) for r in rows if r.query_id == 1] == [(p, 300) for p in range(199, 191, -1)]
+    assert exchanged(got) <= 200 + 2 * 8 * 8
