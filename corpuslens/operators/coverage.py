@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..tables import shuffled
 
 
 def coverage_name(f: DataFrame) -> DataFrame:
     """Tests and code with the same stem, wherever they lie."""
     stems = f.withColumn("stem", C.test_stem("path"))
     tests = stems.where("is_test").select("repo_id", "stem", F.col("path").alias("test"))
-    return stems.where("category = 'code' and not is_test").join(tests, ["repo_id", "stem"]).select("repo_id", "path", "test")
+    return stems.where("category = 'code' and not is_test").join(shuffled(tests), ["repo_id", "stem"]).select("repo_id", "path", "test")
 
 
 def name_classes(f: DataFrame, stem: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,7 @@ def test_counts(code: DataFrame, tests: DataFrame) -> DataFrame:
 
 def coverage_import(f: DataFrame, e: DataFrame) -> DataFrame:
     tests = f.where("is_test").select("repo_id", F.col("path").alias("src"))
-    return e.join(tests, ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path"), F.col("src").alias("test"))
+    return e.join(shuffled(tests), ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path"), F.col("src").alias("test"))
 
 
 #: What may stand around the name of a file in a test.
@@ -67,7 +68,7 @@ def coverage_mention(f: DataFrame, test_text: DataFrame) -> DataFrame:
     """
     named = f.where("category = 'code' and not is_test").groupBy("repo_id", C.basename("path").alias("literal")).agg(F.max("path").alias("path"))
     odd = F.col("literal").rlike("[\"'`]")
-    plain = string_literals(test_text).join(named.where(~odd), ["repo_id", "literal"]).select("repo_id", "path", "test")
+    plain = string_literals(test_text).join(shuffled(named.where(~odd)), ["repo_id", "literal"]).select("repo_id", "path", "test")
     quoted = lambda q: F.contains(F.col("text"), F.concat(F.lit(q), F.col("literal"), F.lit(q)))
     texts = test_text.select("repo_id", F.col("path").alias("test"), "text")
     return plain.unionByName(texts.join(named.where(odd), "repo_id").where(quoted('"') | quoted("'") | quoted("`")).select("repo_id", "path", "test"))
@@ -85,7 +86,7 @@ def coverage(*signals: DataFrame) -> DataFrame:
 def untested_areas(f: DataFrame, cov: DataFrame, least: int = 3) -> DataFrame:
     """Directories with several untested code files; severity by how often those changed."""
     code = f.where("category = 'code' and not is_test").withColumn("dir", F.when(C.dir_of("path") == "", ".").otherwise(C.dir_of("path")))
-    marked = code.join(cov.select("repo_id", "path").withColumn("is_covered", F.lit(True)), ["repo_id", "path"], "left").withColumn("open", F.col("is_covered").isNull())
+    marked = code.join(shuffled(cov.select("repo_id", "path").withColumn("is_covered", F.lit(True))), ["repo_id", "path"], "left").withColumn("open", F.col("is_covered").isNull())
     areas = marked.groupBy("repo_id", "dir").agg(
         F.count(F.lit(1)).alias("code"),
         F.count_if("open").alias("untested"),
