@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..tables import settle
+from ..tables import settle, shuffled, tasks_for
 
 #: Files of an area that are walked together.
 RUN_FILES = 4800
@@ -171,5 +171,7 @@ def number_batches(packed: DataFrame) -> DataFrame:
 
 
 def batch_stats(batches: DataFrame, f: DataFrame) -> DataFrame:
-    sizes = batches.join(f.select("repo_id", "path", "lines"), ["repo_id", "path"]).groupBy("repo_id", "batch_index").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
+    n = tasks_for(batches.sparkSession, batches.count())
+    own, sized = (df.repartition(n, "repo_id", "path") for df in (batches.select("repo_id", "batch_index", "path"), f.select("repo_id", "path", "lines")))
+    sizes = own.join(shuffled(sized), ["repo_id", "path"]).select("repo_id", "batch_index", "lines").repartition(n, "repo_id", "batch_index").groupBy("repo_id", "batch_index").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
     return sizes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("batches"), F.sum("files").alias("files"), F.max("files").alias("most_files"), F.max("lines").alias("most_lines"))
