@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..tables import broadcast_if_small, settle
+from ..tables import broadcast_if_small, settle, tasks_for
 from .graph import follow_renames
 
 
@@ -28,7 +28,8 @@ def governing_docs(changed: DataFrame, docs: DataFrame) -> DataFrame:
     up = F.array_append(C.ancestors("path"), F.lit(""))
     places = changed.select("repo_id", "path", F.explode(up).alias("dir"))
     briefs = docs.where(F.col("path").rlike(rules.BRIEF) & ~C.is_shim("text")).select("repo_id", F.col("path").alias("doc"), C.dir_of("path").alias("dir"))
-    found = places.join(briefs, ["repo_id", "dir"])
+    briefs = broadcast_if_small(settle(briefs, "briefs"))  # the paths of one directory must not meet in one task
+    found = places.join(briefs, ["repo_id", "dir"]).repartition(tasks_for(changed.sparkSession, changed.count()), "repo_id", "path")
     order = Window.partitionBy("repo_id", "path").orderBy(F.desc(F.length("dir")), "doc")
     return found.select("repo_id", "path", "doc", F.row_number().over(order).alias("nearness"))
 
