@@ -71,3 +71,57 @@ def test_search_shuffles_notes_and_their_best_only(spark):
     rows = got.collect()
     assert [(r.path, r.score) for r in rows if r.query_id == 1] == [(p, 300) for p in range(199, 191, -1)]
     assert exchanged(got) <= 200 + 2 * 8 * 8
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of each table that a graph operator writes."""
+    rows = []
+
+    def count(df, name):
+        out = settle(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "settle", count)
+    return rows
+
+
+def test_rounds_of_depth_do_not_rewrite_edges(spark, written):
+    """Each of 30 nodes on all before it: 435 edges, of which a round takes some."""
+    e = spark.createDataFrame([("r", a, b) for a in range(30) for b in range(a)], "repo_id string, src long, dst long")
+    assert {(r.node, r.depth) for r in graph.depth(e).collect()} == {(k, k) for k in range(30)}
+    assert sum(written) < 2000
+
+
+def test_components_do_not_rewrite_edges(spark, written):
+    e = spark.createDataFrame([("r", a, b) for a in range(30) for b in range(30) if a != b], "repo_id string, src long, dst long")
+    assert {(r.node, r.scc, r.is_cyclic) for r in graph.scc(e).collect()} == {(k, 29, True) for k in range(30)}
+    assert sum(written) < 2 * 870
+
+
+def test_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    """A task's share stays as it is: the number of tasks follows the rows, not the session."""
+    from corpuslens.operators import enrichment
+
+    for module in (enrichment, graph):
+        monkeypatch.setattr(module, "tasks_for", lambda *_: 7)
+    b = settle(spark.range(100).select(F.lit("r").alias("repo_id"), (F.col("id") % 9).alias("batch_index"), F.col("id").alias("path"), F.lit(2).alias("lines")), "b")
+    stats = enrichment.batch_stats(b, b)
+    assert ", 7)" in plan(stats) and [(r.batches, r.files, r.most_lines) for r in stats.collect()] == [(9, 100, 24)]
+    e = b.select("repo_id", F.col("path").alias("src"), (F.col("path") + 1).alias("dst"))
+    assert plan(graph.batch_neighbours(b, e)).count(", 7)") >= 4
+
+
+def test_paths_of_a_directory_do_not_meet_in_one_task(spark):
+    from corpuslens.operators import review
+
+    f = settle(spark.range(500).select(F.lit("r").alias("repo_id"), F.concat(F.lit("src/a/p"), F.col("id").cast("string")).alias("path")), "f")
+    docs = spark.createDataFrame([("r", "AGENTS.md", "x\ny"), ("r", "src/AGENTS.md", "x\ny")], "repo_id string, path string, text string")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = review.governing_docs(f, docs)
+        assert joins_of(found, "dir") == {"BroadcastHashJoin"} and found.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
