@@ -31,7 +31,8 @@ def extract_imports(file_text: DataFrame) -> DataFrame:
     every = F.concat(*[F.coalesce(x, empty) for x in found])
     # an absolute require that repeats a relative one is dropped; a relative one is marked
     near = F.array_distinct(F.transform(F.filter("found", lambda x: x["tag"] == "relative"), lambda x: x["spec"]))
-    held = rows.withColumn("found", every).where(F.size("found") > 0).select("repo_id", "path", "lang", near.alias("near"), F.posexplode("found").alias("pos", "x"))
+    # the outer form, whose one null row for a file without imports goes below: before the other, Spark reads each text twice, the first time to see whether it finds any
+    held = rows.withColumn("found", every).select("repo_id", "path", "lang", near.alias("near"), F.posexplode_outer("found").alias("pos", "x"))
     held = held.where((F.col("x.spec") != "") & ~((F.col("x.tag") == "require") & F.array_contains("near", F.col("x.spec"))))
     spec = F.when(F.col("x.tag") == "relative", F.concat(F.lit("./"), F.col("x.spec"))).otherwise(F.col("x.spec"))
     return held.select("repo_id", "path", "lang", spec.alias("spec"), "x.tag", "pos")
@@ -153,12 +154,28 @@ def _namespaces(ns: Column) -> Column:
     return F.array_union(F.flatten(F.transform(ends, lambda i: F.array(F.substring(ns, F.lit(1), i), F.substring(ns, F.lit(1), i - 1)))), F.array(F.lit("")))
 
 
+def _seen_from() -> Column:
+    """What of a path the candidates of its specifier depend on: all in Rust, the directory of a relative one, else nothing.
+
+    It stands for the path in ``candidates``; a directory ends with its separator.
+    """
+    lang, spec = F.col("lang"), F.col("spec")
+    directory = F.left(F.col("path"), F.length("path") - F.length(C.basename("path")))
+    rooted = lang.isin("java", "php") | ((lang == "python") & ~spec.startswith(".")) | ((lang == "ruby") & ~spec.startswith("./"))
+    return F.when(lang == "rust", F.col("path")).when(rooted, "").otherwise(directory)
+
+
 def resolve_imports(specs: DataFrame, files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """repo_id, path, spec, target: the first candidate that exists; a Go package means all its files."""
-    found = candidates(specs, files, php_prefixes(manifests) if manifests is not None else None)
+    """repo_id, path, spec, target: the first candidate that exists; a Go package means all its files.
+
+    What many files of a repository or directory say alike is looked up once.
+    """
+    said = specs.where(~F.col("lang").isin(rules.JS.split()) | F.col("spec").startswith(".")).select("repo_id", "path", "lang", "spec", _seen_from().alias("seen_from"))
+    asked = said.select("repo_id", F.col("seen_from").alias("path"), "lang", "spec").distinct().withColumns({"tag": F.lit(""), "pos": F.lit(0)})
+    found = candidates(asked, files, php_prefixes(manifests) if manifests is not None else None)
     known = files.select("repo_id", F.col("path").alias("candidate"))
-    first = found.join(shuffled(known), ["repo_id", "candidate"]).groupBy("repo_id", "path", "spec", "pos").agg(F.min_by("candidate", F.struct("priority", "candidate")).alias("target"))
-    resolved = first.select("repo_id", "path", "spec", "target")
+    first = found.join(shuffled(known), ["repo_id", "candidate"]).groupBy("repo_id", F.col("path").alias("seen_from"), "lang", "spec").agg(F.min_by("candidate", F.struct("priority", "candidate")).alias("target"))
+    resolved = said.join(shuffled(first), ["repo_id", "seen_from", "lang", "spec"]).select("repo_id", "path", "spec", "target")
     if manifests is not None:
         modules = manifests.where("path = 'go.mod'").select("repo_id", C.go_module("text").alias("module")).where("module is not null")
         go = specs.where("lang = 'go'").join(modules, "repo_id").where((F.col("spec") == F.col("module")) | F.expr("startswith(spec, module || '/')"))
@@ -169,9 +186,13 @@ def resolve_imports(specs: DataFrame, files: DataFrame, manifests: DataFrame | N
 
 
 def build_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct import edges of code and script files, without self edges."""
+    """Distinct import edges of code and script files, without self edges.
+
+    An inner join, as the distinct edges need the rows where it leaves them; a semi join would be
+    pushed below the lookups of ``resolve_imports``.
+    """
     able = files.where("category in ('code', 'script')").select("repo_id", "path")
-    rows = resolved.where("path != target").join(shuffled(able), ["repo_id", "path"], "left_semi")
+    rows = resolved.where("path != target").join(shuffled(able), ["repo_id", "path"])
     return rows.select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("type")).dropDuplicates()
 
 

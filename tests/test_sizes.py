@@ -53,6 +53,24 @@ def test_files_are_not_broadcast_to_imports(module_files):
     assert "Join" not in plan(imports.extract_imports(module_files))  # twins are told apart in their row
 
 
+def test_what_many_files_import_is_looked_up_once(spark):
+    """300 files in three directories import the same 20 modules: 6,000 specifiers, of three candidates each, are 60 distinct ones."""
+    k, j = F.col("id"), F.sequence(F.lit(0), F.lit(19))
+    here = F.concat(F.lit("d"), (k % 3).cast("string"), F.lit("/"))
+    said = F.concat(F.array_join(F.transform(j, lambda i: F.concat(F.lit("import m.p"), i.cast("string"))), "\n"), F.lit("\nfrom .m.p0 import x\n"))
+    texts = spark.range(300).select(F.lit("r").alias("repo_id"), F.concat(here, k.cast("string"), F.lit(".py")).alias("path"), said.alias("text"))
+    own = spark.range(60).select(F.lit("r"), F.concat(F.when(k < 20, "").when(k < 40, "d1/").otherwise("d2/"), F.lit("m/p"), (k % 20).cast("string"), F.lit(".py")), F.lit(""))
+    texts = settle(texts.union(own), "texts")
+    f = settle(scans.describe_files(texts.withColumns({"lines": F.lit(1), "bytes": F.lit(1)})), "f")
+    specs = imports.extract_imports(texts)
+    assert "size(" not in plan(specs)  # texts are searched once
+    edges = imports.build_edges(imports.resolve_imports(settle(specs, "s"), f), f)
+    want = {(f"d{k % 3}/{k}.py", f"m/p{i}.py") for k in range(300) for i in range(20)}
+    want |= {(f"d{k % 3}/{k}.py", f"d{k % 3}/m/p0.py") for k in range(300) if k % 3}
+    assert [tuple(sorted(want))] == [tuple(sorted((r.src, r.dst) for r in edges.collect()))]
+    assert exchanged(edges) <= 6300  # its specifiers, not their candidates
+
+
 def test_files_are_not_broadcast_in_the_index(module_files):
     f = settle(scans.describe_files(module_files), "f")
     e = settle(f.select("repo_id", F.col("path").alias("src"), F.col("path").alias("dst")), "e")
