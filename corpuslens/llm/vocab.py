@@ -20,6 +20,11 @@ REMEMBERED = 12 << 20
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
 
+#: What ends a word of prose. Where it follows one of LETTERS, the tokenizers' pattern begins a token anew.
+TAILS = ".,;:!?"
+#: Letters below U+0250 (all of which Python's isalpha knows as such) and digits.
+LETTERS, BEYOND = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "\u0250"
+
 #: ids of many pieces, how many each has, and which piece each is.
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -32,12 +37,17 @@ class TextEncoder:
     encoded once. Only where a space is followed by more white space, or ends the text, may the cut
     matter; such texts are encoded whole.
 
+    A word with a tail, such as a comma, is the word and the tail where the pattern parts them; so the
+    word is encoded once, whatever follows it.
+
     whole(text) encodes a text; words(pieces) encodes each piece with a space before it, in any order.
     """
 
-    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED, cuts: bool = True):
-        """cuts: whether the pattern is of the kind said above; every text is encoded whole otherwise."""
-        self.whole, self.words, self.remembered, self.cuts = whole, words, remembered, cuts
+    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED, cuts: bool = True, tails: str = ""):
+        """cuts: whether the pattern is of the kind said above; every text is encoded whole otherwise.
+
+        tails: characters that the pattern keeps together and parts from a letter or digit before them."""
+        self.whole, self.words, self.remembered, self.cuts, self.tails = whole, words, remembered, cuts, tails
         self.forget()
 
     def forget(self) -> None:
@@ -65,6 +75,29 @@ class TextEncoder:
             self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
         return at
 
+    def _tailed(self, pieces: pa.StringArray) -> tuple[np.ndarray, tuple[int, int]]:
+        """Entries as of ``_entries``; those of words with tails are made of the word's and the tail's, and lie
+        beyond what is remembered, of which the second result gives the lengths."""
+        if not self.tails:
+            return self._entries(pieces), (len(self.ends), len(self.pool))
+        words = pc.utf8_rtrim(pieces, characters=self.tails)
+        cut = pc.and_(pc.not_equal(words, pieces), pc.match_substring_regex(words, LETTERS + "$"))
+        where = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        coded = pc.if_else(cut, words, pieces).dictionary_encode()
+        at = self._entries(coded.dictionary)[coded.indices.to_numpy()]
+        kept = len(self.ends), len(self.pool)
+        if len(where):
+            sized, tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()[where], np.zeros(len(where), np.int64)
+            for n in np.unique(sized).tolist():  # tails of a length
+                some = np.flatnonzero(sized == n)
+                ends = pc.utf8_slice_codeunits(pieces.take(pa.array(where[some])), -n).dictionary_encode()
+                own = [self.whole(x) for x in ends.dictionary.to_pylist()]
+                tail[some] = self._add(np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))[ends.indices.to_numpy()]
+            sizes = np.diff(self.ends)
+            both = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(np.column_stack([at[where], tail]).reshape(-1)))
+            at[where] = self._add(both.flatten().to_numpy(), sizes[at[where]] + sizes[tail])
+        return at, kept
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (null: none) and, one more than texts, where each begins."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -82,12 +115,11 @@ class TextEncoder:
         unsafe[heads] = False
         odd = np.add.reduceat(unsafe, heads) > 0 if len(texts) else np.zeros(0, bool)
         entry = np.zeros(len(distinct), np.int64)
-        entry[~blank] = self._entries(distinct.filter(pa.array(~blank)))
+        entry[~blank], kept = self._tailed(distinct.filter(pa.array(~blank)))
         at = entry[codes]
         if odd.any():
             at[np.repeat(odd, counts)] = 0
         own = [self.whole((texts[i] if o else distinct[c]).as_py()) for i, (o, c) in enumerate(zip(odd.tolist(), codes[heads].tolist(), strict=True))]
-        kept = len(self.ends), len(self.pool)
         at[heads] = self._add(np.concatenate([np.zeros(0, np.uint32), *own]), np.fromiter(map(len, own), np.int64, len(own)))
         found = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at))
         ids, begins = found.flatten().to_numpy(), found.offsets.to_numpy().astype(np.int64)
@@ -120,17 +152,22 @@ def library_encoder(path: str) -> TextEncoder:
         spaced[i] = token.startswith("Ġ")  # byte 20 in a byte-level vocabulary
     bare = Tokenizer(model.model)  # for letters, which its pattern keeps whole: only the byte alphabet and merges
     bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    alphabet = [byte_letter(b) for b in range(256)]
+    alphabet[32] = " Ġ"
+    tails = TAILS if not any(t in x.content for x in model.get_added_tokens_decoder().values() for t in TAILS) else ""
+    top = BEYOND if model.normalizer is None else "\x80"
 
     def encoded(text: str, by: Tokenizer = model) -> np.ndarray:
         return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def words(pieces: list[str]) -> Encoded:
-        letters = np.fromiter((x.isascii() and x.isalpha() for x in pieces), bool, len(pieces))
+        letters = np.fromiter((x.isalpha() and (x.isascii() or max(x) < top) for x in pieces), bool, len(pieces))
         ids, sizes, order = [np.zeros(0, np.uint32)], [], []
-        for places, by, lead in ((np.flatnonzero(letters), bare, " Ġ"), (np.flatnonzero(~letters), model, " ")):
+        for places, by in ((np.flatnonzero(letters), bare), (np.flatnonzero(~letters), model)):
             for k in range(0, len(places), 512):  # one string for many pieces: each starts where a token has the space
                 some = [pieces[i] for i in places[k : k + 512].tolist()]
-                own = encoded(lead + lead.join(some), by)
+                text = " " + " ".join(some)
+                own = encoded(text if by is model else text.encode().decode("latin-1").translate(alphabet), by)
                 starts = np.flatnonzero(spaced[own])
                 if len(starts) == len(some):
                     size = np.diff(np.append(starts, len(own)))
@@ -142,7 +179,13 @@ def library_encoder(path: str) -> TextEncoder:
             order.append(places)
         return np.concatenate(ids), np.concatenate(sizes), np.concatenate(order)
 
-    return TextEncoder(encoded, words)
+    return TextEncoder(encoded, words, tails=tails)
+
+
+def byte_letter(byte: int) -> str:
+    """The character that stands for a byte in a byte-level vocabulary: itself where it shows, else the next from U+0100."""
+    shows = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(byte if byte in shows else 256 + sum(b not in shows for b in range(byte)))
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

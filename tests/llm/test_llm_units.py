@@ -11,11 +11,11 @@ import tiktoken
 from brute import components, hilbert_cells, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from corpuslens.llm import chat_format, huffman, packing, prefix_bpe
 from corpuslens.llm.shingles import BlockIndex, shingle_sets
-from corpuslens.llm.vocab import library_encoder, read_ranks
+from corpuslens.llm.vocab import TextEncoder, byte_letter, library_encoder, read_ranks
 
 RANKS, BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a", "a\n \nb", "a  b   c ", "x \n y", " lead", "a<|endoftext|> b <|endoftext|>", "é   z", "tab\t x", "naïve café l'été  ", "a\u00a0 b", "it's 1234 don't—x", "\n", " \n\n  a", "日本語 テキスト", "word " * 3000, "x" * 5000, "😀 😀😀"]
@@ -165,3 +165,16 @@ def test_crc_helper_matches_zlib():
 
     assert crc([1, 2]) == zlib.crc32(b"\x01\x00\x00\x00\x02\x00\x00\x00")
     assert components([(1, "a b c d e"), (2, "A B C D E"), (3, "")]) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_words_are_encoded_once_whatever_follows_them():
+    found, asked = library_encoder(BPE), []
+    encoder = TextEncoder(found.whole, lambda pieces: asked.extend(pieces) or found.words(pieces), tails=found.tails)
+    odd = ["a, b", "x., y,, z!?", "it's, don't. 'll, x'.", "ción, ª. º, ǀ! ɐ, 日本, é.", "1, 2. 3.5, ½, ²,", ", . a", "<|endoftext|>, a<|endoftext|>. b", "", " ,", "a ,b a, ", "a,\nb c.\n d", "A.B, x́, ñ̃.", "a b" + "." * 300]
+    ids, bounds = encoder.encode(pa.array(odd))
+    model = Tokenizer.from_file(BPE)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [model.encode(x, add_special_tokens=False).ids for x in odd]
+    asked.clear()
+    encoder.encode(pa.array(["the palabra, palabra. palabra; palabra! palabra canción, canción"]))
+    assert sorted(asked) == ["canción", "palabra", "the"]
+    assert sorted(map(byte_letter, range(256))) == sorted(pre_tokenizers.ByteLevel.alphabet()) and byte_letter(32) == "Ġ"
