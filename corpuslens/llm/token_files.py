@@ -52,13 +52,12 @@ def id_counts(ids: DataFrame, wide: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2"))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4" if wide else "<u2"))
+            if len(own) > len(total):
+                own[: len(total)] += total
+                total = own
+            else:
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 

@@ -20,8 +20,9 @@ REMEMBERED = 12 << 20
 #: Bytes of text that are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
 
-#: What ends a word of prose. Where it follows one of LETTERS, the tokenizers' pattern begins a token anew.
-TAILS = ".,;:!?"
+#: ASCII characters that are neither letters, digits nor white. Where they end a piece behind one of LETTERS, the
+#: tokenizers' pattern begins a token anew and keeps them together.
+TAILS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below U+0250 (all of which Python's isalpha knows as such) and digits.
 LETTERS, BEYOND = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "\u0250"
 
@@ -38,23 +39,43 @@ class TextEncoder:
     matter; such texts are encoded whole.
 
     A word with a tail, such as a comma, is the word and the tail where the pattern parts them; so the
-    word is encoded once, whatever follows it.
+    word is encoded once, whatever follows it. Likewise a piece is cut before each line break between
+    characters that aren't white, as the pattern gives such a break a token of its own.
 
-    whole(text) encodes a text; words(pieces) encodes each piece with a space before it, in any order.
+    whole(text) encodes a text; words(pieces) encodes each piece, in any order: as it is if it starts with a
+    line break, with a space before it otherwise.
     """
 
-    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED, cuts: bool = True, tails: str = ""):
+    def __init__(self, whole: Callable[[str], np.ndarray], words: Callable[[list[str]], Encoded], remembered: int = REMEMBERED, cuts: bool = True, tails: str = "", lines: bool = False):
         """cuts: whether the pattern is of the kind said above; every text is encoded whole otherwise.
 
-        tails: characters that the pattern keeps together and parts from a letter or digit before them."""
-        self.whole, self.words, self.remembered, self.cuts, self.tails = whole, words, remembered, cuts, tails
+        tails: characters that the pattern keeps together and parts from a letter or digit before them.
+        lines: whether the pattern gives a line break between characters that aren't white a token of its own."""
+        self.whole, self.words, self.remembered, self.cuts, self.tails, self.lines = whole, words, remembered, cuts, tails, lines
         self.forget()
 
     def forget(self) -> None:
         """Entry 0 has no ids; the known piece i has entry i + 1."""
-        self.known = pa.array([], pa.string())
+        self.known, self.met = pa.array([], pa.string()), np.zeros(0, bool)
         self.ends, self.pool = np.zeros(2, np.int32), np.zeros(0, np.uint32)
 
+    def forget_rare(self) -> None:
+        """Keeps the pieces that were met in a later batch, if they take less than half of the memory, and none otherwise."""
+        known, ids = self.known.filter(pa.array(self.met)), self._ids(np.flatnonzero(self.met) + 1)
+        sizes = np.diff(self.ends)[1:][self.met]
+        self.forget()
+        if 2 * (known.nbytes + 4 * len(known) + ids.nbytes) < self.remembered:
+            self._add(ids, sizes)
+            self.known, self.met = known, np.zeros(len(known), bool)
+
+    def _ids(self, entries: np.ndarray) -> np.ndarray:
+        """ids of these entries, one after another."""
+        return pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(entries)).flatten().to_numpy()
+
+    def _joined(self, entries: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """New entries, each of the ids of those from one place in begins up to the next."""
+        return self._add(self._ids(entries), np.add.reduceat(np.diff(self.ends)[entries], begins))
+
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Entries for pieces of these sizes; returns their numbers."""
         first = len(self.ends) - 1
@@ -63,16 +84,21 @@ class TextEncoder:
         return np.arange(first, first + len(sizes))
 
     def _entries(self, pieces: pa.StringArray) -> np.ndarray:
+        """Entries of distinct pieces."""
         if self.known.nbytes + self.ends.nbytes + self.pool.nbytes > self.remembered:
-            self.forget()
-        found = pc.index_in(pieces, value_set=self.known)
-        at = pc.fill_null(found, -1).to_numpy().astype(np.int64) + 1
+            self.forget_rare()
+        found = pc.index_in(self.known, value_set=pieces)  # this way round, what is known goes into no hash table
+        again = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        at = np.zeros(len(pieces), np.int64)
+        at[found.drop_null().to_numpy()] = again + 1
+        self.met[again] = True
         new = np.flatnonzero(at == 0)
         if len(new):
             fresh = pieces.take(pa.array(new))
             ids, sizes, order = self.words(fresh.to_pylist())
             at[new[order]] = self._add(ids, sizes)
             self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
+            self.met = np.append(self.met, np.zeros(len(new), bool))
         return at
 
     def _tailed(self, pieces: pa.StringArray) -> tuple[np.ndarray, tuple[int, int]]:
@@ -93,9 +119,33 @@ class TextEncoder:
                 ends = pc.utf8_slice_codeunits(pieces.take(pa.array(where[some])), -n).dictionary_encode()
                 own = [self.whole(x) for x in ends.dictionary.to_pylist()]
                 tail[some] = self._add(np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))[ends.indices.to_numpy()]
-            sizes = np.diff(self.ends)
-            both = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(np.column_stack([at[where], tail]).reshape(-1)))
-            at[where] = self._add(both.flatten().to_numpy(), sizes[at[where]] + sizes[tail])
+            at[where] = self._joined(np.column_stack([at[where], tail]).reshape(-1), np.arange(0, 2 * len(where), 2))
+        return at, kept
+
+    def _lined(self, pieces: pa.StringArray) -> tuple[np.ndarray, tuple[int, int]]:
+        """Entries as of ``_tailed``; those of pieces of several lines are made of the lines', each but the first with its break."""
+        broken = np.flatnonzero(pc.match_substring(pieces, "\n").to_numpy(zero_copy_only=False)) if self.lines else []
+        if not len(broken):
+            return self._tailed(pieces)
+        split = pc.split_pattern(pieces.take(pa.array(broken)), "\n")
+        lines, begins = split.flatten(), split.offsets.to_numpy()[:-1].astype(np.int64)
+        white = pc.or_(pc.equal(lines, ""), pc.not_equal(pc.utf8_trim(lines, characters=WHITE), lines)).to_numpy(zero_copy_only=False)
+        parted = ~np.logical_or.reduceat(white, begins)  # a break beside white space may share a token with it
+        if not parted.any():
+            return self._tailed(pieces)
+        counts = np.diff(split.offsets.to_numpy())
+        first = np.zeros(len(lines), bool)
+        first[begins] = True
+        lines = pc.if_else(pa.array(first), lines, pc.binary_join_element_wise("\n", lines, "")).filter(pa.array(np.repeat(parted, counts)))
+        rest = np.ones(len(pieces), bool)
+        rest[broken[parted]] = False
+        whole = pieces.filter(pa.array(rest))
+        coded = pa.concat_arrays([whole, lines]).dictionary_encode()
+        some, kept = self._tailed(coded.dictionary)
+        some = some[coded.indices.to_numpy()]
+        at = np.empty(len(pieces), np.int64)
+        at[rest] = some[: len(whole)]
+        at[broken[parted]] = self._joined(some[len(whole) :], np.cumsum(counts[parted]) - counts[parted])
         return at, kept
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +165,7 @@ class TextEncoder:
         unsafe[heads] = False
         odd = np.add.reduceat(unsafe, heads) > 0 if len(texts) else np.zeros(0, bool)
         entry = np.zeros(len(distinct), np.int64)
-        entry[~blank], kept = self._tailed(distinct.filter(pa.array(~blank)))
+        entry[~blank], kept = self._lined(distinct.filter(pa.array(~blank)))
         at = entry[codes]
         if odd.any():
             at[np.repeat(odd, counts)] = 0
@@ -144,42 +194,56 @@ def text_batches(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -
 def library_encoder(path: str) -> TextEncoder:
     """By a byte-level file of the tokenizers library, without special tokens being added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     spaced = np.zeros(model.get_vocab_size() + 1, bool)
     for token, i in model.get_vocab().items():
         spaced[i] = token.startswith("Ġ")  # byte 20 in a byte-level vocabulary
-    bare = Tokenizer(model.model)  # for letters, which its pattern keeps whole: only the byte alphabet and merges
-    bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    merged = model.model.tokenize  # for letters, which its pattern keeps whole: only the merges of the byte alphabet
     alphabet = [byte_letter(b) for b in range(256)]
-    alphabet[32] = " Ġ"
-    tails = TAILS if not any(t in x.content for x in model.get_added_tokens_decoder().values() for t in TAILS) else ""
+    added = list(model.get_added_tokens_decoder().values())
+    tails = "".join(t for t in TAILS if not any(t in x.content for x in added))
+    lines = not any("\n" in x.content or x.lstrip or x.rstrip for x in added)
     top = BEYOND if model.normalizer is None else "\x80"
 
-    def encoded(text: str, by: Tokenizer = model) -> np.ndarray:
-        return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def encoded(text: str) -> list[int]:
+        return model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    line = encoded("\n")
 
     def words(pieces: list[str]) -> Encoded:
-        letters = np.fromiter((x.isalpha() and (x.isascii() or max(x) < top) for x in pieces), bool, len(pieces))
-        ids, sizes, order = [np.zeros(0, np.uint32)], [], []
-        for places, by in ((np.flatnonzero(letters), bare), (np.flatnonzero(~letters), model)):
-            for k in range(0, len(places), 512):  # one string for many pieces: each starts where a token has the space
-                some = [pieces[i] for i in places[k : k + 512].tolist()]
-                text = " " + " ".join(some)
-                own = encoded(text if by is model else text.encode().decode("latin-1").translate(alphabet), by)
-                starts = np.flatnonzero(spaced[own])
-                if len(starts) == len(some):
-                    size = np.diff(np.append(starts, len(own)))
-                else:
-                    parts = [encoded(" " + x) for x in some]
-                    own, size = np.concatenate(parts), np.array([len(x) for x in parts])
-                ids.append(own)
-                sizes.append(size)
-            order.append(places)
-        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(order)
-
-    return TextEncoder(encoded, words, tails=tails)
+        ids, sizes, order, others = [], [], [], []
+        for i, x in enumerate(pieces):
+            letters = x[1:] if x[0] == "\n" else x
+            plain = letters.isascii()
+            if not letters.isalpha() or not plain and max(letters) >= top:
+                others.append(i)
+                continue
+            letters = letters if plain else letters.encode().decode("latin-1").translate(alphabet)
+            own = line + [t.id for t in merged(letters)] if x[0] == "\n" else [t.id for t in merged("Ġ" + letters)]
+            ids += own
+            sizes.append(len(own))
+            order.append(i)
+        begun = [i for i in others if pieces[i][0] == "\n"]
+        for own in map(encoded, (pieces[i] for i in begun)):
+            ids += own
+            sizes.append(len(own))
+        others = [i for i in others if pieces[i][0] != "\n"]
+        for k in range(0, len(others), 512):  # one string for many pieces: each starts where a token has the space
+            some = [pieces[i] for i in others[k : k + 512]]
+            own = encoded(" " + " ".join(some))
+            starts = np.flatnonzero(spaced[own])
+            if len(starts) == len(some):
+                sizes += np.diff(np.append(starts, len(own))).tolist()
+            else:
+                parts = [encoded(" " + x) for x in some]
+                own = [i for x in parts for i in x]
+                sizes += map(len, parts)
+            ids += own
+        return np.array(ids, np.uint32), np.array(sizes, np.int64), np.array(order + begun + others, np.int64)
+
+    return TextEncoder(lambda text: np.array(encoded(text), np.uint32), words, tails=tails, lines=lines)
 
 
 def byte_letter(byte: int) -> str:

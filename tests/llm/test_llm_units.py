@@ -178,3 +178,29 @@ def test_words_are_encoded_once_whatever_follows_them():
     encoder.encode(pa.array(["the palabra, palabra. palabra; palabra! palabra canción, canción"]))
     assert sorted(asked) == ["canción", "palabra", "the"]
     assert sorted(map(byte_letter, range(256))) == sorted(pre_tokenizers.ByteLevel.alphabet()) and byte_letter(32) == "Ġ"
+
+
+def test_words_are_encoded_once_whatever_line_they_begin():
+    found, asked = library_encoder(BPE), []
+    encoder = TextEncoder(found.whole, lambda pieces: asked.extend(pieces) or found.words(pieces), tails=found.tails, lines=found.lines)
+    encoder.encode(pa.array(["the palabra.\nOtra palabra%%% the.\npalabra?\nOtra, canción$$$\npalabra the***\ncanción## canción"]))
+    assert sorted(asked) == ["\nOtra", "\ncanción", "\npalabra", "canción", "palabra", "the"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aeEst1é \n\n\t\r\x1c\x85\xa0'.,!%$<|>²ǀ́日😀", max_size=30), min_size=1, max_size=4))
+def test_lines_and_tails_give_the_librarys_ids(texts):
+    encoder, model = library_encoder(BPE), Tokenizer.from_file(BPE)
+    assert slices(*encoder.encode(pa.array(texts))) == [model.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_encoder_keeps_what_it_met_again():
+    found, asked = library_encoder(BPE), []
+    encoder = TextEncoder(found.whole, lambda pieces: asked.extend(pieces) or found.words(pieces), remembered=400)
+    many = " ".join(f"w{i}" for i in range(100))
+    for text in ("x alpha beta", "x beta", f"x {many}"):
+        encoder.encode(pa.array([text]))
+    asked.clear()
+    ids, bounds = encoder.encode(pa.array(["x alpha beta w1"]))
+    assert asked == ["alpha", "w1"]
+    assert slices(ids, bounds) == [Tokenizer.from_file(BPE).encode("x alpha beta w1", add_special_tokens=False).ids]
