@@ -15,12 +15,13 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean_batches
-from .vocab import Encoded, TextEncoder, read_ranks, text_batches, tidied
+from .vocab import TAILS, Encoded, TextEncoder, read_ranks, text_batches, tidied
 
 
 class Merges:
@@ -29,6 +30,13 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 3:
+                ends.setdefault(token[-4:], set()).add(len(token))
+        #: sizes of the tokens that may end where these four bytes do, longest first; other bytes have 3, 2 and 1
+        self._sizes = {end: (*sorted(sizes, reverse=True), 3, 2, 1) for end, sizes in ends.items()}
+        self.table: pa.BinaryArray | None = None
         self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
 
@@ -87,7 +95,9 @@ class Merges:
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
         """The only token that may end data[:end], given last of all shorter prefixes."""
         ranks, pairs = self.ranks, self._pairs
-        for size in range(min(end, self.longest), 0, -1):
+        for size in self._sizes.get(data[end - 4 : end] if end > 3 else b"", (3, 2, 1)):
+            if size > end:
+                continue
             token = ranks.get(data[end - size : end])
             if token is None:
                 continue
@@ -172,13 +182,23 @@ def rank_encoder(path: str, pattern: str) -> tuple[Merges, TextEncoder]:
     def ids(text: str) -> list[int]:
         return [t for piece in split.findall(text) for t in encode_piece(piece.encode())]
 
+    line = ids("\n")
+
     def words(pieces: list[str]) -> Encoded:
-        # letters after a space are one match of the pattern
-        parts = [encode_piece(b" " + x.encode()) if x.isalpha() else ids(" " + x) for x in pieces]
+        # letters after a space or a line break are one match of the pattern
+        parts = []
+        for x in pieces:
+            if x.isalpha():
+                parts.append(encode_piece(b" " + x.encode()))
+            elif x[0] == "\n":
+                parts.append(line + encode_piece(x[1:].encode()) if x[1:].isalpha() else ids(x))
+            else:
+                parts.append(ids(" " + x))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes, np.arange(len(parts))
 
-    return merges, TextEncoder(lambda text: np.array(ids(text), np.uint32), words, cuts=pattern == public_tokenizers.PATTERN)
+    own = pattern == public_tokenizers.PATTERN
+    return merges, TextEncoder(lambda text: np.array(ids(text), np.uint32), words, cuts=own, tails=TAILS if own else "", lines=own)
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
@@ -212,5 +232,9 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids:
 
 def decode(merges: Merges, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The bytes of ids, and how many each stands for."""
-    parts = list(map(merges.bytes_of.__getitem__, ids.tolist()))
-    return memoryview(b"".join(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+    if merges.table is None:
+        merges.table = pa.array([merges.bytes_of.get(i) for i in range(max(merges.bytes_of, default=-1) + 1)], pa.binary())
+    parts = merges.table.take(pa.array(ids))
+    if parts.null_count:
+        raise KeyError("an id without bytes")
+    return memoryview(b"" if not len(parts) else parts.buffers()[2]).cast("B"), pc.binary_length(parts).to_numpy().astype(np.int64)

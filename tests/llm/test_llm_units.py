@@ -204,3 +204,17 @@ def test_encoder_keeps_what_it_met_again():
     ids, bounds = encoder.encode(pa.array(["x alpha beta w1"]))
     assert asked == ["alpha", "w1"]
     assert slices(ids, bounds) == [Tokenizer.from_file(BPE).encode("x alpha beta w1", add_special_tokens=False).ids]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aeEst1é \n\n\t\r\x1c\x85\xa0'.,!%$<|>²ǀ́日😀", max_size=30), min_size=1, max_size=4))
+def test_lines_and_tails_give_the_rank_librarys_ids(rank_library, texts):
+    encoder = prefix_bpe.rank_encoder(RANKS, public_tokenizers.PATTERN)[1]
+    assert slices(*encoder.encode(pa.array(texts))) == [rank_library.encode_ordinary(x) for x in texts]
+
+
+def test_rank_encoder_encodes_words_once_whatever_surrounds_them():
+    found, asked = prefix_bpe.rank_encoder(RANKS, public_tokenizers.PATTERN)[1], []
+    encoder = TextEncoder(found.whole, lambda pieces: asked.extend(pieces) or found.words(pieces), tails=found.tails, lines=found.lines)
+    encoder.encode(pa.array(["the palabra.\nOtra palabra%%% <palabra palabra,\npalabra? palabra"]))
+    assert sorted(asked) == ["\nOtra", "\npalabra", "<palabra", "palabra", "the"]
