@@ -18,6 +18,8 @@ from .vocab import library_encoder, text_batches, tidied
 MAX_BITS = 18
 #: Ids between two checkpoints, and ids after which a block ends (with the document that reaches them).
 EVERY, BLOCK_IDS = 128, 1 << 18
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 4 << 20
 
 BLOCKS = "part int, block int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary"
 
@@ -35,7 +37,7 @@ def document_ids(docs: DataFrame, vocabulary: str, end_id: int, wide: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
-        for batch in (part for whole in batches for part in text_batches(whole, 1)):
+        for batch in (part for whole in batches for part in text_batches(whole, 1, TEXT_BYTES)):
             ids, bounds = encoder.encode(batch.column(1))
             with_end = np.insert(ids, bounds[1:], end_id).astype(kind)
             step = bounds + np.arange(len(bounds))

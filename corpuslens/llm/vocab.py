@@ -213,8 +213,15 @@ def library_encoder(path: str) -> TextEncoder:
     line = encoded("\n")
 
     def words(pieces: list[str]) -> Encoded:
-        ids, sizes, order, others = [], [], [], []
+        ids, sizes, order = [], [], [i for i, x in enumerate(pieces) if x.isascii() and x.isalpha()]
+        for k in range(0, len(order), 4096):  # a token of the library is an object
+            found = [merged("Ġ" + pieces[i]) for i in order[k : k + 4096]]
+            ids += [t.id for own in found for t in own]
+            sizes += map(len, found)
+        others = []
         for i, x in enumerate(pieces):
+            if x.isascii() and x.isalpha():
+                continue
             letters = x[1:] if x[0] == "\n" else x
             plain = letters.isascii()
             if not letters.isalpha() or not plain and max(letters) >= top:
