@@ -46,6 +46,11 @@ def test_index(index, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i/edges")).count() == index["edges"].count() == 3
 
 
+def test_index_lists_the_paths_of_each_layer(index):
+    listed = sorted((r.depth, r.place, r.path) for r in index["layers"].collect())
+    assert listed == [(0, 1, "lib/big.js"), (0, 2, "lib/core.js"), (0, 3, "lib/lone.js"), (1, 1, "lib/api.js"), (1, 2, "test/core.test.js"), (2, 1, "lib/ui.tsx")]
+
+
 def test_findings_and_report(index, corpus, spark):
     repos = spark.createDataFrame([("r",), ("empty",)], "repo_id string")
     found = jobs.analyse(index, corpus, corpus, repos)

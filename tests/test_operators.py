@@ -69,6 +69,15 @@ def test_depth_and_cycles(spark):
     assert d == {"a": (0, True), "b": (0, True), "top": (1, False)}
 
 
+def test_layers_list_every_file(spark):
+    """Two files in a circle, one above it, one that stands alone, an edge to itself and one to what is no file."""
+    f = spark.createDataFrame([("r", p) for p in ("top", "b", "a", "lone", "base", "lone")] + [("s", "a")], "repo_id string, path string")
+    e = edges(spark, "a>b", "b>a", "a>base", "top>b", "top>top", "lone>gone", "gone>top")
+    got = sorted(tuple(r) for r in graph.layers(graph.leveled(f, e)).select("repo_id", "depth", "files", "place", "path", "is_cyclic").collect())
+    assert got == [("r", 0, 2, 1, "base", False), ("r", 0, 2, 2, "lone", False), ("r", 1, 2, 1, "a", True), ("r", 1, 2, 2, "b", True), ("r", 2, 1, 1, "top", False), ("s", 0, 1, 1, "a", False)]
+    assert graph.layers(graph.leveled(f.limit(0), e)).count() == 0
+
+
 def test_scc_against_brute_force(spark):
     rng = random.Random(7)
     for _ in range(2):

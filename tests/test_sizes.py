@@ -131,6 +131,17 @@ def test_tables_are_dealt_by_their_rows(spark, monkeypatch):
     assert plan(graph.batch_neighbours(b, e)).count(", 7)") >= 4
 
 
+def test_a_layer_is_listed_by_many_tasks(spark, monkeypatch):
+    """Each of 300 files imports the one of half its number, in two repositories; seven tasks place them."""
+    monkeypatch.setattr(graph, "tasks_for", lambda *_: 7)
+    f = spark.createDataFrame([(r, str(i)) for r in "ab" for i in range(1, 301)], "repo_id string, path string")
+    e = f.where("path != '1'").select("repo_id", F.col("path").alias("src"), F.floor(F.col("path").cast("int") / 2).cast("string").alias("dst"))
+    got = graph.layers(settle(graph.leveled(f, e), "leveled"))
+    names = [sorted(str(i) for i in range(2**d, min(2 ** (d + 1), 301))) for d in range(9)]
+    want = {(r, d, len(x), k, p) for r in "ab" for d, x in enumerate(names) for k, p in enumerate(x, 1)}
+    assert {tuple(r)[:5] for r in got.collect()} == want and got.count() == 600
+
+
 def test_paths_of_a_directory_do_not_meet_in_one_task(spark):
     from corpuslens.operators import review
 

@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import oracle
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_operators import near_by_hand
 
 from corpuslens.operators import enrichment
@@ -175,3 +177,42 @@ def test_components_of_the_part_graph(spark, sf_dir, read):
                 stack += back[x]
     got = {r.p_partkey: (r.scc, r.is_cyclic) for r in registry.QUERIES["scc"](spark, sf_dir).collect()}
     assert got == {x: (max(comp[c]), len(comp[c]) > 1) for x, c in named.items()}
+
+
+def test_layers_hold_every_row_of_the_supply_tables(spark, sf_dir, read):
+    """By a walk down from each node; orders without lines need nothing."""
+    keys = {"o": ("orders", "o_orderkey"), "p": ("part", "p_partkey"), "s": ("supplier", "s_suppkey"), "n": ("nation", "n_nationkey"), "r": ("region", "r_regionkey")}
+    nodes = {f"{letter}{r[c]}" for letter, (name, c) in keys.items() for r in read(name)}
+    down = defaultdict(set)
+    for r in read("lineitem"):
+        down[f"o{r['l_orderkey']}"].add(f"p{r['l_partkey']}")
+        down[f"p{r['l_partkey']}"].add(f"s{r['l_suppkey']}")
+    for r in read("supplier"):
+        down[f"s{r['s_suppkey']}"].add(f"n{r['s_nationkey']}")
+    for r in read("nation"):
+        down[f"n{r['n_nationkey']}"].add(f"r{r['n_regionkey']}")
+    level = lambda x: 1 + max(map(level, down[x] & nodes), default=-1)
+    listed = defaultdict(list)
+    for x in nodes:
+        listed[level(x)].append(x)
+    want = [(d, len(listed[d]), k, x) for d in sorted(listed) for k, x in enumerate(sorted(listed[d]), 1)]
+    assert any(x[0] == "o" for x in listed[0])
+    assert [tuple(r)[:4] for r in registry.QUERIES["layers"](spark, sf_dir).collect()] == want
+
+
+def test_layers_of_odd_tables(spark, sf_dir, tmp_path):
+    """Rows repeat, lines name parts and suppliers that are not there, keys are null, a supplier has no nation."""
+    for name in ("orders", "lineitem", "part", "supplier", "nation", "region"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        key = df.columns[0]
+        rows = df.unionByName(df.limit(3)).unionByName(df.limit(1).withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        if name in ("part", "supplier"):
+            rows = rows.where(F.col(key).isNull() | (F.col(key) % 7 != 3))
+        if name == "lineitem":
+            rows = rows.withColumn("l_partkey", F.when(F.col("l_linenumber") != 5, F.col("l_partkey")))
+        if name == "supplier":
+            rows = rows.withColumn("s_nationkey", F.when(F.col(key) % 2 == 0, 99).otherwise(F.col("s_nationkey")).cast("int"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = registry.QUERIES["layers"](spark, str(tmp_path))
+    assert oracle.differences(got, registry.ORACLE_SQL["layers"], oracle.connect(str(tmp_path))) == ""
+    assert {r.depth for r in got.collect()} == {0, 1, 2, 3, 4}
